@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL, in the order of their numbers.
-MODULES = ["packing", "token_tables", "html_extract", "license_scan"]
+MODULES = ["url_filter", "packing", "token_tables", "html_extract", "license_scan"]
 
 
 def queries() -> dict:
