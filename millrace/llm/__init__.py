@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL, in the order of their numbers.
-MODULES = ["url_filter", "topk_search", "packing", "token_tables", "language_id", "html_extract", "license_scan"]
+MODULES = ["url_filter", "topk_search", "packing", "token_tables", "language_id", "decontaminate", "html_extract", "license_scan"]
 
 
 def queries() -> dict:
