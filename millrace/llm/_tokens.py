@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Remembered units for each worker; when more have come, it starts anew. This bounds memory, not results.
-REMEMBER = 400_000
+REMEMBER = 500_000
 
 _UNIT = re.compile(r" (?=[^\W_])")
 #: The pre-tokenisation pattern of byte-level BPE, and its table from bytes to printable characters.
@@ -27,16 +27,34 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 class _Units(dict):
-    """The ids of units that follow a space; a unit not yet known is encoded."""
+    """The ids of units that follow a space; a unit not yet known is put together from its pieces."""
 
-    def __init__(self, encode):
+    def __init__(self, model):
         super().__init__()
-        self._encode = encode
+        self.model = model
+        self.plain: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        self[unit] = ids = self._encode(" " + unit)
+        pieces = _PIECE.findall(" " + unit)
+        self[unit] = ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece[1:2].isalnum():
+            return self[piece[1:]]
+        if piece not in self.plain:
+            if len(self.plain) > REMEMBER:
+                self.plain.clear()
+            self.plain[piece] = self._piece(piece)
+        return self.plain[piece]
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_TABLE))])
+
+    def unit(self, unit: str) -> bytes:
+        """The ids of a unit at the start of a text."""
+        return b"".join(map(self.piece, _PIECE.findall(unit)))
+
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; tasks of one worker share it."""
@@ -52,14 +70,7 @@ class Encoder:
         about = json.loads(self.tokenizer.to_str())
         first = about.get("pre_tokenizer") or {}
         self.by_unit = about["model"]["type"] == "BPE" and not about.get("normalizer") and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
-        self.model = self.tokenizer.model
-        self.units = _Units(self._unit)
-
-    def _unit(self, unit: str) -> bytes:
-        ids: list[int] = []
-        for piece in _PIECE.findall(unit):
-            ids += [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_TABLE))]
-        return np.array(ids, "<u4").tobytes()
+        self.units = _Units(self.tokenizer.model)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text, as little-endian unsigned 32-bit integers. Null: none."""
@@ -71,4 +82,4 @@ class Encoder:
         known = self.units
         if len(known) > REMEMBER:
             known.clear()
-        return self._unit(first) + b"".join(map(known.__getitem__, rest))
+        return known.unit(first) + b"".join(map(known.__getitem__, rest))
