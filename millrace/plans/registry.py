@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES: list[str] = []
+MODULES: list[str] = ["engagement_queries"]
 FLAGSHIP = "engagement_open_rate_rank"
 
 

@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, m
         SparkSession.builder.master(f"local[{cores}]")
         .appName("millrace")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
