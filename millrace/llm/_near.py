@@ -52,14 +52,17 @@ def band_hashes(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -
 
 
 def buckets_of(bands: DataFrame, node: str = "node") -> DataFrame:
-    """(bucket, node) for buckets with two nodes at least, without buckets that hold just the nodes of another.
+    """(bucket, node, leader, n) for buckets with two nodes at least, without buckets that hold just the nodes of another.
 
-    bands: (node, bands array<long>), one row for each node.
+    bands: (node, bands array<long>), one row for each node. Counting buckets moves their hashes alone; only the few
+    buckets with more than one node meet their rows again.
     """
     rows = bands.select(node, F.explode("bands").alias("bucket"))
-    sets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(node).cast("decimal(38,0)")).alias("s"), F.min(node).alias("leader"))
-    chosen = sets.filter("n > 1").groupBy("n", "s", "leader").agg(F.min("bucket").alias("bucket"))
-    return written(rows.join(chosen.select("bucket", "leader", "n"), "bucket"), "buckets")
+    counts = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "counts")
+    shared = written(rows.join(sized_broadcast(counts, 32), "bucket"), "shared")
+    sets = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(node).cast("decimal(38,0)")).alias("s"), F.min(node).alias("leader"))
+    chosen = sets.groupBy("n", "s", "leader").agg(F.min("bucket").alias("bucket"))
+    return written(shared.join(chosen.select("bucket", "leader", "n"), "bucket"), "buckets")
 
 
 def jaccard(a: str, b: str) -> F.Column:

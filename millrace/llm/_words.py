@@ -109,8 +109,8 @@ def shingles(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < n))
     if not len(short):
         return hashes, bounds
-    extra = [mix((found.hashes[a:b] * places(b - a)).sum(dtype=np.uint64) + np.uint64(b - a)) for a, b in zip(found.bounds[short], found.bounds[short + 1], strict=True)]
-    new = np.insert(hashes, bounds[short], np.array(extra, np.uint64))
+    sums = [(found.hashes[a:b] * places(b - a)).sum(dtype=np.uint64) for a, b in zip(found.bounds[short], found.bounds[short + 1], strict=True)]
+    new = np.insert(hashes, bounds[short], mix(np.array(sums, np.uint64) + counts[short].astype(np.uint64)))
     grown = np.zeros(len(counts), np.int64)
     grown[short] = 1
     return new, bounds + np.concatenate([[0], np.cumsum(grown)])

@@ -17,7 +17,8 @@ from ._near import band_hashes, buckets_of, choose_bands, components, links
 from ._shared import row_ids, sized_broadcast, table, written
 from ._words import Words, mix, shingles
 
-CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.995, 24
+#: Runs of 8 characters: shorter ones recur in most lines of a language, and make most lines candidates.
+CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 8, 0.8, 0.994, 40
 #: Lines are handled in runs of about this many characters.
 RUN = 1 << 20
 
@@ -40,19 +41,19 @@ def _runs(values: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield start, values[start:]
 
 
-def _node(rid: F.Column, pos: F.Column) -> F.Column:
-    return F.concat(F.lpad(F.hex(rid), 16, "0"), F.lpad(F.hex(pos), 8, "0"))
-
-
-def _occurrences(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, key, bands) for each line that is not blank; node tells document and place."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, pos, key, line) for each line that is not blank; key stands for the line, trimmed and in lower case."""
     lines = docs.select("rid", "doc_id", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
     norm = F.lower(F.trim("line"))
-    lines = lines.filter(norm != "").select("doc_id", _node(F.col("rid"), F.col("pos")).alias("node"), F.unhex(F.md5(norm.cast("binary"))).alias("key"), "line")
+    return lines.filter(norm != "").select("doc_id", "rid", "pos", F.unhex(F.md5(norm.cast("binary"))).alias("key"), "line")
+
+
+def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(doc_id, rid, pos, key, bands) for each line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, values in _runs(batch.column(3).to_pylist()):
+            for start, values in _runs(batch.column(4).to_pylist()):
                 hashes, bounds = line_shingles(values)
                 some = np.flatnonzero(np.diff(bounds))
                 if not len(some):
@@ -60,34 +61,27 @@ def _occurrences(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 made = band_hashes(hashes, np.append(bounds[some], bounds[-1]), bands, rows).view(np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(made.ravel()))
                 at = pa.array(some + start)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), listed], names=["doc_id", "node", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), listed], names=["doc_id", "rid", "pos", "key", "bands"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return lines.mapInArrow(run, f"doc_id {kind}, node string, key binary, bands array<long>")
-
-
-def _rid(node: str = "node") -> F.Column:
-    return F.conv(F.substring(node, 1, 16), 16, 10).cast("long")
-
-
-def _pos(node: str = "node") -> F.Column:
-    return F.conv(F.substring(node, 17, 8), 16, 10).cast("int")
+    return _lines(docs).mapInArrow(run, f"doc_id {kind}, rid long, pos int, key binary, bands array<long>")
 
 
-def _sets(docs: DataFrame):
+def _sets(docs: DataFrame, lines: DataFrame):
     def of(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.groupBy(_rid().alias("rid")).agg(F.collect_list(_pos()).alias("places"))
-        wanted = sized_broadcast(written(wanted, "wanted"), 64)
+        places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(nodes, 32), "node")
+        wanted = written(places.groupBy("rid").agg(F.collect_list(F.struct("pos", "node")).alias("places")), "wanted")
+        wanted = sized_broadcast(wanted, 128)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for rid, body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    lines = body.split("\n")
-                    hashes, bounds = line_shingles([lines[p] for p in places])
+                for body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    parts = body.split("\n")
+                    hashes, bounds = line_shingles([parts[p["pos"]] for p in places])
                     sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{rid:016X}{p:08X}" for p in places]), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p["node"] for p in places], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
 
-        return docs.select("rid", "_text").join(wanted, "rid").select("rid", "_text", "places").mapInArrow(run, "node string, items array<long>")
+        return docs.select("rid", "_text").join(wanted, "rid").select("_text", "places").mapInArrow(run, "node long, items array<long>")
 
     return of
 
@@ -95,23 +89,22 @@ def _sets(docs: DataFrame):
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(rid, dropped array<int>): places of lines that repeat an earlier one. docs: (rid, doc_id, _text)."""
     bands, rows = choose_bands(threshold, recall, MOST_HASHES)
-    seen = written(_occurrences(docs, bands, rows), "lines")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
-    lines = seen.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    lines = written(lines.withColumn("node", F.col("first.node")), "distinct")
-    roots = components(links(buckets_of(lines), _sets(docs), threshold))
-    found = lines.select("key", "node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = found.groupBy("root").agg(F.min("first").getField("node").alias("kept"), F.sum("copies").alias("n")).filter("n > 1")
-    kept = written(found.join(kept, "root").select("key", "kept"), "kept")
-    repeats = seen.select("key", "node").join(kept, "key").filter("node != kept")
-    return repeats.groupBy(_rid().alias("rid")).agg(F.collect_list(_pos()).alias("dropped"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
+    lines = _signed(docs, bands, rows).groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    lines = row_ids(written(lines, "distinct"), "node")  # a stored table: the ids stay
+    roots = components(links(buckets_of(lines), _sets(docs, lines), threshold))
+    found = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots, 48), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = found.groupBy("root").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).filter("n > 1")
+    kept = written(found.join(kept, "root").select("key", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
+    repeats = _lines(docs).select("rid", "pos", "key").join(kept, "key").filter("rid != kept_rid or pos != kept_pos")
+    return repeats.groupBy("rid").agg(F.collect_list("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with text less its repeated lines, and n_lines, n_dropped (such columns are replaced).
 
     Lines are parted by \\n and compared trimmed and in lower case. Two are similar if the Jaccard similarity of their
-    sets of 5-character runs is the threshold or more (shorter lines: if they are equal); of what similarity connects,
+    sets of 8-character runs is the threshold or more (shorter lines: if they are equal); of what similarity connects,
     the line of the least (doc_id, row, place) stays, null doc_ids last. Blank lines always stay. Null text stays null
     and has no lines; an empty one has one, blank. A repeated row loses all its lines to the first. An empty table
     gives an empty result.

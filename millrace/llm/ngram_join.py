@@ -89,21 +89,20 @@ def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESH
     bands, rows = choose_bands(threshold, recall)
     docs = row_ids(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
     signed = written(_signatures(docs, n, bands, rows), "signatures")
-    nodes = signed.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    nodes = signed.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(order).alias("least"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     sets = _sets(docs, n)
     roots = components(links(buckets_of(nodes), sets, threshold))
     classes = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = classes.groupBy("root").agg(F.count("*").alias("n"), F.sum("copies").alias("class_size"), F.min("least").alias("class_id"))
-    classes = written(classes.join(sizes, "root"), "classes")
+    sizes = classes.groupBy("root").agg(F.count("*").alias("n"), F.sum("copies").alias("class_size"), F.min("least").alias("least_of_class"))
+    classes = written(classes.join(sizes, "root").withColumns({"class_id": F.col("least_of_class.doc_id"), "first_rid": F.col("least_of_class.rid")}), "classes")
     found = classes.withColumn("n_links", F.when(F.col("n") == 2, F.col("class_size") - 1).otherwise(F.col("copies") - 1))
     if count_links:
         counted = _counted(classes.select("root", "node", "copies", "n"), sets, threshold).withColumnRenamed("n_links", "others")
         found = found.join(counted, "node", "left").withColumn("n_links", F.when(F.col("n") > 2, F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(F.col("n_links")))
-    rows = signed.select("rid", "doc_id", "key").join(found.select("key", "root", "class_id", "class_size", "n_links"), "key")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
-    firsts = rows.groupBy("root").agg(F.min(order).getField("rid").alias("first_rid"))
-    rows = rows.join(firsts, "root").withColumn("first", F.col("rid") == F.col("first_rid"))
+    rows = signed.select("rid", "doc_id", "key").join(found.select("key", "class_id", "class_size", "n_links", "first_rid"), "key")
+    rows = rows.withColumn("first", F.col("rid") == F.col("first_rid"))
     alone = docs.select("rid", "doc_id").join(signed.select("rid"), "rid", "left_anti")
     alone = alone.select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return rows.select(*alone.columns).unionByName(alone)
