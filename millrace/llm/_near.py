@@ -9,10 +9,11 @@ largest distance of the leader. What the leader leaves open is compared block by
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,16 +133,32 @@ def paired_blocks(rows: DataFrame, keys: list[str], node: str, size: int = BLOCK
     return dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "n")
 
 
-def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def _measured(pairs: DataFrame, decode: Callable[[list], list[np.ndarray]]) -> DataFrame:
+    """(node, leader, similarity) for pairs with items and leader_items that decode() turns into sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = decode(batch.column(2).to_pylist()), decode(batch.column(3).to_pylist())
+            both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(one, two, strict=True)], np.float64)
+            union = np.array([len(a) + len(b) for a, b in zip(one, two, strict=True)], np.float64) - both
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both / np.maximum(union, 1))], names=["node", "leader", "similarity"])
+
+    kind = dict(pairs.dtypes)["node"]
+    return pairs.select("node", "leader", "items", "leader_items").mapInArrow(run, f"node {kind}, leader {kind}, similarity double")
+
+
+def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float, decode: Callable[[list], list[np.ndarray]] | None = None) -> DataFrame:
     """(a, b), similar pairs that connect every component that similar pairs within buckets make.
 
-    buckets: (bucket, node, leader, n). sets: gives (node, items array<long>, sorted, without repeats) for given nodes.
+    buckets: (bucket, node, leader, n). sets: gives (node, items) for given nodes; items is an array<long> without
+    repeats, or what decode() turns into such arrays: where that is smaller, it is what shuffles carry.
     """
     items = written(sets(buckets.select("node").distinct()), "sets")
     kind = dict(buckets.dtypes)["node"]
     stars = buckets.filter("node != leader").select("node", "leader").distinct()
     stars = stars.join(items, "node").join(items.select(F.col("node").alias("leader"), F.col("items").alias("leader_items")), "leader")
-    stars = written(stars.select("node", "leader", jaccard("items", "leader_items").alias("similarity")), "stars")
+    stars = stars.select("node", "leader", jaccard("items", "leader_items").alias("similarity")) if decode is None else _measured(stars, decode)
+    stars = written(stars, "stars")
     linked = stars.filter(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
     # rows that the leader leaves open; with a row within reach of the leader's own rows, those as well
@@ -163,7 +180,8 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         one, two = group[group.side == 0], group[group.side == 1]
-        hit = similar(list(one["items"]), list(two["items"]), threshold)
+        unpacked = decode or list
+        hit = similar(unpacked(list(one["items"])), unpacked(list(two["items"])), threshold)
         a, b = np.nonzero(hit)
         pairs = [(x, y) for x, y in zip(one.node.to_numpy()[a].tolist(), two.node.to_numpy()[b].tolist(), strict=True) if x != y]
         return pd.DataFrame(_forest(pairs), columns=["a", "b"])

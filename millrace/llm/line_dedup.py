@@ -71,19 +71,15 @@ def _sets(docs: DataFrame, lines: DataFrame):
     def of(nodes: DataFrame) -> DataFrame:
         places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(nodes, 32), "node")
         wanted = written(places.groupBy("rid").agg(F.collect_list(F.struct("pos", "node")).alias("places")), "wanted")
-        wanted = sized_broadcast(wanted, 128)
+        found = docs.select("rid", F.split("_text", "\n").alias("parts")).join(sized_broadcast(wanted, 128), "rid")
+        return found.select("parts", F.explode("places").alias("p")).select("p.node", F.element_at("parts", F.col("p.pos") + 1).alias("items"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    parts = body.split("\n")
-                    hashes, bounds = line_shingles([parts[p["pos"]] for p in places])
-                    sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p["node"] for p in places], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+    return of
 
-        return docs.select("rid", "_text").join(wanted, "rid").select("_text", "places").mapInArrow(run, "node long, items array<long>")
 
-    return of
+def _decoded(lines: list[str]) -> list[np.ndarray]:
+    hashes, bounds = line_shingles(lines)
+    return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -92,7 +88,7 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
     lines = _signed(docs, bands, rows).groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     lines = row_ids(written(lines, "distinct"), "node")  # a stored table: the ids stay
-    roots = components(links(buckets_of(lines), _sets(docs, lines), threshold))
+    roots = components(links(buckets_of(lines), _sets(docs, lines), threshold, _decoded))
     found = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots, 48), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = found.groupBy("root").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).filter("n > 1")
     kept = written(found.join(kept, "root").select("key", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
