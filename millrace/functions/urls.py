@@ -12,27 +12,63 @@ _URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#\s]*)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
 TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid"]
 
 
-def _part(c: Column, n: int) -> Column:
+@dataclass
+class Parts:
+    """A URL taken apart once; every function here takes it in place of the URL."""
+
+    raw: Column
+    ok: Column
+    scheme: Column
+    host: Column
+    path: Column
+    segments: Column
+    query: Column
+
+
+def take_apart(c: Column) -> Column:
+    """The parts of a URL as one struct, to be stored in a column before many predicates ask for them."""
+    return F.struct(c.alias("raw"), parsable(c).alias("ok"), _part(c, 1).alias("scheme"), host(c).alias("host"), path(c).alias("path"), segments(c).alias("segments"), _part(c, 4).alias("query"))
+
+
+def parts_of(name: str) -> Parts:
+    return Parts(*[F.col(f"{name}.{x}") for x in ("raw", "ok", "scheme", "host", "path", "segments", "query")])
+
+
+def _raw(c: Column | Parts) -> Column:
+    return c.raw if isinstance(c, Parts) else c
+
+
+def _part(c: Column | Parts, n: int) -> Column:
+    if isinstance(c, Parts):
+        return {1: c.scheme, 4: c.query}[n]
     return F.regexp_extract(F.trim(c), _URL, n)
 
 
-def parsable(c: Column) -> Column:
+def parsable(c: Column | Parts) -> Column:
+    if isinstance(c, Parts):
+        return c.ok
     return F.coalesce(F.trim(c).rlike(_URL) & (_part(c, 2) != ""), F.lit(False))
 
 
 def host(c: Column) -> Column:
     """Lower-cased, without user, port and a leading www.; null if the URL can't be parsed."""
+    if isinstance(c, Parts):
+        return c.host
     name = F.regexp_replace(F.regexp_replace(F.lower(_part(c, 2)), r"^.*@", ""), r":\d+$", "")
     return F.when(parsable(c), F.regexp_replace(name, r"^www\.", ""))
 
 
 def path(c: Column) -> Column:
     """Lower-cased, without slashes at the end; / for the root."""
+    if isinstance(c, Parts):
+        return c.path
     trimmed = F.regexp_replace(F.lower(_part(c, 3)), r"/+$", "")
     return F.when(parsable(c), F.when(trimmed == "", "/").otherwise(trimmed))
 
 
-def segments(c: Column) -> Column:
+def segments(c: Column | Parts) -> Column:
+    if isinstance(c, Parts):
+        return c.segments
     return F.coalesce(F.filter(F.split(path(c), "/"), lambda s: s != ""), F.array().cast("array<string>"))
 
 
@@ -122,7 +158,7 @@ def _starts(c: Column, prefixes: list[str]) -> Column:
 
 
 def is_unusable_url(c: Column, rules: GateRules = RULES) -> Column:
-    raw = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    raw = F.lower(F.trim(F.coalesce(_raw(c), F.lit(""))))
     index = _is(c, rules.index_paths) & ~((path(c) == "/") & _part(c, 4).rlike(r"[?&]p=[^&]"))
     return raw.isin("", "undefined", "null") | ~parsable(c) | ~F.lower(_part(c, 1)).isin("http", "https") | index | F.coalesce(path(c).endswith(".rss"), F.lit(False)) | _has(c, rules.unusable)
 
@@ -174,7 +210,7 @@ def is_off_site(c: Column, site: Column) -> Column:
 
 
 def is_non_editorial_url(c: Column, site: Column, rules: GateRules = RULES) -> Column:
-    off = F.coalesce(site != "", F.lit(False)) & is_off_site(c, site)
+    off = F.coalesce(_raw(site) != "", F.lit(False)) & is_off_site(c, site)
     return is_unusable_url(c, rules) | is_listing_url(c, rules) | is_category_index(c) | is_gallery_index(c) | is_shop_host(c) | is_shop_marked_host(c, rules) | off
 
 
@@ -206,7 +242,7 @@ def eligibility_reason(canonical: Column, url: Column, title: Column, excerpt: C
     steps = []
 
     def first(c: Column) -> None:
-        present = F.coalesce(c != "", F.lit(False))
+        present = F.coalesce(_raw(c) != "", F.lit(False))
         for rule, reason in (
             (_is(c, rules.about), "about_page"), (is_corporate_url(c, rules), "corporate"), (_has(c, rules.sponsored), "corporate"),
             (is_shop_host(c) | _leaf(c).isin(*rules.marketplace), "commerce"), (is_commerce_url(c, rules), "commerce"), (is_competition_url(c, rules), "competition"),
@@ -214,19 +250,19 @@ def eligibility_reason(canonical: Column, url: Column, title: Column, excerpt: C
             steps.append((present & rule, reason))
 
     def last(c: Column, even_blank: bool) -> None:
-        blank = F.coalesce(c == "", F.lit(True))
+        blank = F.coalesce(_raw(c) == "", F.lit(True))
         wrong = is_non_editorial_url(c, site, rules)
         why = (
             F.when(is_merch_url(c, rules) | is_shop_host(c) | _leaf(c).isin(*rules.marketplace), "commerce").when(_has(c, rules.sponsored), "corporate")
             .when(is_subscribe_url(c) | is_shop_marked_host(c, rules), "subscription").when(_is(c, rules.about), "about_page").when(is_corporate_url(c, rules), "corporate")
-            .when(F.coalesce(site != "", F.lit(False)) & is_off_site(c, site), "corporate").otherwise("category_page")
+            .when(F.coalesce(_raw(site) != "", F.lit(False)) & is_off_site(c, site), "corporate").otherwise("category_page")
         )
         steps.append((wrong if even_blank else wrong & ~blank, why))
 
     first(canonical)
     first(url)
-    main = F.when(F.coalesce(canonical != "", F.lit(False)), canonical).otherwise(url)
-    hub = (F.size(segments(main)) == 1) & (F.trim(title) != "") & (F.trim(title) == F.trim(excerpt))
+    named = F.coalesce(_raw(canonical) != "", F.lit(False))
+    hub = (F.when(named, F.size(segments(canonical))).otherwise(F.size(segments(url))) == 1) & (F.trim(title) != "") & (F.trim(title) == F.trim(excerpt))
     steps += [
         (copy_text.rlike(r"\bbookazine?s?\b") & copy_text.rlike(r"\bon sale\b|\blimited.?edition\b|\bbuy our\b|\border now\b"), "commerce"),
         (copy_text.rlike(r"\btickets?\b") & copy_text.rlike(r"\bcoupon code\b|\b\d+% off\b|\$\d+ off\b|\bdiscount code\b"), "ticket_sales"),

@@ -20,8 +20,11 @@ def cap_per_source(items: DataFrame, limits: DataFrame | None = None, default: i
 
 def with_gate(articles: DataFrame, rules: ur.GateRules = ur.RULES) -> DataFrame:
     """Adds reason (null: eligible). Needs canonical_url, url, title, excerpt, source_id, source_url, desk_pick."""
-    c = F.col
-    return articles.withColumn("reason", ur.eligibility_reason(c("canonical_url"), c("url"), c("title"), c("excerpt"), c("source_id"), c("source_url"), c("desk_pick"), rules))
+    # each URL is taken apart once; the rules ask for its parts many times
+    taken = {"_canonical": ur.take_apart(F.col("canonical_url")), "_url": ur.take_apart(F.col("url")), "_site": ur.take_apart(F.col("source_url"))}
+    rows = articles.withColumns(taken)
+    reason = ur.eligibility_reason(ur.parts_of("_canonical"), ur.parts_of("_url"), F.col("title"), F.col("excerpt"), F.col("source_id"), ur.parts_of("_site"), F.col("desk_pick"), rules)
+    return rows.withColumn("reason", reason).drop(*taken)
 
 
 def with_source_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
