@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in runs of about this many bytes, so that memory is bounded by one text or this, if larger.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

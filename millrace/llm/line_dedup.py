@@ -20,7 +20,7 @@ from ._words import Words, mix, shingles
 #: Runs of 8 characters: shorter ones recur in most lines of a language, and make most lines candidates.
 CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 8, 0.8, 0.994, 40
 #: Lines are handled in runs of about this many characters.
-RUN = 1 << 20
+RUN = 1 << 17
 
 
 def line_shingles(lines: list[str], n: int = CHARACTERS) -> tuple[np.ndarray, np.ndarray]:
