@@ -22,6 +22,8 @@ from ._words import mix
 
 #: Rows of a block when open rows of one bucket, or members of one component, are compared.
 BLOCK = 256
+#: Rows that a task compares at once, in blocks; and pairs of a block below which sets are compared one by one.
+LOT_ROWS, SMALL = 1024, 64
 #: Columns of a matrix when the sets of two blocks are intersected.
 COLUMNS = 4096
 
@@ -181,17 +183,30 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     as_left = left.filter("open").select("bucket", "node", F.pmod(F.xxhash64("node"), blocks_open).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"), F.lit(0).alias("side"))
     as_right = left.select("bucket", "node", F.explode(F.sequence(F.lit(0), blocks_open - 1)).alias("i"), rights.alias("j"), F.lit(1).alias("side"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        one, two = group[group.side == 0], group[group.side == 1]
-        unpacked = decode or list
-        hit = similar(unpacked(list(one["items"])), unpacked(list(two["items"])), threshold)
-        a, b = np.nonzero(hit)
-        pairs = [(x, y) for x, y in zip(one.node.to_numpy()[a].tolist(), two.node.to_numpy()[b].tolist(), strict=True) if x != y]
+    unpacked = decode or list
+
+    def compare(lot: pd.DataFrame) -> pd.DataFrame:
+        lot = lot.sort_values(["bucket", "i", "j", "side", "node"])
+        nodes, side, content = lot.node.tolist(), lot.side.to_numpy(), unpacked(list(lot["items"]))
+        keys = lot[["bucket", "i", "j"]].to_numpy()
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(lot)]
+        pairs = []
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            middle = start + int((side[start:end] == 0).sum())
+            if (middle - start) * (end - middle) <= SMALL:
+                own = {k: set(content[k].tolist()) for k in range(start, end)}
+                hits = [(x, y) for x in range(start, middle) for y in range(middle, end) if len(own[x] & own[y]) >= threshold * len(own[x] | own[y]) - 1e-6]
+            else:
+                one, two = np.nonzero(similar(content[start:middle], content[middle:end], threshold))
+                hits = zip((one + start).tolist(), (two + middle).tolist(), strict=True)
+            pairs += [(nodes[x], nodes[y]) for x, y in hits if nodes[x] != nodes[y]]
         return pd.DataFrame(_forest(pairs), columns=["a", "b"])
 
-    rest = as_left.unionByName(as_right).join(items, "node")
-    rest = rest.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    # pairs of blocks come in lots of about so many rows: most are small, and a group of Spark's costs more than they do
+    rest = written(as_left.unionByName(as_right), "rest")
+    lots = max(1, rest.count() // LOT_ROWS)
+    rest = rest.join(items, "node").withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots)))
+    rest = rest.groupBy("lot").applyInPandas(compare, f"a {kind}, b {kind}")
     return written(linked.unionByName(rest).distinct(), "links")
 
 
