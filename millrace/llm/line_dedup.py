@@ -17,8 +17,8 @@ from ._near import band_hashes, buckets_of, choose_bands, components, links
 from ._shared import row_ids, sized_broadcast, table, written
 from ._words import Words, mix, shingles
 
-#: Runs of 8 characters: shorter ones recur in most lines of a language, and make most lines candidates.
-CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 8, 0.8, 0.994, 40
+#: Runs of 5 characters recur in most lines of a language; bands of 6 hashes keep chance candidates few, and 18 of them the recall.
+CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.995, 108
 #: Lines are handled in runs of about this many characters.
 RUN = 1 << 17
 
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     """docs with text less its repeated lines, and n_lines, n_dropped (such columns are replaced).
 
     Lines are parted by \\n and compared trimmed and in lower case. Two are similar if the Jaccard similarity of their
-    sets of 8-character runs is the threshold or more (shorter lines: if they are equal); of what similarity connects,
+    sets of 5-character runs is the threshold or more (shorter lines: if they are equal); of what similarity connects,
     the line of the least (doc_id, row, place) stays, null doc_ids last. Blank lines always stay. Null text stays null
     and has no lines; an empty one has one, blank. A repeated row loses all its lines to the first. An empty table
     gives an empty result.

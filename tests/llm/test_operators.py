@@ -168,6 +168,15 @@ def test_url_rules_and_graph(spark):
     assert uf.judge(pages.filter("false"), rules).count() == 0
 
 
+def test_line_dedup_joins_lines_with_one_changed_character(spark):
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 58)) for _ in range(40)]
+    lines = ["x" + line + "y" for line in lines]
+    texts = ["\n".join(lines), "\n".join(line[:30] + "#" + line[31:] for line in lines)]  # J = (60 - 9) / (60 + 1) on runs of 5
+    got = {r.doc_id: r.n_dropped for r in ld.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 40}
+
+
 def test_pagerank_against_power_iteration(spark):
     edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "c", 2.0), ("c", "d", 1.0)]
     got = {r["node"]: r["rank"] for r in uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 2.0)], "node string, mass double"), rounds=12, tolerance=0).collect()}
