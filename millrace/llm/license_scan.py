@@ -1,12 +1,12 @@
 """Operator 10: licence notices by a positional index of rare words.
 
-Words of licence templates are counted over the whole corpus. A file's rarest licence words vote for a template and
-the place where it would start; where votes of several words agree, the template's key phrase is looked for there.
+Words of licence templates are counted over the whole corpus. Of each template, the rarest word of a key phrase is looked
+up wherever it occurs in a file; where the phrase stands there, the template's words vote for the place where it starts.
+What else a file holds, or how long it is, makes no difference to a template.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,6 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
 ]
 
-#: A template's so many rarest words are indexed; a file's so many rarest licence words are looked up.
-INDEXED_WORDS, LOOKED_UP = 4, 8
 #: Places by which a key phrase may be off its place in the template.
 SLACK = 4
 
@@ -106,39 +104,37 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     idf = np.array([np.log((n_docs + 1) / (seen.get(i, 0) + 1)) for i in range(len(vocabulary.hashes))])
     rules = [(label, vocabulary.text(p)) for p, label in phrases.items()]
     forms = [(label, vocabulary.text(notice), [vocabulary.text(p) for p in keys]) for label, notice, keys in templates]
-    index: set[int] = set()
-    postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, (_, notice, _) in enumerate(forms):
-        index |= set(sorted(set(notice.tolist()), key=lambda w: (-idf[w], w))[:INDEXED_WORDS])
-        for at, w in enumerate(notice.tolist()):
-            postings[w].append((k, at))
+    forms = [(label, notice, [key for key in keys if len(key)]) for label, notice, keys in forms if len(notice)]
+    # where to look a template up: by the key phrase with the rarest word; without key phrases, by any of its words
+    anchors = [max(keys, key=lambda key: idf[key].max(), default=None) for _, _, keys in forms]
     indexed = np.zeros(len(vocabulary.hashes) + 1, bool)
-    indexed[list(index)] = True
+    for (_, notice, _), anchor in zip(forms, anchors, strict=True):
+        indexed[notice if anchor is None else anchor[idf[anchor].argmax()]] = True
+
+    def starts(ids: np.ndarray, hits: np.ndarray, notice: np.ndarray, anchor: np.ndarray | None) -> np.ndarray:
+        """The places where a template may start."""
+        if anchor is None:
+            return np.unique(np.concatenate([hits[ids[hits] == w] - at for at, w in enumerate(notice)]))
+        rarest = int(idf[anchor].argmax())
+        at = hits[ids[hits] == anchor[rarest]] - rarest
+        at = at[(at >= 0) & (at + len(anchor) <= len(ids))]
+        for k, w in enumerate(anchor):
+            at = at[ids[at + k] == w]
+        return np.unique(at[:, None] - _index(notice, anchor) + np.arange(-SLACK, SLACK + 1))
 
     def match(ids: np.ndarray) -> list[dict]:
         """The templates of one text, given the numbers of its words."""
-        hits = np.flatnonzero(ids >= 0)
-        rare = sorted(set(ids[hits].tolist()), key=lambda w: (-idf[w], w))[:LOOKED_UP]
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for w in rare:
-            places = hits[ids[hits] == w].tolist()
-            for k, at in postings.get(w, ()):
-                for place in places:
-                    votes[k, place - at] += 1
-        found: dict[tuple[str, int], float] = {}
-        for (k, start), n in votes.items():
-            label, notice, keys = forms[k]
-            if n < min(2, len(notice)):
-                continue
-            if not all(_near(ids, key, start + _index(notice, key)) for key in keys):
-                continue
-            span = np.arange(len(notice)) + start
-            inside = (span >= 0) & (span < len(ids))
-            score = float((ids[span[inside]] == notice[inside]).sum() / len(notice))
-            found[label, max(start, 0)] = max(score, found.get((label, max(start, 0)), 0.0))
+        hits = np.flatnonzero(indexed[ids])
         best: dict[str, tuple[float, int]] = {}
-        for (label, start), score in found.items():
-            best[label] = max(best.get(label, (-1.0, 0)), (score, -start))
+        for (label, notice, keys), anchor in zip(forms, anchors, strict=True):
+            for start in starts(ids, hits, notice, anchor).tolist():
+                low, high = max(start, 0), min(start + len(notice), len(ids))
+                votes = int((ids[low:high] == notice[low - start : high - start]).sum()) if low < high else 0
+                if votes < min(2, len(notice)):
+                    continue
+                # what is looked up by the anchor has it near already
+                if all(key is anchor or _near(ids, key, start + _index(notice, key)) for key in keys):
+                    best[label] = max(best.get(label, (-1.0, 0)), (votes / len(notice), -low))
         return [{"label": label, "start": -start, "score": score} for label, (score, start) in sorted(best.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -288,3 +288,12 @@ def test_license_scan_against_brute_force(docs, none):
         assert got[k].n_words == len(w) and sorted((x.label, x.start) for x in got[k].places) == sorted(want)
     assert [(m.label, m.start, m.score) for m in got[15].matches] == [("apache-2.0", 0, 1.0)] and got[0].matches == []
     assert ls.scan(none).count() == 0
+
+
+def test_license_scan_finds_each_of_many_notices(spark):
+    notices = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "released under the MIT license", "licensed under CC BY NC 4.0", "licensed under the Apache License, Version 2.0", "This work is licensed under the GNU General Public License version 3"]
+    every = " ".join(w for t in ls.TEMPLATES for w in t[1].split()[::-1])  # all licence words, but no phrase
+    texts = ["; ".join(notices), (every + " x ") * 2000 + "; ".join(notices[1:3]), "permission is hereby granted free of charge", *notices[1:3] * 20]
+    got = {r.doc_id: {m.label: m.score for m in r.matches} for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == dict.fromkeys(["apache-2.0", "bsd", "cc-by-nc", "gpl", "mit"], 1.0)
+    assert got[1] == {"cc-by-nc": 1.0, "mit": 1.0} and set(got[2]) == {"mit"}
