@@ -1,12 +1,14 @@
 """Words and hashed n-grams of whole Arrow batches of texts, by array operations on their UTF-8 bytes.
 
-A word is a run of ASCII letters (lower-cased), ASCII digits and characters from U+0080 on. As every byte of a
-multi-byte character is 0x80 or more, this holds on bytes as it does on characters.
+To words(), a word is a run of ASCII letters (lower-cased), ASCII digits and characters from U+0080 on. As every byte of
+a multi-byte character is 0x80 or more, this holds on bytes as it does on characters. unicode_words() first brings
+other characters into a form in which that rule gives runs of letters and digits of any script, in any case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,10 +84,52 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(bounds, mix(np.add.reduceat(_BYTE[kept] * places(int(lengths.max()))[place], at)))
 
 
-def text_words(text: str | None) -> np.ndarray:
+#: Scripts written without blanks, whose characters are words one by one: Thai and Lao, Burmese, Khmer, kana, Han.
+ALONE = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+class _Characters(dict):
+    """For str.translate: letters, marks and digits stay, invisible characters go, all others part words."""
+
+    def __missing__(self, point: int) -> str:
+        char = chr(point)
+        kind = unicodedata.category(char)
+        if point < 128:
+            self[point] = char
+        elif kind[0] in "LMN":
+            self[point] = f" {char} " if any(a <= point <= b for a, b in ALONE) else char
+        else:
+            self[point] = "" if kind == "Cf" and point != 0x200B else " "
+        return self[point]
+
+
+_CHARACTERS = _Characters()
+
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts, of which those with other than ASCII characters are folded."""
+    wide = np.concatenate([[0], np.cumsum(data >= 128)])
+    if not wide[-1]:
+        return data, offsets
+    raw, parts = data.tobytes(), []
+    for start, end, odd in zip(offsets[:-1].tolist(), offsets[1:].tolist(), np.diff(wide[offsets]).tolist(), strict=True):
+        part = raw[start:end]
+        if odd:
+            text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", part.decode("utf-8", "replace")).casefold())
+            part = text.translate(_CHARACTERS).encode("utf-8")
+        parts.append(part)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
+
+def unicode_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """As words(); but a word is a run of letters, marks and digits by Unicode category, in any case, or a character of ALONE."""
+    return words(*_folded(data, offsets))
+
+
+def text_words(text: str | None, split: Callable[[np.ndarray, np.ndarray], Words] = words) -> np.ndarray:
     """The word hashes of one text."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return words(data, np.array([0, len(data)])).hashes
+    return split(data, np.array([0, len(data)])).hashes
 
 
 def windows(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_BYTES, row_ids, sized_broadcast, table, written
-from ._words import chunks, mix, places, text_words, windows, words
+from ._words import chunks, mix, places, text_words, unicode_words, windows
 
 #: Words of a seed, and of the shortest tile.
 MIN_MATCH = 5
@@ -83,7 +83,7 @@ def seed_table(items: DataFrame, min_match: int, text: str, item_id: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
-                hashes, bounds = windows(words(data, offsets), min_match)
+                hashes, bounds = windows(unicode_words(data, offsets), min_match)
                 ids = np.repeat(np.arange(first, first + len(bounds) - 1), np.diff(bounds))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(hashes.view(np.int64))], names=["item_id", "seed"])
 
@@ -98,7 +98,7 @@ def _seeded_by_filter(docs: DataFrame, seeds: np.ndarray, min_match: int) -> Dat
         sorted_seeds = known.value
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
-                hashes, bounds = windows(words(data, offsets), min_match)
+                hashes, bounds = windows(unicode_words(data, offsets), min_match)
                 at = np.minimum(np.searchsorted(sorted_seeds, hashes), len(sorted_seeds) - 1)
                 hits = np.flatnonzero(sorted_seeds[at] == hashes)
                 owner = np.searchsorted(bounds, hits, "right") - 1 + first
@@ -114,7 +114,7 @@ def _seeded_by_shuffle(docs: DataFrame, min_match: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
-                hashes, bounds = windows(words(data, offsets), min_match)
+                hashes, bounds = windows(unicode_words(data, offsets), min_match)
                 owner = np.repeat(np.arange(first, first + len(bounds) - 1), np.diff(bounds))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(hashes.view(np.int64))], names=["rid", "seed"])
 
@@ -124,7 +124,7 @@ def _seeded_by_shuffle(docs: DataFrame, min_match: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs with enough coverage: rid, doc_id, item_id, item_words, covered, coverage, tiles (item_start, doc_start, words).
 
-    Words are runs of letters and digits, in any case. Items with fewer than min_match words are never matched; nor
+    Words are runs of letters and digits, in any case; Han, kana and the like count character by character. Items with fewer than min_match words are never matched; nor
     are null or empty texts. Repeated rows, of documents or items, are matched each. Empty tables give no rows.
     Seeds go to every task only while their counted size is under broadcast_bytes; else both sides are shuffled.
     """
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, cover
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                item, body = text_words(row["item_text"]), text_words(row["_text"])
+                item, body = text_words(row["item_text"], unicode_words), text_words(row["_text"], unicode_words)
                 at, near = near_seeds(item, body, min_match)
                 found = tiles(item, near, min_match)
                 covered = sum(n for _, _, n in found)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ._near import band_hashes, buckets_of, choose_bands, components, links, paired_blocks, similar
 from ._shared import row_ids, sized_broadcast, table, written
-from ._words import chunks, shingles, words
+from ._words import chunks, shingles, unicode_words
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 
@@ -27,7 +27,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in chunks(batch.column(3)):
-                hashes, bounds = shingles(words(data, offsets), n)
+                hashes, bounds = shingles(unicode_words(data, offsets), n)
                 some = np.flatnonzero(np.diff(bounds))
                 if not len(some):
                     continue
@@ -45,7 +45,7 @@ def _sets(docs: DataFrame, n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, data, offsets in chunks(batch.column(1)):
-                    hashes, bounds = shingles(words(data, offsets), n)
+                    hashes, bounds = shingles(unicode_words(data, offsets), n)
                     sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     ends = np.cumsum([0, *map(len, sets)])
                     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
@@ -80,7 +80,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESH
     """One row per document: rid, doc_id, class_id, class_size, n_links, first.
 
     Two documents are linked if the Jaccard similarity of their sets of n-word runs (any case; letters and digits
-    only) is the threshold or more; a class is what links connect. A document with fewer words has one set element,
+    only; Han, kana and the like character by character) is the threshold or more; a class is what links connect. A document with fewer words has one set element,
     all of them. class_id: the least doc_id of the class; first: whether the row is its least (doc_id, rid).
     n_links: how many other documents are linked to this one (not counted unless count_links). rid: row_ids(docs).
     Null, empty and wordless texts are linked to nothing, not even each other. Repeated rows are copies. Null

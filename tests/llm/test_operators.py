@@ -297,3 +297,17 @@ def test_license_scan_finds_each_of_many_notices(spark):
     got = {r.doc_id: {m.label: m.score for m in r.matches} for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == dict.fromkeys(["apache-2.0", "bsd", "cc-by-nc", "gpl", "mit"], 1.0)
     assert got[1] == {"cc-by-nc": 1.0, "mit": 1.0} and set(got[2]) == {"mit"}
+
+
+FRENCH = "l’été dernier à Étretat — où les élèves de l’école déjà fermée s’étaient réunis près de l’église — on a dîné à côté du château"
+CHINESE = "从前有一座山山上有一座庙庙里有一个老和尚在给小和尚讲故事他说今天的天气真好我们应该去河边走一走看看那些新开的花"
+
+
+def test_words_of_any_script_and_case(spark):
+    typewriter = FRENCH.replace("’", "'").replace(" — ", " - ").upper()
+    texts = [FRENCH, typewriter, CHINESE, CHINESE[:-1] + "草", CHINESE[:2] + "。" + CHINESE[2:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nj.similar_documents(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2}
+    bench = spark.createDataFrame([(1, FRENCH), (2, CHINESE[5:40])], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        assert {(r.doc_id, r.item_id) for r in dc.matches(docs, bench, broadcast_bytes=limit).collect()} == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2)}
