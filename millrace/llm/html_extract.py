@@ -33,25 +33,80 @@ BOILERPLATE = set("ad ads advert adverts advertisement sponsor sponsored promo b
 
 #: Weight of a tag that no labelled page shows, and the bounds of learned ones.
 UNSEEN, LEAST, MOST = -0.5, -1.5, -0.2
+#: Weight of either end of an element of which only a part of a class or id (as in has-sidebar) is among the names.
+PARTLY = -30.0
 
 
-def _marked(attributes: str, names: set[str]) -> bool:
+def _marked(attributes: str, names: set[str]) -> tuple[bool, bool]:
+    """Whether a whole class, id or role is among the names, and whether a part of a class or id is."""
+    partly = False
     for kind, *values in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[\s]+", "".join(values).lower())
-        for word in words:
-            if word in names or (kind.lower() != "role" and any(x in names for x in re.split(r"[-_]+", word))):
-                return True
-    return False
+        for word in "".join(values).lower().split():
+            if word in names:
+                return True, True
+            partly |= kind.lower() != "role" and any(x in names for x in re.split(r"[-_]+", word))
+    return False, partly
+
+
+def _wrappers(page: str, names: set[str]) -> set[int]:
+    """Where marked elements begin that hold most words of the page, or of its articles: layout, not boilerplate."""
+    stack: list[tuple[str, int, int, int]] = []
+    held: list[tuple[int, int, int]] = []
+    words = main = inside = dropped = at = 0
+
+    def pop() -> str:
+        nonlocal inside, dropped
+        name, start, words_before, main_before = stack.pop()
+        inside -= name in ("article", "main")
+        dropped -= name in DROPPED
+        if start >= 0:
+            held.append((start, words - words_before, main - main_before))
+        return name
+
+    while at < len(page):
+        start = at
+        found = _TOKEN.match(page, at)
+        at = found.end()
+        close, name, attributes, _, text = found.groups()
+        if text is not None:
+            n = 0 if dropped else len(text.split())
+            words += n
+            main += n if inside else 0
+        if name is None:
+            continue
+        name = name.lower()
+        if close:
+            if any(x[0] == name for x in stack):
+                while pop() != name:
+                    pass
+            continue
+        if name not in INLINE and stack and stack[-1][0] == "p":
+            pop()
+        if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
+            continue
+        if name in RAW:
+            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            at = (page.find(">", end.start()) + 1 or len(page)) if end else len(page)
+            continue
+        stack.append((name, start if attributes and _marked(attributes, names)[0] else -1, words, main))
+        dropped += name in DROPPED
+        inside += name in ("article", "main")
+    while stack:
+        pop()
+    return {start for start, n, n_main in held if 2 * n > words or 2 * n_main > main}
 
 
 def items(page: str, names: set[str] = BOILERPLATE, whole: bool = False) -> Iterator[tuple[str, str, bool]]:
     """("text", raw text, main) and ("block" or "tag", name with / if it closes, main); main: in an article, not in a dropped part.
 
-    Dropped parts are left out, unless whole is set; a "break" stands where one begins.
+    Dropped parts are left out, unless whole is set; a "break" stands where one begins. "partly" stands at both ends
+    of a block that is marked in part, unless whole is set.
     """
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
+    wrappers: set[int] | None = None
     dropped = inside = at = 0
     while at < len(page):
+        start = at
         found = _TOKEN.match(page, at)
         at = found.end()
         close, name, attributes, _, text = found.groups()
@@ -64,10 +119,12 @@ def items(page: str, names: set[str] = BOILERPLATE, whole: bool = False) -> Iter
         name = name.lower()
         if close:
             was = inside > 0 and not dropped
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, _, _ in stack):
                 while stack:
-                    n, gone = stack.pop()
+                    n, gone, partly = stack.pop()
                     dropped -= gone
+                    if partly and not dropped and not whole:
+                        yield "partly", n, was
                     inside -= n in ("article", "main")
                     if n == name:
                         break
@@ -75,8 +132,19 @@ def items(page: str, names: set[str] = BOILERPLATE, whole: bool = False) -> Iter
                 yield "tag" if name in INLINE else "block", "/" + name, was
             continue
         if name not in INLINE and stack and stack[-1][0] == "p":
-            dropped -= stack.pop()[1]
-        gone = name in DROPPED or (name not in ("html", "body", "article", "main") and bool(attributes) and _marked(attributes, names))
+            _, gone, partly = stack.pop()
+            dropped -= gone
+            if partly and not dropped and not whole:
+                yield "partly", "p", inside > 0
+        marked, partly = _marked(attributes, names) if attributes and name not in ("html", "body", "article", "main") else (False, False)
+        if marked and name not in VOID and name not in RAW:
+            wrappers = _wrappers(page, names) if wrappers is None else wrappers
+            marked = start not in wrappers
+            partly = False
+        gone = name in DROPPED or marked
+        partly = partly and not gone and name not in INLINE and name not in VOID and name not in RAW
+        if partly and not dropped and not whole:
+            yield "partly", name, inside > 0
         if whole or not dropped and not gone:
             yield "tag" if name in INLINE else "block", name, inside > 0 and not dropped and not gone
         elif not dropped and name not in INLINE:
@@ -89,7 +157,7 @@ def items(page: str, names: set[str] = BOILERPLATE, whole: bool = False) -> Iter
                 yield "text", page[at : end.start() if end else len(page)], inside > 0
             at = (page.find(">", end.start()) + 1 or len(page)) if end else len(page)
             continue
-        stack.append((name, gone))
+        stack.append((name, gone, partly))
         dropped += gone
         inside += name in ("article", "main")
 
@@ -123,6 +191,8 @@ def main_text(page: str | None, weights: dict[str, float], names: set[str] = BOI
             end()
         if kind in ("tag", "block"):
             row.append((weights.get(_tag(value), UNSEEN), None))
+        elif kind == "partly":
+            row.append((PARTLY, None))
     end()
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, (score, _) in enumerate(row):

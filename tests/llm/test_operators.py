@@ -311,3 +311,13 @@ def test_words_of_any_script_and_case(spark):
     bench = spark.createDataFrame([(1, FRENCH), (2, CHINESE[5:40])], "item_id long, text string")
     for limit in (1 << 20, 0):
         assert {(r.doc_id, r.item_id) for r in dc.matches(docs, bench, broadcast_bytes=limit).collect()} == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2)}
+
+
+def test_html_layout_wrappers_stay(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    article, plain = f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"
+    openings = ['class="page has-sidebar"', 'class="content-with-sidebar"', 'class="no-comments"', 'class="related-layout"', 'id="header-and-content"', 'class="social"']
+    pages = [f"<body><div {x}>{inner}<div class=ad>buy now</div></div></body>" for x in openings for inner in (article, plain)]
+    pages.append(f'<body>{article}<div class="comments"><p>me too</p></div><div class="comments-area"><p>and me</p></div></body>')
+    got = [r.text for r in hx.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), weights={}).orderBy("page_id").collect()]
+    assert got == [text] * len(pages)
