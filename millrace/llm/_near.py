@@ -62,7 +62,7 @@ def buckets_of(bands: DataFrame, node: str = "node") -> DataFrame:
     """
     rows = bands.select(node, F.explode("bands").alias("bucket"))
     counts = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "counts")
-    shared = written(rows.join(sized_broadcast(counts, 32), "bucket"), "shared")
+    shared = written(rows.join(sized_broadcast(counts), "bucket"), "shared")
     sets = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(node).cast("decimal(38,0)")).alias("s"), F.min(node).alias("leader"))
     chosen = sets.groupBy("n", "s", "leader").agg(F.min("bucket").alias("bucket"))
     return written(shared.join(chosen.select("bucket", "leader", "n"), "bucket"), "buckets")
@@ -169,14 +169,14 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     open_ = judged.filter(F.col("similarity") < threshold)
     states = open_.groupBy("bucket").agg(F.count("*").alias("open"), F.max("similarity").alias("nearest"))
     states = states.filter((F.col("open") > 1) | (F.col("nearest") >= reach))
-    left = judged.join(sized_broadcast(states, 64), "bucket").filter((F.col("similarity") < threshold) | (F.col("nearest") >= reach))
+    left = judged.join(sized_broadcast(states), "bucket").filter((F.col("similarity") < threshold) | (F.col("nearest") >= reach))
     # what the leaders' links connect already needs no further comparing, nor do two buckets with the same open rows
     joined = components(linked).withColumnRenamed("root", "known")
-    left = left.join(sized_broadcast(joined, 48), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    left = left.join(sized_broadcast(joined), "node", "left").withColumn("known", F.coalesce("known", "node"))
     left = written(left.select("bucket", "node", "known", (F.col("similarity") < threshold).alias("open")), "open")
     counted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open"), F.sum(F.xxhash64("node", "open").cast("decimal(38,0)")).alias("s"), F.min("known").alias("k1"), F.max("known").alias("k2"))
     counted = counted.filter("n > 1 and k1 != k2").groupBy("n", "n_open", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "n_open")
-    left = left.join(sized_broadcast(counted, 64), "bucket").drop("known")
+    left = left.join(sized_broadcast(counted), "bucket").drop("known")
     # open rows meet all; rows of the leader meet open ones only
     blocks_open, blocks_all = F.ceil(F.col("n_open") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     rights = F.pmod(F.xxhash64("node"), blocks_all).cast("int")

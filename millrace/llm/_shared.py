@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: A side is broadcast only when its counted rows, times its stated row size, stay under this.
+#: A side is broadcast only if its measured size is under this.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder. Only a session without that setting gets a local one."""
+    """A new folder under the cluster's shared checkpoint folder. Only a local session without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
@@ -34,10 +37,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
-    """A long that tells repeated rows apart. docs must be a deterministic plan, such as a table scan."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """docs with a long that tells repeated rows apart. The rows are written with it once, so every later job reads the same."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows are small; otherwise as it is, and Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def scan_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """As row_ids(), but without writing the rows. docs must be a plain scan of Parquet files: filters and selections at most.
+
+    The id is the number of the row's file and its place in that file, which no split of the files changes. The list of
+    files goes to every task while it is small; beyond that, the rows are written.
+    """
+    file = F.col("_metadata.file_path")
+    found = docs.select(file.alias("_file")).distinct()
+    files = written(found.repartition(1).withColumn("_number", F.monotonically_increasing_id()), "files")
+    if _bytes(files) > BROADCAST_BYTES:
+        return row_ids(docs, name)
+    numbered = docs.withColumns({"_file": file, name: F.col("_metadata.row_index")}).join(F.broadcast(files), "_file")
+    return numbered.withColumn(name, F.shiftleft("_number", 40) + F.col(name)).drop("_file", "_number")
+
+
+def _width(column, kind: DataType):
+    """The bytes of a value in memory, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(24)
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)):
+            return F.coalesce(F.aggregate(column, F.lit(32).cast("long"), lambda total, x: total + _width(x, kind.elementType)), F.lit(32))
+        return F.greatest(F.size(column), F.lit(0)) * F.lit(8) + F.lit(32)
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, MapType):
+        return _width(F.map_keys(column), ArrayType(kind.keyType)) + _width(F.map_values(column), ArrayType(kind.valueType))
+    return F.lit(16)
+
+
+def _bytes(df: DataFrame) -> int:
+    widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return df.agg(F.sum(sum(widths, F.lit(16)).cast("long"))).first()[0] or 0
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the measured size of its rows is small; otherwise as it is, and Spark shuffles both sides."""
+    return F.broadcast(df) if _bytes(df) <= limit else df

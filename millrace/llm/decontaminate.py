@@ -142,9 +142,9 @@ def matches(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, cover
     # a tile of k >= min_match words holds k - min_match + 1 >= k / min_match windows of the item, so so many at least are shared
     sizes = seeds.groupBy("iid").agg(F.sum("n").alias("windows"))
     pairs = pairs.groupBy("rid", "iid").agg(F.sum("n").alias("shared"))
-    pairs = written(pairs.join(sized_broadcast(sizes, 16), "iid").filter(F.col("shared") * min_match >= coverage * F.col("windows")).select("rid", "iid"), "pairs")
-    wanted = sized_broadcast(pairs.select("rid").distinct(), 32)
-    texts = docs.join(wanted, "rid").join(pairs, "rid").join(sized_broadcast(items, 4096), "iid")
+    pairs = written(pairs.join(sized_broadcast(sizes), "iid").filter(F.col("shared") * min_match >= coverage * F.col("windows")).select("rid", "iid"), "pairs")
+    wanted = sized_broadcast(pairs.select("rid").distinct())
+    texts = docs.join(wanted, "rid").join(pairs, "rid").join(sized_broadcast(items), "iid")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = lambda id_type: pa.schema([("rid", pa.int64()), ("doc_id", id_type), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered", pa.int64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())])))])
@@ -168,7 +168,7 @@ def matches(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, cover
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
     flagged = written(matches(docs, items, **options).select("rid").distinct(), "flagged")
-    return row_ids(docs, "_rid").join(sized_broadcast(flagged.withColumnRenamed("rid", "_rid"), 32), "_rid", "left_anti").drop("_rid")
+    return row_ids(docs, "_rid").join(sized_broadcast(flagged.withColumnRenamed("rid", "_rid")), "_rid", "left_anti").drop("_rid")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

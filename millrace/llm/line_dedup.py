@@ -69,9 +69,9 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, lines: DataFrame):
     def of(nodes: DataFrame) -> DataFrame:
-        places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(nodes, 32), "node")
+        places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(nodes), "node")
         wanted = written(places.groupBy("rid").agg(F.collect_list(F.struct("pos", "node")).alias("places")), "wanted")
-        found = docs.select("rid", F.split("_text", "\n").alias("parts")).join(sized_broadcast(wanted, 128), "rid")
+        found = docs.select("rid", F.split("_text", "\n").alias("parts")).join(sized_broadcast(wanted), "rid")
         return found.select("parts", F.explode("places").alias("p")).select("p.node", F.element_at("parts", F.col("p.pos") + 1).alias("items"))
 
     return of
@@ -89,7 +89,7 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     lines = _signed(docs, bands, rows).groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     lines = row_ids(written(lines, "distinct"), "node")  # a stored table: the ids stay
     roots = components(links(buckets_of(lines), _sets(docs, lines), threshold, _decoded))
-    found = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots, 48), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = found.groupBy("root").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).filter("n > 1")
     kept = written(found.join(kept, "root").select("key", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
     repeats = _lines(docs).select("rid", "pos", "key").join(kept, "key").filter("rid != kept_rid or pos != kept_pos")
@@ -107,7 +107,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     """
     docs = row_ids(docs.drop(*[c for c in ("n_lines", "n_dropped", "_rid", "_text") if c not in (text, doc_id)]), "_rid")
     dropped = written(dropped_lines(docs.select(F.col("_rid").alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), threshold, recall), "dropped")
-    found = docs.join(sized_broadcast(dropped.withColumnRenamed("rid", "_rid"), 96), "_rid", "left")
+    found = docs.join(sized_broadcast(dropped.withColumnRenamed("rid", "_rid")), "_rid", "left")
     lines = F.split(F.col(text), "\n")
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     return found.withColumns({

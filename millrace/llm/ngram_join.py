@@ -51,7 +51,7 @@ def _sets(docs: DataFrame, n: int):
                     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), listed], names=["node", "items"])
 
-        wanted = sized_broadcast(nodes.withColumnRenamed("node", "rid"), 32)
+        wanted = sized_broadcast(nodes.withColumnRenamed("node", "rid"))
         return docs.select("rid", "_text").join(wanted, "rid").select("rid", "_text").mapInArrow(run, "node long, items array<long>")
 
     return of
@@ -111,7 +111,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESH
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class, the one of the least doc_id."""
     copies = written(similar_documents(docs, count_links=False, **options).filter("not first").select(F.col("rid").alias("_rid")), "copies")
-    return row_ids(docs, "_rid").join(sized_broadcast(copies, 32), "_rid", "left_anti").drop("_rid")
+    return row_ids(docs, "_rid").join(sized_broadcast(copies), "_rid", "left_anti").drop("_rid")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

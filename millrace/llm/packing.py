@@ -123,8 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, tex
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer, task, rows = encoder(tokenizer), _Packer(size, open_windows), TaskContext.get().partitionId(), []
         for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer(coder.encode(body.as_py()), "<u4"), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 packer.add([(doc, 0, ids, len(ids))])
                 if packer.done:
                     rows += _rows(packer.taken(), task, True)

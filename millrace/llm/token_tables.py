@@ -6,7 +6,8 @@ A shard holds documents in ascending key order. Layout:
 
 A block is zstd-compressed entries: varint shared key bytes, varint further key bytes, varint value bytes, the further
 key bytes, the value. The index has each block's first key, place, sizes, entries, tokens and CRC-32. The footer is
-JSON. A lookup asks the Bloom filter, finds the block by binary search in the index and reads that one block.
+JSON. A lookup asks the Bloom filter, finds the block by binary search in the index and reads that one block (and
+further ones only if copies of one document reach into them).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import json
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +38,23 @@ BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-MANIFEST = "path string, task long, shard long, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "path string, task long, shard long, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
 SHARDS_A_GROUP = 4096
 
 
+#: Bytes of a key that stand for the document; the others number its copies.
+DOC_BYTES = 9
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder, by its URI; a plain path is local."""
     return fs.FileSystem.from_uri(path)
 
 
-def doc_key(doc_id: int | None, copy: int = 0) -> bytes:
-    """Bytes that sort as (null first, doc_id, copy)."""
-    number = bytes(9) if doc_id is None else b"\x01" + struct.pack(">Q", doc_id + (1 << 63))
-    return number + struct.pack(">I", copy)
+def doc_key(doc_id: int | None, copy: int | None = None) -> bytes:
+    """Bytes that sort as (null first, doc_id, copy); without a copy, the part that all copies have in common."""
+    number = bytes(DOC_BYTES) if doc_id is None else b"\x01" + struct.pack(">Q", doc_id + (1 << 63))
+    return number if copy is None else number + struct.pack(">Q", copy)
 
 
 def key_doc(key: bytes) -> int | None:
@@ -128,7 +133,7 @@ class ShardWriter:
         bits = max(64, BLOOM_BITS_PER_KEY * len(self.keys) + 7 & ~7)
         bloom = np.zeros(bits, np.uint8)
         if self.keys:
-            bloom[_bloom_places(self.keys, bits).ravel()] = 1
+            bloom[_bloom_places([k[:DOC_BYTES] for k in self.keys], bits).ravel()] = 1
         bloom = np.packbits(bloom).tobytes()
         footer = {"index": [self.at, len(index)], "bloom": [self.at + len(index), len(bloom), bits], "n_docs": len(self.keys), "n_tokens": self.tokens, "id_bytes": self.id_bytes}
         footer = json.dumps(footer).encode()
@@ -149,6 +154,7 @@ class ShardReader:
         self.footer = json.loads(self._read(size - 12 - length, length))
         self.index = json.loads(self._read(*self.footer["index"]))
         self.firsts = [bytes.fromhex(x[0]) for x in self.index]
+        self.flags = None
 
     def _read(self, at: int, size: int) -> bytes:
         self.source.seek(at)
@@ -169,17 +175,22 @@ class ShardReader:
             at += more + size
             yield key, data[at - size : at]
 
-    def may_have(self, key: bytes) -> bool:
+    def may_have(self, doc: bytes) -> bool:
+        """Whether the Bloom filter, read once, admits the document part of a key."""
         at, size, bits = self.footer["bloom"]
-        flags = np.frombuffer(self._read(at, size), np.uint8)
-        places = _bloom_places([key], bits)[0].astype(np.int64)
-        return bool(((flags[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all())
+        if self.flags is None:
+            self.flags = np.frombuffer(self._read(at, size), np.uint8)
+        places = _bloom_places([doc], bits)[0].astype(np.int64)
+        return bool(((self.flags[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all())
 
-    def get(self, key: bytes) -> bytes | None:
-        i = bisect_right(self.firsts, key) - 1
-        if i < 0 or not self.may_have(key):
-            return None
-        return next((v for k, v in self.block(i) if k == key), None)
+    def copies(self, doc: bytes) -> Iterator[bytes]:
+        """The values of all keys that begin with doc, the document part of a key."""
+        if not self.may_have(doc):
+            return
+        for i in range(max(0, bisect_right(self.firsts, doc) - 1), len(self.firsts)):
+            if self.firsts[i][:DOC_BYTES] > doc:
+                return
+            yield from (value for key, value in self.block(i) if key[:DOC_BYTES] == doc)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, text: str = "text", doc_id: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -196,16 +207,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         narrow = coder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16
         store, base = open_store(folder)
         store.create_dir(base)
-        end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], np.uint32)
         made, before, copy, shard, out = [], None, 0, None, None
 
         def finish():
             shard.close()
             out.close()
-            made[-1] |= {"n_docs": len(shard.keys), "n_tokens": shard.tokens, "n_bytes": shard.at}
+            made[-1] |= {"n_docs": len(shard.keys), "n_tokens": shard.tokens, "n_bytes": shard.at, "first_key": shard.keys[0], "last_key": shard.keys[-1]}
 
         for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
                 copy = copy + 1 if made and doc == before else 0
                 before = doc
                 if shard is None or shard.at >= shard_bytes:
@@ -215,8 +226,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                     made.append({"path": f"{folder}/{name}", "task": task, "shard": len(made)})
                     out = store.open_output_stream(f"{base}/{name}")
                     shard = ShardWriter(out, 2 if narrow else 4)
-                ids = coder.encode(body.as_py()) + end
-                shard.add(doc_key(doc, copy), np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
+                shard.add(doc_key(doc, copy), np.append(ids, end).astype("<u2" if narrow else "<u4").tobytes())
         if shard is not None:
             finish()
             yield pa.RecordBatch.from_pylist(made)
@@ -261,21 +271,37 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """The ids of some documents: (doc_id, ids), by Bloom filter, index and one block for each shard that may hold one.
+    """(doc_id, ids) for every copy of the documents asked for, by key ranges, Bloom filter, index and block.
 
-    doc_ids has one column doc_id; it is dealt to every shard, so it should be short. Unknown ids give no row.
+    doc_ids has one column doc_id; repeated ids count once, a null one finds the documents without an id, unknown ones
+    give no row. The key ranges of the tasks that wrote the shards, as many as there were tasks, go to every task of the
+    lookup; ids then meet the shards of their tasks by equality, and only those whose key range holds them are read.
     """
+    spark = manifest.sparkSession
+    tasks = manifest.groupBy("task").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("task").collect()
+    ranges = spark.sparkContext.broadcast(([r.task for r in tasks], [bytes(r.first)[:DOC_BYTES] for r in tasks], [bytes(r.last)[:DOC_BYTES] for r in tasks]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, firsts, lasts = ranges.value
+        for batch in batches:
+            keys = [doc_key(d) for d in batch.column(0).to_pylist()]
+            found = [(numbers[i], key) for key in keys for i in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["task", "key"])
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         store, path = open_store(group.path.iloc[0])
         with store.open_input_file(path) as source:
             shard = ShardReader(source)
             kind = f"<u{shard.footer['id_bytes']}"
-            found = [(int(d), shard.get(doc_key(int(d)))) for d in group.doc_id]
-        return pd.DataFrame([(d, np.frombuffer(v, kind).astype("<u4").tobytes()) for d, v in found if v is not None], columns=["doc_id", "ids"])
-
-    wanted = manifest.select("path", F.lit(1).alias("all")).join(doc_ids.select(F.col("doc_id").cast("long"), F.lit(1).alias("all")).distinct(), "all")
-    return wanted.groupBy("path").applyInPandas(find, "doc_id long, ids binary")
+            found = [(key_doc(bytes(k)), np.frombuffer(v, kind).astype("<u4").tobytes()) for k in sorted(group.key) for v in shard.copies(bytes(k))]
+        return pd.DataFrame(found, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+
+    wanted = doc_ids.select(F.col("doc_id").cast("long")).distinct().mapInArrow(deal, "task long, key binary")
+    doc_part = lambda key: F.substring(key, 1, DOC_BYTES)
+    shards = manifest.select("task", "path", doc_part("first_key").alias("first"), doc_part("last_key").alias("last"))
+    wanted = wanted.join(shards, "task").filter("key between first and last")
+    return wanted.select("path", "key").groupBy("path").applyInPandas(find, "doc_id long, ids binary")
 
 
 def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

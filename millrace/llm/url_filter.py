@@ -36,7 +36,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
     hosts = urls.select("rid", "path", F.explode(suffixes).alias("rule_host"))
     rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
-    fitting = hosts.join(sized_broadcast(rules, 200), "rule_host").filter(F.expr("startswith(path, rule_path)"))
+    fitting = hosts.join(sized_broadcast(rules), "rule_host").filter(F.expr("startswith(path, rule_path)"))
     rule = F.concat("rule_host", "rule_path")
     best = fitting.groupBy("rid").agg(F.min(F.struct(-F.length(rule), rule.alias("rule"), F.when(F.col("verdict") == "block", 0).otherwise(1), F.col("verdict"))).alias("best"))
     return urls.join(best.select("rid", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict")), "rid", "left")

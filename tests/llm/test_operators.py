@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,6 +22,7 @@ from millrace.llm import topk_search as ts
 from millrace.llm import url_filter as uf
 from millrace.llm._near import choose_bands, components, intersections
 from millrace.llm._shared import scratch
+from millrace.llm._tokens import Encoder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -52,7 +54,6 @@ def none(docs):
 
 def ids_of(text, end):
     t = Tokenizer.from_file(pk.default_tokenizer())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -85,11 +86,27 @@ def test_shards_round_trip(spark, docs, none):
     out.sort(key=lambda r: r.start)
     assert [r.doc_id for r in out] == sorted((i for i, _ in TEXTS), key=lambda i: -1 if i is None else i)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:], strict=False)) and out[0].start == 0
-    found = tt.lookup(manifest, spark.createDataFrame([(3,), (999,)], "doc_id long")).collect()
-    assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in found] == [(3, ids_of(OTHER, 2))]
+    asked = [3, 999, None, 11, 3, 0, 14]
+    found = tt.lookup(manifest, spark.createDataFrame([(i,) for i in asked], "doc_id long")).collect()
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in found) == Counter((i, tuple(ids_of(t, 2))) for i, t in TEXTS if i in asked)
+    many = spark.createDataFrame([(i // 40, f"copy {i}") for i in range(200)], "doc_id long, text string")
+    manifest = tt.write_shards(many, scratch(spark, "test"), pk.default_tokenizer(), shard_bytes=100)
+    found = tt.lookup(manifest, spark.createDataFrame([(2,), (4,)], "doc_id long")).collect()
+    assert Counter(r.doc_id for r in found) == {2: 40, 4: 40} and len({bytes(r.ids) for r in found}) == 80
     assert tt.read_shards(tt.write_shards(none, scratch(spark, "test"), pk.default_tokenizer())).count() == 0
 
 
+def test_pieces_are_those_of_the_library():
+    rng, coder = np.random.default_rng(2), Encoder(pk.default_tokenizer())
+    some = ["'", "'s", "'re", "'ll", "s", "t", "re", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "B", "é", "中", "1", "²", "!", "😀", "\u200b", "\x1c", "\x85", "\u0301", "_", "<|endoftext|>", "v", "l", "\ufeff"]
+    texts = ["".join(rng.choice(some, rng.integers(0, 14))) for _ in range(5000)] + ["x <|endoftext|> y", "", None, "long " * 300_000]
+    texts += ["".join(chr(c) for c in rng.integers(0, 0x3000, 20)) for _ in range(2000)]
+    for text, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert [x.tolist() for x in coder.encode(pa.array(["x <|endoftext|> y"]))] == [[87, 220, 50256, 331]]
+    assert list(coder.encode(pa.array([], pa.string()))) == []
+
+
 # -- 1 and 4 ------------------------------------------------------------------------------------------------------------
 def test_bands_and_components(spark):
     bands, rows = choose_bands(0.8, 0.995)
