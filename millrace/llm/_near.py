@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ from ._words import mix
 
 #: Rows of a block when open rows of one bucket, or members of one component, are compared.
 BLOCK = 256
-#: Rows that a task compares at once, in blocks; and pairs of a block below which sets are compared one by one.
-LOT_ROWS, SMALL = 1024, 64
+#: Rows that a task compares at once, in blocks; and likely pairs of a block above which all its sets are intersected at once.
+LOT_ROWS, MANY = 1024, 2000
+#: Places of a set's profile.
+PLACES = 128
 #: Columns of a matrix when the sets of two blocks are intersected.
 COLUMNS = 4096
 
@@ -42,15 +46,15 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 96) -> tupl
 def band_hashes(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A row of band hashes for each set; set i is hashes[bounds[i]:bounds[i + 1]], and must not be empty."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    seeds = mix(np.arange(2 * bands * rows) + 77)
+    factors = mix(np.arange(bands * rows) + 77).astype(np.uint32) | np.uint32(1)
+    product = np.empty_like(short)
     out = np.empty((len(bounds) - 1, bands), np.uint64)
     for band in range(bands):
         total = np.full(len(bounds) - 1, band + 1, np.uint64)
-        for row in range(rows):
-            k = 2 * (band * rows + row)
-            least = np.minimum.reduceat((short ^ np.uint32(seeds[k] >> np.uint64(32))) * np.uint32(seeds[k + 1] & np.uint64(0xFFFFFFFF) | np.uint64(1)), bounds[:-1])
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = total
+        for factor in factors[band * rows : (band + 1) * rows]:
+            np.multiply(short, factor, out=product)  # of hashes, an odd factor makes another order
+            total = (total ^ total >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(product, bounds[:-1])
+        out[:, band] = mix(total)
     return out
 
 
@@ -68,10 +72,54 @@ def buckets_of(bands: DataFrame, node: str = "node") -> DataFrame:
     return written(shared.join(chosen.select("bucket", "leader", "n"), "bucket"), "buckets")
 
 
-def jaccard(a: str, b: str) -> F.Column:
-    """Of two arrays without repeats."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+@dataclass
+class Sets:
+    """Sets one behind the other, each in ascending order without repeats: set i is values[bounds[i]:bounds[i + 1]]."""
+
+    values: np.ndarray
+    bounds: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.bounds[i] : self.bounds[i + 1]]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+
+def listed_sets(lists: pa.Array) -> Sets:
+    """Of arrays of longs without repeats, in ascending order as unsigned integers."""
+    bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    return Sets(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), bounds)
+
+
+def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> Sets:
+    """The sets of the leading 48 bits of hashes; there are fewer than 65536 sets."""
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+    keys = np.sort(owner << np.uint64(48) | hashes >> np.uint64(16))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    return Sets(keys & np.uint64((1 << 48) - 1), np.searchsorted(keys, np.arange(len(bounds), dtype=np.uint64) << np.uint64(48)))
+
+
+def profiles(sets: Sets) -> np.ndarray:
+    """How many elements of each set fall into each of PLACES places; PLACES bytes a set, 255 for more than 254."""
+    owner = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
+    counts = np.bincount(owner * PLACES + (sets.values % np.uint64(PLACES)).astype(np.int64), minlength=len(sets.sizes) * PLACES)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, PLACES)
+
+
+def most_similar(profile_a: np.ndarray, profile_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """An upper bound of the Jaccard similarities of pairs of sets: in a place, no more can be shared than the lesser number."""
+    shared = np.minimum(profile_a, profile_b).sum(axis=1, dtype=np.int64)
+    full = (profile_a == 255).any(axis=1) | (profile_b == 255).any(axis=1)
+    shared = np.minimum(np.where(full, size_a, shared), np.minimum(size_a, size_b))
+    return shared / np.maximum(size_a + size_b - shared, 1)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -135,86 +183,142 @@ def paired_blocks(rows: DataFrame, keys: list[str], node: str, size: int = BLOCK
     return dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "n")
 
 
-def _measured(pairs: DataFrame, decode: Callable[[list], list[np.ndarray]]) -> DataFrame:
-    """(node, leader, similarity) for pairs with items and leader_items that decode() turns into sets."""
+def _with_profiles(items: DataFrame, decode: Callable[[pa.Array], Sets]) -> DataFrame:
+    """Adds size and profile to (node, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), LOT_ROWS):
+                part = batch.slice(start, LOT_ROWS)
+                sets = decode(part.column(1))
+                rows = pa.array([r.tobytes() for r in profiles(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets.sizes.astype(np.int64)), rows], names=["node", "items", "size", "profile"])
+
+    kinds = dict(items.dtypes)
+    return items.select("node", "items").mapInArrow(run, f"node {kinds['node']}, items {kinds['items']}, size long, profile binary")
+
+
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """(node, leader, similarity), an upper bound, for pairs with size and profile, and the same of the leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = decode(batch.column(2).to_pylist()), decode(batch.column(3).to_pylist())
-            both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(one, two, strict=True)], np.float64)
-            union = np.array([len(a) + len(b) for a, b in zip(one, two, strict=True)], np.float64) - both
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both / np.maximum(union, 1))], names=["node", "leader", "similarity"])
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in (3, 5))
+            bound = most_similar(one, two, batch.column(2).to_numpy(), batch.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound)], names=["node", "leader", "similarity"])
+
+    kind = dict(pairs.dtypes)["node"]
+    return pairs.select("node", "leader", "size", "profile", "leader_size", "leader_profile").mapInArrow(run, f"node {kind}, leader {kind}, similarity double")
+
+
+def _measured(pairs: DataFrame, decode: Callable[[pa.Array], Sets]) -> DataFrame:
+    """(node, leader, similarity), exact, for pairs with items and leader_items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), LOT_ROWS):
+                part = batch.slice(start, LOT_ROWS)
+                one, two = decode(part.column(2)), decode(part.column(3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([similarity(one[i], two[i]) for i in range(len(part))], pa.float64())], names=["node", "leader", "similarity"])
 
     kind = dict(pairs.dtypes)["node"]
     return pairs.select("node", "leader", "items", "leader_items").mapInArrow(run, f"node {kind}, leader {kind}, similarity double")
 
 
-def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float, decode: Callable[[list], list[np.ndarray]] | None = None) -> DataFrame:
+def _similar_pairs(nodes: list, blocks: list[tuple[int, int, int]], sets: Sets, rows: np.ndarray, threshold: float) -> list[tuple]:
+    """Similar pairs that connect what similar pairs of the blocks connect. A block (start, middle, end) compares its first rows with its others."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    sizes = sets.sizes
+    for start, middle, end in blocks:
+        x, y = np.repeat(np.arange(start, middle), end - middle), np.tile(np.arange(middle, end), middle - start)
+        near = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-6
+        x, y = x[near], y[near]
+        near = most_similar(rows[x], rows[y], sizes[x], sizes[y]) >= threshold - 1e-9
+        x, y = x[near], y[near]
+        if exact := len(x) > MANY:
+            near = similar([sets[i] for i in range(start, middle)], [sets[i] for i in range(middle, end)], threshold)[x - start, y - middle]
+            x, y = x[near], y[near]
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(nodes[i]), find(nodes[j])
+            if a != b and (exact or similarity(sets[i], sets[j]) >= threshold - 1e-9):
+                parent[max(a, b)] = min(a, b)
+                found.append((nodes[i], nodes[j]))
+    return found
+
+
+def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float, decode: Callable[[pa.Array], Sets] = listed_sets) -> DataFrame:
     """(a, b), similar pairs that connect every component that similar pairs within buckets make.
 
-    buckets: (bucket, node, leader, n). sets: gives (node, items) for given nodes; items is an array<long> without
-    repeats, or what decode() turns into such arrays: where that is smaller, it is what shuffles carry.
+    buckets: (bucket, node, leader, n). sets: gives (node, items) for given nodes; decode() turns items into sets.
+    Pairs are first judged by the sizes and profiles of their sets, which give an upper bound; only those that may
+    reach the threshold meet in full.
     """
-    items = written(sets(buckets.select("node").distinct()), "sets")
+    items = written(_with_profiles(sets(buckets.select("node").distinct()), decode), "sets")
     kind = dict(buckets.dtypes)["node"]
-    stars = buckets.filter("node != leader").select("node", "leader").distinct()
-    stars = stars.join(items, "node").join(items.select(F.col("node").alias("leader"), F.col("items").alias("leader_items")), "leader")
-    stars = stars.select("node", "leader", jaccard("items", "leader_items").alias("similarity")) if decode is None else _measured(stars, decode)
-    stars = written(stars, "stars")
-    linked = stars.filter(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-
-    # rows that the leader leaves open; with a row within reach of the leader's own rows, those as well
+    small = items.select("node", "size", "profile")
+    pairs = buckets.filter("node != leader").select("node", "leader").distinct()
+    pairs = pairs.join(small, "node").join(small.toDF("leader", "leader_size", "leader_profile"), "leader")
+    bounds = written(_bounded(pairs), "bounds")
+    likely = bounds.filter(F.col("similarity") >= threshold - 1e-9).select("node", "leader")
+    full = items.select("node", "items")
+    exact = written(_measured(likely.join(full, "node").join(full.toDF("leader", "leader_items"), "leader"), decode), "stars")
+    linked = exact.filter(F.col("similarity") >= threshold - 1e-9).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+    # rows that the leader leaves open; with a row that may be within reach of the leader's own rows, those as well
     reach = 1 - 2 * (1 - threshold) - 1e-9
-    judged = buckets.filter("node != leader").join(stars, ["node", "leader"])
-    open_ = judged.filter(F.col("similarity") < threshold)
-    states = open_.groupBy("bucket").agg(F.count("*").alias("open"), F.max("similarity").alias("nearest"))
-    states = states.filter((F.col("open") > 1) | (F.col("nearest") >= reach))
-    left = judged.join(sized_broadcast(states), "bucket").filter((F.col("similarity") < threshold) | (F.col("nearest") >= reach))
+    known = bounds.filter(F.col("similarity") < threshold - 1e-9).unionByName(exact)
+    judged = buckets.filter("node != leader").join(known, ["node", "leader"]).withColumn("open", F.col("similarity") < threshold - 1e-9)
+    states = judged.filter("open").groupBy("bucket").agg(F.count("*").alias("n_open"), F.max("similarity").alias("best"))
+    states = states.filter((F.col("n_open") > 1) | (F.col("best") >= reach)).select("bucket", "best")
+    left = judged.join(sized_broadcast(written(states, "states")), "bucket").filter(F.col("open") | (F.col("best") >= reach))
     # what the leaders' links connect already needs no further comparing, nor do two buckets with the same open rows
-    joined = components(linked).withColumnRenamed("root", "known")
-    left = left.join(sized_broadcast(joined), "node", "left").withColumn("known", F.coalesce("known", "node"))
-    left = written(left.select("bucket", "node", "known", (F.col("similarity") < threshold).alias("open")), "open")
+    joined = written(components(linked), "joined")
+    left = left.join(sized_broadcast(joined.withColumnRenamed("root", "known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    left = written(left.select("bucket", "node", "known", "open"), "open")
     counted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open"), F.sum(F.xxhash64("node", "open").cast("decimal(38,0)")).alias("s"), F.min("known").alias("k1"), F.max("known").alias("k2"))
     counted = counted.filter("n > 1 and k1 != k2").groupBy("n", "n_open", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "n_open")
-    left = left.join(sized_broadcast(counted), "bucket").drop("known")
+    left = left.join(sized_broadcast(written(counted, "counted")), "bucket").drop("known")
     # open rows meet all; rows of the leader meet open ones only
     blocks_open, blocks_all = F.ceil(F.col("n_open") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     rights = F.pmod(F.xxhash64("node"), blocks_all).cast("int")
     as_left = left.filter("open").select("bucket", "node", F.pmod(F.xxhash64("node"), blocks_open).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"), F.lit(0).alias("side"))
     as_right = left.select("bucket", "node", F.explode(F.sequence(F.lit(0), blocks_open - 1)).alias("i"), rights.alias("j"), F.lit(1).alias("side"))
 
-    unpacked = decode or list
-
-    def compare(lot: pd.DataFrame) -> pd.DataFrame:
-        lot = lot.sort_values(["bucket", "i", "j", "side", "node"])
-        nodes, side, content = lot.node.tolist(), lot.side.to_numpy(), unpacked(list(lot["items"]))
-        keys = lot[["bucket", "i", "j"]].to_numpy()
-        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(lot)]
-        pairs = []
-        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-            middle = start + int((side[start:end] == 0).sum())
-            if (middle - start) * (end - middle) <= SMALL:
-                own = {k: set(content[k].tolist()) for k in range(start, end)}
-                hits = [(x, y) for x in range(start, middle) for y in range(middle, end) if len(own[x] & own[y]) >= threshold * len(own[x] | own[y]) - 1e-6]
-            else:
-                one, two = np.nonzero(similar(content[start:middle], content[middle:end], threshold))
-                hits = zip((one + start).tolist(), (two + middle).tolist(), strict=True)
-            pairs += [(nodes[x], nodes[y]) for x, y in hits if nodes[x] != nodes[y]]
-        return pd.DataFrame(_forest(pairs), columns=["a", "b"])
+    def compare(lot: pa.Table) -> pa.Table:
+        lot = lot.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending"), ("node", "ascending")]).combine_chunks()
+        keys = np.stack([lot[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(lot)]
+        lefts = np.append(0, np.cumsum(lot["side"].to_numpy() == 0)).tolist()
+        blocks = [(a, a + lefts[b] - lefts[a], b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        rows = np.frombuffer(b"".join(lot["profile"].to_pylist()), np.uint8).reshape(-1, PLACES)
+        found = _similar_pairs(lot["node"].to_pylist(), blocks, decode(lot["items"].combine_chunks()), rows, threshold)
+        return pa.table({"a": pa.array([p[0] for p in found], lot.schema.field("node").type), "b": pa.array([p[1] for p in found], lot.schema.field("node").type)})
 
     # pairs of blocks come in lots of about so many rows: most are small, and a group of Spark's costs more than they do
     rest = written(as_left.unionByName(as_right), "rest")
     lots = max(1, rest.count() // LOT_ROWS)
     rest = rest.join(items, "node").withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots)))
-    rest = rest.groupBy("lot").applyInPandas(compare, f"a {kind}, b {kind}")
-    return written(linked.unionByName(rest).distinct(), "links")
+    rest = rest.groupBy("lot").applyInArrow(compare, f"a {kind}, b {kind}")
+    return written(joined.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "links")
+
 
+#: Rounds after which components() gives up with an error: far more than any graph of fewer than 2**64 nodes takes.
+MOST_ROUNDS = 200
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the edges (a, b), the least node of its component.
 
-    Distributed union-find: each task joins the edges that it holds into trees; then, round by round, all larger
-    neighbours of a node go to its least one, and all smaller ones too, until every tree is a star.
+    Distributed union-find: each task joins the edges that it holds into trees; then, round by round, nodes are linked
+    to the least neighbour of their parent, and the parents of a node to the least of them, until nothing changes.
     """
     kind = dict(edges.dtypes)["a"]
 
@@ -223,20 +327,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame(_forest(list(zip(frame.a.tolist(), frame.b.tolist(), strict=True))), columns=["a", "b"])
 
-    edges = written(edges.mapInPandas(trees, f"a {kind}, b {kind}"), "trees")
+    # an edge goes from a node a to a smaller one b
+    edges = written(edges.mapInPandas(trees, f"a {kind}, b {kind}").distinct(), "trees")
     before = None
-    for _ in range(rounds):
-        # large star: each neighbour that is larger than a node is linked to the least of the node and its neighbours
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours are linked to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "stars")
+    for _ in range(MOST_ROUNDS):
+        # large star: a node is linked to the least neighbour of each parent, which stays where it has none of its own. A
+        # root with very many nodes has no row in `least`; stored as it is, the join can be dealt anew where keys are hot
+        least = sized_broadcast(written(edges.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "b"))
+        large = written(edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large")
+        # small star: a node and its parents are linked to the least of them
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(sized_broadcast(least), "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

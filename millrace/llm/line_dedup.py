@@ -7,69 +7,75 @@ the exact Jaccard similarity decides, and of each component of similar lines the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._near import band_hashes, buckets_of, choose_bands, components, links
-from ._shared import row_ids, sized_broadcast, table, written
+from ._near import Sets, band_hashes, buckets_of, choose_bands, components, distinct_sets, links
+from ._shared import row_ids, scan_ids, sized_broadcast, table, written
 from ._words import Words, mix, shingles
 
 #: Runs of 5 characters recur in most lines of a language; bands of 6 hashes keep chance candidates few, and 18 of them the recall.
 CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.995, 108
-#: Lines are handled in runs of about this many characters.
-RUN = 1 << 17
+#: Lines are handled in runs of about so many characters, and given out in lots of so many.
+RUN, LOT = 1 << 18, 10_000
+
+
+def normal(line: str) -> str:
+    """The form in which lines are compared."""
+    return line.strip().lower()
 
 
 def line_shingles(lines: list[str], n: int = CHARACTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of n characters of each line, trimmed and in lower case, and their bounds by line."""
-    lines = [line.strip().lower() for line in lines]
+    """Hashes of all runs of n characters of each normal line, and their bounds by line."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     return shingles(Words(np.cumsum([0, *map(len, lines)]), mix(points)), n)
 
 
-def _runs(values: list[str]) -> Iterator[tuple[int, list[str]]]:
+def _runs(values: list[str]) -> Iterator[list[str]]:
     start = size = 0
     for i, value in enumerate(values):
         size += len(value)
         if size >= RUN:
-            yield start, values[start : i + 1]
+            yield values[start : i + 1]
             start, size = i + 1, 0
     if start < len(values):
-        yield start, values[start:]
+        yield values[start:]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, pos, key, line) for each line that is not blank; key stands for the line, trimmed and in lower case."""
-    lines = docs.select("rid", "doc_id", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    norm = F.lower(F.trim("line"))
-    return lines.filter(norm != "").select("doc_id", "rid", "pos", F.unhex(F.md5(norm.cast("binary"))).alias("key"), "line")
+def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
+    """(doc_id, rid, pos, key, bands) for each line that is not blank; key stands for the normal line."""
 
-
-def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, rid, pos, key, bands) for each line that is not blank."""
+    def lot(batch: pa.RecordBatch, lines: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        found = [band_hashes(*line_shingles(run, n), bands, rows) for run in _runs([line for _, _, line in lines])]
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(found).view(np.int64).ravel()))
+        keys = pa.array([blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, line in lines], pa.binary())
+        at = pa.array([row for row, _, _ in lines])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([pos for _, pos, _ in lines], pa.int32()), keys, listed], names=["doc_id", "rid", "pos", "key", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, values in _runs(batch.column(4).to_pylist()):
-                hashes, bounds = line_shingles(values)
-                some = np.flatnonzero(np.diff(bounds))
-                if not len(some):
-                    continue
-                made = band_hashes(hashes, np.append(bounds[some], bounds[-1]), bands, rows).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(made.ravel()))
-                at = pa.array(some + start)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), listed], names=["doc_id", "rid", "pos", "key", "bands"])
+            lines = []
+            for row, text in enumerate(batch.column(2)):
+                for pos, line in enumerate((text.as_py() or "").split("\n")):
+                    if line := normal(line):
+                        lines.append((row, pos, line))
+                if len(lines) >= LOT:
+                    yield lot(batch, lines)
+                    lines = []
+            if lines:
+                yield lot(batch, lines)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return _lines(docs).mapInArrow(run, f"doc_id {kind}, rid long, pos int, key binary, bands array<long>")
+    return docs.select("doc_id", "rid", "_text").mapInArrow(run, f"doc_id {kind}, rid long, pos int, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, lines: DataFrame):
     def of(nodes: DataFrame) -> DataFrame:
-        places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(nodes), "node")
+        places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(written(nodes, "nodes")), "node")
         wanted = written(places.groupBy("rid").agg(F.collect_list(F.struct("pos", "node")).alias("places")), "wanted")
         found = docs.select("rid", F.split("_text", "\n").alias("parts")).join(sized_broadcast(wanted), "rid")
         return found.select("parts", F.explode("places").alias("p")).select("p.node", F.element_at("parts", F.col("p.pos") + 1).alias("items"))
@@ -77,48 +83,74 @@ def _sets(docs: DataFrame, lines: DataFrame):
     return of
 
 
-def _decoded(lines: list[str]) -> list[np.ndarray]:
-    hashes, bounds = line_shingles(lines)
-    return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def _decoder(n: int):
+    def decode(lines: pa.Array) -> Sets:
+        parts = [distinct_sets(*line_shingles(run, n)) for run in _runs([normal(line) for line in lines.to_pylist()])]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(p.sizes for p in parts)])
+        return Sets(np.concatenate([np.zeros(0, np.uint64), *(p.values for p in parts)]), np.append(0, np.cumsum(sizes)))
+
+    return decode
 
 
-def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(rid, dropped array<int>): places of lines that repeat an earlier one. docs: (rid, doc_id, _text)."""
+def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, characters: int = CHARACTERS) -> DataFrame:
+    """(rid, dropped array<int>): places of lines that repeat an earlier one, in ascending order. docs: (rid, doc_id, _text)."""
     bands, rows = choose_bands(threshold, recall, MOST_HASHES)
+    signed = written(_signed(docs, bands, rows, characters), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
-    lines = _signed(docs, bands, rows).groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    lines = row_ids(written(lines, "distinct"), "node")  # a stored table: the ids stay
-    roots = components(links(buckets_of(lines), _sets(docs, lines), threshold, _decoded))
-    found = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = found.groupBy("root").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).filter("n > 1")
-    kept = written(found.join(kept, "root").select("key", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
-    repeats = _lines(docs).select("rid", "pos", "key").join(kept, "key").filter("rid != kept_rid or pos != kept_pos")
-    return repeats.groupBy("rid").agg(F.collect_list("pos").alias("dropped"))
+    lines = signed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    roots = written(components(links(buckets_of(lines), _sets(docs, lines), threshold, _decoder(characters))), "roots")
+    # lines that have copies or similar ones, each with the line that stays for it
+    several = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots), "node", "left").filter("copies > 1 or root is not null")
+    several = written(several.withColumn("root", F.coalesce("root", "node")), "several")
+    kept = several.groupBy("root").agg(F.min("first").alias("kept"))
+    kept = written(several.join(kept, "root").select("key", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
+    repeats = signed.select("rid", "pos", "key").join(sized_broadcast(kept), "key").filter("rid != kept_rid or pos != kept_pos")
+    return repeats.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
+
+
+def _less(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the lines of text at the places in _dropped taken out, and n_lines, n_dropped; without _dropped."""
+    kept = [c for c in docs.columns if c not in ("_dropped", text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, gone = [], [], []
+            for body, places in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
+                body, places = body.as_py(), set(places.as_py() or ())
+                lines = body.split("\n") if body is not None else []
+                texts.append("\n".join([line for at, line in enumerate(lines) if at not in places]) if places else body)
+                counts.append(len(lines))
+                gone.append(len(places))
+            columns = [*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, text, "n_lines", "n_dropped"])
+
+    schema = docs.drop("_dropped").select(*kept, text, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+    return docs.select(*kept, text, "_dropped").mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id", row_id: str | None = None, characters: int = CHARACTERS) -> DataFrame:
     """docs with text less its repeated lines, and n_lines, n_dropped (such columns are replaced).
 
-    Lines are parted by \\n and compared trimmed and in lower case. Two are similar if the Jaccard similarity of their
-    sets of 5-character runs is the threshold or more (shorter lines: if they are equal); of what similarity connects,
-    the line of the least (doc_id, row, place) stays, null doc_ids last. Blank lines always stay. Null text stays null
-    and has no lines; an empty one has one, blank. A repeated row loses all its lines to the first. An empty table
-    gives an empty result.
+    Lines are parted by \n and compared without blanks at their ends, in lower case. Two are similar if the Jaccard
+    similarity of their sets of 5-character runs is the threshold or more (shorter lines: if they are equal); of what
+    similarity connects, the line of the least (doc_id, row, place) stays, null doc_ids last. Blank lines always stay.
+    Null text stays null and has no lines; an empty one has one, blank. A repeated row loses all its lines to the first.
+    An empty table gives an empty result. row_id: a column of docs as scan_ids() makes it; it is kept. Without it, the
+    rows are written once with ids.
     """
-    docs = row_ids(docs.drop(*[c for c in ("n_lines", "n_dropped", "_rid", "_text") if c not in (text, doc_id)]), "_rid")
-    dropped = written(dropped_lines(docs.select(F.col("_rid").alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), threshold, recall), "dropped")
-    found = docs.join(sized_broadcast(dropped.withColumnRenamed("rid", "_rid")), "_rid", "left")
-    lines = F.split(F.col(text), "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    return found.withColumns({
-        "n_lines": F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
-        "n_dropped": F.coalesce(F.when(F.col("dropped").isNotNull(), F.size("dropped")), F.lit(0)).cast("long"),
-        text: F.when(F.col("dropped").isNull(), F.col(text)).otherwise(rest),
-    }).drop("dropped", "_rid")
+    docs = docs.drop(*[c for c in ("n_lines", "n_dropped", "_rid", "_text", "_dropped") if c not in (text, doc_id, row_id)])
+    own = row_id or "_rid"
+    docs = docs if row_id else row_ids(docs, own)
+    columns = [c for c in docs.columns if c != "_rid"]
+    dropped = written(dropped_lines(docs.select(F.col(own).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), threshold, recall, characters), "dropped")
+    found = docs.join(sized_broadcast(dropped.toDF(own, "_dropped")), own, "left")
+    return _less(found, text).select(*columns, "n_lines", "n_dropped")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    docs = scan_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    return dedup_lines(docs, row_id="row").select("doc_id", "n_lines", "n_dropped", "text")
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup}

@@ -140,7 +140,7 @@ def test_ngram_join_against_brute_force(docs, none):
 
 def test_line_dedup_against_brute_force(docs, none):
     order = sorted(((i is None, i or 0, k, at, line) for k, (i, t) in enumerate(TEXTS) if t is not None for at, line in enumerate(t.split("\n"))), key=lambda x: x[:4])
-    runs = lambda s: {s[j : j + 8] for j in range(len(s) - 7)} or {s}
+    runs = lambda s: {s[j : j + 5] for j in range(len(s) - 4)} or {s}
     lines = [(k, at, runs(line.strip().lower())) for _, _, k, at, line in order if line.strip()]
     near = [[len(a[2] & b[2]) >= 0.8 * len(a[2] | b[2]) for b in lines] for a in lines[:1]]
     root = list(range(len(lines)))
