@@ -1,6 +1,9 @@
 """A corpus pipeline over documents: language ID, line dedup, near-duplicate join, decontamination, packing.
 
-Every stage but the last returns the columns of documents. Each is written as Parquet and read again before the next.
+Every stage but the last returns the columns of documents. Each is written as Parquet and read again before the next,
+so a stage's docs are a plain scan. Null texts and texts without a letter have no language and leave in the first stage;
+repeated rows count as copies of each other; columns besides those of documents are carried along by every stage but
+the last; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from millrace.llm._shared import table, written
+from millrace.llm._shared import scan_ids, table, written
 
 #: A document is rejected if its language is unknown or less probable than this.
 LEAST_PROBABILITY = 0.5
@@ -29,19 +32,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that repeat an earlier one, and documents of which nothing but blank lines is left."""
-    found = line_dedup.dedup_lines(docs).filter(F.col("text").rlike(r"\S"))
+    found = line_dedup.dedup_lines(scan_ids(docs, "_row"), row_id="_row").filter(F.col("text").rlike(r"\S"))
     return _with_text(found, docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_first(docs).select(*docs.columns)
+    """Keeps one document of each class of near-duplicates, the one of the least doc_id; texts without words are no duplicates."""
+    return ngram_join.keep_first(scan_ids(docs, "_row"), row_id="_row").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Drops documents that hold most words of a benchmark item; null and empty texts hold none."""
+    return decontaminate.clean(scan_ids(docs, "_row"), table(spark, sf_dir, "benchmark"), row_id="_row").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence of at most 1024 tokens."""
     packed = packing.pack(docs, packing.default_tokenizer())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

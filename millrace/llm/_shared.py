@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -45,12 +46,15 @@ def scan_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
     """As row_ids(), but without writing the rows. docs must be a plain scan of Parquet files: filters and selections at most.
 
     The id is the number of the row's file and its place in that file, which no split of the files changes. The list of
-    files goes to every task while it is small; beyond that, the rows are written.
+    files goes to every task while it is small; beyond that, and where rows come from no file, the rows are written.
     """
     file = F.col("_metadata.file_path")
-    found = docs.select(file.alias("_file")).distinct()
-    files = written(found.repartition(1).withColumn("_number", F.monotonically_increasing_id()), "files")
-    if _bytes(files) > BROADCAST_BYTES:
+    try:
+        found = docs.select(file.alias("_file")).distinct()
+    except AnalysisException:  # no file source
+        return row_ids(docs, name)
+    files = written(found.repartition(1).sortWithinPartitions("_file").withColumn("_number", F.monotonically_increasing_id()), "files")
+    if measured_bytes(files) > BROADCAST_BYTES:
         return row_ids(docs, name)
     numbered = docs.withColumns({"_file": file, name: F.col("_metadata.row_index")}).join(F.broadcast(files), "_file")
     return numbered.withColumn(name, F.shiftleft("_number", 40) + F.col(name)).drop("_file", "_number")
@@ -71,11 +75,12 @@ def _width(column, kind: DataType):
     return F.lit(16)
 
 
-def _bytes(df: DataFrame) -> int:
+def measured_bytes(df: DataFrame) -> int:
+    """The size of the rows in memory, about, by one pass over them."""
     widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     return df.agg(F.sum(sum(widths, F.lit(16)).cast("long"))).first()[0] or 0
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if the measured size of its rows is small; otherwise as it is, and Spark shuffles both sides."""
-    return F.broadcast(df) if _bytes(df) <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df

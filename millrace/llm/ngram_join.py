@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._near import band_hashes, buckets_of, choose_bands, components, links, paired_blocks, similar
-from ._shared import row_ids, sized_broadcast, table, written
+from ._shared import row_ids, scan_ids, sized_broadcast, table, written
 from ._words import chunks, shingles, unicode_words
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -51,7 +51,7 @@ def _sets(docs: DataFrame, n: int):
                     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), listed], names=["node", "items"])
 
-        wanted = sized_broadcast(nodes.withColumnRenamed("node", "rid"))
+        wanted = sized_broadcast(written(nodes.withColumnRenamed("node", "rid"), "wanted"))
         return docs.select("rid", "_text").join(wanted, "rid").select("rid", "_text").mapInArrow(run, "node long, items array<long>")
 
     return of
@@ -76,18 +76,19 @@ def _counted(classes: DataFrame, sets, threshold: float) -> DataFrame:
     return blocks.groupBy("root", "i", "j").applyInPandas(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id", count_links: bool = True) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id", count_links: bool = True, row_id: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, class_id, class_size, n_links, first.
 
     Two documents are linked if the Jaccard similarity of their sets of n-word runs (any case; letters and digits
-    only; Han, kana and the like character by character) is the threshold or more; a class is what links connect. A document with fewer words has one set element,
-    all of them. class_id: the least doc_id of the class; first: whether the row is its least (doc_id, rid).
-    n_links: how many other documents are linked to this one (not counted unless count_links). rid: row_ids(docs).
-    Null, empty and wordless texts are linked to nothing, not even each other. Repeated rows are copies. Null
+    only; Han, kana and the like character by character) is the threshold or more; a class is what links connect. A
+    document with fewer words has one set element, all of them. class_id: the least doc_id of the class; first: whether the row is its least (doc_id, rid).
+    n_links: how many other documents are linked to this one (not counted unless count_links). rid: row_id, a column
+    of docs as scan_ids() makes it; without it, ids and texts are written once. Null, empty and wordless texts are linked to nothing, not even each other. Repeated rows are copies. Null
     doc_ids come last in a class. An empty table gives an empty result.
     """
     bands, rows = choose_bands(threshold, recall)
-    docs = row_ids(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
+    wanted = [F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")]
+    docs = docs.select(*wanted, F.col(row_id).alias("rid")) if row_id else row_ids(docs.select(*wanted))
     signed = written(_signatures(docs, n, bands, rows), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     nodes = signed.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(order).alias("least"), F.first("bands").alias("bands"))
@@ -108,14 +109,18 @@ def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESH
     return rows.select(*alone.columns).unionByName(alone)
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, the one of the least doc_id."""
-    copies = written(similar_documents(docs, count_links=False, **options).filter("not first").select(F.col("rid").alias("_rid")), "copies")
-    return row_ids(docs, "_rid").join(sized_broadcast(copies), "_rid", "left_anti").drop("_rid")
+def keep_first(docs: DataFrame, row_id: str | None = None, **options) -> DataFrame:
+    """docs with one row of each class, the one of the least doc_id. row_id: as for similar_documents(); it is kept."""
+    own = row_id or "_rid"
+    docs = docs if row_id else row_ids(docs, own)
+    copies = written(similar_documents(docs, count_links=False, row_id=own, **options).filter("not first").select(F.col("rid").alias(own)), "copies")
+    kept = docs.join(sized_broadcast(copies), own, "left_anti")
+    return kept if row_id else kept.drop(own)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    docs = scan_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    return similar_documents(docs, row_id="row").select("doc_id", "class_id", "class_size", "n_links")
 
 
 QUERIES = {"op4_ngram_join": op4_ngram_join}
