@@ -3,46 +3,66 @@
 Vectors are quantised to integers and stored, block by block, as bitmaps: one per component and binary place. For a
 query, the bitmaps that its own bits call for are added with carry-save full adders, whole bitmaps at a time; the sum
 is again a row of bitmaps, one per binary place. The best rows are then selected from the most significant bitmap
-downward, and rows that tie at the boundary are resolved by their ids.
+downward, rows that tie at the boundary are resolved by their ids, and the scores are read from the sum's bitmaps.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import sized_broadcast, table, written
 
-#: Rows of a block of the index, and queries that meet a block in one task.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 256
-#: Components of at most so many bits are indexed; other vectors are scored one by one.
+#: Rows of a block of the index, and queries that meet a block in one task: about as many bytes, so that neither side is copied much.
+BLOCK_ROWS, QUERY_ROWS = 16_384, 2_048
+#: Components of at most so many bits are indexed; vectors with larger ones are scored one by one, as integers of any size.
 MOST_BITS = 24
+#: Scores beyond 64 bits are given as the nearest 64-bit integer; ranks follow the true ones.
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
+
+BLOCK = "dim long, wide boolean, block long, ids binary, low long, bits long, body binary"
+
 
-BLOCK = "dim long, block long, ids binary, components binary"
+def usable(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
+    """(vec_id, v array<double>) without null ids, null vectors and vectors with null or non-finite components."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(float(np.finfo(np.float64).max))))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
-def quantised(vectors: DataFrame, scale: int = 256, vector: str = "embedding") -> DataFrame:
-    """Replaces vector by floor(scale * x) for each component x, and drops vectors that are null, or hold null or non-finite components."""
-    wide = F.transform(F.col(vector), lambda x: x.cast("double"))
-    usable = F.col(vector).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(1 << 53)) / scale))
-    return vectors.filter(usable).withColumn(vector, F.transform(wide, lambda x: F.floor(x * scale)))
+def quantised(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as 64-bit integers; of components too large for them, as Python's."""
+    if not values.size or np.abs(values).max() * scale < 1 << 62:
+        return np.floor(values * scale).astype(np.int64)
+    return np.array([floor(Fraction(x) * scale) for x in values.ravel().tolist()], object).reshape(values.shape)
 
 
-def blocks(vectors: DataFrame, rows: int, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
-    """Vectors of one length in blocks of about so many rows: one row per block, with ids and components as bytes."""
-    counted = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.size(vector).cast("long").alias("dim"))
-    sizes = counted.groupBy("dim").agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("n_blocks"))
-    dealt = counted.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("n_blocks")))
+def blocks(vectors: DataFrame, rows: int, scale: int, sliced: bool) -> DataFrame:
+    """usable() vectors of one length in blocks of about so many rows: ids, and the bitmaps or else the components.
+
+    Vectors with very large components have blocks of their own (wide), which are never sliced.
+    """
+    wide = F.exists("v", lambda x: F.abs(x) * scale >= F.lit(float(1 << (MOST_BITS - 1))))
+    counted = vectors.withColumns({"dim": F.size("v").cast("long"), "wide": wide})
+    sizes = counted.groupBy("dim", "wide").agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("n_blocks"))
+    dealt = counted.join(sized_broadcast(sizes), ["dim", "wide"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("n_blocks")))
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # ascending ids, so that an earlier place in the block is a smaller id
         group = group.sort_values("vec_id", kind="stable")
-        values = np.array(group.v.tolist(), np.int64).reshape(len(group), int(key[0]))
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [group.vec_id.to_numpy(np.int64).tobytes()], "components": [values.tobytes()]})
+        values = np.array(group.v.tolist(), np.float64).reshape(len(group), int(key[0]))
+        low, bits, body = 0, 0, values
+        if sliced and not key[1]:
+            block = SlicedBlock.of(quantised(values, scale))
+            low, bits, body = block.low, block.bits, block.slices
+        return pd.DataFrame({"dim": [key[0]], "wide": [key[1]], "block": [key[2]], "ids": [group.vec_id.to_numpy(np.int64).tobytes()], "low": [low], "bits": [bits], "body": [body.tobytes()]})
 
-    return dealt.filter("vec_id is not null").groupBy("dim", "block").applyInPandas(gather, BLOCK)
+    return dealt.groupBy("dim", "wide", "block").applyInPandas(gather, BLOCK)
 
 
 def added(slices: list[np.ndarray]) -> np.ndarray:
@@ -74,19 +94,24 @@ def added(slices: list[np.ndarray]) -> np.ndarray:
 class SlicedBlock:
     """The bitmaps of a block of integer vectors. Places are made non-negative by subtracting the least component."""
 
-    def __init__(self, values: np.ndarray):
-        self.rows, self.dim = values.shape
-        self.low = int(values.min()) if values.size else 0
-        self.bits = max(1, int(int(values.max()) - self.low).bit_length()) if values.size else 1
-        self.words = -(-self.rows // 64)
-        padded = np.zeros((self.words * 64, self.dim), np.uint64)
-        padded[: self.rows] = (values - self.low).astype(np.uint64)
-        self.slices = np.empty((self.bits, self.dim, self.words), np.uint64)
-        for b in range(self.bits):
+    def __init__(self, rows: int, dim: int, low: int, bits: int, slices: np.ndarray):
+        self.rows, self.dim, self.low, self.bits, self.words = rows, dim, low, bits, -(-rows // 64)
+        self.slices = slices.reshape(bits, dim, self.words)
+        self.live = np.packbits(np.arange(self.words * 64) < rows, bitorder="little").view(np.uint64)
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> SlicedBlock:
+        rows, dim = values.shape
+        low = int(values.min()) if values.size else 0
+        bits = max(1, int(int(values.max()) - low).bit_length()) if values.size else 1
+        words = -(-rows // 64)
+        padded = np.zeros((words * 64, dim), np.uint64)
+        padded[:rows] = (values - low).astype(np.uint64)
+        slices = np.empty((bits, dim, words), np.uint64)
+        for b in range(bits):
             flags = ((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
-            self.slices[b] = np.packbits(np.ascontiguousarray(flags.T), axis=1, bitorder="little").view(np.uint64)
-        live = np.packbits(np.arange(self.words * 64) < self.rows, bitorder="little")
-        self.live = live.view(np.uint64)
+            slices[b] = np.packbits(np.ascontiguousarray(flags.T), axis=1, bitorder="little").view(np.uint64)
+        return cls(rows, dim, low, bits, slices)
 
     def sums(self, query: np.ndarray) -> tuple[np.ndarray, int]:
         """Bitmaps of the scores, and what is to be added to each. A negative factor q adds |q| times the complement."""
@@ -120,58 +145,83 @@ class SlicedBlock:
         places = lambda x: np.flatnonzero(np.unpackbits(x.view(np.uint8), bitorder="little"))
         return np.concatenate([places(taken), places(open_)[:need]])
 
+    @staticmethod
+    def scores(sums: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The sums of some rows, read from their bitmaps."""
+        flags = (sums[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+        return (flags << np.arange(len(sums), dtype=np.uint64)[:, None]).sum(axis=0).astype(np.int64)
 
-def _unpacked(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.components, np.int64).reshape(len(ids), int(row.dim))
 
+def _sort_key(score: int) -> bytes:
+    """Bytes that sort as integers of any size do."""
+    size = (abs(score).bit_length() + 7) // 8
+    body = abs(score).to_bytes(size, "big")
+    return b"\x01" + size.to_bytes(4, "big") + body if score >= 0 else b"\x00" + ((1 << 32) - 1 - size).to_bytes(4, "big") + bytes(255 - x for x in body)
 
-def _best_in_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
-    """(query, candidate, score) of the k best of the block for each query."""
+
+def _best_in_block(index: pd.Series, asked: pd.Series, k: int, scale: int) -> list[tuple]:
+    """(query place, query, candidate, score) of the k best of the block for each query."""
+    ids, query_ids, dim = np.frombuffer(index.ids, np.int64), np.frombuffer(asked.ids, np.int64), int(index.dim)
+    queries = quantised(np.frombuffer(asked.body, np.float64).reshape(len(query_ids), dim), scale)
     out = []
-    bits = max(int(abs(int(x))).bit_length() for x in (values.min(initial=0), values.max(initial=0), queries.min(initial=0), queries.max(initial=0)))
-    if bits > MOST_BITS:  # too wide for bitmaps of fair size: exact integers, one query at a time
-        for q, query in zip(query_ids.tolist(), queries, strict=True):
-            scores = [sum(int(a) * int(b) for a, b in zip(query, v, strict=True)) for v in values]
-            order = sorted((-s, i, s) for s, i in zip(scores, ids.tolist(), strict=True) if i != q)[:k]
-            out += [(q, i, s) for _, i, s in order]
+    if index.wide or asked.query_wide:
+        values = np.frombuffer(index.body, np.float64).reshape(len(ids), dim) if index.wide else _restored(index, len(ids), dim)
+        values = (quantised(values, scale) if index.wide else values).astype(object)
+        for place, (q, query) in enumerate(zip(query_ids.tolist(), queries.astype(object), strict=True)):
+            scores = values @ query if dim else [0] * len(ids)
+            order = sorted((-int(s), i) for s, i in zip(scores, ids.tolist(), strict=True) if i != q)[:k]
+            out += [(place, q, i, -s) for s, i in order]
         return out
-    block = SlicedBlock(values)
-    for q, query in zip(query_ids.tolist(), queries, strict=True):
+    block = SlicedBlock(len(ids), dim, int(index.low), int(index.bits), np.frombuffer(index.body, np.uint64))
+    for place, (q, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
         own = np.zeros(block.words * 64, np.uint8)
         own[: block.rows] = ids == q
-        sums, _ = block.sums(query)
+        sums, constant = block.sums(query)
         rows = block.top(sums, k, np.packbits(own, bitorder="little").view(np.uint64))
-        scores = values[rows] @ query
-        out += [(q, int(ids[r]), int(s)) for r, s in zip(rows, scores, strict=True)]
+        out += [(place, q, int(ids[r]), int(s) + constant) for r, s in zip(rows, block.scores(sums, rows), strict=True)]
     return out
 
 
+def _restored(index: pd.Series, rows: int, dim: int) -> np.ndarray:
+    """The integer components, from the bitmaps."""
+    block = SlicedBlock(rows, dim, int(index.low), int(index.bits), np.frombuffer(index.body, np.uint64))
+    values = np.full((dim, rows), block.low, np.int64)
+    for b in range(block.bits):
+        values += np.unpackbits(block.slices[b].view(np.uint8), axis=1, bitorder="little")[:, :rows].astype(np.int64) << b
+    return values.T
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """For each query its k highest scores over all other rows of its length: query_id, rank (from 1), vec_id, score.
 
-    Ties go to the smaller vec_id. Rows with the query's vec_id are not its candidates; rows with a null vec_id,
-    a null vector or null or non-finite components take no part. Repeated rows are candidates each. Queries with no
-    candidate give no row, as an empty table does. Blocks of queries meet blocks of the index: a task holds one of
-    each, and gives k rows for each of its queries.
+    Components are floor(scale * x). Ties go to the smaller vec_id. Rows with the query's vec_id are not its candidates;
+    rows with a null vec_id, a null vector or null or non-finite components take no part. Repeated rows are candidates
+    each; a query id of several rows is answered for each of them, with ranks of its own. Finite components of any size
+    count exactly; a score beyond 64 bits is given as the nearest long. Queries with no candidate give no row, as an
+    empty table does. Blocks of queries meet blocks of the index: a task holds one of each, and gives k rows for each
+    of its queries.
     """
-    index = written(blocks(quantised(vectors, scale, vector), BLOCK_ROWS, vector, vec_id), "index")
-    asked = written(blocks(quantised(queries, scale, vector), QUERY_ROWS, vector, vec_id), "queries").withColumnRenamed("block", "query_block")
-    of_index = index.groupBy("dim").agg(F.max("block").alias("last"))
-    of_queries = asked.groupBy("dim").agg(F.max("query_block").alias("last"))
-    dealt = asked.join(of_index, "dim").select(*asked.columns, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
-    index = index.join(of_queries, "dim").select(*index.columns, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("query_block"))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    index = written(blocks(usable(vectors, vector, vec_id), BLOCK_ROWS, scale, True), "index")
+    asked = written(blocks(usable(queries, vector, vec_id), QUERY_ROWS, scale, False), "queries").withColumnsRenamed({"wide": "query_wide", "block": "query_block"})
+    of_index = index.groupBy("dim", "wide").agg(F.max("block").alias("last"))
+    of_queries = asked.groupBy("dim", "query_wide").agg(F.max("query_block").alias("last"))
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias(name)
+    # new names for the columns of either side, which both have from both tables
+    dealt = asked.join(of_index, "dim").select(*asked.columns, "wide", every("block")).toDF(*asked.columns, "wide", "block")
+    index = index.join(of_queries, "dim").select(*index.columns, "query_wide", every("query_block")).toDF(*index.columns, "query_wide", "query_block")
+
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            rows = _best_in_block(*_unpacked(left.iloc[0]), *_unpacked(right.iloc[0]), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["dim", "block", "query_block"]
-    found = index.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            rows = _best_in_block(left.iloc[0], right.iloc[0], k, scale)
+        found = [(key[2], key[4], place, q, i, min(MOST_LONG, max(LEAST_LONG, s)), _sort_key(s)) for place, q, i, s in rows]
+        return pd.DataFrame(found, columns=["query_wide", "query_block", "place", "query_id", "vec_id", "score", "key"])
+
+    keys = ["dim", "wide", "query_wide", "block", "query_block"]
+    found = index.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, "query_wide boolean, query_block long, place long, query_id long, vec_id long, score long, key binary")
+    order = Window.partitionBy("query_id", "query_wide", "query_block", "place").orderBy(F.desc("key"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Each operator against a brute-force version on a small fixture, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
+import math
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -230,16 +232,21 @@ def test_pagerank_against_power_iteration(spark):
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 0.3, 5), 2)], i % 2) for i in range(150)]
-    rows += [(200, None, 0), (201, [0.1, None, 0.2, 0.0, 0.0], 0), (202, [float("nan")] * 5, 0), (203, [], 0), (100, rows[7][1], 1), (None, [1.0] * 5, 0), (204, [1.0, 2.0], 0), (205, [3e6, 0.0, 0.0, 0.0, 0.5], 0)]
+    rows += [(200, None, 0), (201, [0.1, None, 0.2, 0.0, 0.0], 0), (202, [float("nan")] * 5, 0), (203, [], 0), (100, rows[7][1], 1), (None, [1.0] * 5, 0), (204, [1.0, 2.0], 0)]
+    rows += [(205, [3e6, 0.0, 0.0, 0.0, 0.5], 0), (206, [2.0**53, -1.0, 0.0, 0.0, 0.0], 0), (207, [1e300, 0.0, 0.0, 0.0, 0.0], 0), (250, [-1e308, 1.0, 0.0, 0.0, 0.25], 0), (208, [float("inf")] * 5, 0)]
+    rows += [(300, [0.0] * 5, 0)] + [(301 + i, [0.5, 0.0, 0.0, 0.0, 0.0], 0) for i in range(7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = defaultdict(list)
     for r in ts.search(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+        got[r.query_id].append((r.rank, r.score, r.vec_id))
+    good = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = defaultdict(list)
     for q, v in good:
-        if q % 50 == 0 and q != 100:
+        if q % 50 == 0:
             scores = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v)))[:5]
-            assert got[q] == [(-s, i) for s, i in scores], q
+            want[q] += [(k + 1, min(2**63 - 1, max(-(2**63), -s)), i) for k, (s, i) in enumerate(scores)]
+    assert len(want[100]) == 10 and [i for _, _, i in want[300]] == [0, 1, 2, 3, 4]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items() if x}
     assert ts.search(df.filter("false"), df.filter("false")).count() == 0
 
 
