@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from ._shared import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_TAG, _BLANK, _NAME, _EQUALS, _BARE = (re.compile(p) for p in (r"</?([a-zA-Z][^\s/>]*)", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 
 #: Fixed values of HTML: elements without content, with raw text, that break no block, and known by name.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,136 +29,186 @@ BLOCKS = set("address article blockquote body caption center dd details div dl d
 DROPPED = set("head title nav header footer aside form script style noscript template svg math button select option textarea iframe object canvas audio video dialog menu".split())
 #: Names in class, id or role that mark a part as none of the article. A parameter of extract().
 BOILERPLATE = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer header masthead contentinfo share sharing social related recommended newsletter subscribe signup comment comments disqus replies".split())
+#: Parts of a name after which a listed one says what a layout has or lacks, not what the element is.
+LAYOUT = {"has", "no", "not", "non", "with", "without"}
 
 #: Weight of a tag that no labelled page shows, and the bounds of learned ones.
 UNSEEN, LEAST, MOST = -0.5, -1.5, -0.2
-#: Weight of either end of an element of which only a part of a class or id (as in has-sidebar) is among the names.
-PARTLY = -30.0
 
 
-def _marked(attributes: str, names: set[str]) -> tuple[bool, bool]:
-    """Whether a whole class, id or role is among the names, and whether a part of a class or id is."""
-    partly = False
-    for kind, *values in _ATTRIBUTE.findall(attributes):
-        for word in "".join(values).lower().split():
+def _marked(attributes: dict[str, str], names: set[str]) -> int:
+    """2 if a whole class, id or role is among the names, 1 if only a part of a class or id is, as in post-comments; else 0."""
+    mark = 0
+    for kind, value in attributes.items():
+        for word in value.lower().split():
             if word in names:
-                return True, True
-            partly |= kind.lower() != "role" and any(x in names for x in re.split(r"[-_]+", word))
-    return False, partly
+                return 2
+            parts = re.split(r"[-_]+", word)
+            if kind != "role" and any(x in names and LAYOUT.isdisjoint(parts[:i]) for i, x in enumerate(parts)):
+                mark = 1
+    return mark
 
 
-def _wrappers(page: str, names: set[str]) -> set[int]:
-    """Where marked elements begin that hold most words of the page, or of its articles: layout, not boilerplate."""
-    stack: list[tuple[str, int, int, int]] = []
-    held: list[tuple[int, int, int]] = []
-    words = main = inside = dropped = at = 0
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("text", raw, {}), ("open" or "void" or "close", name, its class, id and role) and ("raw", name, {"text": content}).
+
+    One scan in linear time. A quote opens a value only after =; one that is never closed ends with its tag.
+    """
+    at, n = 0, len(page)
+    quoted = {'"': n, "'": n}
+
+    def closing(quote: str, start: int) -> int:
+        """The place of the next such quote, or -1. What was once looked for in vain is not looked for again."""
+        if start >= quoted[quote]:
+            return -1
+        found = page.find(quote, start)
+        if found < 0:
+            quoted[quote] = start
+        return found
+
+    while at < n:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            yield "text", page[at:end], {}
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = at + 4 if page.startswith(">", at + 4) else page.find("-->", at + 4)
+            at = n if end < 0 else end + (1 if page[end] == ">" else 3)
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        tag = _TAG.match(page, at)
+        if not tag:
+            yield "text", "<", {}
+            at += 1
+            continue
+        close, name, found, slash = page[at + 1] == "/", tag.group(1).lower(), {}, False
+        at = tag.end()
+        while True:
+            blank = _BLANK.match(page, at)
+            slash, at = blank.group().endswith("/"), blank.end()
+            if at >= n or page[at] == ">":
+                at += 1
+                break
+            word = _NAME.match(page, at)
+            at = word.end()
+            equals, value = _EQUALS.match(page, at), ""
+            if equals:
+                at = equals.end()
+                if at < n and page[at] in quoted:
+                    end = closing(page[at], at + 1)
+                    if end >= 0:
+                        value, at = page[at + 1 : end], end + 1
+                    else:
+                        end = page.find(">", at)
+                        end = n if end < 0 else end
+                        value, at = page[at + 1 : end], end
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare.group(), bare.end()
+            if (kind := word.group().lower()) in ("class", "id", "role"):
+                found.setdefault(kind, value)
+        if close:
+            yield "close", name, {}
+        elif name in RAW:
+            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            yield "raw", name, {"text": page[at : end.start() if end else n]}
+            at = (page.find(">", end.start()) + 1 or n) if end else n
+        else:
+            yield "void" if name in VOID or slash and name in ("svg", "path") else "open", name, found
+
+
+def _kept(parsed: list[tuple[str, str, dict[str, str]]], marks: dict[int, int]) -> set[int]:
+    """Which marked elements stay, by the places of their tokens: those that hold most words of the page or of its
+    articles are layout; those marked in part that hold a headline of an article are its own header."""
+    stack: list[tuple[str, int, int, int, int]] = []
+    open_names: Counter[str] = Counter()
+    held: list[tuple[int, int, int, int]] = []
+    words = main = inside = dropped = headlines = 0
 
     def pop() -> str:
         nonlocal inside, dropped
-        name, start, words_before, main_before = stack.pop()
+        name, at, words_before, main_before, headlines_before = stack.pop()
+        open_names[name] -= 1
         inside -= name in ("article", "main")
         dropped -= name in DROPPED
-        if start >= 0:
-            held.append((start, words - words_before, main - main_before))
+        if at in marks:
+            held.append((at, words - words_before, main - main_before, headlines - headlines_before))
         return name
 
-    while at < len(page):
-        start = at
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        close, name, attributes, _, text = found.groups()
-        if text is not None:
-            n = 0 if dropped else len(text.split())
+    for at, (kind, value, _) in enumerate(parsed):
+        if kind == "text" and not dropped:
+            n = len(value.split())
             words += n
             main += n if inside else 0
-        if name is None:
-            continue
-        name = name.lower()
-        if close:
-            if any(x[0] == name for x in stack):
-                while pop() != name:
-                    pass
-            continue
-        if name not in INLINE and stack and stack[-1][0] == "p":
-            pop()
-        if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            at = (page.find(">", end.start()) + 1 or len(page)) if end else len(page)
-            continue
-        stack.append((name, start if attributes and _marked(attributes, names)[0] else -1, words, main))
-        dropped += name in DROPPED
-        inside += name in ("article", "main")
+        elif kind == "close" and open_names[value]:
+            while pop() != value:
+                pass
+        elif kind in ("open", "void", "raw"):
+            if value not in INLINE and stack and stack[-1][0] == "p":
+                pop()
+            if kind == "open":
+                headlines += value == "h1" and inside > 0
+                stack.append((value, at, words, main, headlines))
+                open_names[value] += 1
+                dropped += value in DROPPED
+                inside += value in ("article", "main")
     while stack:
         pop()
-    return {start for start, n, n_main in held if 2 * n > words or 2 * n_main > main}
+    return {at for at, n, n_main, n_headlines in held if 2 * n > words or 2 * n_main > main or marks[at] == 1 and n_headlines}
 
 
 def items(page: str, names: set[str] = BOILERPLATE, whole: bool = False) -> Iterator[tuple[str, str, bool]]:
     """("text", raw text, main) and ("block" or "tag", name with / if it closes, main); main: in an article, not in a dropped part.
 
-    Dropped parts are left out, unless whole is set; a "break" stands where one begins. "partly" stands at both ends
-    of a block that is marked in part, unless whole is set.
+    Dropped parts are left out, unless whole is set; a "break" stands where one begins.
     """
-    stack: list[tuple[str, bool, bool]] = []
-    wrappers: set[int] | None = None
-    dropped = inside = at = 0
-    while at < len(page):
-        start = at
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        close, name, attributes, _, text = found.groups()
-        if text is not None:
+    parsed = list(tokens(page))
+    marks = {at: mark for at, (kind, name, found) in enumerate(parsed) if kind == "open" and found and name not in ("html", "body", "article", "main") and (mark := _marked(found, names))}
+    kept = _kept(parsed, marks) if marks else set()
+    stack: list[tuple[str, bool]] = []
+    open_names: Counter[str] = Counter()
+    dropped = inside = 0
+
+    def pop() -> str:
+        nonlocal dropped, inside
+        name, gone = stack.pop()
+        open_names[name] -= 1
+        dropped -= gone
+        inside -= name in ("article", "main")
+        return name
+
+    for at, (kind, value, found) in enumerate(parsed):
+        if kind == "text":
             if not dropped or whole:
-                yield "text", text, inside > 0 and not dropped
+                yield "text", value, inside > 0 and not dropped
             continue
-        if name is None:
-            continue
-        name = name.lower()
-        if close:
+        if kind == "close":
             was = inside > 0 and not dropped
-            if any(n == name for n, _, _ in stack):
-                while stack:
-                    n, gone, partly = stack.pop()
-                    dropped -= gone
-                    if partly and not dropped and not whole:
-                        yield "partly", n, was
-                    inside -= n in ("article", "main")
-                    if n == name:
-                        break
-            if whole or not dropped and name not in DROPPED:
-                yield "tag" if name in INLINE else "block", "/" + name, was
+            if open_names[value]:
+                while pop() != value:
+                    pass
+            if whole or not dropped and value not in DROPPED:
+                yield "tag" if value in INLINE else "block", "/" + value, was
             continue
-        if name not in INLINE and stack and stack[-1][0] == "p":
-            _, gone, partly = stack.pop()
-            dropped -= gone
-            if partly and not dropped and not whole:
-                yield "partly", "p", inside > 0
-        marked, partly = _marked(attributes, names) if attributes and name not in ("html", "body", "article", "main") else (False, False)
-        if marked and name not in VOID and name not in RAW:
-            wrappers = _wrappers(page, names) if wrappers is None else wrappers
-            marked = start not in wrappers
-            partly = False
-        gone = name in DROPPED or marked
-        partly = partly and not gone and name not in INLINE and name not in VOID and name not in RAW
-        if partly and not dropped and not whole:
-            yield "partly", name, inside > 0
+        if value not in INLINE and stack and stack[-1][0] == "p":
+            pop()
+        gone = value in DROPPED or at in marks and at not in kept
         if whole or not dropped and not gone:
-            yield "tag" if name in INLINE else "block", name, inside > 0 and not dropped and not gone
-        elif not dropped and name not in INLINE:
-            yield "break", name, inside > 0
-        if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            if not gone and not dropped and name == "xmp":
-                yield "text", page[at : end.start() if end else len(page)], inside > 0
-            at = (page.find(">", end.start()) + 1 or len(page)) if end else len(page)
-            continue
-        stack.append((name, gone, partly))
-        dropped += gone
-        inside += name in ("article", "main")
+            yield "tag" if value in INLINE else "block", value, inside > 0 and not dropped and not gone
+        elif not dropped and value not in INLINE:
+            yield "break", value, inside > 0
+        if kind == "raw" and not gone and not dropped and value == "xmp":
+            yield "text", html.escape(found["text"]), inside > 0
+        if kind == "open":
+            stack.append((value, gone))
+            open_names[value] += 1
+            dropped += gone
+            inside += value in ("article", "main")
 
 
 def _tag(name: str) -> str:
@@ -191,8 +240,6 @@ def main_text(page: str | None, weights: dict[str, float], names: set[str] = BOI
             end()
         if kind in ("tag", "block"):
             row.append((weights.get(_tag(value), UNSEEN), None))
-        elif kind == "partly":
-            row.append((PARTLY, None))
     end()
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, (score, _) in enumerate(row):

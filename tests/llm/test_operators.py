@@ -372,6 +372,21 @@ def test_html_layout_wrappers_stay(spark):
     article, plain = f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"
     openings = ['class="page has-sidebar"', 'class="content-with-sidebar"', 'class="no-comments"', 'class="related-layout"', 'id="header-and-content"', 'class="social"']
     pages = [f"<body><div {x}>{inner}<div class=ad>buy now</div></div></body>" for x in openings for inner in (article, plain)]
+    pages.append(f'<body><div id="post-comments"><p>{"me too " * 20}</p></div>{article}<div class="site-footer">{"links " * 30}</div></body>')
+    pages.append(f'<body><article><div class="post-comments"><p>{"me too " * 20}</p></div><p>{text}</p></article></body>')
     pages.append(f'<body>{article}<div class="comments"><p>me too</p></div><div class="comments-area"><p>and me</p></div></body>')
     got = [r.text for r in hx.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), weights={}).orderBy("page_id").collect()]
     assert got == [text] * len(pages)
+    page = f'<article><div class="entry-header"><h1>A headline</h1></div><p>{text}</p></article>'
+    assert hx.main_text(page, {}) == f"A headline\n\n{text}"
+
+
+def test_html_malformed_pages():
+    assert hx.main_text('Hello <a title="x>link</a> and <b>more', {}) == "Hello link and more"
+    assert hx.main_text("<p a'b=c\">quotes \"in\" names</p>", {}) == 'quotes "in" names'
+    assert hx.main_text("<p>1 < 2 <!-- no --> and <!--> 3</p><!-- open <p>gone", {}) == "1 < 2 and 3"
+    assert hx.main_text("<p>same size here</p><script>x</script><p>same size too</p>", {"p": -9.0, "/p": -9.0}) == "same size here"  # of equal regions the first
+    for part in ('<a title="', "<a title='x>", '<p class="x" "', "<", "<!--", "<div>", "</div>", "<script>", "<p x="):
+        began = time.time()
+        hx.main_text(part * (1_000_000 // len(part)), {})
+        assert time.time() - began < 10, part
