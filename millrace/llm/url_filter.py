@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import row_ids, sized_broadcast, table, written
+from ._shared import sized_broadcast, table, written
 
 #: Fixed values: (host, path, verdict) of the rules.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-9
+#: Ranks are iterated until they change by less than TOLERANCE of all mass, some 130 rounds; MOST_ROUNDS end in an error.
+DAMPING, TOLERANCE, MOST_ROUNDS, ROUNDS_A_LOOK = 0.85, 1e-9, 500, 8
 #: A host is blocked if its distrust is more than so many times its trust.
 RATIO = 1.0
 
@@ -30,16 +31,18 @@ def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds rule and rule_verdict of the longest rule (host and path as one string) that fits; null if none does.
 
-    A rule fits its host and all subdomains if the path starts with the rule's. One equality join on the suffixes of
-    each host; of rules equally long, the smaller string, then block. urls needs a unique column rid.
+    A rule fits its host and all subdomains if the path starts with the rule's. Each host meets the rules of its
+    suffixes by equality, once; its pages then choose among these. Of rules equally long, the smaller string, then block.
     """
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
-    hosts = urls.select("rid", "path", F.explode(suffixes).alias("rule_host"))
-    rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
-    fitting = hosts.join(sized_broadcast(rules), "rule_host").filter(F.expr("startswith(path, rule_path)"))
+    hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("rule_host"))
     rule = F.concat("rule_host", "rule_path")
-    best = fitting.groupBy("rid").agg(F.min(F.struct(-F.length(rule), rule.alias("rule"), F.when(F.col("verdict") == "block", 0).otherwise(1), F.col("verdict"))).alias("best"))
-    return urls.join(best.select("rid", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict")), "rid", "left")
+    order = F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("kind"), "verdict", "rule_path")
+    rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
+    fitting = written(hosts.join(sized_broadcast(rules), "rule_host").groupBy("host").agg(F.sort_array(F.collect_set(order)).alias("fitting")), "host_rules")
+    found = urls.join(sized_broadcast(fitting), "host", "left")
+    best = F.try_element_at(F.filter("fitting", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(1))
+    return found.withColumns({"rule": best["rule"], "rule_verdict": best["verdict"]}).select(*urls.columns, "rule", "rule_verdict")
 
 
 def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -49,10 +52,11 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.filter("src != dst and src != ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_pagerank(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def personalised_pagerank(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(node, rank) for links (src, dst, weight) and seeds (node, mass > 0). Ranks sum to 1, or there are none without seeds.
 
-    What a node without links holds goes back to the seeds. Nodes that no walk reaches are left out.
+    What a node without links holds goes back to the seeds. Nodes that no walk reaches are left out. Iterated until the
+    ranks change by less than the tolerance in all; if most_rounds do not suffice, that is an error.
     """
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
@@ -63,7 +67,7 @@ def personalised_pagerank(links: DataFrame, seeds: DataFrame, damping: float = D
     ranks = seeds.select("node", F.col("seed").alias("rank"))
     if steps.isEmpty():
         return ranks
-    for _ in range(rounds):
+    for k in range(1, most_rounds + 1):
         moved = ranks.join(steps, ranks.node == steps.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
         joined = moved.join(seeds, moved.dst == seeds.node, "full_outer")
         joined = joined.select(F.coalesce("dst", "node").alias("node"), F.coalesce("moved", F.lit(0.0)).alias("moved"), F.coalesce("seed", F.lit(0.0)).alias("seed"))
@@ -71,10 +75,11 @@ def personalised_pagerank(links: DataFrame, seeds: DataFrame, damping: float = D
         joined = written(joined.select("node", "seed", (damping * F.col("moved") + (1 - damping) * F.col("seed")).alias("rank")), "ranks")
         lost = 1.0 - joined.agg(F.sum("rank")).first()[0]
         last, ranks = ranks, joined.select("node", (F.col("rank") + lost * F.col("seed")).alias("rank"))
-        change = ranks.join(last.withColumnRenamed("rank", "before"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
-        if change < tolerance:
-            break
-    return ranks
+        if k % ROUNDS_A_LOOK == 0:
+            change = ranks.join(last.withColumnRenamed("rank", "before"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
+            if change < tolerance:
+                return ranks
+    raise RuntimeError(f"ranks did not settle in {most_rounds} rounds")
 
 
 def host_verdicts(judged: DataFrame, links: DataFrame, ratio: float = RATIO) -> DataFrame:
@@ -96,14 +101,15 @@ def host_verdicts(judged: DataFrame, links: DataFrame, ratio: float = RATIO) ->
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages (without html) and host, path, rule, verdict, host_verdict, trust, distrust; such columns are replaced.
 
-    A null or odd url has an empty host, fits no rule and is allowed. Repeated rows give repeated results.
+    A null or odd url has an empty host, fits no rule and is allowed. Repeated rows give repeated results. Of rules
+    that fit equally long, the smaller string counts, then block.
     """
-    added = ["host", "path", "rule", "rule_verdict", "verdict", "host_verdict", "trust", "distrust", "rid"]
-    pages = with_host_path(row_ids(pages.drop(*[c for c in added if c not in (url, html)])), url)
+    added = ["host", "path", "rule", "rule_verdict", "verdict", "host_verdict", "trust", "distrust", "fitting"]
+    pages = with_host_path(pages.drop(*[c for c in added if c not in (url, html)]), url)
     judged = written(match_rules(pages.drop(html), rules), "judged")
     links = written(host_links(pages.select("host", html), html), "host_links")
     hosts = host_verdicts(judged, links).withColumnRenamed("verdict", "host_verdict")
-    return judged.join(hosts, "host", "left").withColumn("verdict", F.coalesce("rule_verdict", "host_verdict")).drop("rule_verdict", "rid")
+    return judged.join(sized_broadcast(written(hosts, "verdicts")), "host", "left").withColumn("verdict", F.coalesce("rule_verdict", "host_verdict")).drop("rule_verdict")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,19 +214,33 @@ def test_line_dedup_joins_lines_with_one_changed_character(spark):
     assert got == {0: 0, 1: 40}
 
 
-def test_pagerank_against_power_iteration(spark):
-    edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "c", 2.0), ("c", "d", 1.0)]
-    got = {r["node"]: r["rank"] for r in uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 2.0)], "node string, mass double"), rounds=12, tolerance=0).collect()}
-    names, m = "abcd", np.zeros((4, 4))
+def test_pagerank_against_the_solved_equations(spark):
+    """Also on a chain that twenty rounds would not walk to its end."""
+    edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "c", 2.0), ("c", "d", 1.0), ("d", "k00", 1.0)] + [(f"k{i:02}", f"k{i + 1:02}", 1.0) for i in range(30)]
+    ranks = uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double").coalesce(1), spark.createDataFrame([("a", 2.0), ("k00", 1.0)], "node string, mass double").coalesce(1))
+    got = {r["node"]: r["rank"] for r in ranks.collect()}
+    names = sorted({x for s, d, _ in edges for x in (s, d)})
+    m, seed = np.zeros((len(names), len(names))), np.zeros(len(names))
     for s, d, w in edges:
         m[names.index(d), names.index(s)] += w
-    m /= np.where(m.sum(0) > 0, m.sum(0), 1)
-    seed = np.array([1.0, 0, 0, 0])
-    rank = seed.copy()
-    for _ in range(12):
-        rank = 0.85 * m @ rank + 0.15 * seed
-        rank += (1 - rank.sum()) * seed
-    assert all(abs(got.get(x, 0) - rank[i]) < 1e-9 for i, x in enumerate(names))
+    seed[names.index("a")], seed[names.index("k00")] = 2 / 3, 1 / 3
+    m[:, m.sum(0) == 0] = seed[:, None]
+    want = np.linalg.solve(np.eye(len(names)) - 0.85 * m / m.sum(0), 0.15 * seed)
+    assert all(abs(got[x] - want[i]) < 1e-8 for i, x in enumerate(names))
+    with pytest.raises(RuntimeError):
+        uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 2.0)], "node string, mass double"), most_rounds=8)
+
+
+def test_url_rules_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    hosts, paths = ["com", "example.com", "www.example.com", "a.b.example.com", "example.net", "net", "x.net", "org", ""], ["", "/", "/en/", "/en/1", "/es/", "/es", "/fr/x/y"]
+    rules = [(h, p, v) for h in ("com", "example.com", "b.example.com", "net") for p in ("/", "/en/", "/es/") for v in ("allow", "block") if rng.random() < 0.5]
+    urls = [(h, p) for h in hosts for p in paths] * 2
+    frame = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate(urls)], "i long, host string, path string")
+    got = {r.i: (r.rule, r.rule_verdict) for r in uf.match_rules(frame, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for i, (h, p) in enumerate(urls):
+        fit = sorted((-len(a + b), a + b, v != "block", v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b))
+        assert got[i] == ((fit[0][1], fit[0][3]) if fit else (None, None)), (h, p)
 
 
 def test_topk_against_brute_force(spark):
