@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import sized_broadcast, written
+from ._shared import renamed, sized_broadcast, written
 from ._words import mix
 
 #: Rows of a block when open rows of one bucket, or members of one component, are compared.
@@ -281,7 +281,7 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     left = judged.join(sized_broadcast(written(states, "states")), "bucket").filter(F.col("open") | (F.col("best") >= reach))
     # what the leaders' links connect already needs no further comparing, nor do two buckets with the same open rows
     joined = written(components(linked), "joined")
-    left = left.join(sized_broadcast(joined.withColumnRenamed("root", "known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    left = left.join(sized_broadcast(renamed(joined, root="known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
     left = written(left.select("bucket", "node", "known", "open"), "open")
     counted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open"), F.sum(F.xxhash64("node", "open").cast("decimal(38,0)")).alias("s"), F.min("known").alias("k1"), F.max("known").alias("k2"))
     counted = counted.filter("n > 1 and k1 != k2").groupBy("n", "n_open", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "n_open")
@@ -327,20 +327,23 @@ def components(edges: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame(_forest(list(zip(frame.a.tolist(), frame.b.tolist(), strict=True))), columns=["a", "b"])
 
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     # an edge goes from a node a to a smaller one b
     edges = written(edges.mapInPandas(trees, f"a {kind}, b {kind}").distinct(), "trees")
-    before = None
+    before = state(edges)
     for _ in range(MOST_ROUNDS):
-        # large star: a node is linked to the least neighbour of each parent, which stays where it has none of its own. A
-        # root with very many nodes has no row in `least`; stored as it is, the join can be dealt anew where keys are hot
-        least = sized_broadcast(written(edges.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "b"))
-        large = written(edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large")
-        # small star: a node and its parents are linked to the least of them
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(sized_broadcast(least), "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        # large star: a node is linked to the least neighbour of each parent, or to the parent, if that has no smaller
+        # one. A root with very many nodes has no row in `least`; that is stored, so the join can be dealt anew where keys are hot
+        least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = edges.join(sized_broadcast(renamed(least, a="b")), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        # small star: a node and its parents, which are few, are linked to the least of them
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = written(small.select("e.a", "e.b").filter("a != b").distinct(), "stars")
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
+        before = now
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

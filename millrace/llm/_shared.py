@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
@@ -29,12 +29,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The rows as a table in the shared folder: the lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, _row_bytes(df).alias("bytes")).write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_bytes = int(seen.get["bytes"] or 0)
+    return out
 
 
 def row_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
@@ -60,7 +63,7 @@ def scan_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
     return numbered.withColumn(name, F.shiftleft("_number", 40) + F.col(name)).drop("_file", "_number")
 
 
-def _width(column, kind: DataType):
+def _width(column: Column, kind: DataType) -> Column:
     """The bytes of a value in memory, about."""
     if isinstance(kind, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(24)
@@ -75,12 +78,26 @@ def _width(column, kind: DataType):
     return F.lit(16)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """The size of the rows in memory, about, by one pass over them."""
+def _row_bytes(df: DataFrame) -> Column:
+    """An aggregate: the size of the rows in memory, about."""
     widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
-    return df.agg(F.sum(sum(widths, F.lit(16)).cast("long"))).first()[0] or 0
+    return F.sum(sum(widths, F.lit(16)).cast("long"))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """The size of the rows in memory, about: as it was counted when they were written, or by one pass over them."""
+    stored = getattr(df, "stored_bytes", None)
+    return (df.agg(_row_bytes(df)).first()[0] or 0) if stored is None else stored
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if the measured size of its rows is small; otherwise as it is, and Spark shuffles both sides."""
     return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def renamed(df: DataFrame, **names: str) -> DataFrame:
+    """df with some columns renamed; what is known of its size stays known."""
+    out = df.withColumnsRenamed(names)
+    if hasattr(df, "stored_bytes"):
+        out.stored_bytes = df.stored_bytes
+    return out

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._near import Sets, band_hashes, buckets_of, choose_bands, components, distinct_sets, links
-from ._shared import row_ids, scan_ids, sized_broadcast, table, written
+from ._shared import renamed, row_ids, scan_ids, sized_broadcast, table, written
 from ._words import Words, mix, shingles
 
 #: Runs of 5 characters recur in most lines of a language; bands of 6 hashes keep chance candidates few, and 18 of them the recall.
 CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.995, 108
 #: Lines are handled in runs of about so many characters, and given out in lots of so many.
-RUN, LOT = 1 << 18, 10_000
+RUN, LOT = 1 << 18, 20_000
 
 
 def normal(line: str) -> str:
@@ -46,15 +46,17 @@ def _runs(values: list[str]) -> Iterator[list[str]]:
         yield values[start:]
 
 
-def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, rid, pos, key, bands) for each line that is not blank; key stands for the normal line."""
+def _keyed(docs: DataFrame, bands: int = 0, rows: int = 0, n: int = CHARACTERS) -> DataFrame:
+    """(doc_id, rid, pos, key_a, key_b) and the band hashes b0, b1, ... for each line that is not blank; the two keys stand for the normal line."""
 
     def lot(batch: pa.RecordBatch, lines: list[tuple[int, int, str]]) -> pa.RecordBatch:
-        found = [band_hashes(*line_shingles(run, n), bands, rows) for run in _runs([line for _, _, line in lines])]
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(found).view(np.int64).ravel()))
-        keys = pa.array([blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, line in lines], pa.binary())
         at = pa.array([row for row, _, _ in lines])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([pos for _, pos, _ in lines], pa.int32()), keys, listed], names=["doc_id", "rid", "pos", "key", "bands"])
+        keys = np.frombuffer(b"".join([blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, line in lines]), np.int64).reshape(-1, 2)
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([pos for _, pos, _ in lines], pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+        if bands:
+            found = np.concatenate([band_hashes(*line_shingles(run, n), bands, rows) for run in _runs([line for _, _, line in lines])])
+            columns += [pa.array(found[:, k].view(np.int64)) for k in range(bands)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,13 +71,14 @@ def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
             if lines:
                 yield lot(batch, lines)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "rid", "_text").mapInArrow(run, f"doc_id {kind}, rid long, pos int, key binary, bands array<long>")
+    names = ["doc_id", "rid", "pos", "key_a", "key_b", *(f"b{k}" for k in range(bands))]
+    kinds = [dict(docs.dtypes)["doc_id"], "long", "int", *["long"] * (bands + 2)]
+    return docs.select("doc_id", "rid", "_text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in zip(names, kinds, strict=True)))
 
 
 def _sets(docs: DataFrame, lines: DataFrame):
     def of(nodes: DataFrame) -> DataFrame:
-        places = lines.select("node", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos")).join(sized_broadcast(written(nodes, "nodes")), "node")
+        places = lines.select("node", "rid", "pos").join(sized_broadcast(written(nodes, "nodes")), "node")
         wanted = written(places.groupBy("rid").agg(F.collect_list(F.struct("pos", "node")).alias("places")), "wanted")
         found = docs.select("rid", F.split("_text", "\n").alias("parts")).join(sized_broadcast(wanted), "rid")
         return found.select("parts", F.explode("places").alias("p")).select("p.node", F.element_at("parts", F.col("p.pos") + 1).alias("items"))
@@ -95,17 +98,20 @@ def _decoder(n: int):
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, characters: int = CHARACTERS) -> DataFrame:
     """(rid, dropped array<int>): places of lines that repeat an earlier one, in ascending order. docs: (rid, doc_id, _text)."""
     bands, rows = choose_bands(threshold, recall, MOST_HASHES)
-    signed = written(_signed(docs, bands, rows, characters), "lines")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")
-    lines = signed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = written(components(links(buckets_of(lines), _sets(docs, lines), threshold, _decoder(characters))), "roots")
-    # lines that have copies or similar ones, each with the line that stays for it
-    several = lines.select("key", "node", "first", "copies").join(sized_broadcast(roots), "node", "left").filter("copies > 1 or root is not null")
-    several = written(several.withColumn("root", F.coalesce("root", "node")), "several")
-    kept = several.groupBy("root").agg(F.min("first").alias("kept"))
-    kept = written(several.join(kept, "root").select("key", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
-    repeats = signed.select("rid", "pos", "key").join(sized_broadcast(kept), "key").filter("rid != kept_rid or pos != kept_pos")
+    keys = ["key_a", "key_b"]
+    hashes = [f"b{k}" for k in range(bands)]
+    # distinct lines, with one place of each; all are longs, so that Spark aggregates them by hash
+    lines = _keyed(docs, bands, rows, characters).groupBy(*keys).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("rid", "pos", *hashes)])
+    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "distinct", "lz4")
+    buckets = buckets_of(lines.select("node", F.array(*hashes).alias("bands")))
+    roots = written(components(links(buckets, _sets(docs, lines), threshold, _decoder(characters))), "roots")
+    # lines that have copies or similar ones, at all their places, and of each such group the first place, which stays
+    several = lines.select(*keys, "node", "copies").join(sized_broadcast(roots), "node", "left").filter("copies > 1 or root is not null")
+    several = written(several.select(*keys, F.coalesce("root", "node").alias("root")), "several")
+    placed = written(_keyed(docs).join(sized_broadcast(several), keys).select("root", "doc_id", "rid", "pos"), "placed")
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")).alias("kept"))
+    kept = written(kept.select("root", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
+    repeats = placed.select("root", "rid", "pos").join(sized_broadcast(kept), "root").filter("rid != kept_rid or pos != kept_pos")
     return repeats.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
 
 
@@ -144,7 +150,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     docs = docs if row_id else row_ids(docs, own)
     columns = [c for c in docs.columns if c != "_rid"]
     dropped = written(dropped_lines(docs.select(F.col(own).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), threshold, recall, characters), "dropped")
-    found = docs.join(sized_broadcast(dropped.toDF(own, "_dropped")), own, "left")
+    found = docs.join(sized_broadcast(renamed(dropped, rid=own, dropped="_dropped")), own, "left")
     return _less(found, text).select(*columns, "n_lines", "n_dropped")
 
 
