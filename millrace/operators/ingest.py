@@ -20,11 +20,12 @@ def cap_per_source(items: DataFrame, limits: DataFrame | None = None, default: i
 
 def with_gate(articles: DataFrame, rules: ur.GateRules = ur.RULES) -> DataFrame:
     """Adds reason (null: eligible). Needs canonical_url, url, title, excerpt, source_id, source_url, desk_pick."""
-    # each URL is taken apart once; the rules ask for its parts many times
+    # each URL is taken apart once, and judged once; the gate reads both many times
     taken = {"_canonical": ur.take_apart(F.col("canonical_url")), "_url": ur.take_apart(F.col("url")), "_site": ur.take_apart(F.col("source_url"))}
-    rows = articles.withColumns(taken)
-    reason = ur.eligibility_reason(ur.parts_of("_canonical"), ur.parts_of("_url"), F.col("title"), F.col("excerpt"), F.col("source_id"), ur.parts_of("_site"), F.col("desk_pick"), rules)
-    return rows.withColumn("reason", reason).drop(*taken)
+    site = ur.parts_of("_site")
+    flags = {"_c": ur.gate_flags(ur.parts_of("_canonical"), site, rules), "_u": ur.gate_flags(ur.parts_of("_url"), site, rules)}
+    reason = ur.eligibility_reason(F.col("_c"), F.col("_u"), F.col("title"), F.col("excerpt"), F.col("source_id"), F.col("desk_pick"), rules)
+    return articles.withColumns(taken).withColumns(flags).withColumn("reason", reason).drop(*taken, *flags)
 
 
 def with_source_url(articles: DataFrame, sources: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import js_round
+from millrace.storage import sized_broadcast, written
 
 #: Points of each signal and thresholds of each band.
 WEIGHTS = {
@@ -51,11 +52,7 @@ def default_score(relevance: Column, published: Column, excerpt: Column, desk_pi
 
 def variants_match(a: Column, b: Column, aliases: dict[str, str] | None = None) -> Column:
     """Equal by letters and digits, or names of one thing by an alias table (folded name -> common name)."""
-    fold = lambda c: F.regexp_replace(norm(c), "[^a-z0-9]+", "")
-    x, y = fold(a), fold(b)
-    if aliases:
-        table = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair])
-        x, y = F.coalesce(F.try_element_at(table, x), x), F.coalesce(F.try_element_at(table, y), y)
+    x, y = _folded(a, aliases), _folded(b, aliases)
     return (x != "") & (x == y)
 
 
@@ -67,74 +64,96 @@ def culture_tags(make: Column, rules: dict[str, list[str]]) -> Column:
     return found
 
 
-def score_personal(rows: DataFrame, now_ms: int, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
-    """Adds signals (kind, points, detail), score and vehicle_tier to rows of article × profile.
+def _folded(c: Column, aliases: dict[str, str] | None) -> Column:
+    x = F.regexp_replace(norm(c), "[^a-z0-9]+", "")
+    if aliases:
+        table = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair])
+        x = F.coalesce(F.try_element_at(table, x), x)
+    return x
+
 
-    rows has the article's columns, vehicles, user_interests, user_location, source_relevance, desk_pick. The best
-    tier of the vehicles counts, of equals the first vehicle; its points shrink if the article only mentions it.
+def article_side(articles: DataFrame, now_ms: int, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
+    """Adds what scoring asks of an article, once for all profiles."""
+    c = F.col
+    none = F.expr("cast(array() as array<struct<kind:string,name:string,make:string,model:string,relevance:string>>)")
+    hit = lambda h: F.struct(h["kind"].alias("kind"), norm(h["name"]).alias("name"), _folded(h["name"], variant_aliases).alias("folded"), F.lower(F.coalesce(h["relevance"], F.lit("about"))).alias("said"))
+    tags = norms(F.concat(F.coalesce("categories", F.array()), F.coalesce("interests", F.array())))
+    outing = F.arrays_overlap(norms(c("content_types")), F.array(F.lit("event"), F.lit("road trip"))) | (norm(c("primary_category")) == "events") | F.arrays_overlap(tags, F.array(F.lit("events"), F.lit("road trips")))
+    return articles.withColumns({
+        "_makes": norms(c("makes")), "_models": norms(c("models")), "_generations": norms(c("generations")), "_interests": norms(c("interests")), "_categories": norms(c("categories")), "_scenes": norms(c("scenes")),
+        "_variants": F.transform(F.coalesce("variants", F.array().cast("array<string>")), lambda x: _folded(x, variant_aliases)),
+        "_around": norms(F.concat(F.coalesce("interests", F.array()), F.coalesce("categories", F.array()), F.coalesce("scenes", F.array()))),
+        "_places": F.when(F.coalesce(outing, F.lit(False)), norms(F.concat(F.coalesce("locations", F.array()), F.coalesce("geography", F.array())))).otherwise(F.array().cast("array<string>")),
+        "_hits": F.transform(F.coalesce(c("entity_hits"), none), hit), "_fresh": F.coalesce(recency_bonus(c("published_at"), now_ms, w), F.lit(0.0)),
+    })
+
+
+def profile_side(profiles: DataFrame, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None) -> DataFrame:
+    """Adds what scoring asks of a profile, once for all articles."""
+    none = F.expr("cast(array() as array<struct<make:string,model:string,generation:string,variant:string>>)")
+    vehicle = lambda v, i: F.struct((-i).alias("first"), norm(v["make"]).alias("make"), norm(v["model"]).alias("model"), norm(v["generation"]).alias("generation"), _folded(v["variant"], variant_aliases).alias("variant"), culture_tags(v["make"], culture or {}).alias("tags"))
+    return profiles.withColumns({"_vehicles": F.transform(F.coalesce(F.col("vehicles"), none), vehicle), "_mine": norms(F.col("user_interests")), "_location": norm(F.col("user_location"))})
+
+
+def score_personal(articles: DataFrame, profiles: DataFrame, now_ms: int, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
+    """Every article with every profile (list_key, vehicles, user_interests, user_location): signals (kind, points, detail), score, vehicle_tier.
+
+    The profiles are a stated set of queries against all articles; they go to every task only if their measured size
+    is small, and both sides are prepared before they meet. The best tier of the vehicles counts, of equals the first
+    vehicle; its points shrink if the article only mentions it.
     """
     c = F.col
-    makes, models, generations = norms(c("makes")), norms(c("models")), norms(c("generations"))
-    mine = norms(c("user_interests"))
-    around = norms(F.concat(c("interests"), c("categories"), c("scenes")))
-    hits = F.coalesce(c("entity_hits"), F.expr("cast(array() as array<struct<kind:string,name:string,make:string,model:string,relevance:string>>)"))
-
-    def tiered(v: Column, i: Column) -> Column:
-        make, model, generation = norm(v["make"]), norm(v["model"]), norm(v["generation"])
-        has_make, has_model = (make != "") & F.array_contains(c("_makes"), make), (model != "") & F.array_contains(c("_models"), model)
-        has_generation = (generation != "") & F.array_contains(c("_generations"), generation)
-        has_variant = F.exists(F.coalesce(c("variants"), F.array().cast("array<string>")), lambda x: variants_match(x, v["variant"], variant_aliases))
-        bridge = F.size(F.array_except(F.array_intersect(culture_tags(v["make"], culture or {}), c("_around")), c("_mine"))) > 0
+    rows = article_side(articles, now_ms, variant_aliases, w).join(sized_broadcast(profile_side(profiles, culture, variant_aliases)))
+
+    def tiered(v: Column) -> Column:
+        has_make, has_model = (v["make"] != "") & F.array_contains(c("_makes"), v["make"]), (v["model"] != "") & F.array_contains(c("_models"), v["model"])
+        has_generation = (v["generation"] != "") & F.array_contains(c("_generations"), v["generation"])
+        has_variant = (v["variant"] != "") & F.array_contains(c("_variants"), v["variant"])
+        bridge = F.size(F.array_except(F.array_intersect(v["tags"], c("_around")), c("_mine"))) > 0
         rank = (
             F.when(has_make & has_model & has_variant, 6).when(has_make & has_model & has_generation, 5).when(has_make & has_model, 4)
             .when(has_generation & (has_make | has_model), 3).when(has_make, 2).when(bridge, 1).otherwise(0)
         )
-        return F.struct(rank.alias("rank"), (-i).alias("first"), make.alias("make"), model.alias("model"), generation.alias("generation"), F.coalesce(v["variant"], F.lit("")).alias("variant"))
+        return F.struct(rank.alias("rank"), v["first"].alias("first"), v["make"].alias("make"), v["model"].alias("model"), v["generation"].alias("generation"), v["variant"].alias("variant"))
 
-    vehicles = F.coalesce(c("vehicles"), F.expr("cast(array() as array<struct<make:string,model:string,generation:string,variant:string>>)"))
-    rows = rows.withColumns({"_makes": makes, "_models": models, "_generations": generations, "_mine": mine, "_around": around})
-    rows = rows.withColumn("_v", F.array_max(F.transform(vehicles, tiered)))
+    rows = rows.withColumn("_v", F.array_max(F.transform("_vehicles", tiered)))
     rows = rows.withColumn("_rank", F.coalesce(c("_v.rank"), F.lit(0)))
 
     def of_tier(h: Column) -> Column:
-        kind, name, rank = h["kind"], norm(h["name"]), c("_rank")
+        rank = c("_rank")
         return (
-            F.when(rank == 6, (kind == "variant") & variants_match(h["name"], c("_v.variant"), variant_aliases)).when(rank.isin(5, 3), (kind == "generation") & (name == c("_v.generation")))
-            .when(rank == 4, (kind == "model") & (name == c("_v.model")) | (kind == "make") & (name == c("_v.make"))).when(rank == 2, (kind == "make") & (name == c("_v.make"))).otherwise(False)
+            F.when(rank == 6, (h["kind"] == "variant") & (h["folded"] != "") & (h["folded"] == c("_v.variant"))).when(rank.isin(5, 3), (h["kind"] == "generation") & (h["name"] == c("_v.generation")))
+            .when(rank == 4, (h["kind"] == "model") & (h["name"] == c("_v.model")) | (h["kind"] == "make") & (h["name"] == c("_v.make"))).when(rank == 2, (h["kind"] == "make") & (h["name"] == c("_v.make"))).otherwise(False)
         )
 
-    rows = rows.withColumn("_said", F.transform(F.filter(hits, of_tier), lambda h: F.lower(F.coalesce(h["relevance"], F.lit("about")))))
+    rows = rows.withColumn("_said", F.transform(F.filter("_hits", of_tier), lambda h: h["said"]))
     said = c("_said")
     rows = rows.withColumn("_relevance", F.when((F.size(said) == 0) | F.array_contains(said, "about"), "about").when(F.array_contains(said, "relevant"), "relevant").otherwise("mentioned"))
     base = F.element_at(F.array(*[F.lit(0 if t == "none" else w[t]) for t in TIERS]), c("_rank") + 1)
     factor = F.when(c("_relevance") == "mentioned", w["mentioned"]).when(c("_relevance") == "relevant", w["relevant"]).otherwise(w["about"])
     rows = rows.withColumn("_points", js_round(base * factor).cast("long"))
-    rank, mine = c("_rank"), c("_mine")
-    tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), rank + 1)
-    matched = F.array_distinct(F.array_intersect(mine, norms(c("interests"))))
-    secondary, scenes = F.array_intersect(norms(c("categories")), mine), F.array_intersect(norms(c("scenes")), mine)
-    location = norm(c("user_location"))
-    outing = F.arrays_overlap(norms(c("content_types")), F.array(F.lit("event"), F.lit("road trip"))) | (norm(c("primary_category")) == "events") | F.arrays_overlap(norms(F.concat(c("categories"), c("interests"))), F.array(F.lit("events"), F.lit("road trips")))
-    there = (location != "") & outing & F.array_contains(norms(F.concat(c("locations"), c("geography"))), location)
-    fresh = recency_bonus(c("published_at"), now_ms, w)
-    fresh = F.when(rank <= 1, js_round(fresh * 0.35)).otherwise(fresh)
+    rank = c("_rank")
+    rows = rows.withColumns({"vehicle_tier": F.element_at(F.array(*[F.lit(t) for t in TIERS]), rank + 1), "_matched": F.array_distinct(F.array_intersect("_mine", "_interests"))})
+    matched, secondary, scenes = c("_matched"), F.array_intersect("_categories", "_mine"), F.array_intersect("_scenes", "_mine")
+    fresh = F.when(rank <= 1, js_round(c("_fresh") * 0.35)).otherwise(c("_fresh"))
     pick = F.coalesce(c("desk_pick"), F.lit(False))
     signal = lambda rule, kind, points, detail: F.when(rule, F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (points if isinstance(points, Column) else F.lit(points)).cast("long").alias("points"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
     signals = F.array(
-        signal(c("_points") > 0, F.concat(F.lit("vehicle."), tier), c("_points"), F.concat(c("_relevance"), F.lit(" "), tier, F.lit(" match"))),
+        signal(c("_points") > 0, F.concat(F.lit("vehicle."), c("vehicle_tier")), c("_points"), F.concat(c("_relevance"), F.lit(" "), c("vehicle_tier"), F.lit(" match"))),
         signal(F.size(matched) > 0, "interest", w["interest"], F.array_join(matched, " + ")),
         signal((F.size(secondary) > 0) & (F.size(matched) == 0), "interest.secondary", w["secondary"], F.array_join(secondary, " + ")),
         signal(F.size(scenes) > 0, "culture", w["culture"], F.array_join(scenes, " + ")),
         signal(F.lower(c("source_relevance")).startswith("excellent"), "editorial.quality", w["source"], "excellent source"),
         signal(F.length(F.coalesce(c("excerpt"), F.lit(""))) >= 180, "editorial.longform", w["longform"], "long teaser"),
-        signal(F.coalesce(there, F.lit(False)), "location", w["location"], location),
-        signal(c("published_at").isNotNull() & (recency_bonus(c("published_at"), now_ms, w) > 0), "freshness", fresh, "freshness"),
+        signal((c("_location") != "") & F.array_contains("_places", c("_location")), "location", w["location"], c("_location")),
+        signal(c("published_at").isNotNull() & (c("_fresh") > 0), "freshness", fresh, "freshness"),
         signal(pick, "desk", w["pick"], "desk pick"),
         signal(pick & (rank >= 2), "desk.relevant", w["pick_relevant"], "desk pick and vehicle"),
         signal((rank == 0) & (F.size(matched) == 0), "generic", w["generic"], "general"),
     )
     rows = rows.withColumn("signals", F.filter(signals, lambda s: s.isNotNull()))
-    return rows.withColumns({"score": F.aggregate("signals", F.lit(0).cast("long"), lambda a, s: a + s["points"]), "vehicle_tier": tier}).drop("_v", "_rank", "_said", "_relevance", "_points", "_makes", "_models", "_generations", "_mine", "_around")
+    rows = rows.withColumn("score", F.aggregate("signals", F.lit(0).cast("long"), lambda a, s: a + s["points"]))
+    return rows.drop(*[x for x in rows.columns if x.startswith("_")])
 
 
 BUCKETS = {"vehicle_match": ["vehicle."], "interest_match": ["interest"], "culture_match": ["culture"], "location_match": ["location"], "freshness": ["freshness"], "editorial_quality": ["editorial."], "desk_boost": ["desk"], "generic": ["generic"]}
@@ -222,10 +241,51 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*list_order())))
 
 
-def dedup_ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each duplicate group the best of the list; rows without a group all. Positions stay."""
-    grouped = rows.filter("coalesce(duplicate_group_id, '') != ''").withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "duplicate_group_id").orderBy("position"))).filter("_n = 1").drop("_n")
-    return grouped.unionByName(rows.filter("coalesce(duplicate_group_id, '') = ''"))
+def best_of_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each duplicate group of a list the best by list_order(); rows without a group all. Only groups are sorted, no list is."""
+    group = F.coalesce("duplicate_group_id", F.lit(""))
+    best = Window.partitionBy(*keys, "duplicate_group_id").orderBy(*list_order())
+    grouped = rows.filter(group != "").withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    return grouped.unionByName(rows.filter(group == ""))
+
+
+def cut_for_shaping(rows: DataFrame, keys: list[str], key: str, limit: int) -> DataFrame:
+    """The rows of each list that diversify() and prefer_images() may bring among its first `limit`, so that only these are numbered.
+
+    The first limit + 1 with an image, as many without one, and the best of each value of key: the row that
+    diversify() moves forward is one of those.
+    """
+    no_image = F.coalesce(F.col("image_url") == "", F.lit(True))
+    by_image = rows.withColumn("_no_image", no_image).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_no_image").orderBy(*list_order()))).filter(F.col("_n") <= limit + 1).drop("_n", "_no_image")
+    by_key = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, key).orderBy(*list_order()))).filter("_n = 1").drop("_n")
+    return by_image.unionByName(by_key).dropDuplicates([*keys, "id"])
+
+
+def personal_lists(articles: DataFrame, profiles: DataFrame, now_ms: int, limit: int = 80, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, key: str = "primary_category", w: dict = WEIGHTS) -> DataFrame:
+    """Snapshot rows of each profile's list: eligible articles are scored, banded, deduplicated, ordered, shaped and cut.
+
+    Articles with a reason of the eligibility gate (column `reason`, if there is one) and those of the band excluded
+    stay out. The scored rows are written once, with the columns that lists need: filters on them would otherwise be
+    pushed through the whole chain of scores and multiply it. Lists are cut by partial sorts before they are numbered.
+    """
+    articles = articles.filter("reason is null").drop("reason") if "reason" in articles.columns else articles
+    scored = with_band(with_relevance(score_personal(articles, profiles, now_ms, culture, variant_aliases, w), w), w)
+    columns = dict.fromkeys(["list_key", "id", "published_at", "image_url", "duplicate_group_id", key, "rank_score", "quality_band", "show_in_primary_feed", "vehicle_tier"])
+    scored = written(scored.select(*columns), "scored").filter("quality_band != 'excluded'")
+    best = cut_for_shaping(best_of_groups(scored, ["list_key"]), ["list_key"], key, limit)
+    shaped = prefer_images(diversify(ranked(best, ["list_key"]), ["list_key"], key), ["list_key"])
+    return top_lists(shaped, limit)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """As renumbered(), for lists of any length: ranges of a list are numbered in their own tasks, and begin where those before end."""
+    cut = [*(F.asc(k) for k in keys), *order]
+    dealt = written(rows.repartitionByRange(*cut).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = dealt.withColumn("position", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    joined = within.join(sized_broadcast(starts), [*keys, "_part"])
+    return joined.withColumn("position", (F.col("position") + F.col("_start")).cast("int")).select(*[c for c in rows.columns if c != "position"], "position")
 
 
 def renumbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -304,7 +364,7 @@ def rank_titles(profiles: DataFrame, titles: DataFrame, most: int = 4) -> DataFr
     """
     p = profiles.select("profile_id", norms(F.col("makes")).alias("_pm"), norms(F.col("interests")).alias("_pi"))
     score = F.when(F.arrays_overlap("_pm", norms(F.col("makes"))), 40).otherwise(0) + 12 * F.size(F.array_intersect("_pi", norms(F.col("interests")))) + F.coalesce("boost", F.lit(0))
-    rows = p.join(F.broadcast(titles), F.lit(True)).withColumn("score", score).filter("score > 0")
+    rows = p.join(sized_broadcast(titles), F.lit(True)).withColumn("score", score).filter("score > 0")
     order = Window.partitionBy("profile_id").orderBy(F.asc_nulls_last("curated_rank"), F.desc("score"), "slot")
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most).select("profile_id", "title_id", "score", "position")
 

@@ -39,13 +39,19 @@ def language_gate(spark, sf_dir):
     return a.select("id", tx.is_english(F.col("title"), F.col("excerpt")).alias("english"))
 
 
+#: Paths of articles, for each rule of the gate one at least.
+PATHS = ["news/a", "about", "shop/item", "contests/win", "tag/contact", "reviews/dealers", "category/news", "subscribe-now", "cars", "legal/a", "f1/galleries", "giveaways-2024", "deals/x", "classifieds/1", "sponsored/a", "news/b"]
+
+
 def _gated(spark, sf_dir):
-    part = F.element_at(F.array(*[F.lit(x) for x in ("news/a", "about", "shop/item", "competitions/win", "tag/contact", "reviews/used-cars", "category/news", "subscribe-now", "cars", "legal/a", "f1/galleries", "giveaways-2024")]), (F.col("id") % 12 + 1).cast("int"))
-    title = F.when(F.col("id") % 50 == 7, F.lit("Show us your car")).when(F.col("id") % 50 == 13, F.concat(F.lit("Tickets: "), F.col("title"), F.lit(" 20% off"))).otherwise(F.col("title"))
-    a = articles(spark, sf_dir)
-    host = F.when(F.col("id") % 17 == 0, F.lit("shop.")).when(F.col("id") % 19 == 0, F.lit("other-")).otherwise("")
-    url = F.concat(F.lit("https://"), host, F.col("publication"), F.lit(".example.com/"), part)
-    return a.withColumns({"title": title, "canonical_url": url, "url": url, "source_id": F.col("publication"), "source_url": F.concat(F.lit("https://www."), F.col("publication"), F.lit(".example.com/")), "desk_pick": F.col("id") % 23 == 0})
+    """Articles whose canonical and plain URL have paths, and now and then hosts, of their own."""
+    i, n = F.col("id"), len(PATHS)
+    part = lambda k: F.element_at(F.array(*[F.lit(x) for x in PATHS]), (k + 1).cast("int"))
+    title = F.when(i % 50 == 7, F.lit("Show us your car")).when(i % 50 == 13, F.concat(F.lit("Tickets: "), F.col("title"), F.lit(" 20% off"))).otherwise(F.col("title"))
+    host = lambda shop, other: F.when(i % shop == 0, F.lit("shop.")).when(i % other == 0, F.lit("other-")).otherwise("")
+    url = lambda host, path: F.concat(F.lit("https://"), host, F.col("publication"), F.lit(".example.com/"), path)
+    canonical, plain = url(host(17, 19), part(i % n)), url(host(29, 31), part(F.floor(i / n) * 5 % n))
+    return articles(spark, sf_dir).withColumns({"title": title, "canonical_url": F.when(i % 37 != 0, canonical), "url": plain, "source_id": F.col("publication"), "source_url": F.concat(F.lit("https://www."), F.col("publication"), F.lit(".example.com/")), "desk_pick": i % 23 == 0})
 
 
 def eligibility(spark, sf_dir):
@@ -80,7 +86,7 @@ def keep_best(spark, sf_dir):
 def merge_articles(spark, sf_dir):
     a = articles(spark, sf_dir).withColumns({"canonical_url": ur.canonicalize_url(F.col("url")), "image_url": F.when(F.col("id") % 3 == 0, "https://img.example.com/a.jpg").when(F.col("id") % 3 == 1, "/logo/x.png")})
     old = a.filter("id % 2 = 0").withColumn("n", F.row_number().over(ing.Window.partitionBy("canonical_url").orderBy("id"))).filter("n = 1").withColumns({"first_seen": F.lit(1).cast("long"), "last_seen": F.lit(1).cast("long")}).select("canonical_url", "title", "url", "image_url", "first_seen", "last_seen")
-    return ing.merge_articles(old, a.filter("id % 2 = 1 and id % 7 != 0"), 99)
+    return ing.merge_articles(old, a.filter("id % 2 = 1"), 99)
 
 
 def _runs(spark, sf_dir):
@@ -127,7 +133,7 @@ def _places(spark, sf_dir):
 
 
 def _related(spark, sf_dir):
-    return rel.related_articles(rel.relation_keys(_entities(spark, sf_dir), _places(spark, sf_dir)), articles(spark, sf_dir).filter("id % 11 != 0"))
+    return rel.related_articles(rel.relation_keys(_entities(spark, sf_dir), _places(spark, sf_dir)), articles(spark, sf_dir))
 
 
 def related_articles(spark, sf_dir):
@@ -186,20 +192,26 @@ _CANON = f"""(SELECT CASE WHEN w LIKE '%/' AND p <> '/' THEN substr(w, 1, length
 _DEC = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&nbsp;', ' ', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '\"', 'gi'), '&#39;|&apos;', '''', 'gi'), '&amp;', '&', 'gi')"
 _STRIP = "trim(regexp_replace(" + _DEC("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
 _NORM = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '&amp;', 'and', 'g'), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-_PARTS = "(['news/a', 'about', 'shop/item', 'competitions/win', 'tag/contact', 'reviews/used-cars', 'category/news', 'subscribe-now', 'cars', 'legal/a', 'f1/galleries', 'giveaways-2024'])[CAST(id % 12 + 1 AS INTEGER)]"
-_GATED = f"""g AS (SELECT *, 'https://' || CASE WHEN id % 17 = 0 THEN 'shop.' WHEN id % 19 = 0 THEN 'other-' ELSE '' END || publication || '.example.com/' || {_PARTS} AS canonical_url,
-    {_PARTS} AS part, CASE WHEN id % 50 = 7 THEN 'Show us your car' WHEN id % 50 = 13 THEN 'Tickets: ' || title || ' 20% off' ELSE title END AS t2 FROM articles)"""
-_REASON = """CASE WHEN id % 23 = 0 THEN NULL WHEN part = 'about' THEN 'about_page' WHEN part = 'legal/a' THEN 'corporate' WHEN id % 17 = 0 OR part = 'reviews/used-cars' THEN 'commerce'
-    WHEN part IN ('competitions/win', 'giveaways-2024') THEN 'competition'
-    WHEN regexp_matches(lower(t2 || ' ' || excerpt), '\\btickets?\\b') AND regexp_matches(lower(t2 || ' ' || excerpt), '\\b\\d+% off\\b') THEN 'ticket_sales' WHEN regexp_matches(lower(t2), '^\\s*show us (?:yer|your)\\b') THEN 'low_editorial_value'
-    WHEN NOT contains(part, '/') AND trim(t2) <> '' AND trim(t2) = trim(excerpt) THEN 'category_page' WHEN part = 'shop/item' THEN 'commerce'
-    WHEN part IN ('category/news', 'subscribe-now', 'cars', 'f1/galleries') OR id % 19 = 0 THEN CASE WHEN part = 'subscribe-now' THEN 'subscription' WHEN id % 19 = 0 THEN 'corporate' ELSE 'category_page' END END"""
+_SHOP, _OFF = {"c": "id % 17 = 0", "u": "id % 29 = 0"}, {"c": "(id % 17 <> 0 AND id % 19 = 0)", "u": "(id % 29 <> 0 AND id % 31 = 0)"}
+#: What the rules make of each path, by its place in PATHS.
+_FIRST = lambda p: f"WHEN {p} = 1 THEN 'about_page' WHEN {p} IN (9, 14) THEN 'corporate' WHEN {_SHOP[p]} OR {p} IN (5, 12) THEN 'commerce' WHEN {p} IN (3, 11) THEN 'competition'"
+_LAST = lambda p: f"WHEN {p} IN (6, 7, 8, 10, 13) OR {_SHOP[p]} OR {_OFF[p]} THEN CASE WHEN {p} IN (2, 5) OR {_SHOP[p]} THEN 'commerce' WHEN {p} = 7 THEN 'subscription' WHEN {_OFF[p]} THEN 'corporate' ELSE 'category_page' END"
+_PATH_LIST = "[" + ", ".join(f"'{p}'" for p in PATHS) + "]"
+_GATED = f"""g AS (SELECT *, CASE WHEN has THEN 'https://' || CASE WHEN {_SHOP["c"]} THEN 'shop.' WHEN {_OFF["c"]} THEN 'other-' ELSE '' END || publication || '.example.com/' || ({_PATH_LIST})[CAST(c0 + 1 AS INTEGER)] END AS canonical_url,
+    CASE WHEN has THEN c0 END AS c, CASE WHEN id % 50 = 7 THEN 'Show us your car' WHEN id % 50 = 13 THEN 'Tickets: ' || title || ' 20% off' ELSE title END AS t2
+    FROM (SELECT *, id % {len(PATHS)} AS c0, (id // {len(PATHS)}) * 5 % {len(PATHS)} AS u, id % 37 <> 0 AS has FROM articles))"""
+_WORDS = "lower(coalesce(t2, '') || ' ' || coalesce(excerpt, ''))"
+_REASON = f"""CASE WHEN id % 23 = 0 THEN NULL WHEN has THEN CASE {_FIRST("c")} ELSE CASE {_FIRST("u")} ELSE rest END END ELSE CASE {_FIRST("u")} ELSE rest END END"""
+_REST = f"""CASE WHEN regexp_matches({_WORDS}, '\\btickets?\\b') AND regexp_matches({_WORDS}, '\\b\\d+% off\\b') THEN 'ticket_sales' WHEN contains({_WORDS}, 'members only') THEN 'subscription'
+    WHEN regexp_matches(lower(t2), '^\\s*show us\\b') THEN 'low_editorial_value' WHEN (CASE WHEN has THEN c ELSE u END) IN (1, 7, 8, 11) AND trim(t2) <> '' AND trim(t2) = trim(excerpt) THEN 'category_page'
+    WHEN c = 2 OR u = 2 THEN 'commerce' WHEN has AND (CASE {_LAST("c")} END) IS NOT NULL THEN CASE {_LAST("c")} END {_LAST("u")} WHEN NOT has THEN 'category_page' END"""
+_GATED = f"{_GATED}, gr AS (SELECT *, {_REST} AS rest FROM g), gg AS (SELECT *, {_REASON} AS reason FROM gr)"
 _RUNS = "runs AS (SELECT o_orderkey AS id, 's' || (o_custkey % 78) AS source_id, epoch_us(o_orderdate) // 1000 AS started_at, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'ok' ELSE 'error' END AS status FROM orders), sources AS (SELECT 's' || s_suppkey AS id, s_nationkey % 4 <> 0 AS enabled FROM supplier)"
 _FOREIGN = ", ".join(f"len([x FOR x IN w IF x IN ({', '.join(repr(v) for v in words)})])" for words in tx.FOREIGN_WORDS.values())
 _EN = ", ".join(repr(v) for v in tx.ENGLISH_WORDS)
 _RELKEYS = """keys AS (SELECT DISTINCT article_id, lower(make) || '::' || lower(model) || '::' || CASE WHEN kind = 'generation' THEN lower(name) ELSE '' END AS key, CASE WHEN kind = 'generation' THEN 'same-generation' ELSE 'same-vehicle' END AS reason, CASE WHEN kind = 'generation' THEN 90 ELSE 80 END AS score
     FROM (SELECT p_partkey % 400 AS article_id, CASE p_size % 3 WHEN 0 THEN 'generation' WHEN 1 THEN 'model' ELSE 'make' END AS kind, p_brand AS make, 'M' || (p_size % 4) AS model, 'G' || (p_size % 5) AS name, p_partkey % 4 AS r FROM part) WHERE kind <> 'make' AND r <> 0
-    UNION SELECT s_suppkey * 7 % 400, CASE WHEN s_suppkey % 3 = 0 THEN 'circuit' ELSE 'event' END || '::p' || (s_nationkey % 6), 'same-event', 70 FROM supplier WHERE s_suppkey % 3 <> 2), kn AS (SELECT * FROM keys WHERE article_id IN (SELECT id FROM articles WHERE id % 11 <> 0)),
+    UNION SELECT s_suppkey * 7 % 400, CASE WHEN s_suppkey % 3 = 0 THEN 'circuit' ELSE 'event' END || '::p' || (s_nationkey % 6), 'same-event', 70 FROM supplier WHERE s_suppkey % 3 <> 2), kn AS (SELECT * FROM keys WHERE article_id IN (SELECT id FROM articles)),
     pr AS (SELECT a.article_id, b.article_id AS related_article_id, max(a.score) AS score FROM kn a JOIN kn b USING (key) WHERE a.article_id <> b.article_id GROUP BY 1, 2),
     rl AS (SELECT article_id, related_article_id, CASE score WHEN 90 THEN 'same-generation' WHEN 80 THEN 'same-vehicle' ELSE 'same-event' END AS reason, score, CAST(row_number() OVER (PARTITION BY article_id ORDER BY score DESC, related_article_id) AS INTEGER) AS position FROM pr QUALIFY position <= 5)"""
 _TX = "(' ' || lower(concat_ws(' ', coalesce(title, ''), coalesce(excerpt, ''))) || ' ')"
@@ -220,16 +232,16 @@ def _section_sql() -> str:
 
 _MERGE = f"""a AS (SELECT *, {_CANON} AS canonical_url, CASE id % 3 WHEN 0 THEN 'https://img.example.com/a.jpg' WHEN 1 THEN '/logo/x.png' END AS image_url FROM articles),
     o AS (SELECT * FROM a WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY id) = 1),
-    n AS (SELECT * FROM a WHERE id % 2 = 1 AND id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY title, url) = 1)"""
+    n AS (SELECT * FROM a WHERE id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY title, url) = 1)"""
 ORACLE_SQL = {
     "text_page_urls": f"SELECT page_id, {_CANON} AS canonical, regexp_replace({_HOST}, '^www\\.', '') AS host, {_LPATH} AS path, CAST(len([x FOR x IN string_split({_LPATH}, '/') IF x <> '']) AS BIGINT) AS depth, len([x FOR x IN string_split({_LPATH}, '/') IF x <> '']) = 2 AND string_split({_LPATH}, '/')[2] = 'category' AS category_index FROM pages",
     "text_strip_html": f"SELECT page_id, md5({_STRIP}) AS text_md5 FROM pages",
     "text_cap_summary": f"WITH s AS (SELECT page_id, {_STRIP} AS t FROM pages), c AS (SELECT *, substr(t, 1, 320) AS k FROM s), d AS (SELECT *, CASE WHEN contains(k, ' ') THEN length(k) - instr(reverse(k), ' ') ELSE -1 END AS sp FROM c) SELECT page_id, CASE WHEN length(t) <= 320 THEN t ELSE trim(CASE WHEN sp > 80 THEN substr(k, 1, sp) ELSE k END) || '…' END AS summary FROM d",
     "text_title_keys": with_sql(["articles"], f"SELECT id, {_NORM('title')} AS title_key, {_NORM('publication')} || '::' || {_NORM('title')} AS duplicate_key, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE id % 4 WHEN 0 THEN 20 WHEN 1 THEN 12 WHEN 2 THEN 6 ELSE 4 END + CASE WHEN length(coalesce(excerpt, '')) >= 180 THEN 8 ELSE 0 END AS editorial_score FROM articles"),
     "text_language_gate": with_sql(["articles"], f"WITH t AS (SELECT id, trim(coalesce(title, '') || ' ' || coalesce(excerpt, '')) AS x FROM articles), w AS (SELECT id, x, regexp_extract_all(lower(x), '\\p{{L}}+') AS w, len(regexp_extract_all(x, '{tx._ACCENTED}')) AS ac FROM t), h AS (SELECT *, len([v FOR v IN w IF v IN ({_EN})]) AS en, greatest({_FOREIGN}) AS f FROM w) SELECT id, x = '' OR len(w) = 0 OR NOT (f >= 4 OR f >= 3 AND f >= en OR f >= 2 AND en = 0 OR ac >= 8 OR ac >= 5 AND f >= 2) AS english FROM h"),
-    "gate_eligibility": with_sql(["articles"], f"WITH {_GATED} SELECT id, canonical_url, {_REASON} AS reason FROM g"),
-    "gate_purge_report": with_sql(["articles"], f"WITH {_GATED} SELECT CASE WHEN part = 'shop/item' THEN 'merch' ELSE 'listing' END AS purge_reason, count(*) AS n FROM g WHERE part IN ('shop/item', 'subscribe-now') GROUP BY 1"),
-    "ingest_summary": with_sql(["articles"], f"WITH {_GATED}, r AS (SELECT *, {_REASON} AS reason, lang = 'en' AS english FROM g) SELECT publication AS source_id, count(*) AS fetched, count(CASE WHEN english AND reason IS NULL THEN 1 END) AS inserted, count(CASE WHEN NOT english THEN 1 END) AS skipped_language, count(CASE WHEN english AND reason = 'commerce' THEN 1 END) AS skipped_merch, count(CASE WHEN english AND reason <> 'commerce' THEN 1 END) AS skipped_non_editorial FROM r GROUP BY 1"),
+    "gate_eligibility": with_sql(["articles"], f"WITH {_GATED} SELECT id, canonical_url, reason FROM gg"),
+    "gate_purge_report": with_sql(["articles"], f"WITH {_GATED} SELECT CASE WHEN u = 2 THEN 'merch' ELSE 'listing' END AS purge_reason, count(*) AS n FROM g WHERE u IN (2, 7, 13) GROUP BY 1"),
+    "ingest_summary": with_sql(["articles"], f"WITH {_GATED}, r AS (SELECT *, lang = 'en' AS english FROM gg) SELECT publication AS source_id, count(*) AS fetched, count(CASE WHEN english AND reason IS NULL THEN 1 END) AS inserted, count(CASE WHEN NOT english THEN 1 END) AS skipped_language, count(CASE WHEN english AND reason = 'commerce' THEN 1 END) AS skipped_merch, count(CASE WHEN english AND reason <> 'commerce' THEN 1 END) AS skipped_non_editorial FROM r GROUP BY 1"),
     "ingest_cap_per_source": with_sql(["articles"], "SELECT publication AS source_id, id AS feed_pos FROM articles QUALIFY row_number() OVER (PARTITION BY publication ORDER BY id) <= CASE WHEN publication = 'src0' THEN 3 ELSE 8 END"),
     "ingest_duplicate_groups": with_sql(["articles"], f"SELECT id, nullif({_NORM('title')}, '') AS duplicate_group_id FROM articles"),
     "rank_keep_best": with_sql(["articles"], f"WITH k AS (SELECT id, lang, published_at, nullif({_NORM('title')}, '') AS duplicate_group_id FROM articles) SELECT id, lang, duplicate_group_id FROM k QUALIFY duplicate_group_id IS NULL OR row_number() OVER (PARTITION BY lang, duplicate_group_id ORDER BY published_at DESC, id) = 1"),

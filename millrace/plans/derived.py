@@ -40,19 +40,19 @@ def engagement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article per document; the title is its first line."""
+    """One article per document; the title is its first line, the excerpt its whole text."""
     d = read(spark, sf_dir, "documents")
     first = F.substring_index("text", "\n", 1)
     return d.select(
-        F.col("doc_id").alias("id"), F.col("source").alias("publication"), F.substring(first, 1, 90).alias("title"),
+        F.col("doc_id").alias("id"), F.col("source").alias("publication"), first.alias("title"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"), F.lit("/story-"), (F.col("doc_id") % 700).cast("string"), F.when(F.col("doc_id") % 5 == 0, "?utm_source=feed").otherwise("")).alias("url"),
-        F.substring("text", 1, 240).alias("excerpt"), (F.lit(1_704_067_200_000) + F.col("doc_id") * 3_600_000).alias("published_at"), "lang", "n_chars",
+        F.col("text").alias("excerpt"), (F.lit(1_704_067_200_000) + F.col("doc_id") * 3_600_000).alias("published_at"), "lang", "n_chars",
     )
 
 
 def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(article_id, dim_kind, dim_value) for articles 1 to 100, from part."""
-    p = read(spark, sf_dir, "part").filter("p_partkey between 1 and 100")
+    """(article_id, dim_kind, dim_value), from part."""
+    p = read(spark, sf_dir, "part")
     known = F.array(*[F.lit(x) for x in INTERESTS])
     interest = lambda k: F.element_at(known, (F.col("p_partkey") * k % len(INTERESTS) + 1).cast("int"))
     rows = p.select(F.col("p_partkey").alias("article_id"), F.explode(F.array(
@@ -77,14 +77,14 @@ SQL_TABLES = {
         WHERE event IN ('impression', 'story_open', 'outbound', 'save', 'share', 'interested', 'less_like_this') AND article_id IS NOT NULL""",
     "firsts": """SELECT visitor_key, min(coalesce(day_utc, own_day)) AS first_day FROM ev WHERE event = 'impression' AND article_id IS NOT NULL GROUP BY 1""",
     "dims": f"""SELECT DISTINCT article_id, dim_kind, dim_value FROM (
-        SELECT p_partkey AS article_id, 'interest' AS dim_kind, ([{_KNOWN}])[CAST(p_partkey * 3 % {len(INTERESTS)} + 1 AS INTEGER)] AS dim_value FROM part WHERE p_partkey BETWEEN 1 AND 100
-        UNION ALL SELECT p_partkey, 'interest', ([{_KNOWN}])[CAST(p_partkey * 7 % {len(INTERESTS)} + 1 AS INTEGER)] FROM part WHERE p_partkey BETWEEN 1 AND 100
-        UNION ALL SELECT p_partkey, 'marque', p_brand FROM part WHERE p_partkey BETWEEN 1 AND 100
-        UNION ALL SELECT p_partkey, 'category', p_type FROM part WHERE p_partkey BETWEEN 1 AND 100
-        UNION ALL SELECT p_partkey, 'publisher', 'src' || (p_partkey % 20) FROM part WHERE p_partkey BETWEEN 1 AND 100)""",
-    "articles": """SELECT doc_id AS id, source AS publication, substr(string_split(text, chr(10))[1], 1, 90) AS title,
+        SELECT p_partkey AS article_id, 'interest' AS dim_kind, ([{_KNOWN}])[CAST(p_partkey * 3 % {len(INTERESTS)} + 1 AS INTEGER)] AS dim_value FROM part
+        UNION ALL SELECT p_partkey, 'interest', ([{_KNOWN}])[CAST(p_partkey * 7 % {len(INTERESTS)} + 1 AS INTEGER)] FROM part
+        UNION ALL SELECT p_partkey, 'marque', p_brand FROM part
+        UNION ALL SELECT p_partkey, 'category', p_type FROM part
+        UNION ALL SELECT p_partkey, 'publisher', 'src' || (p_partkey % 20) FROM part)""",
+    "articles": """SELECT doc_id AS id, source AS publication, string_split(text, chr(10))[1] AS title,
         'https://' || source || '.example.com/' || lang || '/story-' || (doc_id % 700) || CASE WHEN doc_id % 5 = 0 THEN '?utm_source=feed' ELSE '' END AS url,
-        substr(text, 1, 240) AS excerpt, 1704067200000 + doc_id * 3600000 AS published_at, lang, n_chars FROM documents""",
+        text AS excerpt, 1704067200000 + doc_id * 3600000 AS published_at, lang, n_chars FROM documents""",
 }
 _NEEDS = {"touches": ["ev"], "firsts": ["ev"]}
 
