@@ -1,45 +1,20 @@
-"""Helpers that several operators of this package use: scratch tables, size checks, row ids."""
+"""Helpers that several operators of this package use: tables, row ids, and what the library has for stored tables and their sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: A side is broadcast only if its measured size is under this.
-BROADCAST_BYTES = 32 << 20
+from millrace.storage import BROADCAST_BYTES, measured_bytes, renamed, scratch, sized_broadcast, written
+
+__all__ = ["BROADCAST_BYTES", "measured_bytes", "renamed", "row_ids", "scan_ids", "scratch", "sized_broadcast", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder. Only a local session without that setting gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """The rows as a table in the shared folder: the lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    seen = Observation()
-    df.observe(seen, _row_bytes(df).alias("bytes")).write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_bytes = int(seen.get["bytes"] or 0)
-    return out
-
-
 def row_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
     """docs with a long that tells repeated rows apart. The rows are written with it once, so every later job reads the same."""
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
@@ -61,43 +36,3 @@ def scan_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
         return row_ids(docs, name)
     numbered = docs.withColumns({"_file": file, name: F.col("_metadata.row_index")}).join(F.broadcast(files), "_file")
     return numbered.withColumn(name, F.shiftleft("_number", 40) + F.col(name)).drop("_file", "_number")
-
-
-def _width(column: Column, kind: DataType) -> Column:
-    """The bytes of a value in memory, about."""
-    if isinstance(kind, (StringType, BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(24)
-    if isinstance(kind, ArrayType):
-        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)):
-            return F.coalesce(F.aggregate(column, F.lit(32).cast("long"), lambda total, x: total + _width(x, kind.elementType)), F.lit(32))
-        return F.greatest(F.size(column), F.lit(0)) * F.lit(8) + F.lit(32)
-    if isinstance(kind, StructType):
-        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
-    if isinstance(kind, MapType):
-        return _width(F.map_keys(column), ArrayType(kind.keyType)) + _width(F.map_values(column), ArrayType(kind.valueType))
-    return F.lit(16)
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    """An aggregate: the size of the rows in memory, about."""
-    widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
-    return F.sum(sum(widths, F.lit(16)).cast("long"))
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """The size of the rows in memory, about: as it was counted when they were written, or by one pass over them."""
-    stored = getattr(df, "stored_bytes", None)
-    return (df.agg(_row_bytes(df)).first()[0] or 0) if stored is None else stored
-
-
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if the measured size of its rows is small; otherwise as it is, and Spark shuffles both sides."""
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
-
-
-def renamed(df: DataFrame, **names: str) -> DataFrame:
-    """df with some columns renamed; what is known of its size stays known."""
-    out = df.withColumnsRenamed(names)
-    if hasattr(df, "stored_bytes"):
-        out.stored_bytes = df.stored_bytes
-    return out
