@@ -357,6 +357,11 @@ def reader_overlay(rows: DataFrame, signals: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "delta")
 
 
+def top_pool(rows: DataFrame, size: int = 80) -> DataFrame:
+    """The best rows over all lists, numbered: partial sorts in all tasks, then one of `size` rows."""
+    return rows.orderBy(*list_order()).limit(size).withColumn("position", F.row_number().over(Window.orderBy(*list_order())))
+
+
 def rank_titles(profiles: DataFrame, titles: DataFrame, most: int = 4) -> DataFrame:
     """Per profile the print titles that fit: +40 for a shared make, +12 a shared interest; curated order first; score above 0.
 

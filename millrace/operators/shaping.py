@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Sections that stand next to each other.
 ADJACENT = {"cars": ["culture", "driving"], "culture": ["cars", "events"], "driving": ["cars", "motorsport"], "motorsport": ["driving", "events"], "events": ["culture", "driving"]}
 
+#: Why a story is offered, the best reason first.
+REASONS = ["shared-topic", "same-marque", "same-category", "user-interest", "adjacent-category", "editorial"]
+
 
 def spread_media(rows: DataFrame, keys: list[str], limit: int, max_share: float = 0.25, max_run: int = 1) -> DataFrame:
     """The first `limit` of each list (position, is_video), videos let in only while they hold their share and run.
@@ -120,35 +123,39 @@ def opening_picks(rows: DataFrame, key: str, n: int, pool: int = 80) -> DataFram
 def keep_exploring(articles: DataFrame, pool: DataFrame, interests: list[str] = (), most: int = 6, least: int = 2, size: int = 80) -> DataFrame:
     """For each article up to six picks from the pool: shared topic, same make, same section, own interest, next section, any.
 
-    pool is cut to its first `size` rows by position, and goes to every task; a group has that many rows at most.
+    The first `size` rows of the pool by position, a bounded list, go to every task; articles are judged where they are.
     """
-    pool = pool.filter(F.col("position") <= size)
-    adjacent = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(v) for v in x]) for pair in ADJACENT.items() for x in pair])
-    p = pool.select(F.col("id").alias("pick"), F.col("position").alias("pos"), F.col("interests").alias("pi"), F.col("makes").alias("pm"), F.col("primary_category").alias("ps"), F.col("duplicate_group_id").alias("subject"))
-    a = articles.select("id", "interests", "makes", "primary_category", F.col("duplicate_group_id").alias("own"))
-    rows = a.join(F.broadcast(p), F.col("id") != F.col("pick"))
-    shared = F.size(F.array_intersect("interests", "pi"))
-    reason = (
-        F.when(shared > 0, "shared-topic").when(F.arrays_overlap("makes", "pm"), "same-marque").when(F.col("primary_category") == F.col("ps"), "same-category")
-        .when(F.arrays_overlap("pi", F.array(*[F.lit(x) for x in interests]).cast("array<string>")), "user-interest")
-        .when(F.coalesce(F.array_contains(F.try_element_at(adjacent, F.col("primary_category")), F.col("ps")), F.lit(False)), "adjacent-category").otherwise("editorial")
-    )
-    rows = rows.select("id", "own", "pick", "pos", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce(F.try_element_at("pm", F.lit(1)), F.lit("")).alias("make"), reason.alias("reason"), shared.alias("shared"))
-    order = ["shared-topic", "same-marque", "same-category", "user-interest", "adjacent-category", "editorial"]
-
-    def shape(group: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        own = group.own.iloc[0]
-        subjects = {own} if own else set()
-        picks: list[tuple] = []
-        for why in order:
-            part = group[group.reason == why].sort_values(["shared", "pos"] if why == "shared-topic" else ["pos"], ascending=[False, True] if why == "shared-topic" else True)
-            listed = part.rename(columns={"id": "article"}).rename(columns={"pick": "id"}).to_dict("records")
-            picks += [(r["id"], why) for r in take_diverse(listed, most - len(picks), used, subjects)]
-        article = group["id"].iloc[0]
-        return pd.DataFrame([(article, i + 1, pick, why) for i, (pick, why) in enumerate(picks)] if len(picks) >= least else [], columns=["article_id", "slot", "pick_id", "reason"])
-
-    return rows.groupBy("id").applyInPandas(shape, "article_id long, slot int, pick_id long, reason string")
+    listed = pool.filter(F.col("position") <= size).select("id", "position", "interests", "makes", "primary_category", F.coalesce("duplicate_group_id", F.lit("")).alias("subject")).orderBy("position").limit(size).collect()
+    picks = [{"id": r.id, "interests": set(r.interests or ()), "makes": set(r.makes or ()), "section": r.primary_category, "subject": r.subject, "make": (r.makes or [""])[0]} for r in listed]
+    wanted = set(interests)
+
+    def reason(row, pick: dict) -> tuple[int, int]:
+        """(rank of the reason, shared topics)."""
+        shared = len(set(row.interests if row.interests is not None else ()) & pick["interests"])
+        rules = [
+            shared > 0, bool(set(row.makes if row.makes is not None else ()) & pick["makes"]), row.primary_category is not None and row.primary_category == pick["section"], bool(pick["interests"] & wanted),
+            pick["section"] in ADJACENT.get(row.primary_category, ()), True,
+        ]
+        return rules.index(True), shared
+
+    def judge(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                judged = [(reason(row, p), p) for p in picks if p["id"] != row.id]
+                used: set = set()
+                subjects = {row.own} if row.own else set()
+                found: list[tuple] = []
+                for rank, why in enumerate(REASONS):
+                    part = [(shared, p) for (r, shared), p in judged if r == rank]
+                    part = sorted(part, key=lambda x: -x[0]) if rank == 0 else part
+                    found += [(p["id"], why) for p in take_diverse([p for _, p in part], most - len(found), used, subjects)]
+                if len(found) >= least:
+                    out += [(row.id, i + 1, pick, why) for i, (pick, why) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["article_id", "slot", "pick_id", "reason"])
+
+    rows = articles.select("id", "interests", "makes", "primary_category", F.col("duplicate_group_id").alias("own"))
+    return rows.mapInPandas(judge, "article_id long, slot int, pick_id long, reason string")
 
 
 def home_lead(lanes: DataFrame, key: str, reserved: DataFrame) -> DataFrame:
@@ -157,3 +164,25 @@ def home_lead(lanes: DataFrame, key: str, reserved: DataFrame) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.when(F.col("lane") == "car", 0).otherwise(1), "slot")
     rows = rows.withColumn("n", F.row_number().over(order)).filter("n <= 2")
     return rows.select(key, F.when(F.col("n") == 1, "hero").otherwise("lead").alias("place"), "id")
+
+
+def rail_openers(rails: DataFrame, key: str, openers: DataFrame) -> DataFrame:
+    """One opener for each rail of a page, in the order of the rails, that no opener or earlier rail shows; by publication too, while one is left.
+
+    rails: key, rail (its place), position, id, publication; each rail cut to a fixed pool by the caller. openers: key, id, publication.
+    """
+    kind = dict(rails.dtypes)
+
+    def shape(page: tuple, listed: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
+        ids, publications, out = set(opened.id), set(opened.publication), []
+        for rail, rows in listed.sort_values(["rail", "position"]).groupby("rail", sort=True):
+            for unique in (True, False):
+                pick = next((r for r in rows.itertuples() if r.id not in ids and not (unique and r.publication in publications)), None)
+                if pick is not None:
+                    ids.add(pick.id)
+                    publications.add(pick.publication)
+                    out.append((page[0], rail, pick.id))
+                    break
+        return pd.DataFrame(out, columns=[key, "rail", "id"])
+
+    return rails.groupBy(key).cogroup(openers.select(key, "id", "publication").groupBy(key)).applyInPandas(shape, f"{key} {kind[key]}, rail {kind['rail']}, id {kind['id']}")

@@ -36,8 +36,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One profile per nation of the region 0 to 4, from customer data's nations."""
-    n = read(spark, sf_dir, "nation").filter("n_nationkey < 6")
+    """One profile per nation."""
+    n = read(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     vehicle = lambda j: F.struct(_nth(MAKES, k + j, 1).alias("make"), F.concat(F.lit("M"), ((k + j) % 7).cast("string")).alias("model"), F.when(k % 2 == 0, "G1").alias("generation"), F.when(k % 3 == 0, "gt3").alias("variant"))
     return n.select(F.concat(F.lit("p"), k.cast("string")).alias("list_key"), F.array(vehicle(0), vehicle(2)).alias("vehicles"), F.array(_nth(TOPICS, k, 1)).alias("user_interests"), F.when(k % 2 == 1, "london").alias("user_location"))
@@ -48,10 +48,11 @@ def default_scores(spark, sf_dir):
     return a.select("id", rk.default_score(F.col("source_relevance"), F.col("published_at"), F.col("excerpt"), F.col("desk_pick"), NOW).cast("long").alias("score"))
 
 
+CULTURE = {"Lotus": ["Tuning", "Rally"]}
+
+
 def _scored(spark, sf_dir):
-    # a handful of profiles meets every article: the profiles are the small side, by their fixed number
-    rows = features(spark, sf_dir).join(F.broadcast(profiles(spark, sf_dir)))
-    return rk.with_band(rk.with_relevance(rk.score_personal(rows, NOW, {"Lotus": ["Tuning", "Rally"]})))
+    return rk.with_band(rk.with_relevance(rk.score_personal(features(spark, sf_dir), profiles(spark, sf_dir), NOW, CULTURE)))
 
 
 def personal_scores(spark, sf_dir):
@@ -59,27 +60,33 @@ def personal_scores(spark, sf_dir):
 
 
 def ranked_lists(spark, sf_dir):
-    rows = _scored(spark, sf_dir).filter("quality_band != 'excluded'")
-    shaped = rk.prefer_images(rk.diversify(rk.dedup_ranked(rk.ranked(rows, ["list_key"]), ["list_key"]), ["list_key"], "primary_category"), ["list_key"])
-    return rk.top_lists(shaped)
+    return rk.personal_lists(features(spark, sf_dir), profiles(spark, sf_dir), NOW, 80, CULTURE)
 
 
-def _default_list(spark, sf_dir):
+def _default_rows(spark, sf_dir):
     rows = features(spark, sf_dir).withColumn("rank_score", rk.default_score(F.col("source_relevance"), F.col("published_at"), F.col("excerpt"), F.col("desk_pick"), NOW).cast("long"))
-    rows = rows.withColumns({"quality_band": F.when(F.col("desk_pick"), "featured").otherwise("eligible"), "show_in_primary_feed": F.lit(True), "vehicle_tier": F.lit("none"), "list_key": F.col("lang")})
-    return rk.ranked(rows, ["list_key"])
+    return rows.withColumns({"quality_band": F.when(F.col("desk_pick"), "featured").otherwise("eligible"), "show_in_primary_feed": F.lit(True), "vehicle_tier": F.lit("none"), "list_key": F.col("lang")})
+
+
+def _default_list(spark, sf_dir):
+    return rk.ranked(_default_rows(spark, sf_dir), ["list_key"])
 
 
 def default_lists(spark, sf_dir):
-    return rk.top_lists(rk.dedup_ranked(_default_list(spark, sf_dir), ["list_key"]), 80)
+    best = rk.best_of_groups(_default_rows(spark, sf_dir), ["list_key"])
+    return rk.top_lists(rk.ranked(best, ["list_key"]), 80)
 
 
 def image_first(spark, sf_dir):
-    return rk.prefer_images(_default_list(spark, sf_dir), ["list_key"]).select("list_key", "id", "position")
+    rows = _default_rows(spark, sf_dir).select("list_key", "id", "image_url", "quality_band", "rank_score", "published_at")
+    order = [F.col("image_url").isNull() | (F.col("image_url") == ""), *rk.list_order()]
+    return rk.numbered(rows, ["list_key"], order).select("list_key", "id", "position")
 
 
 def diversified(spark, sf_dir):
-    rows = _default_list(spark, sf_dir).withColumn("make", F.when(F.col("position") <= 7, F.lit("Alfa")).otherwise(_nth(MAKES, F.col("position"), 1)))
+    rows = _default_rows(spark, sf_dir).select("list_key", "id", "quality_band", "rank_score", "published_at")
+    rows = rk.numbered(rows, ["list_key"], rk.list_order())
+    rows = rows.withColumn("make", F.when(F.col("position") <= 7, F.lit("Alfa")).otherwise(_nth(MAKES, F.col("position"), 1)))
     return rk.diversify(rows, ["list_key"], "make").select("list_key", "id", "position")
 
 
@@ -88,20 +95,20 @@ def media_mix(spark, sf_dir):
 
 
 def section_rails(spark, sf_dir):
-    rows = _default_list(spark, sf_dir)
-    rows = rk.renumbered(rows, ["primary_category"], rk.list_order())
+    rows = rk.renumbered(_default_rows(spark, sf_dir), ["primary_category"], rk.list_order())
     featured = rows.filter("id % 4 = 0").select("id")
-    return rk.section_rails(rows, featured).select("primary_category", "id", "position")
+    return rk.section_rails(rows.filter("position <= 12"), featured).select("primary_category", "id", "position")
 
 
 def reader_overlay(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("user_id < 12")
+    """The articles that each visitor came across, ordered anew by the visitor's own marks."""
     k = F.get_json_object("props", "$.k").cast("long")
-    ids = lambda t: F.array_sort(F.collect_set(F.when(F.col("event_type") == t, k)))
-    signals = e.groupBy(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("visitor_key")).agg(F.slice(ids("purchase"), 1, 3).alias("interested_ids"), F.slice(ids("error"), 1, 2).alias("less_ids"), F.slice(ids("click"), 1, 2).alias("saved_ids"), F.slice(ids("view"), 1, 2).alias("recent_ids"))
-    pool = _default_list(spark, sf_dir).filter("id < 100").select("id", "makes", "interests", "rank_score")
-    pool = rk.renumbered(pool, [], [F.desc("rank_score"), F.asc("id")])
-    rows = pool.join(F.broadcast(signals.select("visitor_key")))
+    seen = read(spark, sf_dir, "events").select(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("visitor_key"), "event_type", k.alias("id"))
+    ids = lambda t: F.array_sort(F.collect_set(F.when(F.col("event_type") == t, F.col("id")))).alias(t)
+    signals = seen.groupBy("visitor_key").agg(ids("purchase"), ids("error"), ids("click"), ids("signup")).toDF("visitor_key", "interested_ids", "less_ids", "saved_ids", "recent_ids")
+    pool = _default_rows(spark, sf_dir).select("id", "makes", "interests", "rank_score")
+    rows = seen.select("visitor_key", "id").distinct().join(pool, "id")
+    rows = rk.renumbered(rows, ["visitor_key"], [F.desc("rank_score"), F.asc("id")])
     return rk.reader_overlay(rows, signals).select("visitor_key", "id", "delta", "rank_score", "position")
 
 
@@ -117,8 +124,8 @@ def opening_picks(spark, sf_dir):
 
 
 def keep_exploring(spark, sf_dir):
-    rows = rk.renumbered(_default_list(spark, sf_dir), [], rk.list_order())
-    return sh.keep_exploring(rows, rows, ["Rally"])
+    rows = _default_rows(spark, sf_dir)
+    return sh.keep_exploring(rows, rk.top_pool(rows), ["Rally"])
 
 
 QUERIES = {
@@ -134,17 +141,43 @@ _ORDER = "CASE WHEN id % 40 = 0 THEN 1 ELSE 0 END DESC, score DESC, published_at
 _L = f"{_F}, l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_ORDER}) AS pos FROM f)"
 _MAKES = ", ".join(f"'{m}'" for m in MAKES)
 _TOPICS = ", ".join(f"'{m}'" for m in TOPICS)
+#: Scores of every article for every profile, restated from the ids that features and profiles are made of.
+_PERSONAL = f"""a0 AS (SELECT id, published_at, length(coalesce(excerpt, '')) >= 180 AS long, id % 3 <> 0 AS has, (id // 2) % 4 AS topic, (id // 3) % 3 AS cat, id % 40 = 0 AS pick, CASE WHEN id % 9 <> 0 THEN 'g' || (id % 300) END AS grp,
+        (['cars', 'culture', 'driving', 'motorsport', 'events', 'news'])[CAST(id % 6 + 1 AS INTEGER)] AS section, CAST(floor(10 * pow(0.5, greatest(0.0, ({NOW} - published_at) / 86400000.0) / 12) + 0.5) AS BIGINT) AS fresh FROM articles),
+    v0 AS (SELECT a0.*, n_nationkey AS k, j, has AND id % 5 = (n_nationkey + j) % 5 AS hm, id % 4 = 0 AND id % 7 = (n_nationkey + j) % 7 AS ho, n_nationkey % 2 = 0 AND id % 8 = 0 AS hg, n_nationkey % 3 = 0 AND id % 16 = 0 AS hv,
+        (n_nationkey + j) % 5 = 3 AND (n_nationkey % 4 <> 0 AND (id % 2 = 0 AND topic = 0 OR id % 5 = 0) OR n_nationkey % 4 <> 2 AND id % 2 = 0 AND topic = 2) AS bridge FROM a0, nation, (VALUES (0), (2)) AS t(j)),
+    v1 AS (SELECT *, CASE WHEN hm AND ho AND hv THEN 6 WHEN hm AND ho AND hg THEN 5 WHEN hm AND ho THEN 4 WHEN hg AND (hm OR ho) THEN 3 WHEN hm THEN 2 WHEN bridge THEN 1 ELSE 0 END AS r FROM v0),
+    v2 AS (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY r DESC, j) = 1),
+    v3 AS (SELECT *, id % 2 = 0 AND topic = k % 4 AS hit, CAST(floor(([0, 16, 48, 72, 95, 110, 130])[r + 1] * CASE WHEN r IN (2, 4) AND id % 7 = 1 THEN 0.32 WHEN r IN (2, 4) AND id % 7 = 2 THEN 0.72 ELSE 1.0 END + 0.5) AS BIGINT) AS vehicle FROM v2),
+    v4 AS (SELECT *, CASE WHEN hit THEN 20 WHEN k % 4 = 1 AND cat = 2 THEN 9 ELSE 0 END AS interest, CASE WHEN id % 5 = 0 AND k % 4 = 0 THEN 8 ELSE 0 END AS culture, CASE WHEN id % 3 = 0 THEN 12 ELSE 0 END + CASE WHEN long THEN 8 ELSE 0 END AS editorial,
+        CASE WHEN k % 2 = 1 AND id % 6 = 0 AND (id % 10 = 0 OR cat = 0) THEN 11 ELSE 0 END AS place, CASE WHEN fresh > 0 THEN CASE WHEN r <= 1 THEN CAST(floor(fresh * 0.35 + 0.5) AS BIGINT) ELSE fresh END ELSE 0 END AS new,
+        CASE WHEN pick THEN 8 + CASE WHEN r >= 2 THEN 10 ELSE 0 END ELSE 0 END AS desk, CASE WHEN r = 0 AND NOT hit THEN 3 ELSE 0 END AS generic,
+        CASE WHEN has OR id % 4 = 0 THEN 12 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 6 ELSE 0 END + CASE WHEN section = 'news' THEN 0 ELSE 8 END + CASE WHEN id % 7 IN (1, 2) THEN 0 ELSE 3 END AS auto FROM v3),
+    v5 AS (SELECT *, auto + CASE id % 3 WHEN 0 THEN 40 WHEN 1 THEN 20 ELSE 8 END AS own, vehicle + interest + culture + place AS usr, vehicle + interest + culture + place + editorial + new + desk + generic AS sc FROM v4),
+    v6 AS (SELECT *, own + editorial + desk + CASE WHEN own < 40 THEN generic ELSE 0 END AS platform FROM v5),
+    v7 AS (SELECT *, CASE WHEN pick THEN 'featured' WHEN (section = 'news' OR generic > 0) AND NOT has AND id % 4 <> 0 AND vehicle = 0 AND interest = 0 AND platform < 40 AND usr < 40 THEN 'excluded' WHEN platform < 28 AND usr < 40 THEN 'excluded'
+        WHEN platform >= 56 AND auto >= 12 AND editorial >= 8 THEN 'featured' WHEN platform >= 40 OR usr >= 40 THEN 'eligible' ELSE 'deprioritised' END AS quality_band FROM v6),
+    b3 AS (SELECT 'p' || k AS list_key, id, published_at, grp, section, CAST(sc AS BIGINT) AS score, ([{", ".join(f"'{t}'" for t in rk.TIERS)}])[r + 1] AS vehicle_tier, CAST(platform AS BIGINT) AS platform_relevance, CAST(usr AS BIGINT) AS user_relevance, quality_band,
+        CAST(greatest(0, sc - CASE WHEN quality_band = 'deprioritised' THEN 18 ELSE 0 END) AS BIGINT) AS rank_score FROM v7)"""
 ORACLE_SQL = {
     "rank_default_scores": with_sql(["articles"], f"WITH {_F} SELECT id, CAST(score AS BIGINT) AS score FROM f"),
     "rank_default_lists": with_sql(["articles"], f"WITH {_L}, d AS (SELECT * FROM l QUALIFY grp IS NULL OR row_number() OVER (PARTITION BY lang, grp ORDER BY pos) = 1), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY pos) AS INTEGER) AS p FROM d) SELECT lang AS list_key, p - 1 AS position, id AS article_id, CAST(score AS BIGINT) AS score, CASE WHEN id % 40 = 0 THEN 'featured' ELSE 'eligible' END AS quality_band, true AS show_in_primary_feed, 'none' AS vehicle_tier FROM n WHERE p <= 80"),
     "rank_image_first": with_sql(["articles"], f"WITH {_L} SELECT lang AS list_key, id, CAST(row_number() OVER (PARTITION BY lang ORDER BY NOT has_image, pos) AS INTEGER) AS position FROM l"),
     "rank_diversified": with_sql(["articles"], f"WITH {_L}, m AS (SELECT lang, id, pos, CASE WHEN pos <= 7 THEN 'Alfa' ELSE ([{_MAKES}])[CAST(pos % 5 + 1 AS INTEGER)] END AS make FROM l), w AS (SELECT *, min(CASE WHEN pos > 5 AND make <> 'Alfa' THEN pos END) OVER (PARTITION BY lang) AS sw FROM m) SELECT lang AS list_key, id, CAST(CASE WHEN sw IS NULL THEN pos WHEN pos = sw THEN 5 WHEN pos >= 5 AND pos < sw THEN pos + 1 ELSE pos END AS INTEGER) AS position FROM w"),
     "rank_section_rails": with_sql(["articles"], f"WITH {_F}, l AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY {_ORDER}) AS pos FROM f), p AS (SELECT section, id, CAST(row_number() OVER (PARTITION BY section ORDER BY pos <> 1, id % 4 = 0, pos) AS INTEGER) AS position FROM l WHERE pos <= 12) SELECT section AS primary_category, id, position FROM p WHERE position <= 5"),
-    "rank_reader_overlay": with_sql(["articles"], f"""WITH {_F}, s AS (SELECT 'v' || user_id AS visitor_key, list_sort(list(DISTINCT k) FILTER (event_type = 'purchase'))[1:3] AS i, list_sort(list(DISTINCT k) FILTER (event_type = 'error'))[1:2] AS l, list_sort(list(DISTINCT k) FILTER (event_type = 'click'))[1:2] AS s, list_sort(list(DISTINCT k) FILTER (event_type = 'view'))[1:2] AS r
-        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id < 12) GROUP BY 1),
-        a AS (SELECT id, score, [x FOR x IN [CASE WHEN id % 3 <> 0 THEN ([{_MAKES}])[CAST(id % 5 + 1 AS INTEGER)] END, CASE WHEN id % 2 = 0 THEN ([{_TOPICS}])[CAST((id // 2) % 4 + 1 AS INTEGER)] END] IF x IS NOT NULL] AS t FROM f WHERE id < 100),
-        j AS (SELECT visitor_key, id, score, t, coalesce(list_contains(i, id), false) AS mi, coalesce(list_contains(l, id), false) AS ml, coalesce(list_contains(s, id), false) AS ms, coalesce(list_contains(r, id), false) AS mr, coalesce(len(i), 0) + coalesce(len(l), 0) + coalesce(len(s), 0) + coalesce(len(r), 0) > 0 AS act FROM a, s),
+    "rank_reader_overlay": with_sql(["articles"], f"""WITH {_F}, e AS (SELECT 'v' || user_id AS visitor_key, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events), m AS (SELECT visitor_key, id, bool_or(event_type = 'purchase') AS mi, bool_or(event_type = 'error') AS ml, bool_or(event_type = 'click') AS ms, bool_or(event_type = 'signup') AS mr FROM e GROUP BY 1, 2),
+        act AS (SELECT visitor_key, bool_or(event_type IN ('purchase', 'error', 'click', 'signup')) AS act FROM e GROUP BY 1),
+        a AS (SELECT id, score, [x FOR x IN [CASE WHEN id % 3 <> 0 THEN ([{_MAKES}])[CAST(id % 5 + 1 AS INTEGER)] END, CASE WHEN id % 2 = 0 THEN ([{_TOPICS}])[CAST((id // 2) % 4 + 1 AS INTEGER)] END] IF x IS NOT NULL] AS t FROM f),
+        j AS (SELECT m.*, score, t, act FROM m JOIN a USING (id) JOIN act USING (visitor_key)),
         p AS (SELECT visitor_key, coalesce(flatten(list(t) FILTER (mi)), []) AS pi, coalesce(flatten(list(t) FILTER (ml)), []) AS pl, coalesce(flatten(list(t) FILTER (ms)), []) AS ps FROM j GROUP BY 1),
         d AS (SELECT j.*, CASE WHEN NOT act THEN 0 ELSE CASE WHEN mi THEN 48 WHEN ml THEN -56 ELSE CASE WHEN list_has_any(t, pi) THEN 14 ELSE 0 END + CASE WHEN list_has_any(t, pl) THEN -20 ELSE 0 END END + CASE WHEN ms THEN 18 WHEN NOT mi AND NOT ml AND list_has_any(t, ps) THEN 8 ELSE 0 END + CASE WHEN mr AND NOT mi AND NOT ml THEN 6 ELSE 0 END END AS delta FROM j JOIN p USING (visitor_key))
-        SELECT visitor_key, id, delta, CAST(score + delta AS BIGINT) AS rank_score, CAST(row_number() OVER (PARTITION BY visitor_key ORDER BY score + delta DESC, id) AS INTEGER) AS position FROM d"""),
+        SELECT visitor_key, id, delta, CAST(score + delta AS BIGINT) AS rank_score, CAST(row_number() OVER (PARTITION BY visitor_key ORDER BY CASE WHEN act THEN 0 END, score + delta DESC, id) AS INTEGER) AS position FROM d"""),
+    "rank_personal_scores": with_sql(["articles"], f"WITH {_PERSONAL} SELECT list_key, id, score, vehicle_tier, platform_relevance, user_relevance, quality_band, rank_score FROM b3"),
+    "rank_personal_lists": with_sql(["articles"], f"""WITH {_PERSONAL}, l1 AS (SELECT *, row_number() OVER (PARTITION BY list_key ORDER BY CASE quality_band WHEN 'featured' THEN 3 WHEN 'eligible' THEN 2 ELSE 1 END DESC, rank_score DESC, published_at DESC, id) AS o FROM b3 WHERE quality_band <> 'excluded'),
+        l2 AS (SELECT * FROM l1 QUALIFY grp IS NULL OR row_number() OVER (PARTITION BY list_key, grp ORDER BY o) = 1), l3 AS (SELECT *, row_number() OVER (PARTITION BY list_key ORDER BY o) AS p FROM l2),
+        l4 AS (SELECT *, count(*) OVER w AS n, max(CASE WHEN p = 1 THEN section END) OVER w AS s1, bool_and(p > 5 OR section = (SELECT x.section FROM l3 x WHERE x.list_key = l3.list_key AND x.p = 1)) OVER w AS same FROM l3 WINDOW w AS (PARTITION BY list_key)),
+        l5 AS (SELECT *, min(CASE WHEN p > 5 AND section <> s1 THEN p END) OVER (PARTITION BY list_key) AS sw FROM l4),
+        l6 AS (SELECT *, CASE WHEN n <= 5 OR NOT same OR sw IS NULL THEN p WHEN p = sw THEN 5 WHEN p >= 5 AND p < sw THEN p + 1 ELSE p END AS q FROM l5),
+        l7 AS (SELECT *, CAST(row_number() OVER (PARTITION BY list_key ORDER BY id % 4 = 1, q) AS INTEGER) AS position FROM l6)
+        SELECT list_key, position - 1 AS position, id AS article_id, rank_score AS score, quality_band, quality_band IN ('featured', 'eligible') AS show_in_primary_feed, vehicle_tier FROM l7 WHERE position <= 80"""),
 }

@@ -88,7 +88,9 @@ def test_media_mix_cut_is_exact(spark):
 def test_personal_tiers(spark):
     none = "cast(array() as array<string>)"
     base = spark.range(3).selectExpr("id", "array('Porsche') makes", "case when id < 2 then array('911') else cast(array() as array<string>) end models", "case when id = 0 then array('964') else cast(array() as array<string>) end generations", f"{none} variants", f"{none} interests", f"{none} categories", f"{none} scenes", f"{none} locations", f"{none} geography", f"{none} content_types", "'cars' primary_category", "'Good' source_relevance", "false desk_pick", "'x' excerpt", "0L published_at", "cast(null as array<struct<kind:string,name:string,make:string,model:string,relevance:string>>) entity_hits", "array(named_struct('make','Porsche','model','911','generation','964','variant',cast(null as string))) vehicles", f"{none} user_interests", "cast(null as string) user_location")
-    got = {r.id: (r.vehicle_tier, r.score) for r in rk.score_personal(base, T0).collect()}
+    mine = ["list_key", "vehicles", "user_interests", "user_location"]
+    profile = base.limit(1).select(F.lit("p").alias("list_key"), *mine[1:])
+    got = {r.id: (r.vehicle_tier, r.score) for r in rk.score_personal(base.drop(*mine), profile, T0).collect()}
     assert got == {0: ("vehicle", 110), 1: ("model", 95), 2: ("make", 48)}
 
 
