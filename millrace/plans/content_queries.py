@@ -149,8 +149,8 @@ TAG_RULES = {"Rally": ["ting", "rally"], "Design": ["esign", "the the"], "Tuning
 
 
 def interest_tags(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    return a.select("id", F.array_join(cl.tags(cl.padded(F.col("title"), F.col("excerpt")), TAG_RULES, "Car Culture"), ",").alias("tags"))
+    a = articles(spark, sf_dir).select("id", cl.padded(F.col("title"), F.col("excerpt")).alias("text"))
+    return a.select("id", F.array_join(cl.tags(F.col("text"), TAG_RULES, "Car Culture"), ",").alias("tags"))
 
 
 OF_CATEGORY = {"Racing": "motorsport", "Shows": "events", "Garage": "cars", "news": "cars"}
@@ -161,9 +161,8 @@ SECTION_WORDS = {"events": ["ering"], "motorsport": ["anth", "etri"], "driving":
 def primary_section(spark, sf_dir):
     a = articles(spark, sf_dir)
     pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") % k + 1).cast("int"))
-    scores = cl.section_scores(cl.padded(F.col("title"), F.col("excerpt")), F.array(pick(["Racing", "Shows", "Garage", "news", "Other"], 5)), F.array(pick(["Rally", "Design", "Road Trips"], 3)), F.array(pick(["Build", "Video"], 2)), F.array(pick(["Drift", "Stance", "Tuning"], 3)), F.col("publication"), OF_CATEGORY, OF_INTEREST, SECTION_WORDS, ["Drift", "Tuning"], ["src3", "src4"])
-    chosen = cl.choose_section(scores)
-    return a.select("id", chosen["slug"].alias("slug"), chosen["confidence"].cast("long").alias("confidence"))
+    rows = cl.with_section(a, cl.padded(F.col("title"), F.col("excerpt")), F.array(pick(["Racing", "Shows", "Garage", "news", "Other"], 5)), F.array(pick(["Rally", "Design", "Road Trips"], 3)), F.array(pick(["Build", "Video"], 2)), F.array(pick(["Drift", "Stance", "Tuning"], 3)), F.col("publication"), OF_CATEGORY, OF_INTEREST, SECTION_WORDS, ["Drift", "Tuning"], ["src3", "src4"])
+    return rows.select("id", "slug", F.col("confidence").cast("long").alias("confidence"))
 
 
 def count_by_section(spark, sf_dir):
