@@ -36,28 +36,28 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def _width(column: Column, kind: DataType) -> Column:
-    """The bytes of a value in memory, about."""
+    """The bytes of a value in Spark's row format, about."""
     if isinstance(kind, (StringType, BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(24)
+        return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16)
     if isinstance(kind, ArrayType):
         if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)):
-            return F.coalesce(F.aggregate(column, F.lit(32).cast("long"), lambda total, x: total + _width(x, kind.elementType)), F.lit(32))
-        return F.greatest(F.size(column), F.lit(0)) * F.lit(8) + F.lit(32)
+            return F.coalesce(F.aggregate(column, F.lit(24).cast("long"), lambda total, x: total + _width(x, kind.elementType)), F.lit(24))
+        return F.greatest(F.size(column), F.lit(0)) * F.lit(8) + F.lit(24)
     if isinstance(kind, StructType):
         return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
     if isinstance(kind, MapType):
         return _width(F.map_keys(column), ArrayType(kind.keyType)) + _width(F.map_values(column), ArrayType(kind.valueType))
-    return F.lit(16)
+    return F.lit(8)
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """An aggregate: the size of the rows in memory, about."""
+    """An aggregate: the size of the rows in Spark's row format, about."""
     widths = [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
-    return F.sum(sum(widths, F.lit(16)).cast("long"))
+    return F.sum(sum(widths, F.lit(8)).cast("long"))
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """The size of the rows in memory, about: as it was counted when they were written, or by one pass over them."""
+    """The size of the rows in Spark's row format, about: as it was counted when they were written, or by one pass over them."""
     stored = getattr(df, "stored_bytes", None)
     return (df.agg(_row_bytes(df)).first()[0] or 0) if stored is None else stored
 
