@@ -58,18 +58,40 @@ def band_hashes(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -
     return out
 
 
-def buckets_of(bands: DataFrame, node: str = "node") -> DataFrame:
+def _shared_buckets(bands: DataFrame, columns: list[str]) -> DataFrame:
+    """(bucket) for those that occur in two rows at least, by array operations on either side of one shuffle.
+
+    What repeats within a batch leaves it twice, however often it occurs, so that no bucket makes a task large.
+    """
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = np.unique(np.concatenate([c.to_numpy() for c in batch.columns]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([values, values[n > 1]]))], names=["bucket"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # memory: the buckets of one partition of the shuffle, 8 bytes each
+        parts = [batch.column(0).to_numpy() for batch in batches]
+        if parts:
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values[n > 1])], names=["bucket"])
+
+    dealt = bands.select(*columns).mapInArrow(parted, "bucket long").repartition("bucket")
+    return written(dealt.mapInArrow(joined, "bucket long"), "counts", "lz4")
+
+
+def buckets_of(bands: DataFrame, columns: list[str]) -> DataFrame:
     """(bucket, node, leader, n) for buckets with two nodes at least, without buckets that hold just the nodes of another.
 
-    bands: (node, bands array<long>), one row for each node. Counting buckets moves their hashes alone; only the few
-    buckets with more than one node meet their rows again.
+    bands: node, and a column of longs for each band; one row for each node. Counting buckets moves their hashes alone;
+    only the few buckets with more than one node meet their rows again.
     """
-    rows = bands.select(node, F.explode("bands").alias("bucket"))
-    counts = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "counts")
+    counts = _shared_buckets(bands, columns)
+    rows = bands.select("node", F.explode(F.array(*columns)).alias("bucket"))
     shared = written(rows.join(sized_broadcast(counts), "bucket"), "shared")
-    sets = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(node).cast("decimal(38,0)")).alias("s"), F.min(node).alias("leader"))
-    chosen = sets.groupBy("n", "s", "leader").agg(F.min("bucket").alias("bucket"))
-    return written(shared.join(chosen.select("bucket", "leader", "n"), "bucket"), "buckets")
+    sets = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("leader"))
+    chosen = written(sets.groupBy("n", "s", "leader").agg(F.min("bucket").alias("bucket")).filter("n > 1"), "chosen")
+    return written(shared.join(sized_broadcast(chosen.drop("s")), "bucket").select("bucket", "node", "leader", "n"), "buckets")
 
 
 @dataclass
@@ -225,8 +247,18 @@ def _measured(pairs: DataFrame, decode: Callable[[pa.Array], Sets]) -> DataFrame
     return pairs.select("node", "leader", "items", "leader_items").mapInArrow(run, f"node {kind}, leader {kind}, similarity double")
 
 
+def _likely_pairs(blocks: list[tuple[int, int, int]], sizes: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the first and the other rows of each block that sizes and profiles do not keep under the threshold."""
+    for start, middle, end in blocks:
+        x, y = np.repeat(np.arange(start, middle), end - middle), np.tile(np.arange(middle, end), middle - start)
+        near = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-6
+        x, y = x[near], y[near]
+        near = most_similar(rows[x], rows[y], sizes[x], sizes[y]) >= threshold - 1e-9
+        yield x[near], y[near]
+
+
 def _similar_pairs(nodes: list, blocks: list[tuple[int, int, int]], sets: Sets, rows: np.ndarray, threshold: float) -> list[tuple]:
-    """Similar pairs that connect what similar pairs of the blocks connect. A block (start, middle, end) compares its first rows with its others."""
+    """Similar pairs that connect what similar pairs of the blocks connect."""
     parent: dict = {}
 
     def find(x):
@@ -236,13 +268,8 @@ def _similar_pairs(nodes: list, blocks: list[tuple[int, int, int]], sets: Sets,
         return x
 
     found = []
-    sizes = sets.sizes
     for start, middle, end in blocks:
-        x, y = np.repeat(np.arange(start, middle), end - middle), np.tile(np.arange(middle, end), middle - start)
-        near = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-6
-        x, y = x[near], y[near]
-        near = most_similar(rows[x], rows[y], sizes[x], sizes[y]) >= threshold - 1e-9
-        x, y = x[near], y[near]
+        [(x, y)] = _likely_pairs([(start, middle, end)], sets.sizes, rows, threshold)
         if exact := len(x) > MANY:
             near = similar([sets[i] for i in range(start, middle)], [sets[i] for i in range(middle, end)], threshold)[x - start, y - middle]
             x, y = x[near], y[near]
@@ -292,21 +319,35 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     as_left = left.filter("open").select("bucket", "node", F.pmod(F.xxhash64("node"), blocks_open).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"), F.lit(0).alias("side"))
     as_right = left.select("bucket", "node", F.explode(F.sequence(F.lit(0), blocks_open - 1)).alias("i"), rights.alias("j"), F.lit(1).alias("side"))
 
-    def compare(lot: pa.Table) -> pa.Table:
+    def blocks_of(lot: pa.Table) -> tuple[pa.Table, list[tuple[int, int, int]], np.ndarray]:
+        """The lot in order, its blocks (start, middle, end), and the profiles."""
         lot = lot.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending"), ("node", "ascending")]).combine_chunks()
         keys = np.stack([lot[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
         edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(lot)]
         lefts = np.append(0, np.cumsum(lot["side"].to_numpy() == 0)).tolist()
         blocks = [(a, a + lefts[b] - lefts[a], b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        rows = np.frombuffer(b"".join(lot["profile"].to_pylist()), np.uint8).reshape(-1, PLACES)
+        return lot, blocks, np.frombuffer(b"".join(lot["profile"].to_pylist()), np.uint8).reshape(-1, PLACES)
+
+    def sift(lot: pa.Table) -> pa.Table:
+        """The rows that may be similar to one of the other side of their block."""
+        lot, blocks, rows = blocks_of(lot)
+        keep = np.zeros(len(lot), bool)
+        for x, y in _likely_pairs(blocks, lot["size"].to_numpy(), rows, threshold):
+            keep[x] = keep[y] = True
+        return lot.filter(pa.array(keep)).select(["bucket", "i", "j", "side", "node"])
+
+    def compare(lot: pa.Table) -> pa.Table:
+        lot, blocks, rows = blocks_of(lot)
         found = _similar_pairs(lot["node"].to_pylist(), blocks, decode(lot["items"].combine_chunks()), rows, threshold)
         return pa.table({"a": pa.array([p[0] for p in found], lot.schema.field("node").type), "b": pa.array([p[1] for p in found], lot.schema.field("node").type)})
 
-    # pairs of blocks come in lots of about so many rows: most are small, and a group of Spark's costs more than they do
+    # pairs of blocks come in lots of about so many rows: most are small, and a group of Spark's costs more than they do.
+    # First sizes and profiles alone meet; most rows end there, and only the others meet in full
+    in_lots = lambda df, n: df.withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(n)))
     rest = written(as_left.unionByName(as_right), "rest")
-    lots = max(1, rest.count() // LOT_ROWS)
-    rest = rest.join(items, "node").withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots)))
-    rest = rest.groupBy("lot").applyInArrow(compare, f"a {kind}, b {kind}")
+    rest = in_lots(rest.join(small, "node"), max(1, rest.count() // (4 * LOT_ROWS))).groupBy("lot").applyInArrow(sift, f"bucket long, i int, j int, side int, node {kind}")
+    rest = written(rest, "sifted")
+    rest = in_lots(rest.join(items, "node"), max(1, rest.count() // LOT_ROWS)).groupBy("lot").applyInArrow(compare, f"a {kind}, b {kind}")
     return written(joined.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "links")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ._near import Sets, band_hashes, buckets_of, choose_bands, components, distinct_sets, links
 from ._shared import renamed, row_ids, scan_ids, sized_broadcast, table, written
-from ._words import Words, mix, shingles
+from ._words import places
 
 #: Runs of 5 characters recur in most lines of a language; bands of 6 hashes keep chance candidates few, and 18 of them the recall.
 CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.995, 108
@@ -30,9 +30,22 @@ def normal(line: str) -> str:
 
 
 def line_shingles(lines: list[str], n: int = CHARACTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of n characters of each normal line, and their bounds by line."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return shingles(Words(np.cumsum([0, *map(len, lines)]), mix(points)), n)
+    """Hashes of all runs of n characters of each normal line, and their bounds by line. A shorter line is one run."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(sizes)
+    total = np.zeros(len(points), np.uint64)
+    for k, factor in enumerate(places(n)):
+        total[: len(points) - k] += points[k:] * factor
+    counts = np.maximum(sizes - n + 1, 1)
+    bounds = np.append(0, np.cumsum(counts))
+    hashes = total[np.repeat(ends - sizes, counts) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], counts)]
+    for i in np.flatnonzero(sizes < n).tolist():
+        hashes[bounds[i]] = np.uint64(sizes[i]) + (points[ends[i] - sizes[i] : ends[i]] * places(n)[: sizes[i]]).sum(dtype=np.uint64)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= np.uint64(0x94D049BB133111EB)
+    return hashes, bounds
 
 
 def _runs(values: list[str]) -> Iterator[list[str]]:
@@ -103,7 +116,7 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     # distinct lines, with one place of each; all are longs, so that Spark aggregates them by hash
     lines = _keyed(docs, bands, rows, characters).groupBy(*keys).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("rid", "pos", *hashes)])
     lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "distinct", "lz4")
-    buckets = buckets_of(lines.select("node", F.array(*hashes).alias("bands")))
+    buckets = buckets_of(lines, hashes)
     roots = written(components(links(buckets, _sets(docs, lines), threshold, _decoder(characters))), "roots")
     # lines that have copies or similar ones, at all their places, and of each such group the first place, which stays
     several = lines.select(*keys, "node", "copies").join(sized_broadcast(roots), "node", "left").filter("copies > 1 or root is not null")

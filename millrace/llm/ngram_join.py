@@ -22,7 +22,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(rid, doc_id, key, bands) of the rows that have a word."""
+    """(rid, doc_id, key) and the band hashes b0, b1, ... of the rows that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,12 +32,11 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 if not len(some):
                     continue
                 made = band_hashes(hashes, np.append(bounds[some], bounds[-1]), bands, rows).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(made.ravel()))
                 at = pa.array(some + first)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), listed], names=["rid", "doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *(pa.array(made[:, k]) for k in range(bands))], names=["rid", "doc_id", "key", *columns])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("rid", "doc_id", F.md5(F.col("_text").cast("binary")).alias("key"), "_text").mapInArrow(run, f"rid long, doc_id {kind}, key string, bands array<long>")
+    kind, columns = dict(docs.dtypes)["doc_id"], [f"b{k}" for k in range(bands)]
+    return docs.select("rid", "doc_id", F.md5(F.col("_text").cast("binary")).alias("key"), "_text").mapInArrow(run, f"rid long, doc_id {kind}, key string, " + ", ".join(f"{c} long" for c in columns))
 
 
 def _sets(docs: DataFrame, n: int):
@@ -91,11 +90,12 @@ def similar_documents(docs: DataFrame, n: int = WORDS, threshold: float = THRESH
     docs = docs.select(*wanted, F.col(row_id).alias("rid")) if row_id else row_ids(docs.select(*wanted))
     signed = written(_signatures(docs, n, bands, rows), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    nodes = signed.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(order).alias("least"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
+    nodes = signed.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(order).alias("least"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(bands)])
+    nodes = written(nodes, "nodes", "lz4")
     sets = _sets(docs, n)
-    roots = components(links(buckets_of(nodes), sets, threshold))
-    classes = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hashes = [f"b{k}" for k in range(bands)]
+    roots = components(links(buckets_of(nodes, hashes), sets, threshold))
+    classes = nodes.drop(*hashes).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = classes.groupBy("root").agg(F.count("*").alias("n"), F.sum("copies").alias("class_size"), F.min("least").alias("least_of_class"))
     classes = written(classes.join(sizes, "root").withColumns({"class_id": F.col("least_of_class.doc_id"), "first_rid": F.col("least_of_class.rid")}), "classes")
     found = classes.withColumn("n_links", F.when(F.col("n") == 2, F.col("class_size") - 1).otherwise(F.col("copies") - 1))
