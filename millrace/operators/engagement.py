@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import numbered
+from millrace.storage import sized_broadcast
+
 #: Events that make touches, in the order of their counters.
 RATE_EVENTS = {"impression": "impression_uniques", "story_open": "open_uniques", "outbound": "outbound_uniques", "save": "save_uniques", "share": "share_uniques", "interested": "interested_uniques", "less_like_this": "less_like_uniques"}
 #: Weights of score events, and the floors of rates and of the trending gate.
@@ -178,8 +181,9 @@ def format_rate(rate: Column) -> Column:
 def rank_by_open_rate(rates: DataFrame, key: str, floor: int = IMPRESSION_FLOOR) -> DataFrame:
     """Adds is_ranked and position: rows above the floor by open rate, impressions, key; the others by impressions, key."""
     ranked = F.col("impression_uniques") >= floor
-    order = [F.desc(F.when(ranked, F.coalesce("open_rate", F.lit(0.0))).otherwise(F.lit(0.0))), F.desc("impression_uniques"), F.asc(key)]
-    return rates.withColumn("is_ranked", ranked).withColumn("position", F.row_number().over(Window.partitionBy("is_ranked").orderBy(*order)))
+    rate = F.when(ranked, F.coalesce("open_rate", F.lit(0.0))).otherwise(F.lit(0.0))
+    # either list may hold any number of rows, so ranges of it are numbered side by side
+    return numbered(rates.withColumns({"is_ranked": ranked, "_rate": rate}), ["is_ranked"], [F.desc("_rate"), F.desc("impression_uniques"), F.asc(key)]).drop("_rate")
 
 
 def emerging(current: DataFrame, previous: DataFrame, known: list[str] | None = None, floor: int = IMPRESSION_FLOOR) -> DataFrame:
@@ -196,14 +200,14 @@ def emerging(current: DataFrame, previous: DataFrame, known: list[str] | None =
 def desk_statements(dims: DataFrame, interests: DataFrame, articles: DataFrame, days: int, floor: int = IMPRESSION_FLOOR) -> DataFrame:
     """At most five lines: best and worst publisher, a rising interest, best and worst article above the floor."""
     pick = lambda df, key: df.filter(F.col("impression_uniques") >= floor).agg(F.max_by(F.struct(F.col(key).cast("string").alias("k"), "open_rate", "impression_uniques"), F.struct("open_rate", F.col("impression_uniques"))).alias("top"), F.min_by(F.struct(F.col(key).cast("string").alias("k"), "open_rate", "impression_uniques"), F.struct("open_rate", F.col("impression_uniques"))).alias("low"))
-    line = lambda what, at, n, tail="": F.concat(F.lit(what + " "), at["k"], F.lit(" open rate is "), format_rate(at["open_rate"]), F.lit(" (n="), at["impression_uniques"].cast("string"), F.lit(f" impression uniques) over the last {days} days{tail}."))
+    line = lambda what, at, tail="": F.concat(F.lit(what + " "), at["k"], F.lit(": "), format_rate(at["open_rate"]), F.lit(" of impressions led to an opening ("), at["impression_uniques"].cast("string"), F.lit(f" visitors in {days} days){tail}"))
     parts = []
-    for at, (df, key, what, tail) in enumerate([(dims.filter("dim_kind = 'publisher'"), "dim_value", "Publisher", " — lowest among publishers that clear the floor"), (articles, "article_id", "article", " — underperforming among titles that clear the floor")]):
+    for at, (df, key, what) in enumerate([(dims.filter("dim_kind = 'publisher'"), "dim_value", "Publisher"), (articles, "article_id", "Article")]):
         found = pick(df, key)
-        parts.append(found.select(F.lit(3 * at).alias("line_no"), line(what, F.col("top"), 0).alias("statement")))
-        parts.append(found.filter("top.k != low.k").select(F.lit(3 * at + 1).alias("line_no"), line(what, F.col("low"), 0, tail).alias("statement")))
+        parts.append(found.select(F.lit(3 * at).alias("line_no"), line(what, F.col("top")).alias("statement")))
+        parts.append(found.filter("top.k != low.k").select(F.lit(3 * at + 1).alias("line_no"), line(what, F.col("low"), ", the least with enough data").alias("statement")))
     rising = interests.filter("sufficient_both and open_rate_delta > 0").agg(F.min_by(F.struct("dim_value", "open_rate_delta", "impression_uniques"), "position").alias("r"))
-    parts.append(rising.select(F.lit(2).alias("line_no"), F.concat(F.lit("Interest "), F.col("r.dim_value"), F.lit(" open rate moved "), format_rate(F.col("r.open_rate_delta")), F.lit(f" vs the prior {days} days (n="), F.col("r.impression_uniques").cast("string"), F.lit(").")).alias("statement")))
+    parts.append(rising.select(F.lit(2).alias("line_no"), F.concat(F.lit("Interest "), F.col("r.dim_value"), F.lit(" is opened more often, by "), format_rate(F.col("r.open_rate_delta")), F.lit(" of impressions ("), F.col("r.impression_uniques").cast("string"), F.lit(f" visitors in {days} days)")).alias("statement")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -219,34 +223,42 @@ def trending_scores(events: DataFrame) -> DataFrame:
     return rows.groupBy("article_id").agg(*counts, F.sum(weight).cast("long").alias("score"), F.countDistinct("visitor_key").alias("unique_visitors"))
 
 
+def _qualified(rows: DataFrame) -> DataFrame:
+    return trending_scores(rows).filter((F.col("score") > 0) & (F.col("unique_visitors") >= ARTICLE_VISITORS))
+
+
 def trending(events: DataFrame, now_ms: int, days: int = TRENDING_DAYS) -> DataFrame:
-    """One row: mode (trending or discover), reason, observed counts and the qualified articles, best first.
+    """The gate, one row: mode (trending or discover), reason and observed counts.
 
-    The gate opens with enough distinct visitors over all events, positive rows and qualified articles.
+    It opens with enough distinct visitors over all events, positive rows and qualified articles.
     """
     rows = events.filter(F.col("created_at") >= now_ms - days * DAY_MS)
-    qualified = trending_scores(rows).filter((F.col("score") > 0) & (F.col("unique_visitors") >= ARTICLE_VISITORS))
-    listed = qualified.agg(F.count("*").alias("articles_observed"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("unique_visitors")).alias("u"), "article_id"))), lambda x: x["article_id"]).alias("ids"))
+    listed = _qualified(rows).agg(F.count("*").alias("articles_observed"))
     seen = rows.agg(F.countDistinct("visitor_key").alias("visitors"), F.count(F.when(F.col("event").isin(*POSITIVE_EVENTS) & (F.coalesce("article_id", F.lit(0)) != 0), 1)).alias("positive_events"))
     open_ = (F.col("visitors") >= GATE_VISITORS) & (F.col("positive_events") >= GATE_POSITIVE) & (F.col("articles_observed") >= GATE_ARTICLES)
     gate = seen.join(listed)  # one row each
-    return gate.select(
-        F.when(open_, "trending").otherwise("discover").alias("mode"), "visitors", "positive_events", "articles_observed",
-        F.when(open_, F.col("ids")).otherwise(F.array().cast("array<long>")).alias("article_ids"),
-        F.when(open_, F.lit(None)).otherwise(F.concat_ws("", F.lit("thin data: "), F.col("visitors").cast("string"), F.lit(" visitors, "), F.col("positive_events").cast("string"), F.lit(" positive events, "), F.col("articles_observed").cast("string"), F.lit(" articles"))).alias("reason"),
-    )
+    short = F.concat_ws("", F.lit("thin data: "), F.col("visitors").cast("string"), F.lit(" visitors, "), F.col("positive_events").cast("string"), F.lit(" positive events, "), F.col("articles_observed").cast("string"), F.lit(" articles"))
+    return gate.select(F.when(open_, "trending").otherwise("discover").alias("mode"), "visitors", "positive_events", "articles_observed", F.when(open_, F.lit(None)).otherwise(short).alias("reason"))
+
+
+def trending_articles(events: DataFrame, now_ms: int, days: int = TRENDING_DAYS) -> DataFrame:
+    """(article_id, score, unique_visitors) of the qualified articles, if the gate is open; best: highest score, most visitors, smallest id."""
+    rows = events.filter(F.col("created_at") >= now_ms - days * DAY_MS)
+    gate = trending(events, now_ms, days).filter("mode = 'trending'").select("mode")
+    return _qualified(rows).join(F.broadcast(gate)).select("article_id", "score", "unique_visitors")  # the gate is one row or none
 
 
 def community_list(trend: DataFrame, discover: DataFrame, eligible: DataFrame, most: int = 4) -> DataFrame:
-    """(source, position, article_id): trending ids that are still eligible, else the discover list (article_id, position)."""
-    picked = trend.filter("mode = 'trending'").select(F.posexplode("article_ids").alias("at", "article_id"))
-    picked = picked.join(eligible.select("article_id"), "article_id", "left_semi")
-    rows = picked.select(F.lit(0).alias("source_rank"), F.lit("trending").alias("source"), F.col("at").cast("long").alias("at"), "article_id")
-    rows = rows.unionByName(discover.select(F.lit(1).alias("source_rank"), F.lit("discover").alias("source"), F.col("position").cast("long").alias("at"), "article_id"))
+    """(source, position, article_id): the best trending articles that are still eligible, else the discover list (article_id, position)."""
+    picked = trend.join(eligible.select("article_id"), "article_id", "left_semi").orderBy(F.desc("score"), F.desc("unique_visitors"), "article_id").limit(most)
+    rows = picked.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("unique_visitors"), "article_id")).cast("long")).select(F.lit(0).alias("source_rank"), F.lit("trending").alias("source"), "at", "article_id")
+    fallback = discover.orderBy("position").limit(most)
+    rows = rows.unionByName(fallback.select(F.lit(1).alias("source_rank"), F.lit("discover").alias("source"), F.col("position").cast("long").alias("at"), "article_id"))
+    # twice `most` rows at most from here on
     best = rows.agg(F.min("source_rank").alias("best"))
     rows = rows.join(F.broadcast(best), rows.source_rank == best.best).drop("best")
     rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("at")))
-    return rows.filter(F.col("position") <= most).select("source", "position", "article_id")
+    return rows.select("source", "position", "article_id")
 
 
 def cohort_labels(events: DataFrame) -> DataFrame:
@@ -256,7 +268,7 @@ def cohort_labels(events: DataFrame) -> DataFrame:
     marked = rows.filter(F.col("event").isin("interested", "save") & F.col("article_id").isNotNull())
     marked = marked.groupBy("cohort", "article_id").agg(F.countDistinct("visitor_key").alias("visitors")).filter(F.col("visitors") >= COHORT_ARTICLE_VISITORS)
     best = Window.partitionBy("article_id").orderBy(F.desc("visitors"), "cohort")
-    return marked.join(F.broadcast(sizes.select("cohort")), "cohort", "left_semi").withColumn("r", F.row_number().over(best)).filter("r = 1").select("article_id", "cohort", "visitors")
+    return marked.join(sized_broadcast(sizes.select("cohort")), "cohort", "left_semi").withColumn("r", F.row_number().over(best)).filter("r = 1").select("article_id", "cohort", "visitors")
 
 
 def event_report(events: DataFrame) -> DataFrame:

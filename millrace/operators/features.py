@@ -30,8 +30,8 @@ def article_features(articles: DataFrame, entities: DataFrame, tags: DataFrame)
 
 
 def attribute_map(attributes: DataFrame, key: str = "product_id") -> DataFrame:
-    """(key, attributes map) of rows (key, id, attribute, value); of one attribute's rows the last by id counts."""
-    latest = attributes.groupBy(key, "attribute").agg(F.max_by("value", "id").alias("value"))
+    """(key, attributes map) of rows (key, id, attribute, value); of one attribute's rows the last by id counts, of equal ids the greater value."""
+    latest = attributes.groupBy(key, "attribute").agg(F.max_by("value", F.struct("id", "value")).alias("value"))
     return latest.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attribute", "value")))).alias("attributes"))
 
 
@@ -46,7 +46,10 @@ def entity_coverage(articles: DataFrame, entities: DataFrame, make: str) -> Data
 
 def top_terms(articles: DataFrame, kinds: list[str] = ("categories", "interests", "makes"), themes: int = 5) -> DataFrame:
     """(kind, term, n, position, is_theme) over the arrays of articles: most frequent first, ties by name; the first few are themes."""
-    entries = F.flatten(F.array(*[F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("term"))) for k in kinds]))
+    def named(kind: str) -> Column:
+        return F.transform(F.coalesce(kind, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("term")))
+
+    entries = F.flatten(F.array(*map(named, kinds)))
     counted = articles.select(F.explode(entries).alias("e")).groupBy("e.kind", "e.term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("kind").orderBy(F.desc("n"), "term")  # distinct terms only
     return counted.withColumn("position", F.row_number().over(order)).withColumn("is_theme", F.col("position") <= themes)

@@ -170,4 +170,4 @@ def first_wins(parts: list[DataFrame], key: str, order: str) -> DataFrame:
         part = part.withColumn("_part", F.lit(i))
         rows = part if rows is None else rows.unionByName(part)
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_part", order)))
-    return best.filter("_n = 1").drop("_n")
+    return best.filter("_n = 1").drop("_n", "_part")

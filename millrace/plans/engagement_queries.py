@@ -91,14 +91,18 @@ def trending_scores(spark, sf_dir):
 
 
 def trending(spark, sf_dir):
-    return en.trending(engagement_events(spark, sf_dir), NOW_MS).withColumn("article_ids", F.array_join("article_ids", ","))
+    return en.trending(engagement_events(spark, sf_dir), NOW_MS)
+
+
+def trending_articles(spark, sf_dir):
+    return en.trending_articles(engagement_events(spark, sf_dir), NOW_MS)
 
 
 def community_list(spark, sf_dir):
     events = engagement_events(spark, sf_dir)
     top = en.top_articles(events).withColumn("position", F.col("article_id"))
     eligible = dims(spark, sf_dir).filter("article_id % 3 != 0").select("article_id").distinct()
-    return en.community_list(en.trending(events, NOW_MS), top, eligible)
+    return en.community_list(en.trending_articles(events, NOW_MS), top, eligible)
 
 
 def cohort_labels(spark, sf_dir):
@@ -138,7 +142,7 @@ QUERIES = {
     "engagement_visitor_first": visitor_first, "engagement_daily_touches": daily_touches, "engagement_daily_articles": daily_articles, "engagement_daily_dims": daily_dims,
     "engagement_window_articles": window_articles, "engagement_window_dims": window_dims, "engagement_window_feedback": window_feedback, "engagement_overview": site_overview,
     "engagement_exposure_rates": exposure_rates, "engagement_open_rate_rank": open_rate_rank, "engagement_emerging": emerging_interests, "engagement_desk_statements": desk_statements,
-    "engagement_trending_scores": trending_scores, "engagement_trending": trending, "engagement_community": community_list, "engagement_cohort_labels": cohort_labels,
+    "engagement_trending_scores": trending_scores, "engagement_trending": trending, "engagement_trending_articles": trending_articles, "engagement_community": community_list, "engagement_cohort_labels": cohort_labels,
     "engagement_event_report": event_report, "engagement_top_articles": top_articles, "engagement_rate_limited": rate_limited, "engagement_rolling_writes": rolling_writes,
     "engagement_recent": recent_interactions, "engagement_retained": retained_events, "engagement_sessions": visit_sessions,
 }
@@ -174,7 +178,7 @@ _SCORED = """sc AS (SELECT article_id, count(CASE WHEN event = 'interested' THEN
     FROM {0} WHERE event IN ('interested', 'save', 'share', 'outbound', 'less_like_this') AND coalesce(article_id, 0) <> 0 GROUP BY 1)"""
 _RECENT7 = f"r7 AS (SELECT * FROM ev WHERE created_at >= {NOW_MS - 7 * en.DAY_MS})"
 _TREND = f"{_RECENT7}, {_SCORED.format('r7')}, q AS (SELECT count(*) AS articles_observed, list(article_id ORDER BY score DESC, unique_visitors DESC, article_id) AS ids FROM sc WHERE score > 0 AND unique_visitors >= 5), s AS (SELECT count(DISTINCT visitor_key) AS visitors, count(CASE WHEN event IN ('interested', 'save', 'share', 'outbound') AND coalesce(article_id, 0) <> 0 THEN 1 END) AS positive_events FROM r7), tr AS (SELECT *, visitors >= 8 AND positive_events >= 12 AND articles_observed >= 3 AS open FROM s, q)"
-_LINE = lambda what, k, tail="": f"'{what} ' || {k} || ' open rate is ' || {_FMT('open_rate')} || ' (n=' || impression_uniques || ' impression uniques) over the last {DAYS} days{tail}.'"
+_LINE = lambda what, k, tail="": f"'{what} ' || {k} || ': ' || {_FMT('open_rate')} || ' of impressions led to an opening (' || impression_uniques || ' visitors in {DAYS} days){tail}'"
 _BEST = lambda d: f"ORDER BY open_rate {d}, impression_uniques {d} LIMIT 1"
 
 ORACLE_SQL = {
@@ -193,11 +197,12 @@ ORACLE_SQL = {
         pr AS (SELECT dim_value AS k, impression_uniques, CAST(open_uniques AS DOUBLE) / nullif(impression_uniques, 0) AS open_rate FROM cd WHERE dim_kind = 'publisher' AND impression_uniques >= 8),
         ar AS (SELECT CAST(article_id AS VARCHAR) AS k, impression_uniques, CAST(open_uniques AS DOUBLE) / nullif(impression_uniques, 0) AS open_rate FROM wa WHERE impression_uniques >= 8),
         pt1 AS (SELECT * FROM pr {_BEST('DESC')}), pt2 AS (SELECT * FROM pr {_BEST('ASC')}), at1 AS (SELECT * FROM ar {_BEST('DESC')}), at2 AS (SELECT * FROM ar {_BEST('ASC')})
-        SELECT 0 AS line_no, {_LINE('Publisher', 'k')} AS statement FROM pt1 UNION ALL SELECT 1, {_LINE('Publisher', 'k', ' — lowest among publishers that clear the floor')} FROM pt2 WHERE k <> (SELECT k FROM pt1)
-        UNION ALL SELECT 2, * FROM (SELECT 'Interest ' || dim_value || ' open rate moved ' || {_FMT('open_rate_delta')} || ' vs the prior {DAYS} days (n=' || impression_uniques || ').' FROM em WHERE sufficient_both AND open_rate_delta > 0 ORDER BY open_rate_delta DESC, dim_value LIMIT 1)
-        UNION ALL SELECT 3, {_LINE('article', 'k')} FROM at1 UNION ALL SELECT 4, {_LINE('article', 'k', ' — underperforming among titles that clear the floor')} FROM at2 WHERE k <> (SELECT k FROM at1)"""),
+        SELECT 0 AS line_no, {_LINE('Publisher', 'k')} AS statement FROM pt1 UNION ALL SELECT 1, {_LINE('Publisher', 'k', ', the least with enough data')} FROM pt2 WHERE k <> (SELECT k FROM pt1)
+        UNION ALL SELECT 2, * FROM (SELECT 'Interest ' || dim_value || ' is opened more often, by ' || {_FMT('open_rate_delta')} || ' of impressions (' || impression_uniques || ' visitors in {DAYS} days)' FROM em WHERE sufficient_both AND open_rate_delta > 0 ORDER BY open_rate_delta DESC, dim_value LIMIT 1)
+        UNION ALL SELECT 3, {_LINE('Article', 'k')} FROM at1 UNION ALL SELECT 4, {_LINE('Article', 'k', ', the least with enough data')} FROM at2 WHERE k <> (SELECT k FROM at1)"""),
     "engagement_trending_scores": with_sql(["ev"], f"WITH {_SCORED.format('ev')} SELECT * FROM sc"),
-    "engagement_trending": with_sql(["ev"], f"WITH {_TREND} SELECT CASE WHEN open THEN 'trending' ELSE 'discover' END AS mode, visitors, positive_events, articles_observed, CASE WHEN open THEN array_to_string(ids, ',') ELSE '' END AS article_ids, CASE WHEN NOT open THEN 'thin data: ' || visitors || ' visitors, ' || positive_events || ' positive events, ' || articles_observed || ' articles' END AS reason FROM tr"),
+    "engagement_trending": with_sql(["ev"], f"WITH {_TREND} SELECT CASE WHEN open THEN 'trending' ELSE 'discover' END AS mode, visitors, positive_events, articles_observed, CASE WHEN NOT open THEN 'thin data: ' || visitors || ' visitors, ' || positive_events || ' positive events, ' || articles_observed || ' articles' END AS reason FROM tr"),
+    "engagement_trending_articles": with_sql(["ev"], f"WITH {_TREND} SELECT article_id, score, unique_visitors FROM sc WHERE score > 0 AND unique_visitors >= 5 AND (SELECT open FROM tr)"),
     "engagement_community": with_sql(["ev", "dims"], f"""WITH {_TREND}, tl AS (SELECT unnest(ids) AS article_id, generate_subscripts(ids, 1) AS slot FROM tr WHERE open), te AS (SELECT 'trending' AS source, slot, article_id FROM tl WHERE article_id IN (SELECT article_id FROM dims WHERE article_id % 3 <> 0)),
         di AS (SELECT 'discover' AS source, article_id AS slot, article_id FROM (SELECT article_id, count(*) AS n FROM ev WHERE article_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, article_id LIMIT 12)),
         al AS (SELECT * FROM te UNION ALL SELECT * FROM di WHERE NOT EXISTS (SELECT 1 FROM te)), nu AS (SELECT source, CAST(row_number() OVER (ORDER BY slot) AS INTEGER) AS position, article_id FROM al) SELECT * FROM nu WHERE position <= 4"""),

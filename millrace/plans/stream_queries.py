@@ -35,7 +35,7 @@ def rate_limit(spark, sf_dir):
 
 def marks(spark, sf_dir):
     e = engagement_events(spark, sf_dir).filter("event in ('interested', 'less_like_this', 'save')")
-    return jobs.toggle_marks(e.select("visitor_key", "article_id", F.when(F.col("event") == "less_like_this", "less").otherwise("interested").alias("polarity"), F.col("created_at").alias("at")))
+    return jobs.toggle_marks(e.select("visitor_key", "article_id", F.when(F.col("event") == "less_like_this", "less").otherwise("interested").alias("polarity"), F.col("created_at").alias("at"), "id"))
 
 
 def page_metadata(spark, sf_dir):
@@ -43,14 +43,14 @@ def page_metadata(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    return rd.page_links(read(spark, sf_dir, "pages").filter("url is not null")).groupBy("url").agg(F.count("*").alias("links"))
+    return rd.page_links(read(spark, sf_dir, "pages")).groupBy("url").agg(F.count("*").alias("links"))
 
 
 QUERIES = {"stream_validated": validated, "stream_impressions": impressions, "stream_daily_uniques": daily_uniques, "stream_rate_limit": rate_limit, "stream_marks": marks, "source_page_metadata": page_metadata, "source_page_links": page_links}
 _RATE = "('impression', 'story_open', 'outbound', 'save', 'share', 'interested', 'less_like_this')"
 ORACLE_SQL = {
     "stream_validated": with_sql(["ev"], """WITH p AS (SELECT CASE WHEN id % 11 = 0 THEN 'pageview' ELSE event END AS event, CASE WHEN event = 'experience_feedback' OR id % 11 = 0 THEN NULL ELSE article_id END AS a, id % 13 = 0 AS neg, id % 17 = 0 AS nos, article_id IS NOT NULL AS given FROM ev),
-        q AS (SELECT event, a, CASE WHEN event = 'pageview' THEN 'Unknown event.' WHEN event = 'impression' AND nos THEN 'Unknown surface.' WHEN event = 'impression' AND neg THEN 'articleIds are required.' WHEN event <> 'impression' AND given AND neg THEN 'articleId must be a positive integer.' END AS error FROM p)
+        q AS (SELECT event, a, CASE WHEN event = 'pageview' THEN 'unknown_event' WHEN event = 'impression' AND nos THEN 'unknown_surface' WHEN event = 'impression' AND neg THEN 'no_articles' WHEN event <> 'impression' AND given AND neg THEN 'bad_article' END AS error FROM p)
         SELECT event, error, count(*) AS n, count(DISTINCT CASE WHEN error IS NULL THEN a END) AS articles FROM q GROUP BY 1, 2"""),
     "stream_impressions": with_sql(["ev"], "WITH d AS (SELECT DISTINCT event, visitor_key, article_id, own_day, surface FROM ev WHERE event = 'impression'), u AS (SELECT event, own_day FROM d UNION ALL SELECT event, own_day FROM ev WHERE event <> 'impression') SELECT event, own_day AS day_utc, count(*) AS n FROM u GROUP BY 1, 2"),
     "stream_daily_uniques": with_sql(["touches"], "SELECT day, article_id, count(CASE WHEN event = 'impression' THEN 1 END) AS impression_uniques, count(CASE WHEN event = 'story_open' THEN 1 END) AS open_uniques, count(CASE WHEN event = 'outbound' THEN 1 END) AS outbound_uniques, count(CASE WHEN event = 'save' THEN 1 END) AS save_uniques, count(CASE WHEN event = 'share' THEN 1 END) AS share_uniques, count(CASE WHEN event = 'interested' THEN 1 END) AS interested_uniques, count(CASE WHEN event = 'less_like_this' THEN 1 END) AS less_like_uniques FROM touches GROUP BY 1, 2"),

@@ -162,11 +162,13 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, link): distinct canonical targets of a page's anchors; root-relative and absolute ones."""
+    """(url, link): distinct canonical targets of a page's anchors, relative ones by the page's own address."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?href=["']([^"'#]+)"""), F.lit(1))
     rows = pages.select("url", F.explode(hrefs).alias("h"))
     base = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1)
-    full = F.when(F.col("h").rlike("^[a-zA-Z]+://"), F.col("h")).when(F.col("h").startswith("//"), F.concat(F.lit("https:"), "h")).when(F.col("h").startswith("/"), F.concat(base, "h"))
+    folder = F.concat(base, F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "[^/]*$", ""), F.lit("")), F.lit("/")))
+    h = F.col("h")
+    full = F.when(h.rlike("^[a-zA-Z]+://"), h).when(h.startswith("//"), F.concat(F.lit("https:"), "h")).when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None)).when(h.startswith("/"), F.concat(base, "h")).otherwise(F.concat(folder, F.regexp_replace("h", r"^(?:\./)+", "")))
     return rows.select("url", ur.canonicalize_url(tx.decode_entities(full)).alias("link")).filter("link is not null").distinct()
 
 
@@ -175,11 +177,21 @@ IMAGE_RANK = ["media", "enclosure", "og", "twitter", "jsonld", "article", "publi
 
 
 def page_images(pages: DataFrame) -> DataFrame:
-    """(url, image, source_type, place): Open Graph, Twitter and <img> candidates of pages, in that order."""
-    imgs = F.regexp_extract_all("html", F.lit(r"""(?is)<img\s[^>]*?(?:data-src|src)=["']([^"']+)"""), F.lit(1))
-    one = lambda c, kind: F.filter(F.array(F.struct(c.alias("image"), F.lit(kind).alias("source_type"))), lambda x: x["image"].isNotNull())
-    every = F.concat(one(_meta("og:image"), "og"), one(_meta("twitter:image"), "twitter"), F.transform(imgs, lambda x: F.struct(x.alias("image"), F.lit("article").alias("source_type"))))
-    return pages.select("url", F.posexplode(every).alias("place", "x")).select("url", "place", "x.image", "x.source_type")
+    """(url, image, source_type, place): candidates of pages by Open Graph, Twitter and JSON-LD, then <img> (the largest of a srcset, else its source) and CSS backgrounds."""
+    every_of = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    imgs = every_of(r"""(?is)<img\s[^>]*?(?:data-src|src)=["']([^"']+)""")
+    # of a srcset, the source with the largest width or density
+    size = lambda x: F.coalesce(F.regexp_extract(x, r"\s([\d.]+)[wx]\s*$", 1).try_cast("double"), F.lit(0.0))
+    largest = lambda x: F.array_max(F.transform(F.split(x, r",\s+"), lambda y: F.struct(size(y).alias("size"), F.split(F.trim(y), r"\s+")[0].alias("u"))))["u"]
+    sets = F.transform(every_of(r"""(?is)<(?:img|source)\s[^>]*?srcset=["']([^"']+)"""), largest)
+    ld = every_of(r'(?is)<script[^>]*application/ld\+json[^>]*>.*?"image"\s*:\s*\[?\s*(?:\{[^}]*?"url"\s*:\s*)?"([^"]+)"')
+    css = every_of(r"""(?is)background(?:-image)?\s*:[^;"'}]*?url\(\s*["']?([^"')]+)""")
+    listed = lambda many, kind: F.transform(many, lambda x: F.struct(x.alias("image"), F.lit(kind).alias("source_type")))
+    one = lambda c, kind: F.filter(listed(F.array(c), kind), lambda x: x["image"].isNotNull())
+    every = F.concat(one(_meta("og:image"), "og"), one(_meta("twitter:image"), "twitter"), listed(ld, "jsonld"), listed(F.concat(sets, imgs, css), "article"))
+    found = pages.select("url", F.posexplode(every).alias("place", "x")).select("url", "place", tx.decode_entities(F.col("x.image")).alias("image"), "x.source_type")
+    # a picture that a page names more than once counts where it stands first
+    return found.groupBy("url", "image").agg(F.min(F.struct("place", "source_type")).alias("x")).select("url", "x.place", "image", "x.source_type")
 
 
 def best_image(candidates: DataFrame, probes: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,12 @@ def write_daily(rollup: DataFrame, path: str) -> None:
     replace_partitions(rollup, path, "day")
 
 
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """A table of write_daily(), with day as the string that was written."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("day", F.col("day").cast("string"))
+
+
 def sitemap_entries(articles: DataFrame, sources: DataFrame, live_picks: DataFrame, static: DataFrame) -> DataFrame:
     """(loc, lastmod): stories of enabled sources that are eligible or live picks, and the static pages."""
     rows = articles.join(sources.filter("enabled").select(F.col("id").alias("source_id")), "source_id", "left_semi")

@@ -42,9 +42,9 @@ def validate_events(raw: DataFrame) -> DataFrame:
     given = F.coalesce(F.col("p.articleId"), F.lit("")) != ""
     event = F.col("p.event")
     error = (
-        F.when(F.col("p").isNull() | ~F.trim("payload").startswith("{"), "Expected a JSON object.").when(event.isNull() | ~event.isin(*CLIENT_EVENTS), "Unknown event.")
-        .when((event == "impression") & ~F.coalesce(F.col("p.surface").isin(*SURFACES), F.lit(False)), "Unknown surface.").when((event == "impression") & (F.size(ids) == 0), "articleIds are required.").when((event == "impression") & (F.size(ids) > MOST_IDS), "Too many articleIds.")
-        .when((event != "impression") & given & one.isNull(), "articleId must be a positive integer.").when(~event.isin("impression", "experience_feedback") & one.isNull(), "articleId is required for this event.")
+        F.when(F.col("p").isNull() | ~F.trim("payload").startswith("{"), "not_an_object").when(event.isNull() | ~event.isin(*CLIENT_EVENTS), "unknown_event")
+        .when((event == "impression") & ~F.coalesce(F.col("p.surface").isin(*SURFACES), F.lit(False)), "unknown_surface").when((event == "impression") & (F.size(ids) == 0), "no_articles").when((event == "impression") & (F.size(ids) > MOST_IDS), "too_many_articles")
+        .when((event != "impression") & given & one.isNull(), "bad_article").when(~event.isin("impression", "experience_feedback") & one.isNull(), "no_article")
     )
     articles = F.when(event == "impression", ids).when(event == "experience_feedback", F.array(F.lit(None).cast("long"))).otherwise(F.array(one))
     detail = F.coalesce(F.nullif(F.substring(F.trim("p.detail"), 1, MOST_DETAIL), F.lit("")), F.when((F.col("p.rating") != "") & (F.col("p.reason") != ""), F.concat_ws(":", "p.rating", "p.reason")))
@@ -91,10 +91,28 @@ def accept_writes(times: list[int], impressions: list[bool], kept: list[int]) ->
     return out, kept
 
 
-def _limited(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["created_at", "id"])
-    group["accepted"], _ = accept_writes(group.created_at.tolist(), (group.event == "impression").tolist(), [])
-    return group
+def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Callable, schema: str) -> DataFrame:
+    """Rows of each key in order through fold(state, frame) -> (state, result), batch after batch; None is the state at first.
+
+    A key's rows pass through one task, as they depend on each other, but only its state is held, not its rows. fold is
+    called once more for each key, with an empty frame, after its last row.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, empty = None, None, None
+        for frame in frames:
+            empty = frame.iloc[:0]
+            for value, part in frame.groupby(key, sort=False, dropna=False):
+                if current is None or value != current[0]:
+                    if current is not None:
+                        yield fold(current[0], state, empty)[1]
+                    current, state = (value,), None
+                state, out = fold(value, state, part)
+                yield out
+        if current is not None:
+            yield fold(current[0], state, empty)[1]
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def rate_limit(events: DataFrame) -> DataFrame:
@@ -104,53 +122,123 @@ def rate_limit(events: DataFrame) -> DataFrame:
     """
     rows = events.select("id", "visitor_key", "event", "created_at")
     schema = "id long, visitor_key string, event string, created_at long, accepted boolean"
+
+    def judged(kept: list[int], frame: pd.DataFrame) -> tuple[list[int], pd.DataFrame]:
+        accepted, kept = accept_writes(frame.created_at.tolist(), (frame.event == "impression").tolist(), kept)
+        return kept, frame.assign(accepted=accepted)[["id", "visitor_key", "event", "created_at", "accepted"]]
+
     if not events.isStreaming:
-        return rows.groupBy("visitor_key").applyInPandas(_limited, schema)
+        return ordered_fold(rows, "visitor_key", ["created_at", "id"], lambda _, kept, frame: judged(kept or [], frame), schema)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        rows["accepted"], kept = accept_writes(rows.created_at.tolist(), (rows.event == "impression").tolist(), list(state.get[0]) if state.exists else [])
+        kept, rows = judged(list(state.get[0]) if state.exists else [], rows)
         state.update((kept,))
         state.setTimeoutDuration(en.WRITE_WINDOW_MS)
-        yield rows[["id", "visitor_key", "event", "created_at", "accepted"]]
+        yield rows
 
     return rows.groupBy("visitor_key").applyInPandasWithState(step, schema, "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _marked(lists: dict[str, list[int]], polarity: str, article: int, most: int) -> None:
+    """One toggle: the two polarities exclude each other, the same mark again clears it, and only the newest stay."""
+    mine = lists.setdefault(polarity, [])
+    had = article in mine
+    for marks in lists.values():
+        if article in marks:
+            marks.remove(article)
+    if not had:
+        mine.insert(0, article)
+        del mine[most:]
+
+
+MARKS = "visitor_key string, polarity string, article_id long, slot int"
+
+
 def toggle_marks(toggles: DataFrame, most: int = 50) -> DataFrame:
-    """(visitor_key, polarity, article_id, slot): an ordered fold of marks, newest first.
+    """(visitor_key, polarity, article_id, slot): an ordered fold of marks (at, id), newest first; in a stream, each visitor's marks after every batch.
 
     The two polarities exclude each other; the same mark again clears it; each keeps its newest `most`, and one
     that was dropped does not come back. So it is no "latest state" query.
     """
+    rows = toggles.select("visitor_key", "article_id", "polarity", "at", "id")
+
+    def listed(visitor: str, lists: dict[str, list[int]]) -> pd.DataFrame:
+        return pd.DataFrame([(visitor, p, a, i + 1) for p, marks in lists.items() for i, a in enumerate(marks)], columns=["visitor_key", "polarity", "article_id", "slot"])
+
+    def fold(visitor: str, lists: dict | None, frame: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        lists = {} if lists is None else lists
+        for r in frame.itertuples():
+            _marked(lists, r.polarity, r.article_id, most)
+        return lists, listed(visitor, lists if frame.empty else {})
+
+    if not toggles.isStreaming:
+        return ordered_fold(rows, "visitor_key", ["at", "id"], fold, MARKS)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lists = {p: list(marks) for p, marks in zip(*state.get, strict=True)} if state.exists else {}
+        for r in pd.concat(list(frames)).sort_values(["at", "id"]).itertuples():
+            _marked(lists, r.polarity, r.article_id, most)
+        state.update((list(lists), list(lists.values())))
+        yield listed(key[0], lists)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        lists: dict[str, list[int]] = {}
-        for r in group.sort_values("at", kind="stable").itertuples():
-            mine = lists.setdefault(r.polarity, [])
-            had = r.article_id in mine
-            for marks in lists.values():
-                if r.article_id in marks:
-                    marks.remove(r.article_id)
-            if not had:
-                mine.insert(0, r.article_id)
-                del mine[most:]
-        return pd.DataFrame([(group.visitor_key.iloc[0], p, a, i + 1) for p, marks in lists.items() for i, a in enumerate(marks)], columns=["visitor_key", "polarity", "article_id", "slot"])
+    return rows.groupBy("visitor_key").applyInPandasWithState(step, MARKS, "polarities array<string>, marks array<array<long>>", "update", GroupStateTimeout.NoTimeout)
 
-    return toggles.groupBy("visitor_key").applyInPandas(fold, "visitor_key string, polarity string, article_id long, slot int")
 
+def quarantine_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch with two sinks: valid events go to out/events, the others with their error to out/rejected; run twice, it leaves the same rows."""
 
-def rollup_batch(dims: DataFrame, out: str, known_first: Callable[[], DataFrame | None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that replaces the days of the batch: run twice, it leaves the same tables."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = validate_events(batch)
+        rows.filter("error is null").drop("error", "payload").write.mode("overwrite").parquet(f"{out}/events/batch_id={batch_id}")
+        rows.filter("error is not null").select("visitor_key", "created_at", "error", "payload").write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
+
+    return run
+
+
+def late_rows(batch: DataFrame, closed_day: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of days that are still open, rows of closed_day and before, which only a rollup of stored days takes in)."""
+    late = en.event_day() <= closed_day
+    return batch.filter(~late), batch.filter(late)
+
+
+def rollup_days(log: DataFrame, dims: DataFrame, first: DataFrame, out: str) -> None:
+    """Replaces the days that log, all stored rows of these days, has rows of."""
     from millrace.sources.sinks import write_daily
 
-    def run(batch: DataFrame, _: int) -> None:
-        first = en.visitor_first(batch, known_first())
-        touches = en.daily_touches(batch)
-        write_daily(en.daily_articles(touches, first), f"{out}/daily_articles")
-        write_daily(en.daily_dims(touches, dims, first, batch), f"{out}/daily_dims")
+    touches = en.daily_touches(log)
+    write_daily(en.daily_articles(touches, first), f"{out}/daily_articles")
+    write_daily(en.daily_dims(touches, dims, first, log), f"{out}/daily_dims")
+
+
+def rollup_batch(dims: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that stores the batch's raw rows and first days, then rolls the days it touches up anew from all that is stored.
+
+    So a day that comes in several batches, or late, is counted whole, and a batch that runs twice changes nothing. A
+    first day that moves to an earlier one changes only days rolled up after that; repair() mends the others.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("log_day", en.event_day())
+        rows.write.mode("overwrite").parquet(f"{out}/log/batch_id={batch_id}")
+        en.visitor_first(batch).write.mode("overwrite").parquet(f"{out}/visitor_first/batch_id={batch_id}")
+        days = [r.log_day for r in rows.select("log_day").distinct().collect()]  # days of one batch
+        stored = spark.read.parquet(f"{out}/log").filter(F.col("log_day").isin(*days))
+        rollup_days(stored.drop("batch_id", "log_day"), dims, stored_first(spark, out), out)
 
     return run
+
+
+def stored_first(spark, out: str) -> DataFrame:
+    """(visitor_key, first_day) over all batches stored."""
+    return spark.read.parquet(f"{out}/visitor_first").groupBy("visitor_key").agg(F.min("first_day").alias("first_day"))
+
+
+def repair(spark, dims: DataFrame, out: str, since_day: str) -> None:
+    """Rolls up anew all stored days from since_day on, with what is known of first days by now."""
+    stored = spark.read.parquet(f"{out}/log").filter(F.col("log_day") >= since_day)
+    rollup_days(stored.drop("batch_id", "log_day"), dims, stored_first(spark, out), out)

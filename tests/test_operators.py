@@ -122,7 +122,7 @@ def test_day_replace_sink(spark):
 
 
 def test_marks_and_rate_limit(spark):
-    t = spark.createDataFrame([("v", 1, "interested", 1), ("v", 1, "less", 2), ("v", 1, "less", 3), ("v", 2, "interested", 4)], "visitor_key string, article_id long, polarity string, at long")
+    t = spark.createDataFrame([("v", 1, "interested", 1, 1), ("v", 1, "less", 2, 2), ("v", 1, "less", 3, 3), ("v", 2, "interested", 4, 4)], "visitor_key string, article_id long, polarity string, at long, id long")
     assert [tuple(r) for r in jobs.toggle_marks(t).collect()] == [("v", "interested", 2, 1)]
     e = spark.createDataFrame([(i, "v", "save" if i % 50 else "impression", T0 + i) for i in range(1, 61)], "id long, visitor_key string, event string, created_at long")
     got = {r.id: r.accepted for r in jobs.rate_limit(e).collect()}
@@ -139,3 +139,86 @@ def test_stream_equals_batch(spark):
     q.awaitTermination(120)
     key = lambda df: sorted((r.event, r.article_id, r.visitor_key, r.day_utc) for r in df.collect())
     assert key(spark.read.parquet(f"{out}/d")) == key(jobs.dedup_impressions(e))
+
+
+def drained(stream, out, mode, **options):
+    """Runs a stream over what is there, and gives what it wrote."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/c").trigger(availableNow=True)
+    q = writer.foreachBatch(options["batch"]).start() if "batch" in options else writer.format("parquet").option("path", f"{out}/d").start()
+    q.awaitTermination(120)
+
+
+def test_folds_against_brute_force_and_streams(spark):
+    rng = random.Random(6)
+    toggles = [(f"v{rng.randrange(4)}", rng.randrange(12), rng.choice(["interested", "less"]), k // 3, k) for k in range(300)]
+    want = {}
+    for v, a, p, _, _ in toggles:
+        lists = want.setdefault(v, {"interested": [], "less": []})
+        had = a in lists[p]
+        for marks in lists.values():
+            if a in marks:
+                marks.remove(a)
+        if not had:
+            lists[p] = [a, *lists[p]][:5]
+    flat = sorted((v, p, a, i + 1) for v, lists in want.items() for p, marks in lists.items() for i, a in enumerate(marks))
+    frame = spark.createDataFrame(toggles, "visitor_key string, article_id long, polarity string, at long, id long")
+    assert sorted(map(tuple, jobs.toggle_marks(frame.repartition(3), 5).collect())) == flat
+    src, out = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
+    frame.coalesce(1).write.mode("overwrite").parquet(src)
+    seen = []
+    drained(jobs.toggle_marks(spark.readStream.schema(frame.schema).parquet(src), 5), out, "update", batch=lambda df, _: seen.extend(map(tuple, df.collect())))
+    assert sorted(seen) == flat
+
+    attempts = [(k, f"v{k % 2}", "impression" if k % 9 == 0 else "save", T0 + k * 5_000) for k in range(400)]
+    want = {}
+    for v in ("v0", "v1"):
+        kept = []
+        for k, w, e, at in attempts:
+            if w == v:
+                kept = [x for x in kept if x >= at - 600_000]
+                want[k] = e == "impression" or len(kept) < 40
+                kept += [at] if want[k] else []
+    frame = spark.createDataFrame(attempts, "id long, visitor_key string, event string, created_at long")
+    assert {r.id: r.accepted for r in jobs.rate_limit(frame.repartition(5)).collect()} == want
+    src, out = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
+    frame.coalesce(1).write.mode("overwrite").parquet(src)
+    drained(jobs.rate_limit(spark.readStream.schema(frame.schema).parquet(src)), out, "append")
+    assert {r.id: r.accepted for r in spark.read.parquet(f"{out}/d").collect()} == want
+
+
+def test_rollup_of_a_day_in_two_batches(spark):
+    out = tempfile.mkdtemp(prefix="spark-")
+    dims = spark.createDataFrame([(1, "interest", "Rally")], "article_id long, dim_kind string, dim_value string")
+    one = events(spark, [("impression", 1, "A", 0), ("save", 1, "A", 0)])
+    two = events(spark, [("impression", 1, "B", 0), ("impression", 1, "A", 1)])
+    run = jobs.rollup_batch(dims, out)
+    for _ in range(2):
+        run(one, 0)
+        run(two, 1)
+    read = lambda: {r.day: (r.impression_uniques, r.save_uniques, r.returning_uniques) for r in sinks.read_daily(spark, f"{out}/daily_articles").collect()}
+    d0, d1 = sorted(read())
+    assert read() == {d0: (2, 1, 0), d1: (1, 0, 1)} and len(d0) == 10
+    run(events(spark, [("impression", 1, "B", -1)]), 2)  # late, and earlier than B's first day
+    jobs.repair(spark, dims, out, "2000-01-01")
+    late = {r.day: r.returning_uniques for r in sinks.read_daily(spark, f"{out}/daily_articles").collect()}
+    assert late[d0] == 1 and len(late) == 3
+    on_time, closed = jobs.late_rows(one.unionByName(two), d0)
+    assert (on_time.count(), closed.count()) == (1, 3)
+
+
+def test_two_sinks_of_validated_events(spark):
+    out = tempfile.mkdtemp(prefix="spark-")
+    raw = spark.createDataFrame([('{"event":"save","articleId":"4"}', "a", T0), ('{"event":"pageview"}', "b", T0), ("[]", "c", T0)], "payload string, visitor_key string, created_at long")
+    for _ in range(2):
+        jobs.quarantine_batch(out)(raw, 7)
+    assert [(r.event, r.article_id) for r in spark.read.parquet(f"{out}/events").collect()] == [("save", 4)]
+    assert {r.error for r in spark.read.parquet(f"{out}/rejected").collect()} == {"unknown_event", "not_an_object"}
+
+
+def test_images_of_a_page(spark):
+    page = '''<meta property="og:image" content="https://x/og.jpg"><script type="application/ld+json">{"image":["https://x/ld.jpg"]}</script>
+    <img src="https://x/a.jpg" srcset="https://x/s.jpg 300w, https://x/l.jpg 1200w"><div style="background-image: url('https://x/bg.jpg')"></div><img src="https://x/og.jpg"><a href="sub/p.html">x</a><a href="mailto:q@x">m</a>'''
+    pages = spark.createDataFrame([("https://x.example.com/dir/q.html", page)], "url string, html string")
+    got = [(r.image, r.source_type) for r in rd.page_images(pages).orderBy("place").collect()]
+    assert got == [("https://x/og.jpg", "og"), ("https://x/ld.jpg", "jsonld"), ("https://x/l.jpg", "article"), ("https://x/a.jpg", "article"), ("https://x/bg.jpg", "article")]
+    assert [r.link for r in rd.page_links(pages).collect()] == ["https://x.example.com/dir/sub/p.html"]
