@@ -243,7 +243,7 @@ def main_text(page: str | None, weights: dict[str, float], names: set[str] = BOI
     end()
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, (score, _) in enumerate(row):
-        if total <= 0:
+        if total < 0:
             total, start = 0.0, i
         total += score
         if total > best or total == best and start == best_from:

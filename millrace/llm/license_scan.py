@@ -21,18 +21,32 @@ from ._words import chunks, text_words, words
 #: Phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: (label, notice, key phrases of which each must stand at its place). A parameter; these are short notices.
+#: (label, notice, key phrases of which each must stand at its place). A parameter. Wordings of public licences and their notices.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["apache license version 2 0"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission is hereby granted free of charge"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["has waived all copyright and related or neighboring rights"]),
     ("gpl", "this work is licensed under the gnu general public license version 3", ["gnu general public license"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published by the free software foundation"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
+    ("agpl", "licensed under the gnu affero general public license", ["gnu affero general public license"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistribution and use in source and binary forms"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify and or distribute this software for any purpose"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", ["permission is granted to anyone to use this software for any purpose"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
+    ("boost", "distributed under the boost software license version 1 0", ["boost software license"]),
 ]
 
 #: Places by which a key phrase may be off its place in the template.
@@ -93,6 +107,8 @@ def word_frequencies(docs: DataFrame, texts: list[str], text: str = "text") -> t
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list | None = None, text: str = "text") -> DataFrame:
     """docs and n_words, places (of phrases: label, first word), matches (of templates: label, first word, share of its words in place).
 
+    Of a label's templates and places the largest share counts, of equal ones the first place.
+
     Columns of docs with these names are replaced. Null text: no words, empty lists. An empty table gives an empty
     result. Repeated rows give repeated results. All words of a text count, however long it is.
     """

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._near import Sets, band_hashes, buckets_of, choose_bands, components, distinct_sets, links
-from ._shared import renamed, row_ids, scan_ids, sized_broadcast, table, written
+from ._shared import BROADCAST_BYTES, measured_bytes, renamed, row_ids, scan_ids, sized_broadcast, table, written
 from ._words import places
 
 #: Runs of 5 characters recur in most lines of a language; bands of 6 hashes keep chance candidates few, and 18 of them the recall.
@@ -59,17 +59,15 @@ def _runs(values: list[str]) -> Iterator[list[str]]:
         yield values[start:]
 
 
-def _keyed(docs: DataFrame, bands: int = 0, rows: int = 0, n: int = CHARACTERS) -> DataFrame:
+def _keyed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     """(doc_id, rid, pos, key_a, key_b) and the band hashes b0, b1, ... for each line that is not blank; the two keys stand for the normal line."""
 
     def lot(batch: pa.RecordBatch, lines: list[tuple[int, int, str]]) -> pa.RecordBatch:
         at = pa.array([row for row, _, _ in lines])
         keys = np.frombuffer(b"".join([blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, line in lines]), np.int64).reshape(-1, 2)
+        found = np.concatenate([band_hashes(*line_shingles(run, n), bands, rows) for run in _runs([line for _, _, line in lines])]).view(np.int64)
         columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([pos for _, pos, _ in lines], pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-        if bands:
-            found = np.concatenate([band_hashes(*line_shingles(run, n), bands, rows) for run in _runs([line for _, _, line in lines])])
-            columns += [pa.array(found[:, k].view(np.int64)) for k in range(bands)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(found[:, k]) for k in range(bands))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,16 +110,18 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     """(rid, dropped array<int>): places of lines that repeat an earlier one, in ascending order. docs: (rid, doc_id, _text)."""
     bands, rows = choose_bands(threshold, recall, MOST_HASHES)
     keys = ["key_a", "key_b"]
-    hashes = [f"b{k}" for k in range(bands)]
-    # distinct lines, with one place of each; all are longs, so that Spark aggregates them by hash
-    lines = _keyed(docs, bands, rows, characters).groupBy(*keys).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("rid", "pos", *hashes)])
-    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "distinct", "lz4")
-    buckets = buckets_of(lines, hashes)
+    signed = written(_keyed(docs, bands, rows, characters).withColumn("node", F.monotonically_increasing_id()), "lines", "lz4")
+    # lines at more than one place, with one of them that stands for all; these are longs, so Spark counts them by hash
+    repeated = signed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1").drop("n")
+    repeated = written(repeated, "repeated")
+    placed = signed.join(sized_broadcast(repeated), keys, "left")
+    lines = placed.filter("first is null or first = node").select("node", "rid", "pos", *(f"b{k}" for k in range(bands)))
+    lines = lines if measured_bytes(repeated) <= BROADCAST_BYTES else written(lines, "distinct", "lz4")
+    buckets = buckets_of(lines, [f"b{k}" for k in range(bands)])
     roots = written(components(links(buckets, _sets(docs, lines), threshold, _decoder(characters))), "roots")
     # lines that have copies or similar ones, at all their places, and of each such group the first place, which stays
-    several = lines.select(*keys, "node", "copies").join(sized_broadcast(roots), "node", "left").filter("copies > 1 or root is not null")
-    several = written(several.select(*keys, F.coalesce("root", "node").alias("root")), "several")
-    placed = written(_keyed(docs).join(sized_broadcast(several), keys).select("root", "doc_id", "rid", "pos"), "placed")
+    placed = placed.select("doc_id", "rid", "pos", "first", F.coalesce("first", "node").alias("node")).join(sized_broadcast(roots), "node", "left")
+    placed = written(placed.filter("first is not null or root is not null").select(F.coalesce("root", "node").alias("root"), "doc_id", "rid", "pos"), "placed")
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos")).alias("kept"))
     kept = written(kept.select("root", F.col("kept.rid").alias("kept_rid"), F.col("kept.pos").alias("kept_pos")), "kept")
     repeats = placed.select("root", "rid", "pos").join(sized_broadcast(kept), "root").filter("rid != kept_rid or pos != kept_pos")

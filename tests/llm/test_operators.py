@@ -23,7 +23,7 @@ from millrace.llm import packing as pk
 from millrace.llm import token_tables as tt
 from millrace.llm import topk_search as ts
 from millrace.llm import url_filter as uf
-from millrace.llm._near import choose_bands, components, intersections
+from millrace.llm._near import Sets, band_hashes, choose_bands, components, intersections, most_similar, profiles
 from millrace.llm._shared import scan_ids, scratch
 from millrace.llm._tokens import Encoder
 
@@ -404,3 +404,172 @@ def test_html_malformed_pages():
         began = time.time()
         hx.main_text(part * (1_000_000 // len(part)), {})
         assert time.time() - began < 10, part
+
+
+# -- recall, chains, ties, clashes ----------------------------------------------------------------------------------------
+def test_bands_keep_the_recall_they_promise():
+    """Pairs of sets whose similarity is the threshold exactly, and unlike pairs: how many share a band."""
+    rng = np.random.default_rng(8)
+    for bands, rows, least in ((*choose_bands(0.8, 0.995, 108), 0.99), (*choose_bands(0.8, 0.995), 0.99)):
+        for size in (20, 300):
+            sets = []
+            for _ in range(1500):
+                both = rng.integers(0, 1 << 63, size).astype(np.uint64)
+                n = size // 8  # (size - n) / (size + n) with n = size / 9 would be 0.8; size / 8 is a little less alike
+                own = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+                sets += [np.concatenate([both, own[:n]]), np.concatenate([both, own[n:]])]
+            sizes = [len(s) for s in sets]
+            made = band_hashes(np.concatenate(sets), np.cumsum([0, *sizes]), bands, rows)
+            like, unlike = (made[0::2] == made[1::2]).any(axis=1).mean(), (made[0::2] == np.roll(made[1::2], 1, axis=0)).any(axis=1).mean()
+            true = size / (size + 2 * (size // 8))
+            assert like >= 1 - (1 - true**rows) ** bands - 0.01 and unlike < 0.01, (bands, rows, size, like)
+    assert 1 - (1 - 0.8**6) ** 18 >= 0.995
+
+
+def test_profiles_never_rule_out_a_pair():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 4000, rng.integers(1, n)).astype(np.uint64)) for n in (5, 50, 500, 3000) for _ in range(12)]
+    packed = Sets(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    rows, sizes = profiles(packed), packed.sizes
+    for i in range(len(sets)):
+        bound = most_similar(rows, np.repeat(rows[i : i + 1], len(sets), axis=0), sizes, np.full(len(sets), sizes[i]))
+        for j in range(len(sets)):
+            assert bound[j] >= len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) - 1e-12
+
+
+def letters(rng, n):
+    return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)).replace("  ", "xq").strip() + "z"
+
+
+def test_line_dedup_follows_chains_and_settles_ties(spark):
+    """A line and its further and further changed copies are one component, though its ends are unlike; the least (doc_id, row, place) stays."""
+    rng = np.random.default_rng(11)
+    line, chain = letters(rng, 120), []
+    for k in range(6):
+        chain.append(line)
+        line = line[: 18 * k] + letters(rng, 3)[:4] + line[18 * k + 4 :]
+    runs = lambda s: {s[j : j + 5] for j in range(len(s) - 4)}
+    like = lambda a, b: len(runs(a) & runs(b)) / len(runs(a) | runs(b))
+    assert all(like(a, b) >= 0.8 for a, b in zip(chain, chain[1:], strict=False)) and like(chain[0], chain[-1]) < 0.8
+    rows = [(5 + (3 * k) % 6, f"{c}\n  \nown line {k} {letters(rng, 40)}", k, "clash") for k, c in enumerate(chain)] + [(5, chain[0], 9, "clash"), (None, chain[0].upper() + "  ", 10, "clash"), (99, "", 11, "clash"), (98, "\n\n", 12, "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long, dropped string").coalesce(1)
+    got = {r.k: r for r in ld.dedup_lines(docs).collect()}
+    kept = [k for k in got if any(line.strip().lower() in chain for line in (got[k].text or "").split("\n") if line.strip())]
+    assert kept == [0] and all(r.dropped == "clash" for r in got.values()) and got[10].text == "" and got[10].n_dropped == 1
+    assert (got[11].text, got[11].n_lines, got[12].text, got[12].n_lines) == ("", 1, "\n\n", 3)
+    assert all("own line" in got[k].text and got[k].n_lines == 3 for k in range(6))
+
+
+def test_line_dedup_of_very_long_and_many_like_lines(spark):
+    rng = np.random.default_rng(12)
+    base = letters(rng, 90)
+    swarm = [base[:i] + "#" + base[i + 1 :] for i in range(10, 80)]  # all like one another
+    long = letters(rng, 200_000)
+    texts = ["\n".join(swarm[i::7]) for i in range(7)] + [long, long[:100_000] + "!!" + long[100_000:], "x"]
+    got = {r.doc_id: r.n_dropped for r in ld.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(7)) == len(swarm) - 1 and got[0] == len(swarm[0::7]) - 1 and (got[7], got[8], got[9]) == (0, 1, 0)
+
+
+def test_ngram_join_follows_long_chains(spark):
+    rng = np.random.default_rng(13)
+    words_ = [letters(rng, 6).replace(" ", "") for _ in range(90)]
+    texts = []
+    for k in range(25):
+        texts.append(" ".join(words_))
+        words_ = [*words_[:3 * k], f"new{k}", *words_[3 * k + 1 :]]
+    docs = spark.createDataFrame([(100 - k, t, "x") for k, t in enumerate(texts)] + [(None, texts[3], "x"), (1, "of its own", "x")], "doc_id long, text string, class_id string")
+    got = nj.similar_documents(docs).collect()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(86)} for t in texts]
+    near = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert {r.doc_id: (r.class_id, r.class_size) for r in got if r.doc_id not in (None, 1)} == {100 - k: (76, 26) for k in range(25)}
+    assert {r.doc_id: r.n_links for r in got if r.doc_id not in (None, 1)} == {100 - k: sum(near[k]) + (k == 3) + near[k][3] for k in range(25)}
+
+
+def test_ftrl_against_a_plain_version():
+    rng = np.random.default_rng(14)
+    rows = [(np.sort(rng.choice(30, 5, replace=False)), rng.random(5), int(rng.integers(3))) for _ in range(60)]
+    leader = li.FollowTheLeader(3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, c):
+        if abs(z[f, c]) <= li.L1:
+            return 0.0
+        return -(z[f, c] - math.copysign(li.L1, z[f, c])) / ((li.BETA + math.sqrt(n[f, c])) / li.ALPHA + li.L2)
+
+    for used, x, label in rows:
+        leader.learn(used, x, label)
+        cells = [*zip(used.tolist(), x.tolist(), strict=True), (li.BUCKETS, 1.0)]
+        scores = [sum(weight(f, c) * v for f, v in cells) for c in range(3)]
+        total = sum(math.exp(s) for s in scores)
+        old = {(f, c): weight(f, c) for f, _ in cells for c in range(3)}
+        for c in range(3):
+            error = math.exp(scores[c]) / total - (c == label)
+            for f, v in cells:
+                g = error * v
+                z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / li.ALPHA * old[f, c]
+                n[f, c] += g * g
+    made = leader.weights()
+    assert all(abs(made[f, c] - weight(f, c)) < 1e-9 for f in [*range(30), li.BUCKETS] for c in range(3)) and (made[30 : li.BUCKETS] == 0).all()
+
+
+def test_language_id_of_long_texts_ties_and_clashes(spark):
+    rows = [(i, "aaa bbb" if i % 2 else "ccc ddd", "x" if i % 2 else "y", "old") for i in range(60)] + [(100, "aaa bbb " * 200_000, None, "old"), (100, "ccc ddd", None, "old"), (101, "éé", None, "old")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = [(r.doc_id, r.lang_pred) for r in li.identify(df, li.train(df)).collect() if r.doc_id >= 100]
+    assert sorted(got[:2]) == [(100, "x"), (100, "y")] and got[2][1] in ("x", "y")
+    flat = li.Model(["b", "c"], np.ones(li.BUCKETS), np.zeros((li.BUCKETS + 1, 2)))
+    assert flat.predict("any text") == ("b", 0.5)  # of equals the first by name
+
+
+def test_license_templates_against_brute_force(spark):
+    rng = np.random.default_rng(15)
+    notices = [t[1].split() for t in ls.TEMPLATES]
+    vocabulary = sorted({w for n in notices for w in n}) + ["other", "words"]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.integers(0, 4)):
+            n = list(notices[rng.integers(len(notices))])
+            if rng.random() < 0.5:
+                n[rng.integers(len(n))] = str(rng.choice(vocabulary))
+            if rng.random() < 0.3:
+                n = n[rng.integers(0, 3) :]
+            parts += [str(x) for x in rng.choice(vocabulary, rng.integers(0, 8))] + n
+        texts.append(" ".join(parts).upper())
+    got = {r.doc_id: {m.label: (round(m.score, 9), m.start) for m in r.matches} for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, text in enumerate(texts):
+        w, want = text.lower().split(), {}
+        for label, notice, keys in ls.TEMPLATES:
+            notice, keys = notice.split(), [k.split() for k in keys]
+            place = {tuple(k): next(i for i in range(len(notice)) if notice[i : i + len(k)] == k) for k in keys}
+            for start in range(-ls.SLACK - len(notice), len(w) + ls.SLACK):
+                near = all(any(i >= 0 and w[i : i + len(k)] == k for i in range(start + place[tuple(k)] - ls.SLACK, start + place[tuple(k)] + ls.SLACK + 1)) for k in keys)
+                votes = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(notice))
+                if near and votes >= min(2, len(notice)):
+                    best = (round(votes / len(notice), 9), -max(start, 0))
+                    want[label] = max(want.get(label, best), best)
+        assert got[d] == {label: (score, -start) for label, (score, start) in want.items()}, text
+
+
+def test_html_scan_against_brute_force():
+    """The region is the best of all, whatever the weights; of equals, the first, then the longest."""
+    rng = np.random.default_rng(16)
+    for _ in range(60):
+        parts = [f"<{t}>{' '.join(['w'] * rng.integers(0, 4))}" if rng.random() < 0.8 else f"</{t}>" for t in rng.choice(["p", "div", "li", "b"], 12)]
+        weights = {x: float(rng.choice([-2.0, -1.0, -0.5])) for t in ("p", "div", "li", "b") for x in (t, "/" + t)}
+        row: list[tuple[float, str | None]] = []
+        block = ""
+        for kind, value, _ in [*hx.items("".join(parts)), ("block", "end", False)]:
+            if kind == "text":
+                block += value
+                continue
+            if kind != "tag" and block.strip():
+                row.append((float(len(block.split())), " ".join(block.split())))
+            block = "" if kind != "tag" else block
+            if value != "end":
+                row.append((weights[value], None))
+        sums = [(sum(s for s, _ in row[i:j]), -i, j) for i in range(len(row)) for j in range(i, len(row) + 1)]
+        best = max(sums, default=(0, 0, 0))
+        texts = [t for _, t in row[-best[1] : best[2]] if t] if best[0] > 0 else []
+        found = hx.main_text("".join(parts), weights)
+        assert sum(len(x.split()) for x in found.split("\n\n") if x) == sum(len(x.split()) for x in texts) and (not texts or found.split("\n\n")[0] == texts[0])
