@@ -133,12 +133,16 @@ def remaining_sources(sources: DataFrame, runs: DataFrame, week_start: int) -> D
     return sources.filter("enabled").join(done, F.col("id") == F.col("source_id"), "left_anti")
 
 
-def run_state(runs: DataFrame, now_ms: int, stale_ms: int = 300_000) -> DataFrame:
-    """One row: the newest live lock and the number of stale runs."""
+def run_state(runs: DataFrame, now_ms: int, stale_ms: int = 300_000, remaining: DataFrame | None = None) -> DataFrame:
+    """One row: the newest live lock, the number of stale runs and, with the number of sources still to do, the next action."""
     age = F.lit(now_ms) - F.col("started_at")
     live, stale = (F.col("status") == "running") & (age < stale_ms), (F.col("status") == "running") & (age >= stale_ms)
     found = runs.agg(F.max_by(F.when(live, F.col("id")), F.when(live, F.struct("started_at", "id"))).alias("locked_by"), F.count(F.when(stale, 1)).alias("stale_runs"))
-    return found.withColumn("locked", F.col("locked_by").isNotNull())
+    found = found.withColumn("locked", F.col("locked_by").isNotNull())
+    if remaining is None:
+        return found
+    left = found.join(remaining.agg(F.count("*").alias("remaining")))  # one row each
+    return left.withColumn("action", F.when(F.col("locked"), "locked").when(F.col("remaining") == 0, "complete").otherwise("ingest"))
 
 
 def source_status(sources: DataFrame, articles: DataFrame, runs: DataFrame) -> DataFrame:
@@ -171,3 +175,18 @@ def first_wins(parts: list[DataFrame], key: str, order: str) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     best = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_part", order)))
     return best.filter("_n = 1").drop("_n", "_part")
+
+
+def list_stories(stories: DataFrame, sources: DataFrame, categories: DataFrame, n: int) -> DataFrame:
+    """The newest visible stories (id, source_id, category_id, published_at, hidden) with the names of their source and category; ties to the smaller id."""
+    rows = stories.filter(~F.coalesce("hidden", F.lit(False)))
+    rows = rows.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id").join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id")
+    return rows.orderBy(F.desc("published_at"), "id").limit(n)
+
+
+def merge_metadata(stored: F.Column, snapshot: F.Column) -> F.Column:
+    """Stored metadata JSON with the keys of a snapshot's JSON put in their places; what can't be read counts as empty."""
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    old, new = read(stored), read(snapshot)
+    kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    return F.to_json(F.map_concat(kept, new))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import js_round
+from millrace.operators.ingest import with_gate
 from millrace.storage import sized_broadcast, written
 
 #: Points of each signal and thresholds of each band.
@@ -375,6 +376,10 @@ def rank_titles(profiles: DataFrame, titles: DataFrame, most: int = 4) -> DataFr
 
 
 def hydrate(entries: DataFrame, articles: DataFrame) -> DataFrame:
-    """Stored list entries with their articles; entries of articles that are gone or no longer eligible drop out."""
-    live = articles.filter("reason is null").drop("reason")
+    """Stored list entries with their articles; entries of articles that are gone or no longer eligible drop out.
+
+    articles: with the gate's reason, or with what the gate asks of an article, which then is run again.
+    """
+    judged = articles if "reason" in articles.columns else with_gate(articles)
+    live = judged.filter("reason is null").drop("reason")
     return entries.join(live.withColumnRenamed("id", "article_id"), "article_id").withColumn("position", F.row_number().over(Window.partitionBy("list_key").orderBy("position")) - 1)

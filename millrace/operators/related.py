@@ -27,9 +27,10 @@ def related_articles(keys: DataFrame, articles: DataFrame, most: int = MOST) ->
     for the article itself). So each article meets that many others per key, however many share it.
     """
     known = keys.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    # the smallest few of a key, found by partial aggregation: no task needs all rows of a hot key
-    salted = known.groupBy("key", F.pmod(F.xxhash64("article_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("article_id")), 1, most + 1).alias("few"))
-    few = salted.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, most + 1).alias("few"))
+    # the smallest few of a key, by partial sorts in salted parts: no task needs all rows of a hot key
+    least = lambda rows, *keys: rows.withColumn("_n", F.dense_rank().over(Window.partitionBy(*keys).orderBy("article_id"))).filter(F.col("_n") <= most + 1).select(*keys, "article_id").distinct()
+    salted = least(known.select("key", "article_id", F.pmod(F.xxhash64("article_id"), F.lit(64)).alias("salt")), "key", "salt")
+    few = least(salted.select("key", "article_id"), "key").groupBy("key").agg(F.collect_list("article_id").alias("few"))
     pairs = known.join(few, "key").select("article_id", F.explode("few").alias("related_article_id"), "reason", "score").filter("article_id != related_article_id")
     best = pairs.groupBy("article_id", "related_article_id").agg(F.max("score").alias("score"), F.max_by("reason", "score").alias("reason"))
     order = Window.partitionBy("article_id").orderBy(F.desc("score"), "related_article_id")

@@ -106,7 +106,8 @@ def remaining_sources(spark, sf_dir):
 
 
 def run_state(spark, sf_dir):
-    return ing.run_state(_runs(spark, sf_dir), RUN_WEEK, 100 * en.DAY_MS)
+    left = ing.remaining_sources(_sources(spark, sf_dir), _runs(spark, sf_dir), RUN_WEEK)
+    return ing.run_state(_runs(spark, sf_dir), RUN_WEEK, 100 * en.DAY_MS, left)
 
 
 def source_status(spark, sf_dir):
@@ -171,8 +172,10 @@ def count_by_section(spark, sf_dir):
 
 def story_list(spark, sf_dir):
     o, c, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
-    rows = o.filter("o_orderstatus != 'P'").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("source"), F.col("n_name").alias("category"))
+    stories = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("category_id")), "o_custkey")
+    stories = stories.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), "category_id", F.col("o_orderdate").alias("published_at"), (F.col("o_orderstatus") == "P").alias("hidden"))
+    found = ing.list_stories(stories, c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 50)
+    return found.select("id", "source", "category")
 
 
 QUERIES = {
@@ -246,7 +249,7 @@ ORACLE_SQL = {
     "rank_keep_best": with_sql(["articles"], f"WITH k AS (SELECT id, lang, published_at, nullif({_NORM('title')}, '') AS duplicate_group_id FROM articles) SELECT id, lang, duplicate_group_id FROM k QUALIFY duplicate_group_id IS NULL OR row_number() OVER (PARTITION BY lang, duplicate_group_id ORDER BY published_at DESC, id) = 1"),
     "ingest_merge_articles": with_sql(["articles"], f"WITH {_MERGE} SELECT coalesce(o.canonical_url, n.canonical_url) AS canonical_url, coalesce(o.title, n.title) AS title, coalesce(o.url, n.url) AS url, CASE WHEN o.image_url LIKE 'https%' THEN o.image_url ELSE coalesce(n.image_url, o.image_url) END AS image_url, CASE WHEN o.id IS NULL THEN 99 ELSE 1 END AS first_seen, CASE WHEN n.id IS NULL THEN 1 ELSE 99 END AS last_seen FROM o FULL JOIN n ON o.canonical_url = n.canonical_url"),
     "ops_remaining_sources": f"WITH {_RUNS} SELECT id FROM sources WHERE enabled AND id NOT IN (SELECT source_id FROM runs WHERE started_at >= {RUN_WEEK} AND status IN ('ok', 'error'))",
-    "ops_run_state": f"WITH {_RUNS}, l AS (SELECT *, {RUN_WEEK} - started_at < {100 * en.DAY_MS} AS live FROM runs WHERE status = 'running') SELECT (SELECT id FROM l WHERE live ORDER BY started_at DESC, id DESC LIMIT 1) AS locked_by, count(CASE WHEN NOT live THEN 1 END) AS stale_runs, count(CASE WHEN live THEN 1 END) > 0 AS locked FROM l",
+    "ops_run_state": f"WITH {_RUNS}, rem AS (SELECT count(*) AS n FROM sources WHERE enabled AND id NOT IN (SELECT source_id FROM runs WHERE started_at >= {RUN_WEEK} AND status IN ('ok', 'error'))), l AS (SELECT *, {RUN_WEEK} - started_at < {100 * en.DAY_MS} AS live FROM runs WHERE status = 'running') SELECT (SELECT id FROM l WHERE live ORDER BY started_at DESC, id DESC LIMIT 1) AS locked_by, count(CASE WHEN NOT live THEN 1 END) AS stale_runs, count(CASE WHEN live THEN 1 END) > 0 AS locked, (SELECT n FROM rem) AS remaining, CASE WHEN count(CASE WHEN live THEN 1 END) > 0 THEN 'locked' WHEN (SELECT n FROM rem) = 0 THEN 'complete' ELSE 'ingest' END AS action FROM l",
     "ops_source_status": with_sql(["articles"], f"WITH {_RUNS}, ac AS (SELECT 's' || (id % 80) AS source_id, count(*) AS articles FROM articles GROUP BY 1), la AS (SELECT source_id, max(CASE WHEN status = 'ok' THEN started_at END) AS last_ok, max(CASE WHEN status = 'error' THEN started_at END) AS last_error FROM runs GROUP BY 1), fa AS (SELECT source_id, count(*) AS failure_count FROM runs JOIN la USING (source_id) WHERE status = 'error' AND started_at > coalesce(last_ok, -1) GROUP BY 1) SELECT s.id AS source_id, coalesce(articles, 0) AS articles, last_ok, last_error, coalesce(failure_count, 0) AS failure_count FROM sources s LEFT JOIN ac ON ac.source_id = s.id LEFT JOIN la ON la.source_id = s.id LEFT JOIN fa ON fa.source_id = s.id"),
     "ops_image_census": with_sql(["articles"], "WITH m AS (SELECT *, id % 3 = 0 OR id % 4 = 0 AS missing, row_number() OVER (PARTITION BY publication, (id % 3 = 0 OR id % 4 = 0) ORDER BY id) AS n FROM articles) SELECT publication, count(*) AS total, count(CASE WHEN missing THEN 1 END) AS missing, coalesce(string_agg(CASE WHEN missing AND n <= 3 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS samples FROM m GROUP BY 1"),
     "ops_week_starts": f"WITH {_RUNS} SELECT id, epoch_ms(CAST(date_trunc('week', make_timestamp(started_at * 1000)) AS TIMESTAMP)) AS week, epoch_ms(CAST(date_trunc('week', make_timestamp((started_at - 21600000) * 1000)) AS TIMESTAMP)) + 21600000 AS ingest_week FROM runs",

@@ -74,7 +74,7 @@ def feed_items(body: str) -> list[dict]:
     for block in re.findall(r"<(?:item|entry)(?:\s[^>]*)?>(.*?)</(?:item|entry)>", body, re.S | re.I):
         link = _field(block, "link") or next(iter(re.findall(r"<link[^>]*?href=[\"']([^\"']+)", block)), "")
         copy = _field(block, "description", "summary", "content:encoded", "content")
-        images = re.findall(r"<media:(?:content|thumbnail)[^>]*?url=[\"']([^\"']+)", block) + re.findall(r"<enclosure[^>]*?url=[\"']([^\"']+)", block) + re.findall(r"<img[^>]*?src=[\"']([^\"']+)", html.unescape(block))
+        images = re.findall(r"<media:(?:content|thumbnail)[^>]*?url=[\"']([^\"']+)", block) + re.findall(r"<enclosure[^>]*?url=[\"']([^\"']+)", block) + re.findall(r"<itunes:image[^>]*?href=[\"']([^\"']+)", block) + re.findall(r"<link(?=[^>]*?rel=[\"']enclosure)[^>]*?href=[\"']([^\"']+)", block) + re.findall(r"<img[^>]*?src=[\"']([^\"']+)", html.unescape(block))
         out.append({"title": _plain(_field(block, "title")), "url": link, "guid": _field(block, "guid", "id"), "author": _plain(_field(block, "dc:creator", "author", "name")), "excerpt": _plain(copy), "image_urls": list(dict.fromkeys(images)), "published": _field(block, "pubDate", "published", "updated", "dc:date")})
     return out
 

@@ -222,3 +222,14 @@ def test_images_of_a_page(spark):
     got = [(r.image, r.source_type) for r in rd.page_images(pages).orderBy("place").collect()]
     assert got == [("https://x/og.jpg", "og"), ("https://x/ld.jpg", "jsonld"), ("https://x/l.jpg", "article"), ("https://x/a.jpg", "article"), ("https://x/bg.jpg", "article")]
     assert [r.link for r in rd.page_links(pages).collect()] == ["https://x.example.com/dir/sub/p.html"]
+
+
+def test_metadata_merge_and_rail_openers(spark):
+    from millrace.operators import ingest as ing
+
+    got = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":"3"}'), ("broken", '{"b":"3"}'), (None, None)], "o string, n string").select(ing.merge_metadata(F.col("o"), F.col("n"))).collect()
+    assert [r[0] for r in got] == ['{"a":"1","b":"3"}', '{"b":"3"}', "{}"]
+    rails = spark.createDataFrame([("p", 1, 1, 10, "A"), ("p", 1, 2, 11, "B"), ("p", 2, 1, 11, "B"), ("p", 2, 2, 12, "A"), ("p", 3, 1, 10, "A")], "page string, rail int, position int, id long, publication string")
+    opened = spark.createDataFrame([("p", 10, "A")], "page string, id long, publication string")
+    assert sorted((r.rail, r.id) for r in sh.rail_openers(rails, "page", opened).collect()) == [(1, 11), (2, 12)]
+
