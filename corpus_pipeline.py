@@ -8,6 +8,8 @@ the last; an empty table gives empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,32 +20,43 @@ from millrace.llm._shared import scan_ids, table, written
 LEAST_PROBABILITY = 0.5
 
 
-def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, with n_chars counted anew."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+def _beside(docs: DataFrame, names: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs alone; those called as one of names, which an operator uses itself, step aside meanwhile."""
+    aside = {c: f"{c}__kept" for c in docs.columns if c in names}
+    out = work(docs.withColumnsRenamed(aside)).drop(*names)
+    return out.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model knows, and gives them the language it predicts."""
+    """Keeps documents in a language that the model knows, and gives them the language it predicts. Null texts and texts without a letter go."""
     model = language_id.train(docs.filter(F.col("doc_id").isNotNull() & ~language_id.held_out()))
-    found = language_id.identify(docs, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_PROBABILITY))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+    def known(rows: DataFrame) -> DataFrame:
+        found = language_id.identify(rows, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_PROBABILITY))
+        return found.withColumn("lang", F.col("lang_pred"))
+
+    return _beside(docs, ["lang_pred", "score", "_text"], known)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that repeat an earlier one, and documents of which nothing but blank lines is left."""
-    found = line_dedup.dedup_lines(scan_ids(docs, "_row"), row_id="_row").filter(F.col("text").rlike(r"\S"))
-    return _with_text(found, docs.columns)
+    """Drops lines that repeat an earlier one, and documents of which nothing but blank lines is left; n_chars is counted anew."""
+
+    def deduplicated(rows: DataFrame) -> DataFrame:
+        found = line_dedup.dedup_lines(scan_ids(rows, "_row"), row_id="_row").filter(F.col("text").rlike(r"\S"))
+        return found.withColumn("n_chars", F.length("text").cast("long"))
+
+    return _beside(docs, ["n_lines", "n_dropped", "_rid", "_text", "_dropped", "_row", "_file", "_number"], deduplicated)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates, the one of the least doc_id; texts without words are no duplicates."""
-    return ngram_join.keep_first(scan_ids(docs, "_row"), row_id="_row").select(*docs.columns)
+    return _beside(docs, ["_row", "_rid", "_file", "_number"], lambda rows: ngram_join.keep_first(scan_ids(rows, "_row"), row_id="_row"))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold most words of a benchmark item; null and empty texts hold none."""
-    return decontaminate.clean(scan_ids(docs, "_row"), table(spark, sf_dir, "benchmark"), row_id="_row").select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return _beside(docs, ["_row", "_rid", "_file", "_number"], lambda rows: decontaminate.clean(scan_ids(rows, "_row"), items, row_id="_row"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

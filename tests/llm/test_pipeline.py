@@ -53,3 +53,25 @@ def test_near_copies_leave_by_the_join(spark, folder):
     base = text(rng, EN, 4)
     docs = spark.createDataFrame([(1, base, "en", "s", 1), (2, base.replace(base.split()[40], "changed", 1), "en", "s", 1), (3, text(rng, EN), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, folder).collect()} == {1, 3}
+
+
+def test_stages_with_empty_tables_odd_rows_and_more_columns(spark, folder, tmp_path):
+    """Every stage: an empty table, nulls in every column, empty texts, ties of repeated rows, and columns that the operators use themselves."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clash = ["score", "lang_pred", "n_lines", "n_dropped", "dropped", "_rid", "rid", "first", "class_id", "coverage", "tiles", "_text", "length", "start"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.filter("doc_id < 0"), folder).count() == 0, name
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (None, "the river and the house", None, "s", 1)], docs.schema)
+    rows = docs.unionByName(odd)
+    for c in clash:
+        rows = rows.withColumn(c, corpus_pipeline.F.lit("clash"))
+    rows.write.parquet(str(tmp_path / "odd"))
+    docs = spark.read.parquet(str(tmp_path / "odd"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, folder)
+        kept = [c for c in docs.columns if c in out.columns]
+        assert kept[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == {*range(120), None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).filter("doc_id is null").count() == 1
