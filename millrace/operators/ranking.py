@@ -97,7 +97,7 @@ def profile_side(profiles: DataFrame, culture: dict[str, list[str]] | None = Non
 
 
 def score_personal(articles: DataFrame, profiles: DataFrame, now_ms: int, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
-    """Every article with every profile (list_key, vehicles, user_interests, user_location): signals (kind, points, detail), score, vehicle_tier.
+    """Every article with every profile (list_key, vehicles, user_interests, user_location): signals (kind, points, detail), points by bucket, score, vehicle_tier.
 
     The profiles are a stated set of queries against all articles; they go to every task only if their measured size
     is small, and both sides are prepared before they meet. The best tier of the vehicles counts, of equals the first
@@ -138,22 +138,23 @@ def score_personal(articles: DataFrame, profiles: DataFrame, now_ms: int, cultur
     matched, secondary, scenes = c("_matched"), F.array_intersect("_categories", "_mine"), F.array_intersect("_scenes", "_mine")
     fresh = F.when(rank <= 1, js_round(c("_fresh") * 0.35)).otherwise(c("_fresh"))
     pick = F.coalesce(c("desk_pick"), F.lit(False))
-    signal = lambda rule, kind, points, detail: F.when(rule, F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (points if isinstance(points, Column) else F.lit(points)).cast("long").alias("points"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
+    points = {
+        "vehicle_match": c("_points"), "_interest": F.when(F.size(matched) > 0, w["interest"]), "_secondary": F.when((F.size(secondary) > 0) & (F.size(matched) == 0), w["secondary"]),
+        "culture_match": F.when(F.size(scenes) > 0, w["culture"]), "_quality": F.when(F.lower(c("source_relevance")).startswith("excellent"), w["source"]), "_longform": F.when(F.length(F.coalesce(c("excerpt"), F.lit(""))) >= 180, w["longform"]),
+        "location_match": F.when((c("_location") != "") & F.array_contains("_places", c("_location")), w["location"]), "freshness": F.when(c("published_at").isNotNull() & (c("_fresh") > 0), fresh),
+        "_pick": F.when(pick, w["pick"]), "_pick_relevant": F.when(pick & (rank >= 2), w["pick_relevant"]), "generic": F.when((rank == 0) & (F.size(matched) == 0), w["generic"]),
+    }
+    rows = rows.withColumns({name: F.coalesce(value.cast("long"), F.lit(0).cast("long")) for name, value in points.items()})
+    # only who asks for the signals pays for them: scores and buckets are plain sums
+    signal = lambda name, kind, detail: F.when(c(name) > 0, F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), c(name).alias("points"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
     signals = F.array(
-        signal(c("_points") > 0, F.concat(F.lit("vehicle."), c("vehicle_tier")), c("_points"), F.concat(c("_relevance"), F.lit(" "), c("vehicle_tier"), F.lit(" match"))),
-        signal(F.size(matched) > 0, "interest", w["interest"], F.array_join(matched, " + ")),
-        signal((F.size(secondary) > 0) & (F.size(matched) == 0), "interest.secondary", w["secondary"], F.array_join(secondary, " + ")),
-        signal(F.size(scenes) > 0, "culture", w["culture"], F.array_join(scenes, " + ")),
-        signal(F.lower(c("source_relevance")).startswith("excellent"), "editorial.quality", w["source"], "excellent source"),
-        signal(F.length(F.coalesce(c("excerpt"), F.lit(""))) >= 180, "editorial.longform", w["longform"], "long teaser"),
-        signal((c("_location") != "") & F.array_contains("_places", c("_location")), "location", w["location"], c("_location")),
-        signal(c("published_at").isNotNull() & (c("_fresh") > 0), "freshness", fresh, "freshness"),
-        signal(pick, "desk", w["pick"], "desk pick"),
-        signal(pick & (rank >= 2), "desk.relevant", w["pick_relevant"], "desk pick and vehicle"),
-        signal((rank == 0) & (F.size(matched) == 0), "generic", w["generic"], "general"),
-    )
-    rows = rows.withColumn("signals", F.filter(signals, lambda s: s.isNotNull()))
-    rows = rows.withColumn("score", F.aggregate("signals", F.lit(0).cast("long"), lambda a, s: a + s["points"]))
+        signal("vehicle_match", F.concat(F.lit("vehicle."), c("vehicle_tier")), F.concat(c("_relevance"), F.lit(" "), c("vehicle_tier"), F.lit(" match"))), signal("_interest", "interest", F.array_join(matched, " + ")), signal("_secondary", "interest.secondary", F.array_join(secondary, " + ")),
+        signal("culture_match", "culture", F.array_join(scenes, " + ")), signal("_quality", "editorial.quality", "excellent source"), signal("_longform", "editorial.longform", "long teaser"), signal("location_match", "location", c("_location")),
+        F.when(c("published_at").isNotNull() & (c("_fresh") > 0), F.struct(F.lit("freshness").alias("kind"), c("freshness").alias("points"), F.lit("freshness").alias("detail"))),
+        signal("_pick", "desk", "desk pick"), signal("_pick_relevant", "desk.relevant", "desk pick and vehicle"), signal("generic", "generic", "general"),
+    )
+    rows = rows.withColumns({"signals": F.filter(signals, lambda s: s.isNotNull()), "interest_match": c("_interest") + c("_secondary"), "editorial_quality": c("_quality") + c("_longform"), "desk_boost": c("_pick") + c("_pick_relevant")})
+    rows = rows.withColumn("score", sum((c(x) for x in BUCKETS), F.lit(0).cast("long")))
     return rows.drop(*[x for x in rows.columns if x.startswith("_")])
 
 
@@ -180,8 +181,9 @@ def metadata_score(w: dict = WEIGHTS) -> Column:
 
 
 def with_relevance(rows: DataFrame, w: dict = WEIGHTS) -> DataFrame:
-    """Adds the buckets, automotive_score, platform_relevance, user_relevance and passed_gate."""
-    rows = rows.withColumns(bucket_signals(F.col("signals")) | {"automotive_score": metadata_score(w)})
+    """Adds the buckets, unless they are there, automotive_score, platform_relevance, user_relevance and passed_gate."""
+    missing = {} if all(b in rows.columns for b in BUCKETS) else bucket_signals(F.col("signals"))
+    rows = rows.withColumns(missing | {"automotive_score": metadata_score(w)})
     own = F.col("automotive_score") + source_score(F.col("source_relevance"), w)
     platform = own + F.col("editorial_quality") + F.col("desk_boost") + F.when(own < w["min_relevance"], F.col("generic")).otherwise(0)
     user = F.col("vehicle_match") + F.col("interest_match") + F.col("culture_match") + F.col("location_match")
