@@ -21,9 +21,9 @@ from tokenizers import Tokenizer
 from ._words import chunks
 
 #: Remembered pieces for each worker: when more have come, it starts anew. This bounds memory, not results.
-REMEMBER = 1_000_000
-#: Texts are cut in runs of about this many bytes (or one text, if larger).
-RUN = 4 << 20
+REMEMBER = 500_000
+#: Texts are cut in runs of about this many bytes, and the pieces of so many bytes looked up together (or one text, if larger).
+RUN, SLAB = 2 << 20, 16 << 20
 
 #: The table of byte-level BPE from bytes to printable characters, and its classes of characters and contractions.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -92,9 +92,17 @@ class Encoder:
         for token in self.added if self.by_piece else []:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         fast = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts) if whole.any() else texts
-        if not len(texts):
-            return
-        runs = [(start, *_pieces(data, offsets)) for start, data, offsets in chunks(fast, RUN)]
+        slab, size = [], 0
+        for start, data, offsets in chunks(fast, RUN):
+            slab.append((start, *_pieces(data, offsets)))
+            size += len(data)
+            if size >= SLAB:
+                yield from self._slab(slab, whole, texts)
+                slab, size = [], 0
+        yield from self._slab(slab, whole, texts)
+
+    def _slab(self, runs: list[tuple[int, pa.Array, np.ndarray]], whole: np.ndarray, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of the texts of some runs (first text, pieces, bounds by text), of which all distinct pieces are looked up together."""
         coded = pa.chunked_array([r[1] for r in runs], pa.large_binary()).dictionary_encode()
         parts = iter(coded.chunks)  # runs without pieces have none
         where = self._remembered(coded.chunk(0).dictionary if len(coded) else self.pieces[:0])

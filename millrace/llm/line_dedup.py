@@ -21,7 +21,7 @@ from ._words import places
 #: Runs of 5 characters recur in most lines of a language; bands of 6 hashes keep chance candidates few, and 18 of them the recall.
 CHARACTERS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.995, 108
 #: Lines are handled in runs of about so many characters, and given out in lots of so many.
-RUN, LOT = 1 << 18, 20_000
+RUN, LOT = 1 << 18, 10_000
 
 
 def normal(line: str) -> str:
@@ -81,6 +81,7 @@ def _keyed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                     lines = []
             if lines:
                 yield lot(batch, lines)
+        pa.default_memory_pool().release_unused()
 
     names = ["doc_id", "rid", "pos", "key_a", "key_b", *(f"b{k}" for k in range(bands))]
     kinds = [dict(docs.dtypes)["doc_id"], "long", "int", *["long"] * (bands + 2)]

@@ -135,6 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, tex
         rows += _rows(left, task, False)
         if rows:
             yield _batch(rows)
+        pa.default_memory_pool().release_unused()
 
     def merge(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
         packer = _Packer(size, open_windows)

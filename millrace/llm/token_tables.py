@@ -230,6 +230,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         if shard is not None:
             finish()
             yield pa.RecordBatch.from_pylist(made)
+        pa.default_memory_pool().release_unused()
 
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
