@@ -58,7 +58,7 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def measured_bytes(df: DataFrame) -> int:
     """The size of the rows in Spark's row format, about: as it was counted when they were written, or by one pass over them."""
-    stored = getattr(df, "stored_bytes", None)
+    stored = df.__dict__.get("stored_bytes")  # a column may have that name, too
     return (df.agg(_row_bytes(df)).first()[0] or 0) if stored is None else stored
 
 
@@ -70,6 +70,6 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def renamed(df: DataFrame, **names: str) -> DataFrame:
     """df with some columns renamed; what is known of its size stays known."""
     out = df.withColumnsRenamed(names)
-    if hasattr(df, "stored_bytes"):
+    if "stored_bytes" in df.__dict__:
         out.stored_bytes = df.stored_bytes
     return out
