@@ -35,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         found = language_id.identify(rows, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_PROBABILITY))
         return found.withColumn("lang", F.col("lang_pred"))
 
-    return _beside(docs, ["lang_pred", "score", "_text"], known)
+    return _beside(docs, ["lang_pred", "score", "__text"], known)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

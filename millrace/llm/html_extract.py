@@ -284,12 +284,12 @@ def extract(pages: DataFrame, html_column: str = "html", weights: dict[str, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py(), weights, names) for page in batch.column(batch.schema.names.index("_html"))]
-            keep = batch.drop_columns(["_html"])
+            texts = [main_text(page.as_py(), weights, names) for page in batch.column(batch.schema.names.index("__html"))]
+            keep = batch.drop_columns(["__html"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(texts, pa.string())], names=[*keep.schema.names, "text"])
 
-    kept = pages.select(*[c for c in pages.columns if c not in ("text", "_html", html_column)], F.col(html_column).alias("_html"))
-    schema = kept.drop("_html").withColumn("text", F.lit("")).schema
+    kept = pages.select(*[c for c in pages.columns if c not in ("text", "__html", html_column)], F.col(html_column).alias("__html"))
+    schema = kept.drop("__html").withColumn("text", F.lit("")).schema
     return kept.mapInArrow(run, schema)
 
 

@@ -181,12 +181,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(batch.schema.names.index("_text"))]
-            keep = batch.drop_columns(["_text"])
+            found = [model.predict(t.as_py()) for t in batch.column(batch.schema.names.index("__text"))]
+            keep = batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep.schema.names, "lang_pred", "score"])
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "_text")], F.col(text).alias("_text"))
-    schema = kept.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "__text")], F.col(text).alias("__text"))
+    schema = kept.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return kept.mapInArrow(run, schema)
 
 

@@ -157,7 +157,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
         for batch in batches:
             size = len(batch)
             n_words, places, matches = np.zeros(size, np.int64), [[] for _ in range(size)], [[] for _ in range(size)]
-            for first, data, offsets in chunks(batch.column(batch.schema.names.index("_text"))):
+            for first, data, offsets in chunks(batch.column(batch.schema.names.index("__text"))):
                 found = words(data, offsets)
                 n_words[first : first + len(offsets) - 1] = np.diff(found.bounds)
                 ids = vocabulary.of(found.hashes)
@@ -167,11 +167,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
                         places[first + owner[at]].append({"label": label, "start": at - int(found.bounds[owner[at]])})
                 for i in np.unique(owner[indexed[ids]]).tolist():
                     matches[first + i] = match(ids[found.bounds[i] : found.bounds[i + 1]])
-            keep = batch.drop_columns(["_text"])
+            keep = batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(n_words), pa.array(places, pa.list_(PLACE)), pa.array(matches, pa.list_(MATCH))], names=[*keep.schema.names, "n_words", "places", "matches"])
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_words", "places", "matches", "_text")], F.col(text).alias("_text"))
-    fields = [f for f in kept.schema.fields if f.name != "_text"]
+    kept = docs.select(*[c for c in docs.columns if c not in ("n_words", "places", "matches", "__text")], F.col(text).alias("__text"))
+    fields = [f for f in kept.schema.fields if f.name != "__text"]
     return kept.mapInArrow(run, StructType([*fields, *StructType.fromDDL(SCHEMA).fields]))
 
 
