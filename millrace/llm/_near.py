@@ -281,6 +281,11 @@ def _similar_pairs(nodes: list, blocks: list[tuple[int, int, int]], sets: Sets,
     return found
 
 
+def _of(items: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The items of some nodes: few of them, as a rule, so that the others need not be shuffled."""
+    return items.join(sized_broadcast(written(nodes.distinct(), "needed")), "node", "left_semi")
+
+
 def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float, decode: Callable[[pa.Array], Sets] = listed_sets) -> DataFrame:
     """(a, b), similar pairs that connect every component that similar pairs within buckets make.
 
@@ -295,7 +300,7 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     pairs = pairs.join(small, "node").join(small.toDF("leader", "leader_size", "leader_profile"), "leader")
     bounds = written(_bounded(pairs), "bounds")
     likely = bounds.filter(F.col("similarity") >= threshold - 1e-9).select("node", "leader")
-    full = items.select("node", "items")
+    full = _of(items.select("node", "items"), likely.select("node").unionByName(likely.select(F.col("leader").alias("node"))))
     exact = written(_measured(likely.join(full, "node").join(full.toDF("leader", "leader_items"), "leader"), decode), "stars")
     linked = exact.filter(F.col("similarity") >= threshold - 1e-9).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
@@ -347,7 +352,7 @@ def links(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold:
     rest = written(as_left.unionByName(as_right), "rest")
     rest = in_lots(rest.join(small, "node"), max(1, rest.count() // (4 * LOT_ROWS))).groupBy("lot").applyInArrow(sift, f"bucket long, i int, j int, side int, node {kind}")
     rest = written(rest, "sifted")
-    rest = in_lots(rest.join(items, "node"), max(1, rest.count() // LOT_ROWS)).groupBy("lot").applyInArrow(compare, f"a {kind}, b {kind}")
+    rest = in_lots(rest.join(_of(items, rest.select("node")), "node"), max(1, rest.count() // LOT_ROWS)).groupBy("lot").applyInArrow(compare, f"a {kind}, b {kind}")
     return written(joined.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "links")
 
 
