@@ -189,10 +189,10 @@ QUERIES = {
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
 _PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
 _LPATH = f"CASE WHEN regexp_replace(lower({_PATH}), '/+$', '') = '' THEN '/' ELSE regexp_replace(lower({_PATH}), '/+$', '') END"
-_CANON = f"""(SELECT CASE WHEN w LIKE '%/' AND p <> '/' THEN substr(w, 1, length(w) - 1) ELSE w END FROM (SELECT p, sc || '://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS w FROM
+CANON = f"""(SELECT CASE WHEN w LIKE '%/' AND p <> '/' THEN substr(w, 1, length(w) - 1) ELSE w END FROM (SELECT p, sc || '://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS w FROM
     (SELECT regexp_extract(url, '^([a-zA-Z]+)://', 1) AS sc, {_HOST} AS h, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p, [x FOR x IN string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&') IF x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid')] AS q)))"""
 _DEC = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&nbsp;', ' ', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '\"', 'gi'), '&#39;|&apos;', '''', 'gi'), '&amp;', '&', 'gi')"
-_STRIP = "trim(regexp_replace(" + _DEC("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+STRIP = "trim(regexp_replace(" + _DEC("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
 _NORM = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '&amp;', 'and', 'g'), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _SHOP, _OFF = {"c": "id % 17 = 0", "u": "id % 29 = 0"}, {"c": "(id % 17 <> 0 AND id % 19 = 0)", "u": "(id % 29 <> 0 AND id % 31 = 0)"}
 #: What the rules make of each path, by its place in PATHS.
@@ -232,13 +232,13 @@ def _section_sql() -> str:
         CAST(CASE WHEN l[1] <= 0 THEN 50 ELSE greatest(55, least(95, 58 + 3 * l[1] + 2 * (l[1] - l[2]))) END AS BIGINT) AS confidence FROM s2)"""
 
 
-_MERGE = f"""a AS (SELECT *, {_CANON} AS canonical_url, CASE id % 3 WHEN 0 THEN 'https://img.example.com/a.jpg' WHEN 1 THEN '/logo/x.png' END AS image_url FROM articles),
+_MERGE = f"""a AS (SELECT *, {CANON} AS canonical_url, CASE id % 3 WHEN 0 THEN 'https://img.example.com/a.jpg' WHEN 1 THEN '/logo/x.png' END AS image_url FROM articles),
     o AS (SELECT * FROM a WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY id) = 1),
     n AS (SELECT * FROM a WHERE id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY title, url) = 1)"""
 ORACLE_SQL = {
-    "text_page_urls": f"SELECT page_id, {_CANON} AS canonical, regexp_replace({_HOST}, '^www\\.', '') AS host, {_LPATH} AS path, CAST(len([x FOR x IN string_split({_LPATH}, '/') IF x <> '']) AS BIGINT) AS depth, len([x FOR x IN string_split({_LPATH}, '/') IF x <> '']) = 2 AND string_split({_LPATH}, '/')[2] = 'category' AS category_index FROM pages",
-    "text_strip_html": f"SELECT page_id, md5({_STRIP}) AS text_md5 FROM pages",
-    "text_cap_summary": f"WITH s AS (SELECT page_id, {_STRIP} AS t FROM pages), c AS (SELECT *, substr(t, 1, 320) AS k FROM s), d AS (SELECT *, CASE WHEN contains(k, ' ') THEN length(k) - instr(reverse(k), ' ') ELSE -1 END AS sp FROM c) SELECT page_id, CASE WHEN length(t) <= 320 THEN t ELSE trim(CASE WHEN sp > 80 THEN substr(k, 1, sp) ELSE k END) || '…' END AS summary FROM d",
+    "text_page_urls": f"SELECT page_id, {CANON} AS canonical, regexp_replace({_HOST}, '^www\\.', '') AS host, {_LPATH} AS path, CAST(len([x FOR x IN string_split({_LPATH}, '/') IF x <> '']) AS BIGINT) AS depth, len([x FOR x IN string_split({_LPATH}, '/') IF x <> '']) = 2 AND string_split({_LPATH}, '/')[2] = 'category' AS category_index FROM pages",
+    "text_strip_html": f"SELECT page_id, md5({STRIP}) AS text_md5 FROM pages",
+    "text_cap_summary": f"WITH s AS (SELECT page_id, {STRIP} AS t FROM pages), c AS (SELECT *, substr(t, 1, 320) AS k FROM s), d AS (SELECT *, CASE WHEN contains(k, ' ') THEN length(k) - instr(reverse(k), ' ') ELSE -1 END AS sp FROM c) SELECT page_id, CASE WHEN length(t) <= 320 THEN t ELSE trim(CASE WHEN sp > 80 THEN substr(k, 1, sp) ELSE k END) || '…' END AS summary FROM d",
     "text_title_keys": with_sql(["articles"], f"SELECT id, {_NORM('title')} AS title_key, {_NORM('publication')} || '::' || {_NORM('title')} AS duplicate_key, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE id % 4 WHEN 0 THEN 20 WHEN 1 THEN 12 WHEN 2 THEN 6 ELSE 4 END + CASE WHEN length(coalesce(excerpt, '')) >= 180 THEN 8 ELSE 0 END AS editorial_score FROM articles"),
     "text_language_gate": with_sql(["articles"], f"WITH t AS (SELECT id, trim(coalesce(title, '') || ' ' || coalesce(excerpt, '')) AS x FROM articles), w AS (SELECT id, x, regexp_extract_all(lower(x), '\\p{{L}}+') AS w, len(regexp_extract_all(x, '{tx._ACCENTED}')) AS ac FROM t), h AS (SELECT *, len([v FOR v IN w IF v IN ({_EN})]) AS en, greatest({_FOREIGN}) AS f FROM w) SELECT id, x = '' OR len(w) = 0 OR NOT (f >= 4 OR f >= 3 AND f >= en OR f >= 2 AND en = 0 OR ac >= 8 OR ac >= 5 AND f >= 2) AS english FROM h"),
     "gate_eligibility": with_sql(["articles"], f"WITH {_GATED} SELECT id, canonical_url, reason FROM gg"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.sources import readers as rd
 from millrace.streaming import jobs
 
+from .content_queries import CANON, STRIP
 from .derived import engagement_events, read, with_sql
 
 
@@ -48,7 +49,11 @@ def page_links(spark, sf_dir):
 
 QUERIES = {"stream_validated": validated, "stream_impressions": impressions, "stream_daily_uniques": daily_uniques, "stream_rate_limit": rate_limit, "stream_marks": marks, "source_page_metadata": page_metadata, "source_page_links": page_links}
 _RATE = "('impression', 'story_open', 'outbound', 'save', 'share', 'interested', 'less_like_this')"
+_PAGE = "regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\\s]+[^?#\\s]*(\\?[^#\\s]*)?(#\\S*)?$')"
 ORACLE_SQL = {
+    "source_page_metadata": f"WITH t AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS html FROM pages), m AS (SELECT page_id, {STRIP} AS title, CASE WHEN {_PAGE} THEN {CANON} END AS canonical_url FROM t) SELECT * FROM m WHERE title <> ''",
+    "source_page_links": f"""WITH h AS (SELECT url AS page, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"''#]+)', 1)) AS t FROM pages WHERE url IS NOT NULL),
+        f AS (SELECT page, regexp_extract(page, '^([a-zA-Z]+://[^/?#]+)', 1) || t AS url FROM h WHERE t LIKE '/%'), c AS (SELECT DISTINCT page, {CANON} AS link FROM f WHERE {_PAGE}) SELECT page AS url, count(*) AS links FROM c GROUP BY 1""",
     "stream_validated": with_sql(["ev"], """WITH p AS (SELECT CASE WHEN id % 11 = 0 THEN 'pageview' ELSE event END AS event, CASE WHEN event = 'experience_feedback' OR id % 11 = 0 THEN NULL ELSE article_id END AS a, id % 13 = 0 AS neg, id % 17 = 0 AS nos, article_id IS NOT NULL AS given FROM ev),
         q AS (SELECT event, a, CASE WHEN event = 'pageview' THEN 'unknown_event' WHEN event = 'impression' AND nos THEN 'unknown_surface' WHEN event = 'impression' AND neg THEN 'no_articles' WHEN event <> 'impression' AND given AND neg THEN 'bad_article' END AS error FROM p)
         SELECT event, error, count(*) AS n, count(DISTINCT CASE WHEN error IS NULL THEN a END) AS articles FROM q GROUP BY 1, 2"""),
