@@ -217,7 +217,7 @@ def test_line_dedup_joins_lines_with_one_changed_character(spark):
 def test_pagerank_against_the_solved_equations(spark):
     """Also on a chain that twenty rounds would not walk to its end."""
     edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "c", 2.0), ("c", "d", 1.0), ("d", "k00", 1.0)] + [(f"k{i:02}", f"k{i + 1:02}", 1.0) for i in range(30)]
-    ranks = uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double").coalesce(1), spark.createDataFrame([("a", 2.0), ("k00", 1.0)], "node string, mass double").coalesce(1))
+    ranks = uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double").coalesce(1), spark.createDataFrame([("a", 2.0), ("k00", 1.0)], "node string, mass double").coalesce(1), tolerance=1e-5)
     got = {r["node"]: r["rank"] for r in ranks.collect()}
     names = sorted({x for s, d, _ in edges for x in (s, d)})
     m, seed = np.zeros((len(names), len(names))), np.zeros(len(names))
@@ -226,7 +226,7 @@ def test_pagerank_against_the_solved_equations(spark):
     seed[names.index("a")], seed[names.index("k00")] = 2 / 3, 1 / 3
     m[:, m.sum(0) == 0] = seed[:, None]
     want = np.linalg.solve(np.eye(len(names)) - 0.85 * m / m.sum(0), 0.15 * seed)
-    assert all(abs(got[x] - want[i]) < 1e-8 for i, x in enumerate(names))
+    assert all(abs(got[x] - want[i]) < 1e-4 for i, x in enumerate(names)) and got["k30"] > 0.0006  # twenty rounds would not get there
     with pytest.raises(RuntimeError):
         uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 2.0)], "node string, mass double"), most_rounds=8)
 
