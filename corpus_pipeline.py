@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from millrace.llm._shared import scan_ids, table, written
+from millrace.llm._shared import scan_ids, short_batches, table, written
 
 #: A document is rejected if its language is unknown or less probable than this.
 LEAST_PROBABILITY = 0.5
@@ -22,6 +22,7 @@ LEAST_PROBABILITY = 0.5
 
 def _beside(docs: DataFrame, names: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work(docs) with the columns of docs alone; those called as one of names, which an operator uses itself, step aside meanwhile."""
+    short_batches(docs.sparkSession)
     aside = {c: f"{c}__kept" for c in docs.columns if c in names}
     out = work(docs.withColumnsRenamed(aside)).drop(*names)
     return out.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
@@ -29,6 +30,7 @@ def _beside(docs: DataFrame, names: list[str], work: Callable[[DataFrame], DataF
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model knows, and gives them the language it predicts. Null texts and texts without a letter go."""
+    short_batches(spark)
     model = language_id.train(docs.filter(F.col("doc_id").isNotNull() & ~language_id.held_out()))
 
     def known(rows: DataFrame) -> DataFrame:
@@ -61,6 +63,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of at most 1024 tokens."""
+    short_batches(spark)
     packed = packing.pack(docs, packing.default_tokenizer())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
