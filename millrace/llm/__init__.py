@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL, in the order of their numbers.
-MODULES = ["line_dedup", "url_filter", "topk_search", "ngram_join", "packing", "token_tables", "language_id", "decontaminate", "html_extract", "license_scan", "secret_scan", "centroid_clusters"]
+MODULES = ["line_dedup", "url_filter", "topk_search", "ngram_join", "packing", "token_tables", "language_id", "decontaminate", "html_extract", "license_scan", "secret_scan", "centroid_clusters", "prefix_trie"]
 
 
 def queries() -> dict:
