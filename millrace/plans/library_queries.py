@@ -8,6 +8,7 @@ from millrace.functions import images as im
 from millrace.operators import classify as cl
 from millrace.operators import features as fe
 from millrace.operators import fitment as fi
+from millrace.operators import gazetteer as gz
 from millrace.operators import ingest as ing
 from millrace.sources import readers as rd
 
@@ -130,7 +131,7 @@ SPECIAL = [{"model": "Para", "name": "Para Special", "needles": ["con", "que"],
 
 
 def classify_entities(spark, sf_dir):
-    return cl.extract_entities(articles(spark, sf_dir), GAZETTEER, SPECIAL).select("article_id", "kind", "name", "in_title", F.col("confidence").cast("long").alias("confidence"))
+    return gz.extract_entities(articles(spark, sf_dir), GAZETTEER, SPECIAL).select("article_id", "kind", "name", "in_title", F.col("confidence").cast("long").alias("confidence"))
 
 
 def source_sitemaps(spark, sf_dir):

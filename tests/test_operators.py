@@ -10,6 +10,7 @@ from millrace.functions import urls as ur
 from millrace.operators import classify as cl
 from millrace.operators import engagement as en
 from millrace.operators import fitment as fi
+from millrace.operators import gazetteer as gz
 from millrace.operators import ranking as rk
 from millrace.operators import related as rel
 from millrace.operators import shaping as sh
@@ -58,7 +59,7 @@ def test_text_and_urls(spark):
 def test_entities_and_relevance(spark):
     gazetteer = [{"make": "Porsche", "make_aliases": [], "models": [{"name": "911", "aliases": [], "generations": ["964", "996"], "variants": ["Carrera"], "generation_implies_model": True}]}, {"make": "Lotus", "make_aliases": [], "models": [{"name": "Elise", "aliases": [], "generations": [], "variants": [], "generation_implies_model": False}]}]
     a = spark.createDataFrame([(1, "The 964 returns", "a carrera"), (2, "Back in 1996", "nothing"), (3, "Porsche 911 beats Lotus Elise", "")], "id long, title string, excerpt string")
-    found = cl.extract_entities(a, gazetteer)
+    found = gz.extract_entities(a, gazetteer)
     names = {(r.article_id, r.kind, r.name, r.confidence) for r in found.collect()}
     assert {(1, "make", "Porsche", 80), (1, "model", "911", 82), (1, "generation", "964", 90), (1, "variant", "Carrera", 80)} <= names and not [n for n in names if n[0] == 2]
     relevance = {(r.article_id, r.name): r.relevance for r in cl.assign_relevance(found, a).collect()}
