@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -81,22 +82,37 @@ def trending_windows(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def accept_writes(times: list[int], impressions: list[bool], kept: list[int]) -> tuple[list[bool], list[int]]:
     """Which attempts are stored: impressions always; others while fewer than the limit were stored in the ten minutes before."""
-    out = []
+    out, stored = [], deque(kept)
     for at, free in zip(times, impressions, strict=True):
-        kept = [t for t in kept if t >= at - en.WRITE_WINDOW_MS]
-        ok = free or len(kept) < en.WRITE_LIMIT
+        while stored and stored[0] < at - en.WRITE_WINDOW_MS:
+            stored.popleft()
+        ok = free or len(stored) < en.WRITE_LIMIT
         if ok:
-            kept.append(at)
+            stored.append(at)
         out.append(ok)
-    return out, kept
+    return out, list(stored)
 
 
-def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Callable, schema: str) -> DataFrame:
-    """Rows of each key in order through fold(state, frame) -> (state, result), batch after batch; None is the state at first.
+def with_stretch(rows: DataFrame, key: str, at: str, gap_ms: int, name: str = "stretch") -> DataFrame:
+    """rows with the number of their stretch: a key's rows between two gaps of more than gap_ms.
+
+    A gap lies between two buckets of gap_ms, so only a row for each bucket is put in order for a key, not all its rows.
+    """
+    bucket = F.floor(F.col(at) / gap_ms)
+    ends = rows.groupBy(F.col(key).alias("_key"), bucket.alias("_bucket")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    order = Window.partitionBy("_key").orderBy("_bucket")
+    fresh = F.coalesce((F.col("_first") - F.lag("_last").over(order) > gap_ms).cast("long"), F.lit(0))
+    numbers = ends.withColumn("_fresh", fresh).select("_key", "_bucket", F.sum("_fresh").over(order).alias(name))
+    return rows.join(numbers, rows[key].eqNullSafe(F.col("_key")) & (bucket == F.col("_bucket"))).drop("_key", "_bucket")
+
+
+def ordered_fold(rows: DataFrame, key: str | list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
+    """Rows of each key in order through fold(key, state, frame) -> (state, result), batch after batch; None is the state at first.
 
     A key's rows pass through one task, as they depend on each other, but only its state is held, not its rows. fold is
-    called once more for each key, with an empty frame, after its last row.
+    called once more for each key, with an empty frame, after its last row. Of several key columns it gets a tuple.
     """
+    keys = [key] if isinstance(key, str) else key
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, empty = None, None, None
@@ -112,13 +128,15 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Callable, sc
         if current is not None:
             yield fold(current[0], state, empty)[1]
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def rate_limit(events: DataFrame) -> DataFrame:
     """Adds accepted to each attempt (id, visitor_key, event, created_at): an ordered fold per visitor, with state in a stream.
 
-    State is the times stored in the last ten minutes; it is dropped when none is left.
+    State is the times stored in the last ten minutes; it is dropped when none is left. So nothing is carried over a gap
+    of more than ten minutes, and the batch form folds each stretch between two gaps by itself: one visitor with most
+    rows is dealt over many tasks, unless there is never such a gap.
     """
     rows = events.select("id", "visitor_key", "event", "created_at")
     schema = "id long, visitor_key string, event string, created_at long, accepted boolean"
@@ -128,7 +146,8 @@ def rate_limit(events: DataFrame) -> DataFrame:
         return kept, frame.assign(accepted=accepted)[["id", "visitor_key", "event", "created_at", "accepted"]]
 
     if not events.isStreaming:
-        return ordered_fold(rows, "visitor_key", ["created_at", "id"], lambda _, kept, frame: judged(kept or [], frame), schema)
+        parts = with_stretch(rows, "visitor_key", "created_at", en.WRITE_WINDOW_MS)
+        return ordered_fold(parts, ["visitor_key", "stretch"], ["created_at", "id"], lambda _, kept, frame: judged(kept or [], frame), schema)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
