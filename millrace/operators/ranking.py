@@ -96,15 +96,43 @@ def profile_side(profiles: DataFrame, culture: dict[str, list[str]] | None = Non
     return profiles.withColumns({"_vehicles": F.transform(F.coalesce(F.col("vehicles"), none), vehicle), "_mine": norms(F.col("user_interests")), "_location": norm(F.col("user_location"))})
 
 
+def article_tokens() -> Column:
+    """What a profile can share with an article_side(): a pair without any of these scores as if there were no profile."""
+    tagged = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(kind), x))
+    return F.array_distinct(F.concat(tagged("make:", F.col("_makes")), tagged("generation:", F.col("_generations")), tagged("tag:", F.col("_around")), tagged("place:", F.col("_places"))))
+
+
+def profile_tokens() -> Column:
+    """The same of a profile_side()."""
+    part = lambda kind, field: F.transform(F.filter("_vehicles", lambda v: v[field] != ""), lambda v: F.concat(F.lit(kind), v[field]))
+    tags = F.transform(F.concat("_mine", F.flatten(F.transform("_vehicles", lambda v: v["tags"]))), lambda x: F.concat(F.lit("tag:"), x))
+    place = F.when(F.col("_location") != "", F.array(F.concat(F.lit("place:"), F.col("_location")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(part("make:", "make"), part("generation:", "generation"), tags, place))
+
+
 def score_personal(articles: DataFrame, profiles: DataFrame, now_ms: int, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
-    """Every article with every profile (list_key, vehicles, user_interests, user_location): signals (kind, points, detail), points by bucket, score, vehicle_tier.
+    """The pairs of articles and profiles (list_key, vehicles, user_interests, user_location) that share a make, generation, tag or place.
 
-    The profiles are a stated set of queries against all articles; they go to every task only if their measured size
-    is small, and both sides are prepared before they meet. The best tier of the vehicles counts, of equals the first
+    Adds signals (kind, points, detail), points by bucket, score, vehicle_tier. All other pairs have the score of
+    score_unmatched(). Both sides are joined by what they share, each pair at the first token it shares; so nothing is
+    computed for pairs that the profile does not change. The best tier of the vehicles counts, of equals the first
     vehicle; its points shrink if the article only mentions it.
     """
+    left = article_side(articles, now_ms, variant_aliases, w).withColumn("_tokens", article_tokens()).withColumn("_token", F.explode("_tokens"))
+    right = profile_side(profiles, culture, variant_aliases).withColumn("_asks", profile_tokens()).withColumn("_token", F.explode("_asks"))
+    met = left.join(sized_broadcast(right), "_token").filter(F.element_at(F.array_intersect("_tokens", "_asks"), 1) == F.col("_token"))
+    return _scored(met.drop("_token", "_tokens", "_asks"), w)
+
+
+def score_unmatched(articles: DataFrame, now_ms: int, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
+    """As score_personal(), for any profile that shares nothing with the article: a row an article, without list_key."""
+    nobody = {"_vehicles": F.expr("cast(array() as array<struct<first:int,make:string,model:string,generation:string,variant:string,tags:array<string>>>)"), "_mine": F.array().cast("array<string>"), "_location": F.lit("")}
+    return _scored(article_side(articles, now_ms, variant_aliases, w).withColumns(nobody), w)
+
+
+def _scored(rows: DataFrame, w: dict) -> DataFrame:
+    """From rows of article_side() and profile_side()."""
     c = F.col
-    rows = article_side(articles, now_ms, variant_aliases, w).join(sized_broadcast(profile_side(profiles, culture, variant_aliases)))
 
     def tiered(v: Column) -> Column:
         has_make, has_model = (v["make"] != "") & F.array_contains(c("_makes"), v["make"]), (v["model"] != "") & F.array_contains(c("_models"), v["model"])
@@ -264,20 +292,69 @@ def cut_for_shaping(rows: DataFrame, keys: list[str], key: str, limit: int) -> D
     return by_image.unionByName(by_key).dropDuplicates([*keys, "id"])
 
 
-def personal_lists(articles: DataFrame, profiles: DataFrame, now_ms: int, limit: int = 80, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, key: str = "primary_category", w: dict = WEIGHTS) -> DataFrame:
-    """Snapshot rows of each profile's list: eligible articles are scored, banded, deduplicated, ordered, shaped and cut.
+LISTED = ["id", "published_at", "image_url", "duplicate_group_id", "rank_score", "quality_band", "show_in_primary_feed", "vehicle_tier"]
+
+
+def personal_rows(articles: DataFrame, profiles: DataFrame, now_ms: int, limit: int = 80, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, key: str = "primary_category", carry: list[str] = (), w: dict = WEIGHTS) -> DataFrame:
+    """The rows of each profile's list in order (position): eligible articles are scored, banded, deduplicated, shaped; exact up to `limit`.
 
     Articles with a reason of the eligibility gate (column `reason`, if there is one) and those of the band excluded
-    stay out. The scored rows are written once, with the columns that lists need: filters on them would otherwise be
-    pushed through the whole chain of scores and multiply it. Lists are cut by partial sorts before they are numbered.
+    stay out. Every article is scored once without a profile, and each pair that shares something once more. What a list
+    takes of the other articles follows from their common order: see unmatched_rows(). Both scores are written with the
+    columns that lists need: filters on them would otherwise be pushed through the whole chain of scores and multiply it.
     """
     articles = articles.filter("reason is null").drop("reason") if "reason" in articles.columns else articles
-    scored = with_band(with_relevance(score_personal(articles, profiles, now_ms, culture, variant_aliases, w), w), w)
-    columns = dict.fromkeys(["list_key", "id", "published_at", "image_url", "duplicate_group_id", key, "rank_score", "quality_band", "show_in_primary_feed", "vehicle_tier"])
-    scored = written(scored.select(*columns), "scored").filter("quality_band != 'excluded'")
-    best = cut_for_shaping(best_of_groups(scored, ["list_key"]), ["list_key"], key, limit)
-    shaped = prefer_images(diversify(ranked(best, ["list_key"]), ["list_key"], key), ["list_key"])
-    return top_lists(shaped, limit)
+    columns = list(dict.fromkeys([*LISTED, key, *carry]))
+    judged = lambda rows: with_band(with_relevance(rows, w), w)
+    pairs = written(judged(score_personal(articles, profiles, now_ms, culture, variant_aliases, w)).select("list_key", *columns), "pairs")
+    base = written(judged(score_unmatched(articles, now_ms, variant_aliases, w)).select(*columns), "base")
+    rest = unmatched_rows(base.filter("quality_band != 'excluded'"), pairs, profiles.select("list_key").distinct(), key, limit)
+    rows = written(pairs.filter("quality_band != 'excluded'").unionByName(rest), "candidates")
+    best = cut_for_shaping(best_of_groups(rows, ["list_key"]), ["list_key"], key, limit)
+    return prefer_images(diversify(ranked(best, ["list_key"]), ["list_key"], key), ["list_key"])
+
+
+def personal_lists(articles: DataFrame, profiles: DataFrame, now_ms: int, limit: int = 80, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None, key: str = "primary_category", w: dict = WEIGHTS) -> DataFrame:
+    """Snapshot rows of personal_rows(): the first `limit` of each profile's list."""
+    return top_lists(personal_rows(articles, profiles, now_ms, limit, culture, variant_aliases, key, (), w), limit)
+
+
+#: Places of the common order that a profile takes together.
+STEP = 64
+
+
+def unmatched_rows(base: DataFrame, pairs: DataFrame, profiles: DataFrame, key: str, limit: int) -> DataFrame:
+    """Of the articles that a profile shares nothing with, all that cut_for_shaping() of its deduplicated list may take.
+
+    base: a row an article, in an order that all profiles have in common. Heads are the first of their groups (or
+    without group). Within each class (with image, without, each value of key) heads are numbered. A head counts for a profile
+    if no article of its group is matched: then it stands in the profile's list before all that follow it. If i
+    heads up to the n-th are touched, n - i stand; so the place up to which `quota` heads stand is quota plus the number of
+    touched ones before it, which the touched heads' own numbers tell. Up to there all heads are taken, and of each touched
+    group with m matched articles the first m + 1, one of which is not matched.
+    """
+    image = F.when(F.coalesce(F.col("image_url") == "", F.lit(True)), "image:no").otherwise("image:yes")
+    own = F.coalesce(F.col("duplicate_group_id"), F.lit(""))
+    base = base.withColumn("_group", F.when(own != "", F.concat(F.lit("g"), own)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))))
+    grouped = numbered(base.filter(own != ""), ["_group"], list_order()).withColumnRenamed("position", "_in_group")
+    whole = grouped.unionByName(base.filter(own == "").withColumn("_in_group", F.lit(1)))
+    whole = written(whole, "grouped")
+    heads = whole.filter("_in_group = 1").withColumn("_class", F.explode(F.array(image, F.concat(F.lit("key:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))))
+    heads = written(numbered(heads, ["_class"], list_order()).withColumnRenamed("position", "_place"), "heads")
+    classes = heads.select("_class").distinct().withColumn("_quota", F.when(F.col("_class").startswith("image:"), limit + 1).otherwise(1))
+
+    matched_group = F.coalesce(F.col("duplicate_group_id"), F.lit(""))
+    touched = pairs.withColumn("_group", F.when(matched_group != "", F.concat(F.lit("g"), matched_group)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))).groupBy("list_key", "_group").agg(F.count("*").alias("_matched"))
+    touched = written(touched, "touched")
+    bad = touched.join(heads.select("_group", "_class", "_place"), "_group").withColumn("_i", F.row_number().over(Window.partitionBy("list_key", "_class").orderBy("_place")))
+    bad = bad.join(sized_broadcast(classes), "_class").filter(F.col("_place") - F.col("_i") < F.col("_quota")).groupBy("list_key", "_class").agg(F.count("*").alias("_skipped"))
+    wanted = profiles.join(sized_broadcast(classes)).join(bad, ["list_key", "_class"], "left").withColumn("_last", F.col("_quota") + F.coalesce("_skipped", F.lit(0)))
+    steps = wanted.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / STEP)))).select("list_key", "_class", "_last", "_step")
+    near = heads.withColumn("_step", F.floor(F.col("_place") / STEP)).join(steps, ["_class", "_step"]).filter(F.col("_place") <= F.col("_last"))
+    others = touched.join(whole, "_group").filter(F.col("_in_group") <= F.col("_matched") + 1)
+    columns = ["list_key", *[c for c in base.columns if not c.startswith("_")]]
+    found = near.select(*columns).unionByName(others.select(*columns)).dropDuplicates(["list_key", "id"])
+    return found.join(pairs.select("list_key", "id"), ["list_key", "id"], "left_anti")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
