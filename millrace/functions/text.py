@@ -1,9 +1,13 @@
-"""Scalar functions on text columns. All are built-in expressions."""
+"""Scalar functions on text columns. All are built-in expressions, but for the Unicode forms of the language gate."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 ELLIPSIS = "…"
 
@@ -13,18 +17,23 @@ def js_round(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def _numeric(c: Column, digits: str, base: int) -> Column:
+    """Numeric references of one base decoded. The text is split at them, so that each part can start with one."""
+    parts = F.split(F.regexp_replace(c, digits, "\u0001$1\u0002"), "\u0001")
+    code = lambda p: F.conv(F.regexp_extract(p, "^([^\u0002]+)\u0002", 1), base, 10).cast("int")
+    # an int as four bytes, big-endian, is the character in UTF-32; what is no character becomes U+FFFD
+    known = lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n).otherwise(0xFFFD)
+    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(known(code(p))), 8, "0")), "UTF-32")
+    decoded = F.transform(parts, lambda p: F.when(p.rlike("^[^\u0002]+\u0002"), F.concat(char(p), F.regexp_replace(p, "^[^\u0002]+\u0002", ""))).otherwise(p))
+    return F.when(c.rlike(digits), F.array_join(decoded, "")).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
-    """Named and the common numeric character references; the ampersand last, so that nothing is decoded twice."""
-    pairs = [("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'")]
-    for pattern, to in pairs:
+    """Named and numeric character references, of any plane; in this order: named, hexadecimal, decimal, and the ampersand last."""
+    for pattern, to in [("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'")]:
         c = F.regexp_replace(c, pattern, to)
-    # other numeric references: split at them, so that each part can start with one
-    parts = F.split(F.regexp_replace(c, r"(?i)&#(x[0-9a-f]{1,4}|[0-9]{1,5});", "\u0001$1\u0002"), "\u0001")
-    number = lambda p: F.regexp_extract(p, "^([^\u0002]+)\u0002", 1)
-    code = lambda p: F.when(F.lower(F.substring(number(p), 1, 1)) == "x", F.conv(F.substring(number(p), 2, 9), 16, 10)).otherwise(number(p)).cast("int")
-    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(code(p)), 4, "0")), "UTF-16BE")
-    decoded = F.transform(parts, lambda p: F.when(p.rlike("^[^\u0002]+\u0002"), F.concat(char(p), F.regexp_replace(p, "^[^\u0002]+\u0002", ""))).otherwise(p))
-    return F.regexp_replace(F.array_join(decoded, ""), "(?i)&amp;", "&")
+    c = _numeric(c, "(?i)&#x0*([0-9a-f]{1,6});", 16)
+    return F.regexp_replace(_numeric(c, "&#0*([0-9]{1,7});", 10), "(?i)&amp;", "&")
 
 
 def strip_html(c: Column) -> Column:
@@ -104,16 +113,41 @@ FOREIGN_WORDS = {
     "es": ["el", "los", "las", "que", "del", "por", "para", "una", "con", "como"],
 }
 _OTHER_SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsCyrillic}\p{IsArabic}\p{IsHebrew}\p{IsThai}\p{IsGreek}\p{IsDevanagari}]"
-_ACCENTED = "[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿĀ-ďĒ-ĥĨ-İĴ-ķĹ-ľŃ-ňŌ-őŔ-ťŨ-žƠơƯưǍ-ǜǞ-ǣǦ-ǰǴǵǸ-țȞȟȦ-ȳḀ-ẙẛẠ-ỹ]"
+
+
+class _Accented(dict):
+    """For str.translate: letters that decompose (or take two UTF-16 units) stay, all other characters go."""
+
+    def __missing__(self, point: int) -> int | None:
+        char = chr(point)
+        counts = unicodedata.category(char)[0] == "L" and (point > 0xFFFF or len(unicodedata.normalize("NFD", char)) > 1)
+        self[point] = point if counts else None
+        return self[point]
+
+
+_ACCENTED = _Accented()
+
+
+@F.pandas_udf(StructType([StructField("words", StringType()), StructField("accents", IntegerType())]))
+def _unicode(texts: pd.Series) -> pd.DataFrame:
+    """Lower-cased text in NFKC, and how many of its letters have accents."""
+    rows = [(None, None) if t is None else (unicodedata.normalize("NFKC", t.lower()), len(t.translate(_ACCENTED))) for t in texts]
+    return pd.DataFrame(rows, columns=["words", "accents"])
 
 
 def is_english(title: Column, excerpt: Column, english: list[str] | None = None, foreign: dict[str, list[str]] | None = None) -> Column:
-    """False for other scripts, many foreign function words or many accents; empty text counts as English."""
+    """False for other scripts, many foreign function words or many accents; empty text counts as English.
+
+    Words are counted in compatibility form (NFKC), so full-width letters and ligatures count as the letters they stand for;
+    an accent is a letter that decomposes (NFD). ASCII texts need neither and are judged by built-in functions alone; only
+    others go through Python, in Arrow batches.
+    """
     text = F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit(""))))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+    wide = _unicode(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    words = F.regexp_extract_all(F.coalesce(wide["words"], F.lower(text)), F.lit(r"(\p{L}+)"), F.lit(1))
     hits = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon)))
     en = hits(ENGLISH_WORDS if english is None else english)
     other = F.greatest(*[hits(x) for x in (FOREIGN_WORDS if foreign is None else foreign).values()])
-    accents = F.regexp_count(text, F.lit(_ACCENTED))
+    accents = F.coalesce(wide["accents"], F.lit(0))
     rejected = text.rlike(_OTHER_SCRIPTS) | (other >= 4) | ((other >= 3) & (other >= en)) | ((other >= 2) & (en == 0)) | (accents >= 8) | ((accents >= 5) & (other >= 2))
     return (text == "") | (F.size(words) == 0) & ~text.rlike(_OTHER_SCRIPTS) | ~rejected

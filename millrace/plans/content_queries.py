@@ -186,6 +186,8 @@ QUERIES = {
     "related_titles": related_titles, "classify_tags": interest_tags, "classify_section": primary_section, "classify_section_counts": count_by_section, "list_stories": story_list,
 }
 
+#: Letters with accents, for SQL: those of the Latin blocks.
+_ACCENTS = "[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿĀ-ďĒ-ĥĨ-İĴ-ķĹ-ľŃ-ňŌ-őŔ-ťŨ-žƠơƯưǍ-ǜǞ-ǣǦ-ǰǴǵǸ-țȞȟȦ-ȳḀ-ẙẛẠ-ỹ]"
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
 _PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
 _LPATH = f"CASE WHEN regexp_replace(lower({_PATH}), '/+$', '') = '' THEN '/' ELSE regexp_replace(lower({_PATH}), '/+$', '') END"
@@ -240,7 +242,7 @@ ORACLE_SQL = {
     "text_strip_html": f"SELECT page_id, md5({STRIP}) AS text_md5 FROM pages",
     "text_cap_summary": f"WITH s AS (SELECT page_id, {STRIP} AS t FROM pages), c AS (SELECT *, substr(t, 1, 320) AS k FROM s), d AS (SELECT *, CASE WHEN contains(k, ' ') THEN length(k) - instr(reverse(k), ' ') ELSE -1 END AS sp FROM c) SELECT page_id, CASE WHEN length(t) <= 320 THEN t ELSE trim(CASE WHEN sp > 80 THEN substr(k, 1, sp) ELSE k END) || '…' END AS summary FROM d",
     "text_title_keys": with_sql(["articles"], f"SELECT id, {_NORM('title')} AS title_key, {_NORM('publication')} || '::' || {_NORM('title')} AS duplicate_key, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE id % 4 WHEN 0 THEN 20 WHEN 1 THEN 12 WHEN 2 THEN 6 ELSE 4 END + CASE WHEN length(coalesce(excerpt, '')) >= 180 THEN 8 ELSE 0 END AS editorial_score FROM articles"),
-    "text_language_gate": with_sql(["articles"], f"WITH t AS (SELECT id, trim(coalesce(title, '') || ' ' || coalesce(excerpt, '')) AS x FROM articles), w AS (SELECT id, x, regexp_extract_all(lower(x), '\\p{{L}}+') AS w, len(regexp_extract_all(x, '{tx._ACCENTED}')) AS ac FROM t), h AS (SELECT *, len([v FOR v IN w IF v IN ({_EN})]) AS en, greatest({_FOREIGN}) AS f FROM w) SELECT id, x = '' OR len(w) = 0 OR NOT (f >= 4 OR f >= 3 AND f >= en OR f >= 2 AND en = 0 OR ac >= 8 OR ac >= 5 AND f >= 2) AS english FROM h"),
+    "text_language_gate": with_sql(["articles"], f"WITH t AS (SELECT id, trim(coalesce(title, '') || ' ' || coalesce(excerpt, '')) AS x FROM articles), w AS (SELECT id, x, regexp_extract_all(lower(x), '\\p{{L}}+') AS w, len(regexp_extract_all(x, '{_ACCENTS}')) AS ac FROM t), h AS (SELECT *, len([v FOR v IN w IF v IN ({_EN})]) AS en, greatest({_FOREIGN}) AS f FROM w) SELECT id, x = '' OR len(w) = 0 OR NOT (f >= 4 OR f >= 3 AND f >= en OR f >= 2 AND en = 0 OR ac >= 8 OR ac >= 5 AND f >= 2) AS english FROM h"),
     "gate_eligibility": with_sql(["articles"], f"WITH {_GATED} SELECT id, canonical_url, reason FROM gg"),
     "gate_purge_report": with_sql(["articles"], f"WITH {_GATED} SELECT CASE WHEN u = 2 THEN 'merch' ELSE 'listing' END AS purge_reason, count(*) AS n FROM g WHERE u IN (2, 7, 13) GROUP BY 1"),
     "ingest_summary": with_sql(["articles"], f"WITH {_GATED}, r AS (SELECT *, lang = 'en' AS english FROM gg) SELECT publication AS source_id, count(*) AS fetched, count(CASE WHEN english AND reason IS NULL THEN 1 END) AS inserted, count(CASE WHEN NOT english THEN 1 END) AS skipped_language, count(CASE WHEN english AND reason = 'commerce' THEN 1 END) AS skipped_merch, count(CASE WHEN english AND reason <> 'commerce' THEN 1 END) AS skipped_non_editorial FROM r GROUP BY 1"),

@@ -11,7 +11,9 @@ from millrace.operators import fitment as fi
 from millrace.operators import gazetteer as gz
 from millrace.operators import ingest as ing
 from millrace.sources import readers as rd
+from millrace.storage import scratch
 
+from .content_queries import _DEC, STRIP
 from .derived import articles, read, with_sql
 
 
@@ -134,19 +136,30 @@ def classify_entities(spark, sf_dir):
     return gz.extract_entities(articles(spark, sf_dir), GAZETTEER, SPECIAL).select("article_id", "kind", "name", "in_title", F.col("confidence").cast("long").alias("confidence"))
 
 
+def _stored(rows, name):
+    """Lines of text files, in a folder for each source_id; a file holds so many lines at most."""
+    path = scratch(rows.sparkSession, name)
+    rows.select("source_id", "value").write.option("maxRecordsPerFile", 100_000).partitionBy("source_id").text(path)
+    return path
+
+
 def source_sitemaps(spark, sf_dir):
     p = read(spark, sf_dir, "pages").filter("url is not null")
-    bodies = p.groupBy((F.col("page_id") % 40).cast("string").alias("source_id")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("\n</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
-    return rd.parse_sitemaps(bodies).select("source_id", "url")
+    lines = p.select((F.col("page_id") % 40).cast("string").alias("source_id"), F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("\n</loc></url>")).alias("value"))
+    return rd.read_sitemaps(spark, _stored(lines, "sitemaps"), "source_id").select("source_id", "url")
 
 
 def source_feeds(spark, sf_dir):
-    a, i = articles(spark, sf_dir), F.col("id").cast("string")
+    """Feeds of all articles, with their titles and whole texts, from stored files."""
+    a, i = articles(spark, sf_dir).filter("id is not null"), F.col("id").cast("string")
     day = F.concat(F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"), F.lit(" Jan 2024 10:00:00 +0000"))
-    item = F.concat(F.lit("<item><title>Story &amp;amp; "), i, F.lit("</title><link>"), F.col("url"), F.lit("</link><guid>"), i, F.lit("</guid><pubDate>"), day, F.lit("</pubDate></item>"))
-    bodies = a.filter("id is not null").groupBy((F.col("id") % 50).cast("string").alias("source_id")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
-    items, _ = rd.parse_feeds(bodies, 0)
-    return items.select("source_id", "guid", "title", "canonical_url", "published_at")
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    item = tag("item", F.concat(tag("title", safe(F.col("title"))), tag("link", F.col("url")), tag("guid", i), tag("pubDate", day), tag("description", safe(F.col("excerpt")))))
+    source = (F.col("id") % 50).cast("string").alias("source_id")
+    heads = a.select(source).distinct().withColumn("value", F.lit("<rss><channel>"))
+    items, _ = rd.read_feeds(spark, _stored(heads.unionByName(a.select(source, item.alias("value"))), "feeds"), 0, key="source_id")
+    return items.select("source_id", "guid", "title", "canonical_url", "published_at", F.md5("excerpt").alias("excerpt_md5"))
 
 
 def image_verdicts(spark, sf_dir):
@@ -188,6 +201,7 @@ _NEW = "CASE lower(trim(value)) WHEN 'air' THEN 'Air' WHEN 'reg air' THEN 'Air'
 _IMG = "'https://i.example.com/' || l_partkey || '.jpg'"
 _STATES = f"""st AS (SELECT article_id, url, rank, CASE WHEN first IS NOT NULL AND n > greatest(first, 3) THEN 'pending' WHEN ok THEN 'ok' ELSE 'failed' END AS state, coalesce(n = first, false) AS is_primary FROM (SELECT *, min(CASE WHEN ok THEN n END) OVER (PARTITION BY article_id) AS first FROM
     (SELECT l_orderkey AS article_id, {_IMG} AS url, l_linenumber AS rank, coalesce(p_size % 7 <> 0 AND p_size % 3 = 0, false) AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_IMG}) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)))"""
+_UNDONE = lambda c: _DEC(f"regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g')")
 _H = lambda *names: "(" + " OR ".join(f"regexp_matches({{0}}, '(^|[^a-z0-9]){n}($|[^a-z0-9])')" for n in names) + ")"
 _FOUND = ", ".join(f"{_H(*names).format('t')} AS {key}, {_H(*names).format('h')} AS {key}_h" for key, names in {"mk": ["sich", "schau"], "pa": ["para"], "ge": ["ment"], "va": ["las"], "th": ["ther", "here"], "sp": ["con", "que"]}.items())
 _ENTITIES = f"""e0 AS (SELECT id, lower(coalesce(title, '')) AS h, lower(coalesce(title, '') || ' ' || coalesce(excerpt, '')) AS t FROM articles), e1 AS (SELECT id, {_FOUND} FROM e0), e2 AS (SELECT *, pa OR ge AS a, th AND mk AS b FROM e1)"""
@@ -212,7 +226,10 @@ ORACLE_SQL = {
         UNION ALL SELECT id, 'model', 'Para', pa_h OR ge_h, CASE WHEN pa THEN 86 ELSE 82 END FROM e2 WHERE a UNION ALL SELECT id, 'generation', 'ment', ge_h, 90 FROM e2 WHERE ge UNION ALL SELECT id, 'variant', 'las', va_h, 80 FROM e2 WHERE a AND va
         UNION ALL SELECT id, 'variant', 'Para Special', sp_h, 71 FROM e2 WHERE a AND sp UNION ALL SELECT id, 'model', 'Ther', th_h, 86 FROM e2 WHERE b"""),
     "source_sitemaps": "SELECT DISTINCT CAST(page_id % 40 AS VARCHAR) AS source_id, trim(url) AS url FROM pages WHERE url IS NOT NULL",
-    "source_feeds": with_sql(["articles"], "SELECT CAST(id % 50 AS VARCHAR) AS source_id, CAST(id AS VARCHAR) AS guid, 'Story & ' || id AS title, replace(url, '?utm_source=feed', '') AS canonical_url, epoch_ms(TIMESTAMP '2024-01-01 10:00:00') + (id % 28) * 86400000 AS published_at FROM articles"),
+    "source_feeds": with_sql(["articles"], f"""WITH t AS (SELECT id, url, trim(regexp_replace({_UNDONE("title")}, '\\s+', ' ', 'g')) AS title, trim(regexp_replace({_UNDONE("excerpt")}, '\\s+', ' ', 'g')) AS html FROM articles WHERE id IS NOT NULL),
+        s AS (SELECT *, {STRIP} AS t FROM t), c AS (SELECT *, substr(t, 1, 320) AS k FROM s), d AS (SELECT *, CASE WHEN contains(k, ' ') THEN length(k) - instr(reverse(k), ' ') ELSE -1 END AS sp FROM c)
+        SELECT CAST(id % 50 AS VARCHAR) AS source_id, CAST(id AS VARCHAR) AS guid, title, replace(url, '?utm_source=feed', '') AS canonical_url, epoch_ms(TIMESTAMP '2024-01-01 10:00:00') + (id % 28) * 86400000 AS published_at,
+            md5(CASE WHEN length(t) <= 320 THEN t ELSE trim(CASE WHEN sp > 80 THEN substr(k, 1, sp) ELSE k END) || '…' END) AS excerpt_md5 FROM d WHERE title <> ''"""),
     "parts_specialists": """WITH needs AS (SELECT c_nationkey % 5 AS mk, c_custkey % 4 AS mo, c_custkey % 2 AS odd, count(*) AS requests FROM customer GROUP BY 1, 2, 3)
         SELECT 'make' || mk AS make, 'm' || mo AS model, CASE WHEN odd = 0 THEN 'brakes' ELSE 'exhaust' END AS component, s_suppkey AS specialist_id, requests
         FROM needs JOIN supplier ON mk = s_nationkey % 5 AND (s_suppkey % 3 = 0 OR s_suppkey % 4 = mo) WHERE odd = 1 OR s_suppkey % 2 = 1""",

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions import urls as ur
+from millrace.storage import sized_broadcast
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -49,69 +45,106 @@ def read_products(spark: SparkSession, path: str, categories: dict[str, str]) ->
     }
 
 
-ITEMS = "source_id string, title string, url string, guid string, author string, excerpt string, image_urls array<string>, published string, method string, error string"
+# -- feeds and sitemaps -------------------------------------------------------------------------------------------------
+def _field(block: F.Column, *names: str) -> F.Column:
+    """The text of the first of these elements that is not empty: without CDATA marks, entities decoded."""
+    def one(name: str) -> F.Column:
+        inner = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
+        return F.nullif(F.trim(tx.decode_entities(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))), F.lit(""))
+
+    return F.coalesce(*[one(name) for name in names], F.lit(""))
+
 
+def _plain(c: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(tx.decode_entities(F.regexp_replace(c, "<[^>]+>", " ")), r"\s+", " "))
 
-def _field(block: str, *names: str) -> str:
-    for name in names:
-        found = re.search(rf"<{name}(?:\s[^>]*)?>(.*?)</{name}>", block, re.S | re.I)
-        if found:
-            value = re.sub(r"<!\[CDATA\[(.*?)\]\]>", r"\1", found[1], flags=re.S)
-            if value.strip():
-                return html.unescape(value.strip())
-    return ""
 
+_FEED = r"(?i)<(?:rss|feed|rdf:RDF)[\s>]"
+_ENTRY_IMAGES = [r"<media:(?:content|thumbnail)[^>]*?url=[\"']([^\"']+)", r"<enclosure[^>]*?url=[\"']([^\"']+)", r"<itunes:image[^>]*?href=[\"']([^\"']+)", r"<link(?=[^>]*?rel=[\"']enclosure)[^>]*?href=[\"']([^\"']+)"]
 
-def _plain(value: str) -> str:
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", value)).split())
 
+def feed_entries(entries: DataFrame, now_ms: int, block: str = "block") -> DataFrame:
+    """Items from one RSS or Atom entry a row: title, canonical_url, url, guid, author, excerpt, image_urls, published_at (without a date: now), method.
 
-def feed_items(body: str) -> list[dict]:
-    """The entries of one RSS or Atom document; raises ValueError if it is neither."""
-    if not re.search(r"<(?:rss|feed|rdf:RDF)[\s>]", body[:4000], re.I):
-        raise ValueError("not a feed")
-    out = []
-    for block in re.findall(r"<(?:item|entry)(?:\s[^>]*)?>(.*?)</(?:item|entry)>", body, re.S | re.I):
-        link = _field(block, "link") or next(iter(re.findall(r"<link[^>]*?href=[\"']([^\"']+)", block)), "")
-        copy = _field(block, "description", "summary", "content:encoded", "content")
-        images = re.findall(r"<media:(?:content|thumbnail)[^>]*?url=[\"']([^\"']+)", block) + re.findall(r"<enclosure[^>]*?url=[\"']([^\"']+)", block) + re.findall(r"<itunes:image[^>]*?href=[\"']([^\"']+)", block) + re.findall(r"<link(?=[^>]*?rel=[\"']enclosure)[^>]*?href=[\"']([^\"']+)", block) + re.findall(r"<img[^>]*?src=[\"']([^\"']+)", html.unescape(block))
-        out.append({"title": _plain(_field(block, "title")), "url": link, "guid": _field(block, "guid", "id"), "author": _plain(_field(block, "dc:creator", "author", "name")), "excerpt": _plain(copy), "image_urls": list(dict.fromkeys(images)), "published": _field(block, "pubDate", "published", "updated", "dc:date")})
-    return out
+    Entries without title or canonical URL go; other columns stay.
+    """
+    b = F.col(block)
+    every = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    href = F.nullif(F.regexp_extract(b, r"<link[^>]*?href=[\"']([^\"']+)", 1), F.lit(""))
+    images = F.array_distinct(F.concat(*[every(b, p) for p in _ENTRY_IMAGES], every(tx.decode_entities(b), r"<img[^>]*?src=[\"']([^\"']+)")))
+    rows = entries.withColumns({
+        "title": _plain(_field(b, "title")), "url": F.coalesce(F.nullif(_field(b, "link"), F.lit("")), href, F.lit("")), "guid": _field(b, "guid", "id"), "author": _plain(_field(b, "dc:creator", "author", "name")),
+        "excerpt": _plain(_field(b, "description", "summary", "content:encoded", "content")), "image_urls": images, "_published": _field(b, "pubDate", "published", "updated", "dc:date"), "method": F.lit("rss"),
+    }).drop(block)
+    at = F.coalesce(F.col("_published").try_cast("timestamp"), F.try_to_timestamp(F.regexp_replace("_published", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
+    items = rows.withColumns({"canonical_url": ur.canonicalize_url(F.col("url")), "excerpt": tx.cap_summary(F.col("excerpt")), "published_at": F.coalesce(F.unix_millis(at), F.lit(now_ms))})
+    return items.filter("title != '' and canonical_url is not null").drop("_published")
 
 
 def parse_feeds(bodies: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
-    """(items, errors) of feed documents (source_id, body). Entries without title or canonical URL go; a missing date is now."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ITEMS.split(", ")]
-        for frame in frames:
-            rows = []
-            for source, body in zip(frame.source_id, frame.body, strict=True):
-                try:
-                    rows += [{"source_id": source, "method": "rss", **item} for item in feed_items(body or "")]
-                except ValueError as e:
-                    rows.append({"source_id": source, "error": str(e)})
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype(object).where(out.notna(), None)
-
-    rows = bodies.select("source_id", "body").mapInPandas(run, ITEMS)
-    at = F.coalesce(F.col("published").try_cast("timestamp"), F.try_to_timestamp(F.regexp_replace("published", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
-    items = rows.filter("error is null").withColumns({"canonical_url": ur.canonicalize_url(F.col("url")), "excerpt": tx.cap_summary(F.col("excerpt")), "published_at": F.coalesce(F.unix_millis(at), F.lit(now_ms))})
-    return items.filter("title != '' and canonical_url is not null").drop("error", "published"), rows.filter("error is not null").select("source_id", "error")
+    """(items, errors) of feed documents (source_id, body) that are small enough for a row each; see read_feeds() for stored ones."""
+    good = F.coalesce(F.substring("body", 1, 4000).rlike(_FEED), F.lit(False))
+    entries = F.regexp_extract_all("body", F.lit(r"(?is)<(?:item|entry)(?:\s[^>]*)?>(.*?)</(?:item|entry)>"), F.lit(1))
+    rows = bodies.filter(good).select("source_id", F.explode(entries).alias("block"))
+    return feed_entries(rows, now_ms), bodies.filter(~good).select("source_id", F.lit("not a feed").alias("error"))
+
+
+def _cut(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """Stored files in pieces that end with a tag: value, file, and the columns of partition folders. Large files are read in splits, side by side."""
+    rows = spark.read.option("lineSep", end).option("recursiveFileLookup", "false").text(path)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
+def read_feeds(spark: SparkSession, path: str, now_ms: int, entry: str = "item", key: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(items, errors) of stored feeds, entry by entry: no feed is held as a whole. entry: item (RSS) or entry (Atom).
+
+    key names a feed: its file, or the column of a partition folder. Feeds in which no piece names a feed element are errors.
+    """
+    pieces = _cut(spark, path, f"</{entry}>").withColumn(key, F.col(key).cast("string"))
+    bad = pieces.groupBy(key).agg(F.max(F.col("value").rlike(_FEED)).alias("good")).filter("NOT good").select(key, F.lit("not a feed").alias("error"))
+    block = F.regexp_extract("value", rf"(?is)<{entry}(?:\s[^>]*)?>(.*)$", 1)
+    entries = pieces.select(key, block.alias("block")).filter("block != ''").join(sized_broadcast(bad.select(key)), key, "left_anti")
+    return feed_entries(entries, now_ms), bad
 
 
 def parse_sitemaps(bodies: DataFrame) -> DataFrame:
-    """(source_id, url, is_index) of all distinct <loc> of each document."""
+    """(source_id, url, is_index) of all distinct <loc> of each document that is small enough for a row; see read_sitemaps()."""
     locs = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), tx.decode_entities))
     return bodies.select("source_id", F.explode(locs).alias("url"), F.col("body").rlike("(?i)<sitemapindex").alias("is_index"))
 
 
+def read_sitemaps(spark: SparkSession, path: str, key: str = "file") -> DataFrame:
+    """(key, url, is_index) of the distinct <loc> of stored sitemaps, address by address: no sitemap is held as a whole."""
+    pieces = _cut(spark, path, "</loc>").withColumn(key, F.col(key).cast("string"))
+    index = pieces.filter(F.col("value").rlike("(?i)<sitemapindex")).select(key).distinct().withColumn("is_index", F.lit(True))
+    urls = pieces.filter(F.col("value").rlike("(?i)<loc>")).select(key, tx.decode_entities(F.regexp_extract("value", r"(?is)<loc>\s*(.*?)\s*$", 1)).alias("url")).distinct()
+    return urls.join(sized_broadcast(index), key, "left").na.fill({"is_index": False})
+
+
+# -- JSON lists and pages -----------------------------------------------------------------------------------------------
 POST = "array<struct<id:long,link:string,title:struct<rendered:string>,excerpt:struct<rendered:string>,date_gmt:string,categories:array<long>>>"
 
 
 def parse_json_posts(bodies: DataFrame, host: str, prefix: str = "/", category: int | None = None) -> DataFrame:
-    """Posts of JSON lists: of the host, under the prefix and, where they name categories, of the given one."""
-    rows = bodies.select("source_id", F.explode(F.from_json("body", POST)).alias("p"))
+    """Posts of JSON lists (source_id, body): of the host, under the prefix and, where they name categories, of the given one."""
+    return json_posts(bodies.select("source_id", F.explode(F.from_json("body", POST)).alias("p")), host, prefix, category)
+
+
+def read_json_posts(spark: SparkSession, path: str, host: str, prefix: str = "/", category: int | None = None) -> DataFrame:
+    """The same of stored lists, which are parsed post by post."""
+    rows = _elements(spark, path, POST)
+    return json_posts(rows.select("source_id", F.struct(*[c for c in rows.columns if c != "source_id"]).alias("p")), host, prefix, category)
+
+
+def _elements(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A row for each element of the JSON arrays of files; source_id is the file."""
+    schema = kind.removeprefix("array<struct<").removesuffix(">>")
+    fields = spark.range(0).select(F.from_json(F.lit("{}"), f"struct<{schema}>").alias("x")).select("x.*").schema
+    return spark.read.schema(fields).json(path, multiLine=True).withColumn("source_id", F.col("_metadata.file_path"))
+
+
+def json_posts(rows: DataFrame, host: str, prefix: str = "/", category: int | None = None) -> DataFrame:
+    """From (source_id, p), a post a row."""
     rule = (ur.host(F.col("p.link")) == host) & ur.path(F.col("p.link")).startswith(prefix)
     if category is not None:
         rule &= F.col("p.categories").isNull() | F.array_contains("p.categories", category)
@@ -123,8 +156,19 @@ VIDEO = f"array<struct<id:string,live:string,title:string,thumbnails:struct<maxr
 
 
 def parse_video_items(bodies: DataFrame) -> DataFrame:
-    """Videos of JSON listings, without upcoming ones and ones without id; the largest thumbnail."""
-    rows = bodies.select("source_id", F.explode(F.from_json("body", VIDEO)).alias("v")).filter("coalesce(v.id, '') != '' and coalesce(v.live, '') != 'upcoming'")
+    """Videos of JSON listings (source_id, body), without upcoming ones and ones without id; the largest thumbnail."""
+    return video_items(bodies.select("source_id", F.explode(F.from_json("body", VIDEO)).alias("v")))
+
+
+def read_video_items(spark: SparkSession, path: str) -> DataFrame:
+    """The same of stored listings, which are parsed video by video."""
+    rows = _elements(spark, path, VIDEO)
+    return video_items(rows.select("source_id", F.struct(*[c for c in rows.columns if c != "source_id"]).alias("v")))
+
+
+def video_items(rows: DataFrame) -> DataFrame:
+    """From (source_id, v), a video a row."""
+    rows = rows.filter("coalesce(v.id, '') != '' and coalesce(v.live, '') != 'upcoming'")
     return rows.select("source_id", "v.title", F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("v.id")).alias("canonical_url"), F.coalesce(*[F.col(f"v.thumbnails.{k}.url") for k in ("maxres", "standard", "high", "medium")]).alias("image_url"))
 
 
