@@ -10,12 +10,16 @@ from millrace.functions import urls as ur
 
 
 def cap_per_source(items: DataFrame, limits: DataFrame | None = None, default: int = 8) -> DataFrame:
-    """The first max_articles items of each source, in feed order (feed_pos)."""
-    rows = items.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("feed_pos")))
-    if limits is not None:
-        rows = rows.join(limits.select("source_id", "max_articles"), "source_id", "left")
-    most = F.coalesce("max_articles", F.lit(default)) if limits is not None else F.lit(default)
-    return rows.filter(F.col("_n") <= most).drop("_n", "max_articles")
+    """The first max_articles items of each source, in feed order (feed_pos).
+
+    The largest limit is asked for first, so that each task keeps no more than that of a source before the shuffle.
+    """
+    top = max(default, (limits.agg(F.max("max_articles")).first()[0] or 0) if limits is not None else 0)
+    rows = items.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("feed_pos"))).filter(F.col("_n") <= top)
+    if limits is None:
+        return rows.drop("_n")
+    rows = rows.join(limits.select("source_id", "max_articles"), "source_id", "left")
+    return rows.filter(F.col("_n") <= F.coalesce("max_articles", F.lit(default))).drop("_n", "max_articles")
 
 
 def with_gate(articles: DataFrame, rules: ur.GateRules = ur.RULES) -> DataFrame:
@@ -41,14 +45,17 @@ def purge(articles: DataFrame, reason: F.Column) -> tuple[DataFrame, DataFrame]:
 def duplicate_groups(articles: DataFrame) -> DataFrame:
     """Adds duplicate_group_id: the group of the first article (by id) of the same normalised title, else the key itself.
 
-    Blank titles make no group; they are kept out of the window, where they would be one hot key.
+    Blank titles make no group. What is known of a title is one row, by partial aggregation, and joined back: all rows of
+    a frequent title never stand in one frame.
     """
-    rows = articles.withColumn("_key", tx.normalize_title(F.coalesce("title", F.lit(""))))
-    known = F.col("duplicate_group_id") if "duplicate_group_id" in articles.columns else F.lit(None).cast("string")
-    group = F.first(F.nullif(known, F.lit("")), ignorenulls=True).over(Window.partitionBy("_key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    named = rows.filter("_key != ''").withColumn("duplicate_group_id", F.coalesce(group, F.col("_key")))
-    blank = rows.filter("_key = ''").withColumn("duplicate_group_id", F.lit(None).cast("string"))
-    return named.unionByName(blank).drop("_key")
+    key = F.nullif(tx.normalize_title(F.coalesce("title", F.lit(""))), F.lit(""))
+    if "duplicate_group_id" not in articles.columns:
+        return articles.withColumn("duplicate_group_id", key)
+    rows = articles.withColumn("_key", key)
+    own = F.nullif("duplicate_group_id", F.lit(""))
+    known = rows.filter(own.isNotNull() & F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by("duplicate_group_id", "id").alias("_known"))
+    joined = rows.drop("duplicate_group_id").join(known, "_key", "left")
+    return joined.withColumn("duplicate_group_id", F.coalesce("_known", "_key")).select(*articles.columns)
 
 
 def keep_best(ranked: DataFrame, keys: list[str], order: list[F.Column]) -> DataFrame:
@@ -162,9 +169,12 @@ def ingestible(sources: DataFrame, denied: list[str], allowed: list[str], ids: D
 def image_census(articles: DataFrame, samples: int = 3) -> DataFrame:
     """Per publication: articles, those without a usable image, and the first few of them by id."""
     rows = articles.withColumn("missing", ~F.coalesce(ur.is_usable_image(F.col("image_url")), F.lit(False)))
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("publication", "missing").orderBy("id")))
-    found = numbered.groupBy("publication").agg(F.count("*").alias("total"), F.count(F.when(F.col("missing"), 1)).alias("missing"), F.array_sort(F.collect_list(F.when(F.col("missing") & (F.col("n") <= samples), F.col("id")))).alias("samples"))
-    return found
+    counted = rows.groupBy("publication").agg(F.count("*").alias("total"), F.count(F.when(F.col("missing"), 1)).alias("missing"))
+    # each task keeps the first few of a publication only
+    few = rows.filter("missing").select("publication", "id").withColumn("n", F.row_number().over(Window.partitionBy("publication").orderBy("id"))).filter(F.col("n") <= samples)
+    listed = few.groupBy(F.col("publication").alias("_of")).agg(F.array_sort(F.collect_list("id")).alias("samples"))
+    joined = counted.join(listed, F.col("publication").eqNullSafe(F.col("_of")), "left").drop("_of")
+    return joined.withColumn("samples", F.coalesce("samples", F.array().cast(few.select(F.array("id").alias("x")).schema["x"].dataType)))
 
 
 def first_wins(parts: list[DataFrame], key: str, order: str) -> DataFrame:

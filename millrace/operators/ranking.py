@@ -378,16 +378,19 @@ def prefer_images(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def diversify(rows: DataFrame, keys: list[str], key: str, window: int = 5) -> DataFrame:
-    """If the first `window` share one key that is not empty, the first later row with another one moves to their last place."""
-    per = Window.partitionBy(*keys)
+    """If the first `window` share one key that is not empty, the first later row with another one moves to their last place.
+
+    What decides is one row a list, from aggregates; no list is held or sorted.
+    """
     value = F.coalesce(key, F.lit(""))
-    head = F.col("position") <= window
-    rows = rows.withColumns({"_first": F.max(F.when(F.col("position") == 1, value)).over(per), "_n": F.count("*").over(per)})
-    rows = rows.withColumn("_same", F.min(F.when(head, (value == F.col("_first")).cast("int"))).over(per))
-    rows = rows.withColumn("_swap", F.min(F.when(~head & (value != "") & (value != F.col("_first")), F.col("position"))).over(per))
-    go = (F.col("_n") > window) & (F.col("_first") != "") & (F.col("_same") == 1) & F.col("_swap").isNotNull()
-    new = F.when(~go, F.col("position")).when(F.col("position") == F.col("_swap"), window).when((F.col("position") >= window) & (F.col("position") < F.col("_swap")), F.col("position") + 1).otherwise(F.col("position"))
-    return rows.withColumn("position", new.cast("int")).drop("_first", "_n", "_same", "_swap")
+    position = F.col("position")
+    head = rows.filter(position <= window).groupBy(*keys).agg(F.min_by(value, "position").alias("_first"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    alike = written(head.filter("_first != '' AND _low = _high").drop("_low", "_high"), "alike")
+    later = rows.filter((position > window) & (value != "")).join(sized_broadcast(alike), keys).filter(value != F.col("_first"))
+    swaps = written(later.groupBy(*keys).agg(F.min("position").alias("_swap")), "swaps")
+    joined = rows.join(sized_broadcast(swaps), keys, "left")
+    new = F.when(F.col("_swap").isNull(), position).when(position == F.col("_swap"), window).when((position >= window) & (position < F.col("_swap")), position + 1).otherwise(position)
+    return joined.withColumn("position", new.cast("int")).select(*rows.columns)
 
 
 def top_lists(rows: DataFrame, limit: int = 80) -> DataFrame:

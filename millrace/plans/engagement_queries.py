@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import engagement as en
+from millrace.operators import uniques as un
+from millrace.storage import written
 
 from .derived import INTERESTS, NOW_DAY, NOW_MS, dims, engagement_events, with_sql
 
@@ -75,7 +77,7 @@ def emerging_interests(spark, sf_dir):
     _, touches, first = _base(spark, sf_dir)
     d = dims(spark, sf_dir)
     found = en.emerging(en.window_dims(touches, d, first, START, END), en.window_dims(touches, d, first, PSTART, PEND), INTERESTS)
-    return found.select("dim_value", "impression_uniques", "previous_impressions", F.round("open_rate", 9).alias("open_rate"), F.round("open_rate_delta", 9).alias("open_rate_delta"), "sufficient_both")
+    return found.select("dim_value", "impression_uniques", "previous_impressions", F.round("open_rate", 9).alias("open_rate"), F.round("open_rate_delta", 9).alias("open_rate_delta"), "sufficient_both", "position")
 
 
 def desk_statements(spark, sf_dir):
@@ -138,7 +140,42 @@ def visit_sessions(spark, sf_dir):
     return en.visit_sessions(visits)
 
 
+def _stored(spark, sf_dir):
+    """Bitmaps by day, stored as a nightly job would."""
+    _, touches, first = _base(spark, sf_dir)
+    touches = written(touches, "touches")
+    numbers = written(un.visitor_numbers(touches), "numbers")
+    return touches, numbers, written(un.daily_article_bitmaps(touches, numbers), "article_bitmaps"), written(un.first_day_bitmaps(first, numbers), "first_bitmaps")
+
+
+def stored_articles(spark, sf_dir):
+    _, _, by_article, firsts = _stored(spark, sf_dir)
+    return un.window_articles(by_article, firsts, START, END)
+
+
+def stored_dims(spark, sf_dir):
+    touches, numbers, by_article, firsts = _stored(spark, sf_dir)
+    d = dims(spark, sf_dir)
+    return un.window_dims(written(un.daily_dim_bitmaps(touches, d, numbers), "dim_bitmaps"), by_article, d, firsts, START, END)
+
+
+def stored_overview(spark, sf_dir):
+    touches, numbers, _, firsts = _stored(spark, sf_dir)
+    return un.overview(un.daily_dim_bitmaps(touches, dims(spark, sf_dir), numbers), firsts, START, END)
+
+
+def sketched_dims(spark, sf_dir):
+    """Unique visitors of each dimension and event, exact, and whether the estimate is within four standard errors (or one visitor)."""
+    _, touches, _ = _base(spark, sf_dir)
+    d = dims(spark, sf_dir)
+    guessed = un.window_estimates(un.daily_dim_sketches(touches, d), START, END)
+    exact = en._fan_out(en.window_touches(touches, START, END), d).select("dim_kind", "dim_value", "visitor_key", "event").distinct().groupBy("dim_kind", "dim_value", "event").agg(F.count("*").alias("exact"))
+    near = F.abs(F.col("uniques") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 4 * un.SKETCH_ERROR)
+    return exact.join(guessed, ["dim_kind", "dim_value", "event"]).select("dim_kind", "dim_value", "event", "exact", near.alias("near"))
+
+
 QUERIES = {
+    "engagement_stored_articles": stored_articles, "engagement_stored_dims": stored_dims, "engagement_stored_overview": stored_overview, "engagement_sketched_dims": sketched_dims,
     "engagement_visitor_first": visitor_first, "engagement_daily_touches": daily_touches, "engagement_daily_articles": daily_articles, "engagement_daily_dims": daily_dims,
     "engagement_window_articles": window_articles, "engagement_window_dims": window_dims, "engagement_window_feedback": window_feedback, "engagement_overview": site_overview,
     "engagement_exposure_rates": exposure_rates, "engagement_open_rate_rank": open_rate_rank, "engagement_emerging": emerging_interests, "engagement_desk_statements": desk_statements,
@@ -186,13 +223,17 @@ ORACLE_SQL = {
     "engagement_daily_touches": with_sql(["touches"], "SELECT * FROM touches"),
     "engagement_daily_articles": with_sql(["touches", "firsts"], f"SELECT day, article_id, {_counts('first_day < day')} FROM touches LEFT JOIN firsts USING (visitor_key) GROUP BY 1, 2"),
     "engagement_daily_dims": with_sql(["touches", "firsts", "dims"], f"WITH f AS ({_FAN.format('touches')}), {_FB} SELECT day, dim_kind, dim_value, {_counts('first_day < day', 'v')}, count(*) AS event_count FROM f LEFT JOIN firsts USING (visitor_key) GROUP BY 1, 2, 3 UNION ALL SELECT day, dim_kind, dim_value, impression_uniques, 0, 0, 0, 0, 0, 0, 0, event_count FROM fd"),
+    "engagement_stored_articles": with_sql(["touches", "firsts"], f"WITH {_WT}, {_WA} SELECT * FROM wa"),
+    "engagement_stored_dims": with_sql(["touches", "firsts", "dims"], f"WITH {_WT}, {_dim_sql('cd', 'wt', START)} SELECT * FROM cd"),
+    "engagement_stored_overview": with_sql(["touches", "firsts"], f"WITH w AS (SELECT * FROM touches LEFT JOIN firsts USING (visitor_key) WHERE day BETWEEN '{START}' AND '{END}') SELECT {_counts(f"first_day < '{START}'", 'v')} FROM w"),
+    "engagement_sketched_dims": with_sql(["touches", "dims"], f"WITH {_WT}, f AS ({_FAN.format('wt')}) SELECT dim_kind, dim_value, event, count(DISTINCT visitor_key) AS exact, true AS near FROM f GROUP BY 1, 2, 3"),
     "engagement_window_articles": with_sql(["touches", "firsts"], f"WITH {_WT}, {_WA} SELECT * FROM wa"),
     "engagement_window_dims": with_sql(["touches", "firsts", "dims"], f"WITH {_WT}, {_dim_sql('cd', 'wt', START)} SELECT * FROM cd"),
     "engagement_window_feedback": with_sql(["ev"], f"WITH {_FB} SELECT dim_kind, dim_value, CAST(sum(impression_uniques) AS BIGINT) AS impression_uniques, CAST(sum(event_count) AS BIGINT) AS event_count FROM fd WHERE day BETWEEN '{START}' AND '{END}' GROUP BY 1, 2"),
     "engagement_overview": with_sql(["touches", "firsts"], f"WITH w AS (SELECT * FROM touches LEFT JOIN firsts USING (visitor_key) WHERE day BETWEEN '{START}' AND '{END}') SELECT {_counts(f"first_day < '{START}'", 'v')} FROM w"),
     "engagement_exposure_rates": with_sql(["touches", "firsts"], f"WITH {_WT}, {_WA}, r AS (SELECT *, {_RATE}, impression_uniques >= 8 AS sufficient FROM wa) SELECT article_id, {', '.join(en.COUNTERS)}, {', '.join(f'round({r}, 9) AS {r}' for r in _RATES)}, sufficient, round(CASE WHEN sufficient THEN {_SCORE} END, 9) AS weighted_score, CASE WHEN open_rate IS NULL THEN '—' ELSE {_FMT('open_rate')} END AS open_rate_text FROM r"),
     "engagement_open_rate_rank": with_sql(["touches", "firsts"], f"WITH {_WT}, {_WA}, r AS (SELECT *, {_RATE}, impression_uniques >= 8 AS is_ranked FROM wa) SELECT article_id, impression_uniques, round(open_rate, 9) AS open_rate, is_ranked, CAST(row_number() OVER (PARTITION BY is_ranked ORDER BY CASE WHEN is_ranked THEN coalesce(open_rate, 0) ELSE 0 END DESC, impression_uniques DESC, article_id) AS INTEGER) AS position FROM r"),
-    "engagement_emerging": with_sql(["touches", "firsts", "dims"], f"WITH {_EMERGING} SELECT dim_value, impression_uniques, previous_impressions, round(open_rate, 9) AS open_rate, round(open_rate_delta, 9) AS open_rate_delta, sufficient_both FROM em"),
+    "engagement_emerging": with_sql(["touches", "firsts", "dims"], f"WITH {_EMERGING} SELECT dim_value, impression_uniques, previous_impressions, round(open_rate, 9) AS open_rate, round(open_rate_delta, 9) AS open_rate_delta, sufficient_both, CAST(row_number() OVER (ORDER BY sufficient_both DESC, open_rate_delta DESC NULLS LAST, dim_value) AS INTEGER) AS position FROM em"),
     "engagement_desk_statements": with_sql(["touches", "firsts", "dims"], f"""WITH {_EMERGING}, {_WA},
         pr AS (SELECT dim_value AS k, impression_uniques, CAST(open_uniques AS DOUBLE) / nullif(impression_uniques, 0) AS open_rate FROM cd WHERE dim_kind = 'publisher' AND impression_uniques >= 8),
         ar AS (SELECT CAST(article_id AS VARCHAR) AS k, impression_uniques, CAST(open_uniques AS DOUBLE) / nullif(impression_uniques, 0) AS open_rate FROM wa WHERE impression_uniques >= 8),

@@ -91,7 +91,8 @@ def diversified(spark, sf_dir):
 
 
 def media_mix(spark, sf_dir):
-    return sh.spread_media(_default_list(spark, sf_dir).select("list_key", "id", "position", "is_video"), ["list_key"], 40)
+    rows = _default_rows(spark, sf_dir).select("list_key", "id", "is_video", "quality_band", "rank_score", "published_at")
+    return sh.spread_media(rk.numbered(rows, ["list_key"], rk.list_order()).select("list_key", "id", "position", "is_video"), ["list_key"], 40)
 
 
 def section_rails(spark, sf_dir):
