@@ -115,13 +115,15 @@ def reader_overlay(spark, sf_dir):
 
 def home_lanes(spark, sf_dir):
     rows = rk.personal_rows(features(spark, sf_dir), profiles(spark, sf_dir), NOW, 80, CULTURE, carry=["makes", "interest_match"])
+    makes = profiles(spark, sf_dir).select("list_key", F.col("vehicles")[0]["make"].alias("profile_make"))
+    rows = rows.join(makes, "list_key")
     rows = rows.withColumns({"subject": F.coalesce("duplicate_group_id", F.lit("")), "make": F.coalesce(F.try_element_at("makes", F.lit(1)), F.lit(""))})
-    return sh.home_lanes(rows.select("list_key", "position", "id", "subject", "make", "vehicle_tier", "interest_match"), "list_key")
+    return sh.home_lanes(rows.select("list_key", "position", "id", "subject", "make", "vehicle_tier", "interest_match", "show_in_primary_feed", "profile_make"), "list_key")
 
 
 def opening_picks(spark, sf_dir):
-    rows = _default_list(spark, sf_dir).withColumns({"this_week": F.col("published_at") >= NOW - 7 * 86_400_000, "last_week": F.col("id") % 5 == 0, "stale_pick": F.col("id") % 11 == 0})
-    return sh.opening_picks(rows.select("list_key", "position", "id", "publication", "this_week", "last_week", "stale_pick"), "list_key", 8)
+    rows = _default_list(spark, sf_dir).withColumns({"this_week": F.col("published_at") >= NOW - 7 * 86_400_000, "last_week": F.col("id") % 5 == 0})
+    return sh.opening_picks(rows.select("list_key", "position", "id", "publication", "this_week", "last_week", "desk_pick"), "list_key", 8)
 
 
 def keep_exploring(spark, sf_dir):

@@ -230,7 +230,7 @@ def test_metadata_merge_and_rail_openers(spark):
 
     got = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":"3"}'), ("broken", '{"b":"3"}'), (None, None)], "o string, n string").select(ing.merge_metadata(F.col("o"), F.col("n"))).collect()
     assert [r[0] for r in got] == ['{"a":"1","b":"3"}', '{"b":"3"}', "{}"]
-    rails = spark.createDataFrame([("p", 1, 1, 10, "A"), ("p", 1, 2, 11, "B"), ("p", 2, 1, 11, "B"), ("p", 2, 2, 12, "A"), ("p", 3, 1, 10, "A")], "page string, rail int, position int, id long, publication string")
+    rails = spark.createDataFrame([("p", 1, 1, 10, "A"), ("p", 1, 2, 11, "B"), ("p", 2, 1, 11, "B"), ("p", 2, 2, 12, "A"), ("p", 3, 1, 10, "A")], "page string, rail int, position int, id long, publication string").withColumns({c: F.lit(False) for c in ("this_week", "last_week", "desk_pick")})
     opened = spark.createDataFrame([("p", 10, "A")], "page string, id long, publication string")
     assert sorted((r.rail, r.id) for r in sh.rail_openers(rails, "page", opened).collect()) == [(1, 11), (2, 12)]
 
