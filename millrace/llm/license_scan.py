@@ -1,8 +1,9 @@
 """Operator 10: licence notices by a positional index of rare words.
 
-Words of licence templates are counted over the whole corpus. Of each template, the rarest word of a key phrase is looked
-up wherever it occurs in a file; where the phrase stands there, the template's words vote for the place where it starts.
-What else a file holds, or how long it is, makes no difference to a template.
+Words of licence templates are counted over the whole corpus. Of each template its words of highest IDF are indexed, with
+their places. A file's words of the index vote, by their weight, for where each template would start; where votes for
+starts that agree hold most of a template's weight, its mandatory key phrases are looked for at their places. The words
+are chosen for each template, so what else a file holds, or how long it is, makes no difference to it.
 """
 
 from __future__ import annotations
@@ -49,7 +50,11 @@ TEMPLATES = [
     ("boost", "distributed under the boost software license version 1 0", ["boost software license"]),
 ]
 
-#: Places by which a key phrase may be off its place in the template.
+#: Words of a template that are indexed: its rarest, at most so many, and none with under this share of its rarest word's IDF.
+INDEXED_WORDS, LEAST_WEIGHT = 16, 0.1
+#: Share of a template's indexed weight that must stand at places that agree.
+LEAST_SHARE = 0.75
+#: Places by which words and key phrases may be off: as many words may be put in or left out.
 SLACK = 4
 
 PLACE = pa.struct([("label", pa.string()), ("start", pa.int64())])
@@ -104,8 +109,68 @@ def word_frequencies(docs: DataFrame, texts: list[str], text: str = "text") -> t
     return by_word.pop(-1, 0), by_word
 
 
+class _Index:
+    """Postings (template, place, weight) of the indexed words of notices, by word; and each notice's whole weight."""
+
+    def __init__(self, notices: list[np.ndarray], idf: np.ndarray):
+        rows = []
+        for t, notice in enumerate(notices):
+            distinct = sorted(set(notice.tolist()), key=lambda w: (-idf[w], w))[:INDEXED_WORDS]
+            top = idf[distinct[0]]
+            # words that are in every file tell nothing; if all of a notice's are, each counts alike
+            chosen = {w: idf[w] if top > 0 else 1.0 for w in distinct if idf[w] >= LEAST_WEIGHT * top}
+            rows += [(w, t, place, chosen[w]) for place, w in enumerate(notice.tolist()) if w in chosen]
+        rows.sort()
+        self.word, self.template, self.place = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.weight = np.array([r[3] for r in rows], np.float64)
+        self.first, self.n = np.searchsorted(self.word, np.arange(len(idf) + 1)), np.bincount(self.word, minlength=len(idf) + 1)
+        self.total = np.bincount(self.template, self.weight, minlength=len(notices)) if rows else np.zeros(len(notices))
+
+    def votes(self, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, template, starts, places, weights) of the pairs of which enough words are in the text at all. Starts count from the run's first word."""
+        hits = np.flatnonzero(self.n[ids])
+        times = self.n[ids[hits]]
+        post = np.repeat(self.first[ids[hits]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(hits) else hits
+        at = np.repeat(hits, times)
+        pair = owner[at] * len(self.total) + self.template[post]
+        # each posting counts once for a text
+        once = np.unique(np.column_stack([pair, post]), axis=0)
+        names, of = np.unique(once[:, 0], return_inverse=True)
+        enough = np.bincount(of, self.weight[once[:, 1]], minlength=len(names)) >= (LEAST_SHARE - 1e-9) * self.total[names % len(self.total)]
+        keep = np.isin(pair, names[enough])
+        pair, at, post = pair[keep], at[keep], post[keep]
+        order = np.lexsort((at - self.place[post], pair))
+        pair, at, post = pair[order], at[order], post[order]
+        cuts = np.flatnonzero(np.diff(pair)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pair)], strict=True) if len(pair) else ():
+            text, template = divmod(int(pair[low]), len(self.total))
+            part = post[low:high]
+            yield text, template, at[low:high] - self.place[part], self.place[part], self.weight[part]
+
+
+def _windows(starts: np.ndarray, places: np.ndarray, weights: np.ndarray) -> Iterator[tuple[float, int]]:
+    """(weight, start) of the votes within SLACK of each start, a place counting once; of the window the start with most votes. Starts ascend."""
+    starts, places, weights = starts.tolist(), places.tolist(), weights.tolist()
+    held: dict[int, int] = {}
+    by_start: dict[int, float] = {}
+    total, low, high = 0.0, 0, 0
+    while low < len(starts):
+        begin = starts[low]
+        while high < len(starts) and starts[high] <= begin + SLACK:
+            held[places[high]] = held.get(places[high], 0) + 1
+            total += weights[high] if held[places[high]] == 1 else 0.0
+            by_start[starts[high]] = by_start.get(starts[high], 0.0) + weights[high]
+            high += 1
+        yield total, max(by_start, key=lambda s: (round(by_start[s], 9), -s))
+        while low < high and starts[low] == begin:
+            held[places[low]] -= 1
+            total -= weights[low] if not held[places[low]] else 0.0
+            low += 1
+        del by_start[begin]
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list | None = None, text: str = "text") -> DataFrame:
-    """docs and n_words, places (of phrases: label, first word), matches (of templates: label, first word, share of its words in place).
+    """docs and n_words, places (of phrases: label, first word), matches (of templates: label, first word, share of its weight in place).
 
     Of a label's templates and places the largest share counts, of equal ones the first place.
 
@@ -121,37 +186,23 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     rules = [(label, vocabulary.text(p)) for p, label in phrases.items()]
     forms = [(label, vocabulary.text(notice), [vocabulary.text(p) for p in keys]) for label, notice, keys in templates]
     forms = [(label, notice, [key for key in keys if len(key)]) for label, notice, keys in forms if len(notice)]
-    # where to look a template up: by the key phrase with the rarest word; without key phrases, by any of its words
-    anchors = [max(keys, key=lambda key: idf[key].max(), default=None) for _, _, keys in forms]
-    indexed = np.zeros(len(vocabulary.hashes) + 1, bool)
-    for (_, notice, _), anchor in zip(forms, anchors, strict=True):
-        indexed[notice if anchor is None else anchor[idf[anchor].argmax()]] = True
-
-    def starts(ids: np.ndarray, hits: np.ndarray, notice: np.ndarray, anchor: np.ndarray | None) -> np.ndarray:
-        """The places where a template may start."""
-        if anchor is None:
-            return np.unique(np.concatenate([hits[ids[hits] == w] - at for at, w in enumerate(notice)]))
-        rarest = int(idf[anchor].argmax())
-        at = hits[ids[hits] == anchor[rarest]] - rarest
-        at = at[(at >= 0) & (at + len(anchor) <= len(ids))]
-        for k, w in enumerate(anchor):
-            at = at[ids[at + k] == w]
-        return np.unique(at[:, None] - _index(notice, anchor) + np.arange(-SLACK, SLACK + 1))
-
-    def match(ids: np.ndarray) -> list[dict]:
-        """The templates of one text, given the numbers of its words."""
-        hits = np.flatnonzero(indexed[ids])
-        best: dict[str, tuple[float, int]] = {}
-        for (label, notice, keys), anchor in zip(forms, anchors, strict=True):
-            for start in starts(ids, hits, notice, anchor).tolist():
-                low, high = max(start, 0), min(start + len(notice), len(ids))
-                votes = int((ids[low:high] == notice[low - start : high - start]).sum()) if low < high else 0
-                if votes < min(2, len(notice)):
-                    continue
-                # what is looked up by the anchor has it near already
-                if all(key is anchor or _near(ids, key, start + _index(notice, key)) for key in keys):
-                    best[label] = max(best.get(label, (-1.0, 0)), (votes / len(notice), -low))
-        return [{"label": label, "start": -start, "score": score} for label, (score, start) in sorted(best.items())]
+    index = _Index([notice for _, notice, _ in forms], idf)
+
+    def found_in(ids: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> dict[int, list[dict]]:
+        """The templates of each text of a run."""
+        best: dict[tuple[int, str], tuple[float, int]] = {}
+        for text_no, template, starts, places, weights in index.votes(ids, owner):
+            label, notice, keys = forms[template]
+            own, begin = ids[bounds[text_no] : bounds[text_no + 1]], int(bounds[text_no])
+            for weight, start in _windows(starts - begin, places, weights):
+                share = min(1.0, weight / index.total[template])
+                name = (text_no, label)
+                if share >= LEAST_SHARE - 1e-9 and (round(share, 9), -max(start, 0)) > best.get(name, (-1.0, 0)) and all(_near(own, key, start + _index(notice, key)) for key in keys):
+                    best[name] = (round(share, 9), -max(start, 0))
+        out: dict[int, list[dict]] = {}
+        for (text_no, label), (share, start) in sorted(best.items()):
+            out.setdefault(text_no, []).append({"label": label, "start": -start, "score": share})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +216,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
                 for label, phrase in rules:
                     for at in _phrase_places(ids, owner, phrase).tolist():
                         places[first + owner[at]].append({"label": label, "start": at - int(found.bounds[owner[at]])})
-                for i in np.unique(owner[indexed[ids]]).tolist():
-                    matches[first + i] = match(ids[found.bounds[i] : found.bounds[i + 1]])
+                for i, listed in found_in(ids, owner, found.bounds).items():
+                    matches[first + i] = listed
             keep = batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(n_words), pa.array(places, pa.list_(PLACE)), pa.array(matches, pa.list_(MATCH))], names=[*keep.schema.names, "n_words", "places", "matches"])
 
