@@ -23,6 +23,9 @@ WEIGHTS = {
 }
 TIERS = ["none", "category", "make", "generation", "model", "vehicle", "variant"]
 BANDS = ["excluded", "deprioritised", "eligible", "featured"]
+#: The sections that have lists of their own, and the name of the list of all.
+SECTIONS = ["cars", "culture", "driving", "motorsport", "events"]
+FOR_YOU = "for-you"
 #: What a reader's own marks add to a score.
 READER = {"interested": 48, "less": -56, "saved": 18, "recent": 6, "interested_similar": 14, "less_similar": -20, "saved_similar": 8}
 
@@ -319,6 +322,48 @@ def personal_lists(articles: DataFrame, profiles: DataFrame, now_ms: int, limit:
     return top_lists(personal_rows(articles, profiles, now_ms, limit, culture, variant_aliases, key, (), w), limit)
 
 
+def default_rows(articles: DataFrame, now_ms: int, w: dict = WEIGHTS) -> DataFrame:
+    """Articles with the scores, band and tier of lists without a profile: the default score, and of signals the desk's alone."""
+    none = {name: F.lit(0).cast("long") for name in BUCKETS}
+    pick = F.coalesce("desk_pick", F.lit(False))
+    score = default_score(F.col("source_relevance"), F.col("published_at"), F.col("excerpt"), pick, now_ms, w).cast("long")
+    rows = articles.withColumns(none | {"desk_boost": F.when(pick, w["pick"]).otherwise(0).cast("long"), "score": score, "vehicle_tier": F.lit("none")})
+    return with_band(with_relevance(rows, w), w)
+
+
+def section_lists(articles: DataFrame, now_ms: int, limit: int = 80, sections: list[str] = SECTIONS, name: str = FOR_YOU, w: dict = WEIGHTS) -> DataFrame:
+    """Snapshot rows of the lists that everyone sees: name:limit of all articles, and section:limit of each section.
+
+    Eligible articles (no `reason`, if there is such a column) are scored without a profile, deduplicated in each list,
+    ordered and mixed by media (is_video). An article is in two lists at most. Of each list only the first `limit`
+    videos and others reach one task, by partial sorts: the mix of the first `limit` depends on no more.
+    """
+    from millrace.operators.shaping import spread_media
+
+    rows = articles.filter("reason is null").drop("reason") if "reason" in articles.columns else articles
+    rows = default_rows(rows, now_ms, w).select(*dict.fromkeys([*LISTED, "primary_category", "is_video"]))
+    own = F.when(F.col("primary_category").isin(*sections), F.concat("primary_category", F.lit(f":{limit}")))
+    rows = written(rows.withColumn("list_key", F.explode(F.array_compact(F.array(F.lit(f"{name}:{limit}"), own)))), "sections")
+    best = best_of_groups(rows, ["list_key"]).withColumn("is_video", F.coalesce("is_video", F.lit(False)))
+    first = best.withColumn("_n", F.row_number().over(Window.partitionBy("list_key", "is_video").orderBy(*list_order()))).filter(F.col("_n") <= limit).drop("_n")
+    return top_lists(spread_media(ranked(first, ["list_key"]), ["list_key"], limit), limit)
+
+
+def snapshot_lists(articles: DataFrame, profiles: DataFrame, now_ms: int, limit: int = 80, culture: dict[str, list[str]] | None = None, key: str = "primary_category", w: dict = WEIGHTS) -> DataFrame:
+    """All stored lists: those of section_lists(), and for-you:limit:profile of each profile (list_key)."""
+    own = personal_lists(articles, profiles, now_ms, limit, culture, key=key, w=w)
+    return section_lists(articles, now_ms, limit, w=w).unionByName(own.withColumn("list_key", F.concat(F.lit(f"{FOR_YOU}:{limit}:"), "list_key")))
+
+
+def ranked_feed(articles: DataFrame, now_ms: int, profiles: DataFrame | None = None, section: str = "", limit: int = 40, strict: Column | None = None, culture: dict[str, list[str]] | None = None, **filters: str) -> DataFrame:
+    """One feed as it is shown: the filters of filter_articles() (and strict, a matches_profile()) first, then a profile's list or the common one."""
+    rows = filter_articles(articles, section=section if section != FOR_YOU else "", **filters)
+    rows = rows if strict is None else rows.filter(strict)
+    if profiles is not None:
+        return personal_lists(rows, profiles, now_ms, limit, culture)
+    return section_lists(rows, now_ms, limit, [], section or FOR_YOU)
+
+
 #: Places of the common order that a profile takes together.
 STEP = 64
 

@@ -63,6 +63,16 @@ def ranked_lists(spark, sf_dir):
     return rk.personal_lists(features(spark, sf_dir), profiles(spark, sf_dir), NOW, 80, CULTURE)
 
 
+def snapshot(spark, sf_dir):
+    """Every stored list: for-you, the sections, and each profile's own."""
+    return rk.snapshot_lists(features(spark, sf_dir), profiles(spark, sf_dir), NOW, 80, CULTURE)
+
+
+def filtered_feed(spark, sf_dir):
+    """The stories of one make and section that mention a word, as they are shown."""
+    return rk.ranked_feed(features(spark, sf_dir), NOW, section="culture", make="Benz", q="th", limit=40)
+
+
 def _default_rows(spark, sf_dir):
     rows = features(spark, sf_dir).withColumn("rank_score", rk.default_score(F.col("source_relevance"), F.col("published_at"), F.col("excerpt"), F.col("desk_pick"), NOW).cast("long"))
     return rows.withColumns({"quality_band": F.when(F.col("desk_pick"), "featured").otherwise("eligible"), "show_in_primary_feed": F.lit(True), "vehicle_tier": F.lit("none"), "list_key": F.col("lang")})
@@ -134,7 +144,7 @@ def keep_exploring(spark, sf_dir):
 QUERIES = {
     "rank_default_scores": default_scores, "rank_personal_scores": personal_scores, "rank_personal_lists": ranked_lists, "rank_default_lists": default_lists, "rank_image_first": image_first,
     "rank_diversified": diversified, "rank_media_mix": media_mix, "rank_section_rails": section_rails, "rank_reader_overlay": reader_overlay, "rank_home_lanes": home_lanes,
-    "rank_opening_picks": opening_picks, "rank_keep_exploring": keep_exploring,
+    "rank_snapshot": snapshot, "rank_filtered_feed": filtered_feed, "rank_opening_picks": opening_picks, "rank_keep_exploring": keep_exploring,
 }
 
 _F = f"""f AS (SELECT *, CASE id % 3 WHEN 0 THEN 40 WHEN 1 THEN 20 ELSE 8 END + CAST(floor(10 * pow(0.5, greatest(0.0, ({NOW} - published_at) / 86400000.0) / 12) + 0.5) AS BIGINT)
