@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,8 @@ from .packing import default_tokenizer
 MAGIC = b"MRSST01\n"
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
+#: Bytes of text that a task encodes: their number follows the size of the table.
+TASK_BYTES = 32 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 MANIFEST = "path string, task long, shard long, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
@@ -46,8 +50,17 @@ SHARDS_A_GROUP = 4096
 DOC_BYTES = 9
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole URI of a folder as Spark resolves it: a plain path is one of fs.defaultFS, on every machine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/(?!/)", "file:///", uri)
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a shared folder, by its URI; a plain path is local."""
+    """The file system of a shared folder, by its whole URI; a path without scheme is an error, as it would be each machine's own."""
+    if "://" not in path:
+        raise ValueError(f"{path} names no file system")
     return fs.FileSystem.from_uri(path)
 
 
@@ -232,9 +245,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             yield pa.RecordBatch.from_pylist(made)
         pa.default_memory_pool().release_unused()
 
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    folder = qualified(docs.sparkSession, folder)
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))).first()[0] or 0
+    n = max(1, ceil(size / TASK_BYTES))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    rows = rows.repartitionByRange(int(n), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return written(rows.mapInArrow(write, MANIFEST), "shards")
 
 

@@ -100,6 +100,23 @@ def test_shards_round_trip(spark, docs, none):
     assert tt.read_shards(tt.write_shards(none, scratch(spark, "test"), pk.default_tokenizer())).count() == 0
 
 
+def test_shards_name_their_file_system(spark, tmp_path):
+    assert tt.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == tt.qualified(spark, f"file:{tmp_path}")
+    with pytest.raises(ValueError):
+        tt.open_store(str(tmp_path))
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.shelf.link./kept", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://shelf/")
+    try:
+        # a plain path is one of the default file system, so no task takes it for a folder of its own machine
+        assert tt.qualified(spark, "/kept/x") == "viewfs://shelf/kept/x"
+        with pytest.raises(Exception, match="(?i)viewfs|scheme"):
+            tt.open_store(tt.qualified(spark, "/kept/x"))
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+
+
 def test_pieces_are_those_of_the_library():
     rng, coder = np.random.default_rng(2), Encoder(pk.default_tokenizer())
     some = ["'", "'s", "'re", "'ll", "s", "t", "re", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "B", "é", "中", "1", "²", "!", "😀", "\u200b", "\x1c", "\x85", "\u0301", "_", "<|endoftext|>", "v", "l", "\ufeff"]
