@@ -92,6 +92,12 @@ class AliasTrie:
         return found
 
 
+def needle(alias: str) -> str:
+    """The alias as a pattern of folded text, without what must stand around it."""
+    parts = [re.escape(p) for p in _GAP.split(folded(alias)) if p]
+    return r"[\s-]+".join(parts) + ("s?" if alias.isdigit() else "")
+
+
 def _run(atom: str) -> bool:
     return atom[0] in "abcdefghijklmnopqrstuvwxyz0123456789"
 

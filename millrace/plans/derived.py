@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import engagement as en
+
 NOW_DAY = "2024-01-30"
 NOW_MS = 1_706_659_199_000  # 2024-01-30T23:59:59Z
 #: Interests that the platform knows; a parameter of the jobs.
@@ -52,15 +54,13 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id, dim_kind, dim_value), from part."""
-    p = read(spark, sf_dir, "part")
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
     known = F.array(*[F.lit(x) for x in INTERESTS])
-    interest = lambda k: F.element_at(known, (F.col("p_partkey") * k % len(INTERESTS) + 1).cast("int"))
-    rows = p.select(F.col("p_partkey").alias("article_id"), F.explode(F.array(
-        F.struct(F.lit("interest").alias("k"), interest(3).alias("v")), F.struct(F.lit("interest").alias("k"), interest(7).alias("v")),
-        F.struct(F.lit("marque").alias("k"), F.col("p_brand").alias("v")), F.struct(F.lit("category").alias("k"), F.col("p_type").alias("v")),
-        F.struct(F.lit("publisher").alias("k"), F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("v")),
-    )).alias("d"))
-    return rows.select("article_id", F.col("d.k").alias("dim_kind"), F.col("d.v").alias("dim_value")).distinct()
+    interest = lambda n: F.element_at(known, (k * n % len(INTERESTS) + 1).cast("int"))
+    return en.article_dims(
+        p.select(k.alias("id"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("publication")), p.select(k.alias("article_id"), F.explode(F.array(interest(3), interest(7))).alias("interest")),
+        p.select(k.alias("article_id"), F.lit("make").alias("kind"), F.col("p_brand").alias("make"), F.col("p_brand").alias("name")), p.select(k.alias("article_id"), F.col("p_type").alias("primary_slug")), INTERESTS,
+    )
 
 
 _KNOWN = ", ".join(f"'{x}'" for x in INTERESTS)
