@@ -18,14 +18,14 @@ def js_round(c: Column) -> Column:
 
 
 def _numeric(c: Column, digits: str, base: int) -> Column:
-    """Numeric references of one base decoded. The text is split at them, so that each part can start with one."""
+    """Numeric references of one base decoded. The text is split at them, so that each part can start with one. c stands in the expression once."""
     parts = F.split(F.regexp_replace(c, digits, "\u0001$1\u0002"), "\u0001")
     code = lambda p: F.conv(F.regexp_extract(p, "^([^\u0002]+)\u0002", 1), base, 10).cast("int")
     # an int as four bytes, big-endian, is the character in UTF-32; what is no character becomes U+FFFD
     known = lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n).otherwise(0xFFFD)
     char = lambda p: F.decode(F.unhex(F.lpad(F.hex(known(code(p))), 8, "0")), "UTF-32")
     decoded = F.transform(parts, lambda p: F.when(p.rlike("^[^\u0002]+\u0002"), F.concat(char(p), F.regexp_replace(p, "^[^\u0002]+\u0002", ""))).otherwise(p))
-    return F.when(c.rlike(digits), F.array_join(decoded, "")).otherwise(c)
+    return F.array_join(decoded, "")
 
 
 def decode_entities(c: Column) -> Column:

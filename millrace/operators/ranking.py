@@ -89,6 +89,7 @@ def article_side(articles: DataFrame, now_ms: int, variant_aliases: dict[str, st
         "_around": norms(F.concat(F.coalesce("interests", F.array()), F.coalesce("categories", F.array()), F.coalesce("scenes", F.array()))),
         "_places": F.when(F.coalesce(outing, F.lit(False)), norms(F.concat(F.coalesce("locations", F.array()), F.coalesce("geography", F.array())))).otherwise(F.array().cast("array<string>")),
         "_hits": F.transform(F.coalesce(c("entity_hits"), none), hit), "_fresh": F.coalesce(recency_bonus(c("published_at"), now_ms, w), F.lit(0.0)),
+        "_long": F.length(F.coalesce(c("excerpt"), F.lit(""))) >= 180,
     })
 
 
@@ -118,10 +119,11 @@ def score_personal(articles: DataFrame, profiles: DataFrame, now_ms: int, cultur
 
     Adds signals (kind, points, detail), points by bucket, score, vehicle_tier. All other pairs have the score of
     score_unmatched(). Both sides are joined by what they share, each pair at the first token it shares; so nothing is
-    computed for pairs that the profile does not change. The best tier of the vehicles counts, of equals the first
-    vehicle; its points shrink if the article only mentions it.
+    computed for pairs that the profile does not change. Articles are dealt anew before that, as each becomes many rows. The
+    best tier of the vehicles counts, of equals the first vehicle; its points shrink if the article only mentions it.
     """
-    left = article_side(articles, now_ms, variant_aliases, w).withColumn("_tokens", article_tokens()).withColumn("_token", F.explode("_tokens"))
+    tasks = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = article_side(articles, now_ms, variant_aliases, w).withColumn("_tokens", article_tokens()).repartition(tasks, "id").withColumn("_token", F.explode("_tokens"))
     right = profile_side(profiles, culture, variant_aliases).withColumn("_asks", profile_tokens()).withColumn("_token", F.explode("_asks"))
     met = left.join(sized_broadcast(right), "_token").filter(F.element_at(F.array_intersect("_tokens", "_asks"), 1) == F.col("_token"))
     return _scored(met.drop("_token", "_tokens", "_asks"), w)
@@ -171,7 +173,7 @@ def _scored(rows: DataFrame, w: dict) -> DataFrame:
     pick = F.coalesce(c("desk_pick"), F.lit(False))
     points = {
         "vehicle_match": c("_points"), "_interest": F.when(F.size(matched) > 0, w["interest"]), "_secondary": F.when((F.size(secondary) > 0) & (F.size(matched) == 0), w["secondary"]),
-        "culture_match": F.when(F.size(scenes) > 0, w["culture"]), "_quality": F.when(F.lower(c("source_relevance")).startswith("excellent"), w["source"]), "_longform": F.when(F.length(F.coalesce(c("excerpt"), F.lit(""))) >= 180, w["longform"]),
+        "culture_match": F.when(F.size(scenes) > 0, w["culture"]), "_quality": F.when(F.lower(c("source_relevance")).startswith("excellent"), w["source"]), "_longform": F.when(c("_long"), w["longform"]),
         "location_match": F.when((c("_location") != "") & F.array_contains("_places", c("_location")), w["location"]), "freshness": F.when(c("published_at").isNotNull() & (c("_fresh") > 0), fresh),
         "_pick": F.when(pick, w["pick"]), "_pick_relevant": F.when(pick & (rank >= 2), w["pick_relevant"]), "generic": F.when((rank == 0) & (F.size(matched) == 0), w["generic"]),
     }
@@ -383,7 +385,6 @@ def unmatched_rows(base: DataFrame, pairs: DataFrame, profiles: DataFrame, key:
     base = base.withColumn("_group", F.when(own != "", F.concat(F.lit("g"), own)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))))
     grouped = numbered(base.filter(own != ""), ["_group"], list_order()).withColumnRenamed("position", "_in_group")
     whole = grouped.unionByName(base.filter(own == "").withColumn("_in_group", F.lit(1)))
-    whole = written(whole, "grouped")
     heads = whole.filter("_in_group = 1").withColumn("_class", F.explode(F.array(image, F.concat(F.lit("key:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))))
     heads = written(numbered(heads, ["_class"], list_order()).withColumnRenamed("position", "_place"), "heads")
     classes = heads.select("_class").distinct().withColumn("_quota", F.when(F.col("_class").startswith("image:"), limit + 1).otherwise(1))

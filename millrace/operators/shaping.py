@@ -105,14 +105,15 @@ def home_lanes(rows: DataFrame, key: str, reserved: DataFrame | None = None, car
     known = {"show_in_primary_feed": F.lit(True), "interest_rank": F.lit(0), "profile_make": F.lit("")}
     cut = cut.withColumns({name: value for name, value in known.items() if name not in rows.columns})
     kind = dict(rows.dtypes)
-    taken = cut.select(key, "id").limit(0) if reserved is None else reserved.select(key, "id").distinct()
+    nothing = rows.sparkSession.createDataFrame([], f"_key {kind[key]}, id {kind['id']}")
+    taken = nothing if reserved is None else reserved.select(F.col(key).alias("_key"), "id").distinct()
 
     def shape(of: tuple, group: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         listed = group.sort_values("position").to_dict("records") if len(group) else []  # a side without rows has no columns
         lanes = _lanes(listed, listed[0]["profile_make"], set(kept.id) if len(kept) else set(), cars, interests, discover) if listed else {}
         return pd.DataFrame([(of[0], lane, i + 1, r["id"]) for lane, picks in lanes.items() for i, r in enumerate(picks)], columns=[key, "lane", "slot", "id"])
 
-    return cut.groupBy(key).cogroup(taken.groupBy(key)).applyInPandas(shape, f"{key} {kind[key]}, lane string, slot int, id {kind['id']}")
+    return cut.groupBy(key).cogroup(taken.groupBy("_key")).applyInPandas(shape, f"{key} {kind[key]}, lane string, slot int, id {kind['id']}")
 
 
 #: Rules of the passes over an opening pool, relaxed one by one: of this week, of a new publication, not an opener of last week, no stale pick.
