@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import images as im
-from millrace.operators import classify as cl
 from millrace.operators import features as fe
 from millrace.operators import fitment as fi
 from millrace.operators import gazetteer as gz

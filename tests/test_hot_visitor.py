@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from millrace.operators import engagement as en
 from millrace.streaming import jobs
