@@ -435,6 +435,65 @@ def test_html_layout_wrappers_stay(spark):
     assert hx.main_text(page, {}) == f"A headline\n\n{text}"
 
 
+def test_html_articles_bound_the_text():
+    text = " ".join(f"word{i}" for i in range(60))
+    own = lambda page: hx.main_text(page, {}).split("\n\n")
+    assert own(f"<form id=f><article><h1>Head</h1><p>{text}</p></article></form>") == ["Head", text]
+    assert own(f"<form><p>{text}</p></form>") == [text] and own("<form><label>Name</label><input></form>") == [""]
+    assert own(f"<article><header><h1>Its own</h1></header><p>{text}</p></article>") == ["Its own", text]
+    assert own(f"<header><h1>The site</h1></header><article><p>{text}</p></article>") == [text]
+    inner = '<div class="story-header"><h2>Head</h2><p>Standfirst</p></div><p class="share-price">up 3</p><div class="share-buttons">Share</div>'
+    assert own(f"<article>{inner}<p>{text}</p></article>") == ["Head", "Standfirst", "up 3", text]
+    cells = [str(i) for i in range(12)]
+    table = "<table>" + "".join(f"<tr><td>{c}</td></tr>" for c in cells) + "</table>"
+    after = f'<div>Imprint and terms of use</div><div class="x7ab">{text[:120]}</div><div class="discussion"><p>{text[:100]}</p></div>'
+    assert own(f"<article><p>{text}</p>{table}</article>{after}") == [text, *cells]
+    assert own(f"<main><h1>Head</h1><article><p>{text}</p></article><div>{text[:120]}</div></main>") == ["Head", text]
+    assert own(f"<main><p>{text}</p><article>card</article><p>{text}</p></main><div>{text[:120]}</div>") == [text, "card", text]
+    assert own(f'<article><p>{text}</p><article class="comment"><p>{text}</p></article></article>') == [text]
+    assert own(f"<div><p>{text}</p></div><div><article>card of two</article></div>")[0] == text  # too small to bound the text
+
+
+def test_html_names_are_learned_from_labelled_pages(spark):
+    text, side = " ".join(f"word{i}" for i in range(60)), " ".join(f"side{i}" for i in range(30))
+    rows = [f'<article class="story"><p class="lead">{text}</p></article><div class="zone-q">{side}</div>'] * hx.NAME_PAGES
+    rows += [f'<div class="story"><p class="lead">{text}</p><div class="zone-q">{side}</div></div>', f'<div class="zone-q"><p>{text}</p></div>']
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, html string").repartition(5)
+    weights = hx.tag_weights(pages)
+    assert [k for k in weights if k[0] == "."] == [".zone-q"]
+    got = {r.page_id: r.text for r in hx.extract(pages).collect()}
+    assert set(got.values()) == {text}  # a part that holds most of a page is its layout
+    few = pages.filter(F.col("page_id") > 0)
+    assert not [k for k in hx.tag_weights(few) if k[0] == "."] and side in {r.page_id: r.text for r in hx.extract(few).collect()}[hx.NAME_PAGES]
+
+
+def test_html_pages_built_from_known_parts(spark):
+    """Random pages of parts whose main text is known from how they were built; very long ones too."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 99, n))
+    kept = [
+        lambda t: (f"<p>{t}", [t]), lambda t: (f"<h2 id=x>{t}</h2>", [t]), lambda t: (f"<ul><li>{t}<li>{t}</ul>", [t, t]), lambda t: (f"<table><tr><td>{t}<td>a</table>", [t, "a"]),
+        lambda t: (f"<blockquote>&ldquo;{t}&rdquo;</blockquote>", ["\u201c" + t + "\u201d"]), lambda t: (f"<div class=body-text><b>{t}</b> <i>x</i><br>y</div>", [t + " x y"]), lambda t: (f"<p>\n  {t}&nbsp;\t1 &lt; 2</p>", [t + " 1 < 2"]),
+    ]
+    lost = ["<nav><a>{}</a></nav>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<form>{}</form>", "<div id=comments><p>{}</div>", "<script>{}</script>", "<footer>{}</footer>", "<!-- {} -->", "<div class='cookie-notice'>{}</div>"]
+    pages, want = [], []
+    for i in range(80):
+        inner, texts = f"<h1>{words(4)}</h1>", []
+        texts.append(inner[4:-5])
+        for _ in range(rng.integers(1, 12) if i else 20_000):
+            part, found = kept[rng.integers(len(kept))](words(rng.integers(1, 9)))
+            inner, texts = inner + part, texts + found
+            if i and rng.random() < 0.3:
+                inner += lost[rng.integers(len(lost))].format(words(3))
+        around = lambda: "".join(lost[k].format(words(5)) for k in rng.integers(0, len(lost), 3))
+        box = "article" if rng.random() < 0.7 else "main"
+        pages.append(f"<!doctype html><html><head><title>{words(3)}</title></head><body>{around()}<{box}>{inner}</{box}>{around()}<div>{words(6)}</div></body></html>")
+        want.append("\n\n".join(texts))
+    rows = [(i, h) for i, h in enumerate(pages)] + [(1, pages[1])]
+    found = hx.extract(spark.createDataFrame(rows, "page_id long, html string").repartition(4)).collect()
+    assert len(found) == len(rows) and all(r.text == want[r.page_id] for r in found)
+
+
 def test_html_malformed_pages():
     assert hx.main_text('Hello <a title="x>link</a> and <b>more', {}) == "Hello link and more"
     assert hx.main_text("<p a'b=c\">quotes \"in\" names</p>", {}) == 'quotes "in" names'
