@@ -73,16 +73,49 @@ def explicit_cohort(profile: Column) -> Column:
     return F.coalesce(F.try_element_at(profile["makes"], F.lit(1)), F.try_element_at(profile["interests"], F.lit(1)))
 
 
-def explain_line(signals: Column, tier: Column) -> Column:
-    """(reason, confidence): one line for why a story is shown, by its tier, then its interests, its place, its source."""
-    has = lambda head: F.exists(signals, lambda s: s["kind"].startswith(head))
-    detail = lambda head: F.try_element_at(F.transform(F.filter(signals, lambda s: s["kind"].startswith(head)), lambda s: s["detail"]), F.lit(1))
-    reason = (
-        F.when(tier.isin("variant", "vehicle", "model"), "Because of the car you drive").when(tier.isin("generation", "make"), "For owners of the marque")
-        .when(has("interest"), F.concat(F.lit("Because you follow "), detail("interest"))).when(has("location"), F.lit("Near you")).when(tier == "category", "In the world of your car").when(has("editorial"), "Well sourced").otherwise(F.lit(None))
+def relevance_confidence(signals: Column, tier: Column, score: Column) -> Column:
+    """How sure it is that a story is of interest: by the vehicle's tier, then interests, then what is known of the story."""
+    has = lambda kind: F.exists(signals, lambda s: s["kind"] == kind)
+    editorial = F.exists(signals, lambda s: s["kind"].startswith("editorial"))
+    return F.when(tier.isin("variant", "vehicle"), "high").when(tier.isin("model", "generation") | has("interest"), "medium").when((tier == "make") | has("culture") | (score > 0) & editorial, "low").otherwise("none")
+
+
+def vehicle_label(vehicle: Column) -> Column:
+    """make, model, generation and variant, as far as they are known; null if none is."""
+    parts = F.filter(F.array(*[F.trim(vehicle[n]) for n in ("make", "model", "generation", "variant")]), lambda x: x != "")
+    return F.nullif(F.array_join(parts, " "), F.lit(""))
+
+
+def explain_line(signals: Column, tier: Column, lane: Column, vehicles: Column, why: Column | None = None) -> Column:
+    """One line for why a story is shown in a lane, or null. Lines that the ranking gave (why) go before new ones.
+
+    signals: (kind, detail) in order; tier: of the vehicle; vehicles: (make, model, generation, variant), the first with
+    a name and the first make count. A vehicle's signal decides alone, even where there is no line for it; so do
+    interests, in the lanes vehicle, interests and discover. Then come culture (discover), the place, and (discover)
+    the story's own quality.
+    """
+    why = F.array().cast("array<string>") if why is None else why
+    said = lambda pattern: F.try_element_at(F.filter(why, lambda w: F.lower(w).rlike(pattern)), F.lit(1))
+    first = lambda which: F.try_element_at(F.filter(signals, which), F.lit(1))
+    of_kind = lambda kind: first(lambda s: s["kind"] == kind)
+    labels = F.filter(F.transform(vehicles, vehicle_label), lambda x: x.isNotNull())
+    car = F.try_element_at(labels, F.lit(1))
+    make = F.nullif(F.trim(F.try_element_at(vehicles, F.lit(1))["make"]), F.lit(""))
+    line = lambda pattern, needed, *parts: F.when(needed.isNotNull(), F.coalesce(said(pattern), F.concat(*parts)))
+    vehicle, interest, culture, place = first(lambda s: s["kind"].startswith("vehicle.")), of_kind("interest"), of_kind("culture"), of_kind("location")
+    discover, detail = lane == "discover", F.nullif(interest["detail"], F.lit(""))
+    mentioned = F.lower(F.substring_index(vehicle["detail"], " ", 1)) == "mentioned"
+    about_car = (
+        F.when(mentioned, line("mentions your", car, F.lit("Mentions your "), car)).when(tier == "category", line("in the world of your", car, F.lit("In the world of your "), car))
+        .when(tier == "make", line("relevant to", make, F.lit("Relevant to "), make, F.lit(" owners"))).otherwise(line("because you drive", car, F.lit("Because you drive a "), car))
+    )
+    about_interest = F.coalesce(said("because you (follow|like)"), F.concat(F.when(detail.contains(" + "), "Because you like ").otherwise("Because you follow "), detail))
+    about_place = F.when((place["detail"] != "") & (place["detail"] != "location"), F.coalesce(said("because it's in"), F.concat(F.lit("Because it's in "), place["detail"]))).otherwise("Near you")
+    return (
+        F.when(vehicle.isNotNull() & (F.coalesce(tier, F.lit("none")) != "none"), about_car).when(interest.isNotNull() & lane.isin("vehicle", "interests", "discover"), about_interest)
+        .when(discover & (culture["detail"] != ""), F.concat(F.lit("From the world of "), culture["detail"])).when(place.isNotNull(), about_place)
+        .when(discover & of_kind("editorial.quality").isNotNull(), "Worth a look")
     )
-    confidence = F.when(tier.isin("variant", "vehicle", "model"), "high").when(tier.isin("generation", "make") | has("interest"), "medium").when((tier == "category") | has("location") | has("editorial"), "low").otherwise("none")
-    return F.struct(reason.alias("reason"), confidence.alias("confidence"))
 
 
 def is_this_week(rows: DataFrame, now_ms: int, days: int = 7, near_ms: int = DAY_MS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES: list[str] = ["engagement_queries", "content_queries", "ranking_queries", "parts_queries", "stream_queries", "library_queries", "table_queries"]
+MODULES: list[str] = ["engagement_queries", "content_queries", "ranking_queries", "parts_queries", "stream_queries", "library_queries", "table_queries", "supplier_queries"]
 FLAGSHIP = "engagement_open_rate_rank"
 
 
