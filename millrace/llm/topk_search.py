@@ -8,23 +8,29 @@ downward, rows that tie at the boundary are resolved by their ids, and the score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from math import floor
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import sized_broadcast, table, written
 
-#: Rows of a block of the index, and queries that meet a block in one task: about as many bytes, so that neither side is copied much.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 2_048
+#: Rows of a block of the index and of a block of queries, and the bytes of components beyond which a block has fewer.
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 16_384, 2_048, 16 << 20
+#: Bytes of the index that a task holds while all queries pass by. Queries are copied once for each such strip.
+STRIP_BYTES = 64 << 20
 #: Components of at most so many bits are indexed; vectors with larger ones are scored one by one, as integers of any size.
 MOST_BITS = 24
 #: Scores beyond 64 bits are given as the nearest 64-bit integer; ranks follow the true ones.
 LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
+FOUND = pa.schema([("query_wide", pa.bool_()), *[(n, pa.int64()) for n in ("query_block", "place", "query_id", "vec_id", "score")], ("key", pa.binary())])
 BLOCK = "dim long, wide boolean, block long, ids binary, low long, bits long, body binary"
 
 
@@ -43,13 +49,13 @@ def quantised(values: np.ndarray, scale: int) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, rows: int, scale: int, sliced: bool) -> DataFrame:
-    """usable() vectors of one length in blocks of about so many rows: ids, and the bitmaps or else the components.
+    """usable() vectors of one length in blocks of about so many rows, fewer if they are long: ids, and the bitmaps or else the components.
 
     Vectors with very large components have blocks of their own (wide), which are never sliced.
     """
     wide = F.exists("v", lambda x: F.abs(x) * scale >= F.lit(float(1 << (MOST_BITS - 1))))
     counted = vectors.withColumns({"dim": F.size("v").cast("long"), "wide": wide})
-    sizes = counted.groupBy("dim", "wide").agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("n_blocks"))
+    sizes = counted.groupBy("dim", "wide").agg(F.greatest(F.ceil(F.count("*") / F.least(F.lit(float(rows)), F.greatest(BLOCK_BYTES / (8.0 * F.greatest("dim", F.lit(1))), F.lit(1.0)))), F.lit(1)).alias("n_blocks"))
     dealt = counted.join(sized_broadcast(sizes), ["dim", "wide"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("n_blocks")))
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +165,7 @@ def _sort_key(score: int) -> bytes:
     return b"\x01" + size.to_bytes(4, "big") + body if score >= 0 else b"\x00" + ((1 << 32) - 1 - size).to_bytes(4, "big") + bytes(255 - x for x in body)
 
 
-def _best_in_block(index: pd.Series, asked: pd.Series, k: int, scale: int) -> list[tuple]:
+def _best_in_block(index: NamedTuple, asked: NamedTuple, k: int, scale: int) -> list[tuple]:
     """(query place, query, candidate, score) of the k best of the block for each query."""
     ids, query_ids, dim = np.frombuffer(index.ids, np.int64), np.frombuffer(asked.ids, np.int64), int(index.dim)
     queries = quantised(np.frombuffer(asked.body, np.float64).reshape(len(query_ids), dim), scale)
@@ -182,7 +188,7 @@ def _best_in_block(index: pd.Series, asked: pd.Series, k: int, scale: int) -> li
     return out
 
 
-def _restored(index: pd.Series, rows: int, dim: int) -> np.ndarray:
+def _restored(index: NamedTuple, rows: int, dim: int) -> np.ndarray:
     """The integer components, from the bitmaps."""
     block = SlicedBlock(rows, dim, int(index.low), int(index.bits), np.frombuffer(index.body, np.uint64))
     values = np.full((dim, rows), block.low, np.int64)
@@ -198,27 +204,41 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     rows with a null vec_id, a null vector or null or non-finite components take no part. Repeated rows are candidates
     each; a query id of several rows is answered for each of them, with ranks of its own. Finite components of any size
     count exactly; a score beyond 64 bits is given as the nearest long. Queries with no candidate give no row, as an
-    empty table does. Blocks of queries meet blocks of the index: a task holds one of each, and gives k rows for each
-    of its queries.
+    empty table does. A task holds a strip of the index while blocks of queries pass by one at a time, and gives k rows
+    for each query.
     """
     index = written(blocks(usable(vectors, vector, vec_id), BLOCK_ROWS, scale, True), "index")
-    asked = written(blocks(usable(queries, vector, vec_id), QUERY_ROWS, scale, False), "queries").withColumnsRenamed({"wide": "query_wide", "block": "query_block"})
-    of_index = index.groupBy("dim", "wide").agg(F.max("block").alias("last"))
-    of_queries = asked.groupBy("dim", "query_wide").agg(F.max("query_block").alias("last"))
-    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias(name)
-    # new names for the columns of either side, which both have from both tables
-    dealt = asked.join(of_index, "dim").select(*asked.columns, "wide", every("block")).toDF(*asked.columns, "wide", "block")
-    index = index.join(of_queries, "dim").select(*index.columns, "query_wide", every("query_block")).toDF(*index.columns, "query_wide", "query_block")
-
-    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            rows = _best_in_block(left.iloc[0], right.iloc[0], k, scale)
-        found = [(key[2], key[4], place, q, i, min(MOST_LONG, max(LEAST_LONG, s)), _sort_key(s)) for place, q, i, s in rows]
-        return pd.DataFrame(found, columns=["query_wide", "query_block", "place", "query_id", "vec_id", "score", "key"])
-
-    keys = ["dim", "wide", "query_wide", "block", "query_block"]
-    found = index.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, "query_wide boolean, query_block long, place long, query_id long, vec_id long, score long, key binary")
+    asked = written(blocks(usable(queries, vector, vec_id), QUERY_ROWS, scale, False), "queries")
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    sizes = index.groupBy("dim", "wide").agg(F.max("block").alias("last"), F.max(F.length("body")).alias("most"))
+    per_strip = F.greatest(F.least(F.floor(F.lit(STRIP_BYTES) / F.greatest("most", F.lit(1))), F.ceil((F.col("last") + 1) / tasks)), F.lit(1))
+    sizes = written(sizes.withColumn("per_strip", per_strip), "strips")
+    body = ["block", "ids", "low", "bits", "body"]
+    held = index.join(sized_broadcast(sizes.select("dim", "wide", "per_strip")), ["dim", "wide"]).select("dim", "wide", F.floor(F.col("block") / F.col("per_strip")).alias("strip"), F.lit(False).alias("query_wide"), F.lit(-1).cast("long").alias("query_block"), *body)
+    strips = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("per_strip")))).alias("strip")
+    of_queries = asked.withColumnsRenamed({"wide": "query_wide", "block": "query_block"}).join(sized_broadcast(sizes), "dim")
+    passing = of_queries.select("dim", "wide", strips, "query_wide", "query_block", F.lit(-1).cast("long").alias("block"), "ids", "low", "bits", "body")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, strip = None, []
+        for batch in batches:
+            for j in range(batch.num_rows):
+                row = next(batch.slice(j, 1).to_pandas().itertuples(index=False))
+                if at != (row.dim, row.wide, row.strip):
+                    at, strip = (row.dim, row.wide, row.strip), []
+                if row.query_block < 0:
+                    strip.append(row)
+                    continue
+                best: dict[int, list[tuple]] = {}
+                for block in strip:
+                    for place, q, i, s in _best_in_block(block, row, k, scale):
+                        best.setdefault(place, []).append((-s, i, q))
+                rows = [(row.query_wide, row.query_block, place, q, i, min(MOST_LONG, max(LEAST_LONG, -s)), _sort_key(-s)) for place, found in best.items() for s, i, q in sorted(found)[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(FOUND.types)], schema=FOUND)
+
+    # a strip comes before the queries that pass it
+    dealt = held.unionByName(passing).repartition("dim", "wide", "strip").sortWithinPartitions("dim", "wide", "strip", "query_block", "block")
+    found = dealt.mapInArrow(meet, "query_wide boolean, query_block long, place long, query_id long, vec_id long, score long, key binary")
     order = Window.partitionBy("query_id", "query_wide", "query_block", "place").orderBy(F.desc("key"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -282,6 +282,25 @@ def test_topk_against_brute_force(spark):
     assert ts.search(df.filter("false"), df.filter("false")).count() == 0
 
 
+def test_topk_strips_of_any_size_give_the_same(spark, monkeypatch):
+    """Small blocks, one or many of them in a strip; columns with the operator's own names; very long vectors."""
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.integers(-9, 9, 6) / 16) for i in range(300)] + [(1000 + i, rng.integers(-9, 9, 20_000) / 16) for i in range(12)]
+    rows = [(i, v.tolist(), 1, "x", True) for i, v in vectors]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block long, strip string, wide boolean").repartition(3)
+    want = set()
+    for q, v in vectors[::10]:
+        scores = sorted((-int(np.floor(256 * v).astype(np.int64) @ np.floor(256 * w).astype(np.int64)), i) for i, w in vectors if i != q and len(w) == len(v))
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
+    asked = df.filter(F.col("vec_id").isin([q for q, _ in vectors[::10]]))
+    monkeypatch.setattr(ts, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ts, "QUERY_ROWS", 4)
+    for block, strip in ((600, 1), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(ts, "BLOCK_BYTES", block)
+        monkeypatch.setattr(ts, "STRIP_BYTES", strip)
+        assert {tuple(r) for r in ts.search(df, asked).select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
 # -- 7 to 10 ------------------------------------------------------------------------------------------------------------
 def test_language_id_learns_and_rejects(spark):
     en = "the and with from this river house garden people water morning evening".split()
