@@ -321,6 +321,21 @@ def test_language_id_learns_and_rejects(spark):
     assert {r.lang_pred for r in li.identify(df, empty).collect()} == {"und"} and li.identify(df.filter("false"), empty).count() == 0
 
 
+def test_temperature_undoes_overconfidence():
+    rng = np.random.default_rng(12)
+    logits = rng.normal(0, 2, (20_000, 4))
+    chance = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    labels = (chance.cumsum(1) > rng.random((len(chance), 1))).argmax(1)
+    loss = lambda z, t: np.mean([np.log(np.exp(row / t - max(row / t)).sum()) + max(row / t) - row[y] / t for row, y in zip(z, labels, strict=True)])
+    for scale in (0.25, 1.0, 4.0):
+        found = li.temperature_for(logits * scale, labels)
+        assert abs(found / scale - 1) < 0.1
+        assert loss(logits * scale, found) <= min(loss(logits * scale, found * f) for f in (0.8, 1.25))
+    assert li.temperature_for(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
+    assert li.temperature_for(np.array([[2.0, 0.0]] * 5), np.zeros(5, int)) == 2.0**-5  # never wrong: as sure as can be
+    assert li.temperature_for(np.array([[2.0, 0.0]] * 5), np.ones(5, int)) == 2.0**5  # never right
+
+
 def greedy(item, text, least):
     """Greedy string tiling, word by word."""
     mi, mt, total = set(), set(), 0
