@@ -86,7 +86,7 @@ def keep_best(spark, sf_dir):
 def merge_articles(spark, sf_dir):
     a = articles(spark, sf_dir).withColumns({"canonical_url": ur.canonicalize_url(F.col("url")), "image_url": F.when(F.col("id") % 3 == 0, "https://img.example.com/a.jpg").when(F.col("id") % 3 == 1, "/logo/x.png")})
     old = a.filter("id % 2 = 0").withColumn("n", F.row_number().over(ing.Window.partitionBy("canonical_url").orderBy("id"))).filter("n = 1").withColumns({"first_seen": F.lit(1).cast("long"), "last_seen": F.lit(1).cast("long")}).select("canonical_url", "title", "url", "image_url", "first_seen", "last_seen")
-    return ing.merge_articles(old, a.filter("id % 2 = 1"), 99)
+    return ing.merge_articles(old, a.filter("id % 2 = 1"), 99, ["id"])
 
 
 def _runs(spark, sf_dir):

@@ -113,3 +113,13 @@ def test_diversify_against_a_list_at_a_time(spark):
             if other is not None:
                 ids.insert(4, ids.pop(other))
         assert [r.id for r in found.filter(F.col("list_key") == k).orderBy("position").collect()] == ids
+
+
+def test_merged_articles_leave_no_tie_open(spark):
+    kinds = "canonical_url string, title string, url string, image_url string, id long"
+    new = [("u1", "t", "u1", f"https://x/{n}.jpg", 100 - n) for n in range(50)] + [("u2", None, "u2", "a", 1), ("u2", "z", "u2", "b", 2), (None, "n", None, "c", 3)]
+    old = spark.createDataFrame([("u2", None, None, None, None, 5)], "canonical_url string, title string, url string, image_url string, first_seen long, last_seen long")
+    for parts in (1, 7):
+        rows = {r.canonical_url: r for r in ing.merge_articles(old, spark.createDataFrame(new, kinds).repartition(parts, "id"), 9, ["id"]).collect()}
+        assert rows["u1"].image_url == "https://x/49.jpg" and (rows["u2"].title, rows["u2"].image_url, rows["u2"].first_seen, rows["u2"].last_seen) == ("z", "b", None, 9)
+        assert (rows[None].title, rows[None].last_seen) == ("n", 9) and len(rows) == 3
