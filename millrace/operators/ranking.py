@@ -129,10 +129,21 @@ def score_personal(articles: DataFrame, profiles: DataFrame, now_ms: int, cultur
     return _scored(met.drop("_token", "_tokens", "_asks"), w)
 
 
-def score_unmatched(articles: DataFrame, now_ms: int, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS) -> DataFrame:
-    """As score_personal(), for any profile that shares nothing with the article: a row an article, without list_key."""
+def score_unmatched(articles: DataFrame, now_ms: int, variant_aliases: dict[str, str] | None = None, w: dict = WEIGHTS, tokens: bool = False) -> DataFrame:
+    """As score_personal(), for any profile that shares nothing with the article: a row an article, without list_key. tokens: with article_tokens(), for for_others()."""
     nobody = {"_vehicles": F.expr("cast(array() as array<struct<first:int,make:string,model:string,generation:string,variant:string,tags:array<string>>>)"), "_mine": F.array().cast("array<string>"), "_location": F.lit("")}
-    return _scored(article_side(articles, now_ms, variant_aliases, w).withColumns(nobody), w)
+    rows = article_side(articles, now_ms, variant_aliases, w).withColumns(nobody)
+    return _scored(rows.withColumn("tokens", article_tokens()) if tokens else rows, w)
+
+
+def for_others(rows: DataFrame, profiles: DataFrame, culture: dict[str, list[str]] | None = None, variant_aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rows of score_unmatched() with tokens, once for each profile (list_key) that shares none of them: with score_personal(), all pairs.
+
+    What is added to the rows before is worked out once an article. All pairs are quadratic by nature; no task holds more
+    than the profiles, if they are few, or else a part of either side.
+    """
+    asks = profile_side(profiles, culture, variant_aliases).select("list_key", profile_tokens().alias("_asks"))
+    return rows.join(sized_broadcast(asks), ~F.arrays_overlap("tokens", "_asks")).drop("tokens", "_asks")
 
 
 def _scored(rows: DataFrame, w: dict) -> DataFrame:

@@ -52,11 +52,13 @@ CULTURE = {"Lotus": ["Tuning", "Rally"]}
 
 
 def personal_scores(spark, sf_dir):
-    """Pairs that share something, and each article's score for all other profiles (list_key '')."""
+    """Every article's score for every profile, and for one that shares nothing with any (list_key '')."""
     f, p = features(spark, sf_dir), profiles(spark, sf_dir)
+    p = p.unionByName(spark.createDataFrame([("", [], [], None)], p.schema))
     columns = ["list_key", "id", "score", "vehicle_tier", "platform_relevance", "user_relevance", "quality_band", "rank_score"]
-    judged = lambda rows: rk.with_band(rk.with_relevance(rows)).select(*columns)
-    return judged(rk.score_personal(f, p, NOW, CULTURE)).unionByName(judged(rk.score_unmatched(f, NOW).withColumn("list_key", F.lit(""))))
+    judged = lambda rows, *more: rk.with_band(rk.with_relevance(rows)).select(*more, *columns[1:])
+    rest = rk.for_others(judged(rk.score_unmatched(f, NOW, tokens=True), "tokens"), p, CULTURE)
+    return judged(rk.score_personal(f, p, NOW, CULTURE), "list_key").unionByName(rest)
 
 
 def ranked_lists(spark, sf_dir):
@@ -160,7 +162,6 @@ _PERSONAL = f"""a0 AS (SELECT id, published_at, length(coalesce(excerpt, '')) >=
     v0 AS (SELECT a0.*, n_nationkey AS k, j, has AND id % 5 = (n_nationkey + j) % 5 AS hm, id % 4 = 0 AND id % 7 = (n_nationkey + j) % 7 AS ho, n_nationkey % 2 = 0 AND id % 8 = 0 AS hg, n_nationkey % 3 = 0 AND id % 16 = 0 AS hv,
         (n_nationkey + j) % 5 = 3 AND (n_nationkey % 4 <> 0 AND (id % 2 = 0 AND topic = 0 OR id % 5 = 0) OR n_nationkey % 4 <> 2 AND id % 2 = 0 AND topic = 2) AS bridge FROM a0, (SELECT n_nationkey FROM nation UNION ALL SELECT NULL), (VALUES (0), (2)) AS t(j)),
     v1 AS (SELECT *, CASE WHEN hm AND ho AND hv THEN 6 WHEN hm AND ho AND hg THEN 5 WHEN hm AND ho THEN 4 WHEN hg AND (hm OR ho) THEN 3 WHEN hm THEN 2 WHEN bridge THEN 1 ELSE 0 END AS r FROM v0),
-    sh AS (SELECT DISTINCT id, k FROM v0 WHERE hm OR hg OR (k + j) % 5 = 3 AND (id % 2 = 0 AND topic IN (0, 2) OR id % 5 = 0) OR id % 2 = 0 AND topic = k % 4 OR cat = 2 AND k % 4 = 1 OR id % 5 = 0 AND k % 4 = 0 OR k % 2 = 1 AND id % 6 = 0 AND (id % 10 = 0 OR cat = 0)),
     v2 AS (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY r DESC, j) = 1),
     v3 AS (SELECT *, coalesce(id % 2 = 0 AND topic = k % 4, false) AS hit, CAST(floor(([0, 16, 48, 72, 95, 110, 130])[r + 1] * CASE WHEN r IN (2, 4) AND id % 7 = 1 THEN 0.32 WHEN r IN (2, 4) AND id % 7 = 2 THEN 0.72 ELSE 1.0 END + 0.5) AS BIGINT) AS vehicle FROM v2),
     v4 AS (SELECT *, CASE WHEN hit THEN 20 WHEN k % 4 = 1 AND cat = 2 THEN 9 ELSE 0 END AS interest, CASE WHEN id % 5 = 0 AND k % 4 = 0 THEN 8 ELSE 0 END AS culture, CASE WHEN id % 3 = 0 THEN 12 ELSE 0 END + CASE WHEN long THEN 8 ELSE 0 END AS editorial,
@@ -186,8 +187,7 @@ ORACLE_SQL = {
         p AS (SELECT visitor_key, coalesce(flatten(list(t) FILTER (mi)), []) AS pi, coalesce(flatten(list(t) FILTER (ml)), []) AS pl, coalesce(flatten(list(t) FILTER (ms)), []) AS ps FROM j GROUP BY 1),
         d AS (SELECT j.*, CASE WHEN NOT act THEN 0 ELSE CASE WHEN mi THEN 48 WHEN ml THEN -56 ELSE CASE WHEN list_has_any(t, pi) THEN 14 ELSE 0 END + CASE WHEN list_has_any(t, pl) THEN -20 ELSE 0 END END + CASE WHEN ms THEN 18 WHEN NOT mi AND NOT ml AND list_has_any(t, ps) THEN 8 ELSE 0 END + CASE WHEN mr AND NOT mi AND NOT ml THEN 6 ELSE 0 END END AS delta FROM j JOIN p USING (visitor_key))
         SELECT visitor_key, id, delta, CAST(score + delta AS BIGINT) AS rank_score, CAST(row_number() OVER (PARTITION BY visitor_key ORDER BY CASE WHEN act THEN 0 END, score + delta DESC, id) AS INTEGER) AS position FROM d"""),
-    "rank_personal_scores": with_sql(["articles"], f"""WITH {_PERSONAL} SELECT b3.list_key, b3.id, score, vehicle_tier, platform_relevance, user_relevance, quality_band, rank_score FROM b3
-        WHERE list_key = '' OR EXISTS (SELECT 1 FROM sh WHERE sh.id = b3.id AND list_key = 'p' || k)"""),
+    "rank_personal_scores": with_sql(["articles"], f"WITH {_PERSONAL} SELECT list_key, id, score, vehicle_tier, platform_relevance, user_relevance, quality_band, rank_score FROM b3"),
     "rank_personal_lists": with_sql(["articles"], f"""WITH {_PERSONAL}, l1 AS (SELECT *, row_number() OVER (PARTITION BY list_key ORDER BY CASE quality_band WHEN 'featured' THEN 3 WHEN 'eligible' THEN 2 ELSE 1 END DESC, rank_score DESC, published_at DESC, id) AS o FROM b3 WHERE quality_band <> 'excluded' AND list_key <> ''),
         l2 AS (SELECT * FROM l1 QUALIFY grp IS NULL OR row_number() OVER (PARTITION BY list_key, grp ORDER BY o) = 1), l3 AS (SELECT *, row_number() OVER (PARTITION BY list_key ORDER BY o) AS p FROM l2),
         l4 AS (SELECT *, count(*) OVER w AS n, max(CASE WHEN p = 1 THEN section END) OVER w AS s1, bool_and(p > 5 OR section = (SELECT x.section FROM l3 x WHERE x.list_key = l3.list_key AND x.p = 1)) OVER w AS same FROM l3 WINDOW w AS (PARTITION BY list_key)),

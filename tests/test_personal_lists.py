@@ -5,6 +5,7 @@ import random
 import pytest
 
 from millrace.operators import ranking as rk
+from millrace.plans import derived, ranking_queries
 
 NOW = 1_700_000_000_000
 ARTICLE = "id long, makes array<string>, models array<string>, generations array<string>, variants array<string>, interests array<string>, categories array<string>, scenes array<string>, locations array<string>, geography array<string>, content_types array<string>, primary_category string, source_relevance string, desk_pick boolean, excerpt string, published_at long, image_url string, duplicate_group_id string, entity_hits array<struct<kind:string,name:string,make:string,model:string,relevance:string>>"
@@ -50,3 +51,10 @@ def test_no_nested_loop_and_no_articles(spark):
     articles, profiles = tables(spark, random.Random(4), 20, 3, 0.5)
     assert "NestedLoop" not in rk.score_personal(articles, profiles, NOW)._jdf.queryExecution().toString()
     assert rk.personal_lists(articles.filter("false"), profiles, NOW).count() == 0 == rk.personal_lists(articles, profiles.filter("false"), NOW).count()
+
+
+def test_scores_of_every_article_for_every_profile(spark):
+    sf = "/root/testdata/sf0.001"
+    found = ranking_queries.personal_scores(spark, sf).select("list_key", "id").distinct()
+    n = derived.articles(spark, sf).select("id").distinct().count()
+    assert {r[0]: r[1] for r in found.groupBy("list_key").count().collect()} == {k: n for k in ["", *(f"p{i}" for i in range(25))]}
