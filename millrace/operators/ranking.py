@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import js_round
 from millrace.operators.ingest import with_gate
-from millrace.storage import sized_broadcast, written
+from millrace.storage import shuffled, sized_broadcast, written
 
 #: Points of each signal and thresholds of each band.
 WEIGHTS = {
@@ -403,15 +403,15 @@ def unmatched_rows(base: DataFrame, pairs: DataFrame, profiles: DataFrame, key:
     matched_group = F.coalesce(F.col("duplicate_group_id"), F.lit(""))
     touched = pairs.withColumn("_group", F.when(matched_group != "", F.concat(F.lit("g"), matched_group)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))).groupBy("list_key", "_group").agg(F.count("*").alias("_matched"))
     touched = written(touched, "touched")
-    bad = touched.join(heads.select("_group", "_class", "_place"), "_group").withColumn("_i", F.row_number().over(Window.partitionBy("list_key", "_class").orderBy("_place")))
+    bad = touched.join(shuffled(heads.select("_group", "_class", "_place")), "_group").withColumn("_i", F.row_number().over(Window.partitionBy("list_key", "_class").orderBy("_place")))
     bad = bad.join(sized_broadcast(classes), "_class").filter(F.col("_place") - F.col("_i") < F.col("_quota")).groupBy("list_key", "_class").agg(F.count("*").alias("_skipped"))
-    wanted = profiles.join(sized_broadcast(classes)).join(bad, ["list_key", "_class"], "left").withColumn("_last", F.col("_quota") + F.coalesce("_skipped", F.lit(0)))
+    wanted = profiles.join(sized_broadcast(classes)).join(shuffled(bad), ["list_key", "_class"], "left").withColumn("_last", F.col("_quota") + F.coalesce("_skipped", F.lit(0)))
     steps = wanted.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / STEP)))).select("list_key", "_class", "_last", "_step")
-    near = heads.withColumn("_step", F.floor(F.col("_place") / STEP)).join(steps, ["_class", "_step"]).filter(F.col("_place") <= F.col("_last"))
-    others = touched.join(whole, "_group").filter(F.col("_in_group") <= F.col("_matched") + 1)
+    near = heads.withColumn("_step", F.floor(F.col("_place") / STEP)).join(shuffled(steps), ["_class", "_step"]).filter(F.col("_place") <= F.col("_last"))
+    others = touched.join(shuffled(whole), "_group").filter(F.col("_in_group") <= F.col("_matched") + 1)
     columns = ["list_key", *[c for c in base.columns if not c.startswith("_")]]
     found = near.select(*columns).unionByName(others.select(*columns)).dropDuplicates(["list_key", "id"])
-    return found.join(pairs.select("list_key", "id"), ["list_key", "id"], "left_anti")
+    return found.join(shuffled(pairs.select("list_key", "id")), ["list_key", "id"], "left_anti")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

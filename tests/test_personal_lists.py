@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import ranking as rk
 from millrace.plans import derived, ranking_queries
+from millrace.storage import sized_broadcast, written
 
 NOW = 1_700_000_000_000
 ARTICLE = "id long, makes array<string>, models array<string>, generations array<string>, variants array<string>, interests array<string>, categories array<string>, scenes array<string>, locations array<string>, geography array<string>, content_types array<string>, primary_category string, source_relevance string, desk_pick boolean, excerpt string, published_at long, image_url string, duplicate_group_id string, entity_hits array<struct<kind:string,name:string,make:string,model:string,relevance:string>>"
@@ -58,3 +60,9 @@ def test_scores_of_every_article_for_every_profile(spark):
     found = ranking_queries.personal_scores(spark, sf).select("list_key", "id").distinct()
     n = derived.articles(spark, sf).select("id").distinct().count()
     assert {r[0]: r[1] for r in found.groupBy("list_key").count().collect()} == {k: n for k in ["", *(f"p{i}" for i in range(25))]}
+
+
+def test_a_large_side_is_not_broadcast_for_its_small_files(spark):
+    rows = written(spark.range(50_000), "same")
+    plan = rows.join(sized_broadcast(rows.withColumnRenamed("id", "other"), 1000), F.col("id") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
