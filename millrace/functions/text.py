@@ -131,8 +131,8 @@ _ACCENTED = _Accented()
 @F.pandas_udf(StructType([StructField("words", StringType()), StructField("accents", IntegerType())]))
 def _unicode(texts: pd.Series) -> pd.DataFrame:
     """Lower-cased text in NFKC, and how many of its letters have accents."""
-    rows = [(None, None) if t is None else (unicodedata.normalize("NFKC", t.lower()), len(t.translate(_ACCENTED))) for t in texts]
-    return pd.DataFrame(rows, columns=["words", "accents"])
+    words = [None if t is None else unicodedata.normalize("NFKC", t.lower()) for t in texts]
+    return pd.DataFrame({"words": words, "accents": pd.array([None if t is None else len(t.translate(_ACCENTED)) for t in texts], "Int32")})
 
 
 def is_english(title: Column, excerpt: Column, english: list[str] | None = None, foreign: dict[str, list[str]] | None = None) -> Column:

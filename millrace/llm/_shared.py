@@ -6,20 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import BROADCAST_BYTES, measured_bytes, renamed, scratch, sized_broadcast, written
+from millrace.storage import BROADCAST_BYTES, ROWS_A_BATCH, measured_bytes, renamed, scratch, short_batches, sized_broadcast, written
 
-__all__ = ["BROADCAST_BYTES", "measured_bytes", "renamed", "row_ids", "scan_ids", "scratch", "short_batches", "sized_broadcast", "table", "written"]
-
-
-#: Rows of whole texts that go to a Python worker at once, where the session has no setting of its own.
-ROWS_A_BATCH = 4000
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Bounds the memory of batches of texts, in the JVM and in the workers; a session's own setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's default
-        spark.conf.set(key, str(ROWS_A_BATCH))
+__all__ = ["BROADCAST_BYTES", "ROWS_A_BATCH", "measured_bytes", "renamed", "row_ids", "scan_ids", "scratch", "short_batches", "sized_broadcast", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

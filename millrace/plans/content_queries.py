@@ -11,6 +11,7 @@ from millrace.operators import classify as cl
 from millrace.operators import engagement as en
 from millrace.operators import ingest as ing
 from millrace.operators import related as rel
+from millrace.storage import short_batches
 
 from .derived import articles, read, with_sql
 
@@ -35,6 +36,7 @@ def title_keys(spark, sf_dir):
 
 
 def language_gate(spark, sf_dir):
+    short_batches(spark)
     a = articles(spark, sf_dir)
     return a.select("id", tx.is_english(F.col("title"), F.col("excerpt")).alias("english"))
 

@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.plans import content_queries
 
 SCRIPTS = re.compile("[\u1f00-\u1fff一-鿿㐀-䶿぀-ヿ가-힯ᄀ-ᇿЀ-ӿ؀-ۿ֐-׿฀-๿Ͱ-Ͽऀ-ॿ]")
 
@@ -48,3 +49,17 @@ def test_plain_ascii_is_judged_without_python(spark):
     # rows of ASCII reach the helper as nulls
     seen = tx._unicode.func(__import__("pandas").Series([None, "é"]))
     assert seen.words.tolist() == [None, "é"] and seen.accents.tolist()[1] == 1
+
+
+def test_batches_of_texts_are_short(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        content_queries.language_gate(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "4000"
+        spark.conf.set(key, "77")
+        content_queries.language_gate(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, own)
