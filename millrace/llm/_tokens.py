@@ -23,7 +23,7 @@ from ._words import chunks
 #: Remembered pieces for each worker: when more have come, it starts anew. This bounds memory, not results.
 REMEMBER = 500_000
 #: Texts are cut in runs of about this many bytes, and the pieces of so many bytes looked up together (or one text, if larger).
-RUN, SLAB = 2 << 20, 16 << 20
+RUN, SLAB = 1 << 20, 4 << 20
 
 #: The table of byte-level BPE from bytes to printable characters, and its classes of characters and contractions.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

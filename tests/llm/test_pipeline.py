@@ -3,8 +3,11 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
+from millrace.storage import BATCH_BYTES, short_batches
+
 EN = "the and with from this river house garden people water morning evening bridge window letter winter".split()
 FR = "le et avec dans cette rivière maison jardin gens eau matin soirée pont fenêtre lettre hiver".split()
 
@@ -75,3 +78,21 @@ def test_stages_with_empty_tables_odd_rows_and_more_columns(spark, folder, tmp_p
         docs = spark.read.parquet(str(tmp_path / f"s{k}"))
     assert {r.doc_id for r in docs.select("doc_id").collect()} == {*range(120), None}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).filter("doc_id is null").count() == 1
+
+
+def test_batches_of_texts_are_bounded_by_their_bytes(spark):
+    """Few rows of long texts come in several batches, and a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"]) for b in batches)
+    texts = spark.range(0, 300, 1, 1).select(corpus_pipeline.F.repeat(corpus_pipeline.F.lit("x"), 100_000).alias("text"))
+    try:
+        spark.conf.unset(key)
+        short_batches(spark)
+        found = texts.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 300 and len(found) > 5 and max(r.bytes for r in found) < BATCH_BYTES + 200_000
+        spark.conf.set(key, "1048576b")
+        short_batches(spark)
+        assert spark.conf.get(key) == "1048576b"
+    finally:
+        spark.conf.set(key, own)
