@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 ELLIPSIS = "…"
 
 
+def once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c), with c evaluated once however often body names it; a long expression of texts would else be copied for each use."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def js_round(c: Column) -> Column:
     """Half up, also below zero."""
     return F.floor(c + 0.5)
@@ -30,10 +36,15 @@ def _numeric(c: Column, digits: str, base: int) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references, of any plane; in this order: named, hexadecimal, decimal, and the ampersand last."""
-    for pattern, to in [("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'")]:
-        c = F.regexp_replace(c, pattern, to)
-    c = _numeric(c, "(?i)&#x0*([0-9a-f]{1,6});", 16)
-    return F.regexp_replace(_numeric(c, "&#0*([0-9]{1,7});", 10), "(?i)&amp;", "&")
+
+    def decoded(c: Column) -> Column:
+        for pattern, to in [("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'")]:
+            c = F.regexp_replace(c, pattern, to)
+        c = _numeric(c, "(?i)&#x0*([0-9a-f]{1,6});", 16)
+        return F.regexp_replace(_numeric(c, "&#0*([0-9]{1,7});", 10), "(?i)&amp;", "&")
+
+    # most texts hold no reference and are passed on as they are
+    return once(c, lambda text: F.when(text.contains("&") | text.contains("\u0001"), decoded(text)).otherwise(text))
 
 
 def strip_html(c: Column) -> Column:
@@ -44,11 +55,15 @@ def strip_html(c: Column) -> Column:
 
 def cap_summary(c: Column, most: int = 320) -> Column:
     """Stripped text, cut at the last space within `most` characters if that leaves more than 80."""
-    text = strip_html(c)
-    cut = F.substring(text, 1, most)
-    space = F.length(cut) - F.instr(F.reverse(cut), " ")  # characters before the last space
-    cut = F.when((F.instr(cut, " ") > 0) & (space > 80), F.substring(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.trim(cut), F.lit(ELLIPSIS)))
+
+    def capped(text: Column) -> Column:
+        return F.when(F.length(text) <= most, text).otherwise(F.concat(F.trim(once(F.substring(text, 1, most), shortened)), F.lit(ELLIPSIS)))
+
+    def shortened(cut: Column) -> Column:
+        space = F.length(cut) - F.instr(F.reverse(cut), " ")  # characters before the last space
+        return F.when((F.instr(cut, " ") > 0) & (space > 80), F.substring(cut, F.lit(1), space)).otherwise(cut)
+
+    return once(strip_html(c), capped)
 
 
 def normalize_title(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions import urls as ur
-from millrace.storage import sized_broadcast
+from millrace.storage import sized_broadcast, written
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _field(block: F.Column, *names: str) -> F.Column:
     """The text of the first of these elements that is not empty: without CDATA marks, entities decoded."""
     def one(name: str) -> F.Column:
         inner = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
-        return F.nullif(F.trim(tx.decode_entities(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))), F.lit(""))
+        return tx.once(F.trim(tx.decode_entities(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))), lambda c: F.nullif(c, F.lit("")))
 
     return F.coalesce(*[one(name) for name in names], F.lit(""))
 
@@ -72,13 +72,15 @@ def feed_entries(entries: DataFrame, now_ms: int, block: str = "block") -> DataF
     every = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     href = F.nullif(F.regexp_extract(b, r"<link[^>]*?href=[\"']([^\"']+)", 1), F.lit(""))
     images = F.array_distinct(F.concat(*[every(b, p) for p in _ENTRY_IMAGES], every(tx.decode_entities(b), r"<img[^>]*?src=[\"']([^\"']+)")))
-    rows = entries.withColumns({
-        "title": _plain(_field(b, "title")), "url": F.coalesce(F.nullif(_field(b, "link"), F.lit("")), href, F.lit("")), "guid": _field(b, "guid", "id"), "author": _plain(_field(b, "dc:creator", "author", "name")),
-        "excerpt": _plain(_field(b, "description", "summary", "content:encoded", "content")), "image_urls": images, "_published": _field(b, "pubDate", "published", "updated", "dc:date"), "method": F.lit("rss"),
-    }).drop(block)
+    found = ["title", "url", "guid", "author", "excerpt", "image_urls", "method", "canonical_url", "published_at"]
+    others = [F.col(f"`{c}`") for c in entries.columns if c not in [*found, block]]
+    # what is filtered by is made by generators, over which filters are not pushed with a copy of the expression for each use
+    rows = entries.select(*others, b, F.inline(F.array(F.struct(_plain(_field(b, "title")).alias("title"), F.coalesce(F.nullif(_field(b, "link"), F.lit("")), href, F.lit("")).alias("url")))))
+    rows = rows.select("*", F.explode(F.array(ur.canonicalize_url(F.col("url")))).alias("canonical_url")).filter("title != '' and canonical_url is not null")
+    rows = rows.withColumns({"guid": _field(b, "guid", "id"), "author": _plain(_field(b, "dc:creator", "author", "name")), "image_urls": images, "method": F.lit("rss"), "_published": _field(b, "pubDate", "published", "updated", "dc:date")})
     at = F.coalesce(F.col("_published").try_cast("timestamp"), F.try_to_timestamp(F.regexp_replace("_published", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
-    items = rows.withColumns({"canonical_url": ur.canonicalize_url(F.col("url")), "excerpt": tx.cap_summary(F.col("excerpt")), "published_at": F.coalesce(F.unix_millis(at), F.lit(now_ms))})
-    return items.filter("title != '' and canonical_url is not null").drop("_published")
+    rows = rows.withColumns({"excerpt": tx.cap_summary(_plain(_field(b, "description", "summary", "content:encoded", "content"))), "published_at": F.coalesce(F.unix_millis(at), F.lit(now_ms))})
+    return rows.select(*others, *found)
 
 
 def parse_feeds(bodies: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
@@ -102,8 +104,9 @@ def read_feeds(spark: SparkSession, path: str, now_ms: int, entry: str = "item",
     """
     pieces = _cut(spark, path, f"</{entry}>").withColumn(key, F.col(key).cast("string"))
     bad = pieces.groupBy(key).agg(F.max(F.col("value").rlike(_FEED)).alias("good")).filter("NOT good").select(key, F.lit("not a feed").alias("error"))
+    bad = written(bad, "no_feeds")
     block = F.regexp_extract("value", rf"(?is)<{entry}(?:\s[^>]*)?>(.*)$", 1)
-    entries = pieces.select(key, block.alias("block")).filter("block != ''").join(sized_broadcast(bad.select(key)), key, "left_anti")
+    entries = pieces.select(key, F.explode(F.array(block)).alias("block")).filter("block != ''").join(sized_broadcast(bad.select(key)), key, "left_anti")
     return feed_entries(entries, now_ms), bad
 
 

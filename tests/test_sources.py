@@ -42,6 +42,17 @@ def test_stored_feeds_entry_by_entry(spark, tmp_path):
     assert sorted(map(str, whole.drop("source_id").collect())) == sorted(map(str, items.drop("file").collect())) and none.count() == 2
 
 
+def test_a_feed_entry_is_decoded_once_for_each_field(spark):
+    """However often a field is used later, the plan holds its expression once: filters and summaries make no copies."""
+    entry = "<title>A &amp;amp; B</title><link>https://x.example.com/1?utm_id=1</link><guid>7</guid><description>" + "word &amp;lt;b&amp;gt; " * 90 + "</description>"
+    items = rd.feed_entries(spark.createDataFrame([("s", entry), ("s", "<title></title><link>https://x/1</link>")], "source_id string, block string").repartition(1), 5)
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<description") == plan.count("<title") == 1 and plan.count("<link(?:") == 1
+    row = items.collect()
+    assert [(r.title, r.canonical_url, r.guid, r.published_at) for r in row] == [("A & B", "https://x.example.com/1", "7", 5)]
+    assert row[0].excerpt == " ".join(["word"] * 64) + "…"
+
+
 def test_stored_sitemaps(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<urlset>" + "".join(f"<url><loc>\n https://a/{n % 900}?x=1&amp;y </loc><lastmod>2024</lastmod></url>" for n in range(1000)) + "</urlset>")
     (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc>https://a/s.xml</loc></sitemap></sitemapindex>")
